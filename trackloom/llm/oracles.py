@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trackloom.llm import urlgraph
 from trackloom.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW
 
 SPACE_CHARS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
@@ -53,6 +54,7 @@ WITH d AS (
   SELECT w.r, doc_id, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    len(regexp_extract_all(text, '!!')) AS n_shouts,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
     len(list_filter(words, lambda x: regexp_full_match(x, '(?i){stop}'))) AS n_stop,
@@ -62,7 +64,7 @@ WITH d AS (
   FROM w LEFT JOIN cover USING (r)
 ), m AS (
   SELECT *, word_chars / nullif(n_words, 0) AS mean_word_length, n_symbols / nullif(n_words, 0) AS symbol_ratio,
-    n_stop / nullif(n_words, 0) AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
+    n_shouts / nullif(n_words, 0) AS shout_ratio, n_stop / nullif(n_words, 0) AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
     n_bullets / nullif(n_lines, 0) AS bullet_line_ratio, n_ellipsis / nullif(n_lines, 0) AS ellipsis_line_ratio,
     n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
   FROM c
@@ -71,3 +73,78 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT ({broken}) AS kept
 FROM m
 """
+
+
+MIXING = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][1 + (rank - 1) % 3] AS weight, 2.0::DOUBLE * source_size AS cap FROM s
+), v AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0.0::DOUBLE))
+    / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
+  FROM w WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM v
+), q AS (
+  SELECT doc_id, size, source_size, target,
+    CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, size, r ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - start))
+    + greatest(0, least(size, CAST(floor(target) AS BIGINT) - source_size - start)) AS BIGINT) AS taken
+FROM q
+"""
+
+
+def url_graph() -> str:
+    """The rules and all rounds of both walks, one common table expression a round."""
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{'rule': '{h}{p}', 'verdict': '{v}'}}"
+        for v, h, p in sorted(urlgraph.RULES, key=lambda r: -len(r[1] + r[2]))
+    )
+    d = urlgraph.DAMPING
+    rounds = ", ".join(
+        f"""s{k + 1} AS (SELECT walk, host, sum(score) AS score FROM (
+          SELECT walk, host, {1 - d} * score AS score FROM s0 UNION ALL
+          SELECT s.walk, e.b, {d} * s.score * e.share FROM s{k} s JOIN e ON s.walk = e.walk AND s.host = e.a) GROUP BY ALL)"""
+        for k in range(urlgraph.ROUNDS)
+    )
+    link = urlgraph.LINK.replace("'", "''")
+    return f"""
+WITH u AS (
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, html, {AZ.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), f AS (
+  SELECT *, CASE {fits} END AS fit FROM h
+), links AS (
+  SELECT host AS src, {AZ.format("dst")} AS dst FROM (
+    SELECT host, unnest(list_concat(regexp_extract_all(html, '{link}', 1), regexp_extract_all(html, '{urlgraph.MAIL}', 1))) AS dst FROM f)
+), w AS (
+  SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL
+), t AS (
+  SELECT 'trust' AS walk, src AS a, dst AS b, weight FROM w UNION ALL SELECT 'distrust', dst, src, weight FROM w
+), e AS MATERIALIZED (
+  SELECT walk, a, b, weight / sum(weight) OVER (PARTITION BY walk, a) AS share FROM t
+), v AS (
+  SELECT CASE fit.verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS walk, host, count(*) AS n
+  FROM f WHERE fit IS NOT NULL AND host <> '' GROUP BY ALL
+), s0 AS (
+  SELECT walk, host, n / sum(n) OVER (PARTITION BY walk) AS score FROM v
+), {rounds}, z AS (
+  SELECT host, coalesce(max(score) FILTER (WHERE walk = 'trust'), 0) AS trust,
+    coalesce(max(score) FILTER (WHERE walk = 'distrust'), 0) AS distrust
+  FROM s{urlgraph.ROUNDS} GROUP BY host
+)
+SELECT page_id, f.host, path, fit.rule AS rule,
+  coalesce(fit.verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {urlgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM f LEFT JOIN z ON f.host = z.host
+"""

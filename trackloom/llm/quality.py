@@ -41,7 +41,8 @@ class Rule:
 #: The production table.
 RULES = (
     Rule("word_length", "mean_word_length", 1.5, 20.0),
-    Rule("symbols", "symbol_ratio", None, 0.5),
+    Rule("symbols", "symbol_ratio", None, 0.25),
+    Rule("shouting", "shout_ratio", None, 0.25),
     Rule("stop_words", "stop_word_ratio", 0.01, None),
     Rule("duplicate_lines", "dup_line_ratio", None, 0.5),
     Rule("bullet_lines", "bullet_line_ratio", None, 0.9),
@@ -80,6 +81,7 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"),
+            "n_shouts": F.regexp_count("_text", F.lit("!!")).cast("long"),
             "_wh": F.transform("_words", lambda w: F.xxhash64(w)),
             "_full": F.filter("_lines", lambda s: s.rlike("[^\\x20\\x09-\\x0D]")),
         }
@@ -141,6 +143,7 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         "n_lines",
         _ratio(F.col("word_chars"), n).alias("mean_word_length"),
         _ratio(F.col("n_symbols"), n).alias("symbol_ratio"),
+        _ratio(F.col("n_shouts"), n).alias("shout_ratio"),
         _ratio(F.col("n_stop_words"), n).alias("stop_word_ratio"),
         _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
         _ratio(F.col("n_bullets"), F.col("n_lines")).alias("bullet_line_ratio"),

@@ -6,30 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import linededup, oracles, quality
+from trackloom.llm import linededup, mixing, oracles, packing, quality, urlgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.digest(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filters": op2_url_filters,
         "op3_line_dedup": op3_line_dedup,
+        "op5_packing": op5_packing,
+        "op7_source_mixing": op7_source_mixing,
         "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filters": oracles.url_graph(),
         "op3_line_dedup": oracles.LINE_DEDUP,
+        "op7_source_mixing": oracles.MIXING,
         "op8_quality_rules": oracles.quality_rules(),
     }
