@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import linededup, mixing, oracles, packing, quality, urlgraph
+from trackloom.llm import linededup, mixing, oracles, packing, quality, tokencounts, urlgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.digest(table(spark, sf_dir, "pages"))
 
@@ -35,6 +39,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_url_filters": op2_url_filters,
         "op3_line_dedup": op3_line_dedup,
         "op5_packing": op5_packing,
