@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import linededup, mixing, oracles, packing, quality, tokencounts, toxicity, urlgraph
+from trackloom.llm import linededup, media, mixing, oracles, packing, quality, tokencounts, toxicity, urlgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_url_filters": op2_url_filters,
         "op3_line_dedup": op3_line_dedup,
+        "op4_media_columns": op4_media_columns,
         "op5_packing": op5_packing,
         "op7_source_mixing": op7_source_mixing,
         "op8_quality_rules": op8_quality_rules,
