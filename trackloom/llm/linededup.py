@@ -16,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import SPACES, ascii_lower, take
+from trackloom.llm.common import SPACES, ascii_lower, take, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
+#: Up to so many common hashes (16 bytes each) are broadcast; more are joined by shuffle,
+#: where adaptive execution splits the partition of a line found everywhere.
+BROADCAST_HASHES = 250_000
 
 
 def _key(line: Column) -> Column:
@@ -60,6 +63,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     r1, r2 = _hash128(F.col("_id"), F.col("_text"))
     df = df.withColumns({"_r1": r1, "_r2": r2})
     lines, common = common_lines(df.select("_id", "_text", "_r1", "_r2"), min_docs, min_chars)
+    common = written(common, "common-lines")
+    if common.count() <= BROADCAST_HASHES:
+        common = F.broadcast(common)
     gone = (
         lines.join(common, ["_h1", "_h2"], "left_semi")
         .groupBy("_r1", "_r2")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import linededup, media, mixing, oracles, packing, quality, tokencounts, toxicity, urlgraph
+from trackloom.llm import linededup, media, mixing, ngramjoin, oracles, packing, quality, tokencounts, toxicity, urlgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_media_columns": op4_media_columns,
         "op5_packing": op5_packing,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_source_mixing": op7_source_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
