@@ -60,12 +60,12 @@ class Words:
     """Words of a string array, text by text.
 
     ``hash``: one per word, with A-Z taken as a-z; ``at``: index of the first word of each
-    text, and the total; ``start`` and ``size``: place and length of a word in the bytes.
+    text, and the total; ``start`` and ``size``: place and length of a word in ``data``, the bytes.
     """
 
     def __init__(self, array: pa.Array, breaks: np.ndarray = SPACE):
         raw, offsets = text_bytes(array)
-        data = _LOWER[raw]
+        data = self.data = _LOWER[raw]
         inside = ~breaks[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
