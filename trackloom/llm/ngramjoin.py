@@ -210,11 +210,15 @@ EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def likely_edges(sigs: DataFrame) -> DataFrame:
-    """A spanning forest, tile by tile, of the pairs that share a band and survive pruning."""
+    """A spanning forest, tile by tile, of the pairs that share a band and survive pruning.
+
+    A pair counts in the tile of the first band that it shares, so the forests of later bands
+    do not repeat the links of a large group.
+    """
     needs = least_matches()
     size = 2 * ROWS
     keys = [F.xxhash64(F.lit(k), F.substring("_sig", k * size + 1, size)) for k in range(BANDS)]
-    bands = sigs.select("_rid", F.explode(F.array(*keys)).alias("_band"))
+    bands = sigs.select("_rid", F.posexplode(F.array(*keys)).alias("_k", "_band"))
     shared = bands.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     members = written(bands.join(shared, "_band"), "buckets")
     tiles = tiled(members, "_band", "_n").join(sigs, "_rid")
@@ -223,9 +227,13 @@ def likely_edges(sigs: DataFrame) -> DataFrame:
         for table in _grouped(batches):
             rid = table.column("_rid").to_pylist()
             sig = np.frombuffer(b"".join(table.column("_sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-            forest = Forest(len(rid))
+            forest, band = Forest(len(rid)), table.column("_k")[0].as_py()
             for one, others in _partners(table.column("_side").to_numpy()):
-                forest.join(one, surviving(sig, one, others, needs))
+                others = surviving(sig, one, others, needs)
+                if band and len(others):
+                    before = sig[others, : band * ROWS] == sig[one, : band * ROWS]
+                    others = others[~before.reshape(len(others), band, ROWS).all(axis=2).any(axis=1)]
+                forest.join(one, others)
             a, b = ([rid[e[k]] for e in forest.edges] for k in (0, 1))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=EDGES)
