@@ -252,12 +252,12 @@ def dist_sql(keys: str, source: str, value: str) -> str:
       round_even(quantile_cont({value}, 0.95), 9) AS p95, round_even(max({value}), 9) AS max, round_even(avg({value}), 9) AS mean FROM {source} GROUP BY ALL"""
 
 
-@query("agg_distribution", with_tables("features") + " " + dist_sql("run_id", "features", "processing_ms", 9))
+@query("agg_distribution", with_tables("features") + " " + dist_sql("run_id", "features", "processing_ms"))
 def _(s, d):
     return stats.distribution(FE(s, d), ["run_id"], "processing_ms", 9)
 
 
-@query("agg_latency_entry", with_tables("metrics") + " " + dist_sql("service_name, metric_name", "metrics", "metric_value", 9))
+@query("agg_latency_entry", with_tables("metrics") + " " + dist_sql("service_name, metric_name", "metrics", "metric_value"))
 def _(s, d):
     return stats.distribution(M(s, d), ["service_name", "metric_name"], "metric_value", 9)
 
