@@ -134,9 +134,11 @@ WITH u AS (
   SELECT 'trust' AS walk, src AS a, dst AS b, weight FROM w UNION ALL SELECT 'distrust', dst, src, weight FROM w
 ), e AS MATERIALIZED (
   SELECT walk, a, b, weight / sum(weight) OVER (PARTITION BY walk, a) AS share FROM t
+), hs AS (
+  SELECT host, count(*) AS n, count(*) FILTER (WHERE fit.verdict = 'allow') AS allowed, count(*) FILTER (WHERE fit.verdict = 'block') AS blocked
+  FROM f WHERE host <> '' GROUP BY host
 ), v AS (
-  SELECT CASE fit.verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS walk, host, count(*) AS n
-  FROM f WHERE fit IS NOT NULL AND host <> '' GROUP BY ALL
+  SELECT 'trust' AS walk, host, allowed AS n FROM hs WHERE allowed > 0 UNION ALL SELECT 'distrust', host, blocked FROM hs WHERE 2 * blocked > n
 ), s0 AS (
   SELECT walk, host, n / sum(n) OVER (PARTITION BY walk) AS score FROM v
 ), {rounds}, z AS (

@@ -2,7 +2,7 @@
 
 Host edges are the absolute links (``href``/``src``) and mail addresses of the pages,
 summed per pair of hosts. Trust spreads along edges by personalised PageRank from hosts
-with allowed pages; distrust spreads against them from hosts with blocked pages. A page
+with allowed pages; distrust spreads against them from hosts most of whose pages are blocked. A page
 that no rule judges takes the verdict of its host: block where distrust exceeds trust by
 more than the threshold.
 
@@ -33,6 +33,7 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 10
 ROUNDS_PER_WRITE = 3
+BROADCAST_HOSTS = 100_000
 THRESHOLD = 1e-4
 LINK = "(?i)(?:href|src)\\s*=\\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'\\s>:]+)"
 MAIL = "(?i)[a-z0-9._%+-]@((?:[a-z0-9-]+\\.)+[a-z]{2,})"
@@ -92,15 +93,18 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
 
 def host_scores(pages: DataFrame, edges: DataFrame) -> DataFrame:
     """(host, trust, distrust) from judged pages (``_host``, ``_fit``) and host edges."""
-    votes = pages.filter("_fit is not null and _host != ''").groupBy(F.col("_host").alias("host"), F.col("_fit.verdict").alias("_v")).agg(
-        F.count(F.lit(1)).alias("n")
+    side = lambda v: F.count_if(F.coalesce(F.col("_fit.verdict") == v, F.lit(False)))
+    hosts = pages.filter("_host != ''").groupBy(F.col("_host").alias("host")).agg(
+        side("allow").alias("allowed"), side("block").alias("blocked"), F.count(F.lit(1)).alias("n")
+    )
+    votes = hosts.filter("allowed > 0").select(F.lit("trust").alias("_walk"), "host", F.col("allowed").alias("n")).union(
+        hosts.filter("2 * blocked > n").select(F.lit("distrust"), "host", "blocked")
     )
-    votes = votes.select(F.when(F.col("_v") == "allow", "trust").otherwise("distrust").alias("_walk"), "host", "n")
     sums = F.broadcast(votes.groupBy("_walk").agg(F.sum("n").alias("_n")))  # two rows
     seeds = written(votes.join(sums, "_walk").select("_walk", "host", (F.col("n") / F.col("_n")).alias("score")), "seeds")
     scores = propagated(edges, seeds)
-    side = lambda w: F.coalesce(F.max(F.when(F.col("_walk") == w, F.col("score"))), F.lit(0.0)).alias(w)
-    return scores.groupBy("host").agg(side("trust"), side("distrust"))
+    best = lambda w: F.coalesce(F.max(F.when(F.col("_walk") == w, F.col("score"))), F.lit(0.0)).alias(w)
+    return scores.groupBy("host").agg(best("trust"), best("distrust"))
 
 
 def filtered(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
@@ -109,7 +113,9 @@ def filtered(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html"
     host, path = split_url(F.col("_url").cast("string"))
     df = df.select("_id", F.col("_html").cast("string").alias("_html"), host.alias("_host"), path.alias("_path"))
     df = df.withColumn("_fit", matched_rule(F.col("_host"), F.col("_path"), rules))
-    scores = host_scores(df, host_edges(df)).withColumnRenamed("host", "_host")
+    scores = written(host_scores(df, host_edges(df)).withColumnRenamed("host", "_host"), "hosts")
+    if scores.count() <= BROADCAST_HOSTS:  # bounded by the check; else a shuffle join
+        scores = F.broadcast(scores)
     out = df.drop("_html").join(scores, "_host", "left").fillna(0.0, ["trust", "distrust"])
     own = F.when(F.col("distrust") - F.col("trust") > THRESHOLD, "block").otherwise("allow")
     return out.select(
