@@ -21,9 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many of the documents left go from their texts.
 
-    ``n_chars`` follows the new text; a document that loses all its lines goes.
+    ``n_chars`` follows the new text. Every document stays; one that loses all its lines is
+    empty from here on, links to nothing and is not taken by the mix.
     """
-    return _counted(linededup.without_common_lines(docs)).filter("text != ''")
+    return _counted(linededup.without_common_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
