@@ -443,3 +443,29 @@ def test_word_hashes():
     assert w.hash[0] == w.hash[2] and w.hash[1] == w.hash[3] and len(set(w.hash.tolist())) == 4
     g, doc = hashing.ngrams(w.hash, w.at, (0, 1))
     assert doc.tolist() == [0, 3, 4] and g[0] == g[1] != g[2]
+
+
+def test_bit_counts_keep_their_ratio(spark):
+    """Bit counts have no cap, slots or collisions: totals are those of a count by prefix."""
+    r = np.random.default_rng(4)
+    texts = sorted({bytes(r.integers(97, 107, r.integers(5, 8), dtype=np.uint8)) for _ in range(100_000)})
+    assert len(texts) > 90_000  # more words than 16 bits count
+    df = spark.createDataFrame([(i % 3, i, bytearray(t), i % 7 != 0) for i, t in enumerate(texts)], "batch long, h long, word binary, taken boolean")
+    totals = lmscore.entry_totals(df, 5).filter("batch = 1").toArrow()
+    mine = [t for i, t in enumerate(texts) if i % 3 == 1]
+    _, entries, _ = lmscore._batch(df.filter("batch = 1").toArrow())
+    got = lmscore._totals_of(totals, entries)
+    learned = [t for i, t in enumerate(texts) if i % 7 != 0]
+    whole = len(ORDERS) - 1 if (ORDERS := bitmix.ORDERS) else 0
+    start = Counter(t[0] for t in learned)
+    follows = Counter((t[:3], t[3]) for t in learned)
+    at = np.cumsum([0, *[len(t) + 1 for t in mine]])
+    for i in range(0, len(mine), 997):
+        for place, counts in ((0, start), (3, {b: follows[mine[i][:3], b] for b in range(256)})):
+            path = got[whole][:, entries.at[whole][at[i] + place]]
+            byte = mine[i][place]
+            assert path[8] == counts[byte]
+            for k in range(8):
+                assert path[k] == sum(n for b, n in counts.items() if b >> (8 - k) == byte >> (8 - k) and b >> (7 - k) != byte >> (7 - k))
+    assert sum(start.values()) > 65_535
+    assert (bitmix.unpacked(bitmix.packed(np.array([0, 254, 255, 1 << 40])), 4) == [0, 254, 255, 1 << 40]).all()

@@ -1,8 +1,9 @@
 """Online logistic context mixing over the bits of words.
 
 A word is its bytes and a space. Each bit has one predictor per context: the last one to
-five bytes of the word, or all of them, hashed with the bits of the byte so far into a
-slot that counts zeros and ones. A gated mixer adds the predictors' log odds with weights
+six bytes of the word, or all of them, with the bits of the byte so far. ``Entries`` holds
+exact counts by context and next byte; ``count_bits`` and ``Model`` hash them into slots of
+one array, for a few words in memory. A gated mixer adds the predictors' log odds with weights
 from the set that the gate picks (how often the whole beginning of the word, and its last
 three bytes, were seen), trained online. A last table refines the mixed probability by
 what came true at such probabilities before.
@@ -72,6 +73,9 @@ class Bits:
     def bit(self, k: int) -> np.ndarray:
         return ((self.byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
 
+    def node(self, k: int) -> np.ndarray:
+        return ((1 << k) | (self.byte >> np.uint64(8 - k)).astype(np.int64)) & 255
+
     def slots(self, k: int) -> list[np.ndarray]:
         node = ((np.uint64(1) << np.uint64(k)) | (self.byte >> np.uint64(8 - k))) * np.uint64(0x9FB21C651E98DF25)
         shift = np.uint64(64 - SLOT_BITS)
@@ -117,6 +121,18 @@ def _bucket(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
 
 
+def _step(mixer: Mixer, bit: np.ndarray, node: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> None:
+    """One online step over bits with the log odds ``x`` of each predictor."""
+    z = sum(mixer.weights[i][gate] * x[i] for i in range(INPUTS))
+    error = bit - _squash(z)
+    total = np.bincount(gate, minlength=GATES) + 1e-9
+    for i in range(INPUTS):
+        g = np.bincount(gate, error * x[i], GATES) / total
+        mixer.squares[i] += g * g
+        mixer.weights[i] += RATE * g / np.sqrt(mixer.squares[i])
+    mixer.seen += np.bincount((node * BUCKETS + _bucket(z)) * 2 + bit, minlength=mixer.seen.size).reshape(mixer.seen.shape)
+
+
 def learn(mixer: Mixer, counts: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
     """Online pass over words; ``counts`` holds the slots of all words, these included."""
     for at in range(0, len(start), CHUNK):
@@ -129,17 +145,8 @@ def learn(mixer: Mixer, counts: np.ndarray, data: np.ndarray, start: np.ndarray,
             pairs = [counts[i][s].astype(np.float32) for i, s in enumerate(b.slots(k))]
             for p in pairs:  # the word itself is left out
                 p[every, bit] = np.maximum(p[every, bit] - 1, 0)
-            x = [_odds(p) for p in pairs]
             gate = _level(pairs[-1]).astype(np.int64) * LEVELS + _level(pairs[GATE_ORDER])
-            z = sum(mixer.weights[i][gate] * x[i] for i in range(INPUTS))
-            error = bit - _squash(z)
-            total = np.bincount(gate, minlength=GATES) + 1e-9
-            for i in range(INPUTS):
-                g = np.bincount(gate, error * x[i], GATES) / total
-                mixer.squares[i] += g * g
-                mixer.weights[i] += RATE * g / np.sqrt(mixer.squares[i])
-            node = ((1 << k) | (b.byte >> np.uint64(8 - k)).astype(np.int64)) & 255
-            mixer.seen += np.bincount((node * BUCKETS + _bucket(z)) * 2 + bit, minlength=mixer.seen.size).reshape(mixer.seen.shape)
+            _step(mixer, bit, b.node(k), [_odds(p) for p in pairs], gate)
 
 
 def merged(mixers: list[Mixer]) -> Mixer:
@@ -150,17 +157,31 @@ def merged(mixers: list[Mixer]) -> Mixer:
     return Mixer(weights=sum(m.weights * (m.words / words) for m in mixers), seen=sum(m.seen for m in mixers), words=words)
 
 
-class Model:
-    """Frozen tables for scoring: log odds and levels by slot, gated weights, refining table."""
+class Scorer:
+    """A frozen mixer: gated weights and refining table."""
 
-    def __init__(self, odds: np.ndarray, levels: np.ndarray, mixer: Mixer):
-        """``odds``: contexts x slots; ``levels``: of the last context and of ``GATE_ORDER``."""
-        self.odds, self.levels = odds, levels
+    def __init__(self, mixer: Mixer):
         self.weights = mixer.weights.astype(np.float32)
         prior = _squash((np.arange(BUCKETS) - BUCKETS // 2) / 2)
         refined = (mixer.seen[..., 1] + 8 * prior) / (mixer.seen.sum(axis=-1) + 8)
         self.refine = np.log(refined / (1 - refined)).astype(np.float32)
 
+    def log_of(self, bit: np.ndarray, node: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        """Log of the probability of each bit that came."""
+        z = np.zeros(len(gate), np.float32)
+        for i in range(INPUTS):
+            z += self.weights[i][gate] * x[i]
+        z = (z + self.refine[node, _bucket(z)]) / 2
+        return -np.log1p(np.exp(-np.clip(np.where(bit == 1, z, -z), -16, 16)))
+
+
+class Model:
+    """Frozen tables for scoring words in memory: log odds and levels by slot, and the mixer."""
+
+    def __init__(self, odds: np.ndarray, levels: np.ndarray, mixer: Mixer):
+        """``odds``: contexts x slots; ``levels``: of the last context and of ``GATE_ORDER``."""
+        self.odds, self.levels, self.scorer = odds, levels, Scorer(mixer)
+
     def log10_probabilities(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """log10 of each word's probability; over all words the probabilities add up to one."""
         out = np.zeros(len(start))
@@ -171,12 +192,7 @@ class Model:
             for k in range(8):
                 slots = b.slots(k)
                 gate = self.levels[0][slots[-1]].astype(np.int64) * LEVELS + self.levels[1][slots[GATE_ORDER]]
-                z = np.zeros(len(gate), np.float32)
-                for i, s in enumerate(slots):
-                    z += self.weights[i][gate] * self.odds[i][s]
-                node = ((1 << k) | (b.byte >> np.uint64(8 - k)).astype(np.int64)) & 255
-                z = (z + self.refine[node, _bucket(z)]) / 2
-                total -= np.log1p(np.exp(-np.clip(np.where(b.bit(k) == 1, z, -z), -16, 16)))
+                total += self.scorer.log_of(b.bit(k), b.node(k), [self.odds[i][s] for i, s in enumerate(slots)], gate)
             out[part] = np.bincount(b.word, total, len(start[part])) / np.log(10)
         return out
 
@@ -186,3 +202,98 @@ def model_of(counts: np.ndarray, mixer: Mixer) -> Model:
     for i, c in enumerate(counts):
         odds[i] = _odds(c.astype(np.float32))
     return Model(odds, np.stack([_level(counts[-1]), _level(counts[GATE_ORDER])]), mixer)
+
+
+def packed(n: np.ndarray) -> bytes:
+    """Counts of any size, a byte each where they fit: small ones, then the others in order."""
+    n = n.ravel()
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8, n)
+    out = low.astype(np.int64)
+    out[low == 255] = np.frombuffer(data[n:], np.int64)
+    return out
+
+
+def path_totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(9 x keys) for sorted distinct ``keys`` with their ``counts``, all keys of a context included.
+
+    Row 8 counts the key, row k < 8 what left the key's path at bit k.
+    """
+    out = np.empty((9, len(keys)), np.int64)
+    inner = out[8] = counts
+    for k in range(7, -1, -1):
+        prefix = keys >> np.uint64(8 - k)
+        first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+        whole = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))))
+        out[k] = whole - inner
+        inner = whole
+    return out
+
+
+class Entries:
+    """Entries of a batch of words: a context and the byte that follows it, as one number.
+
+    The upper 56 bits are the hash of the context, the lower 8 the byte. Bit counts of all
+    nodes on a byte's path are sums over the entries of its context, so a table of entries
+    holds every count of every bit, without slots.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.bits = Bits(data, start, size)
+        self.n_words = len(start)
+        self.keys, self.at = [], []
+        for c in self.bits.context:
+            keys, at = np.unique((c & ~np.uint64(255)) | self.bits.byte, return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at)
+        self.bits.context = []
+
+    def counts(self, i: int, taken: np.ndarray) -> np.ndarray:
+        """Of the keys of context ``i``, over the words that are ``taken``."""
+        return np.bincount(self.at[i], taken[self.bits.word], len(self.keys[i])).astype(np.int64)
+
+    def _inputs(self, totals, part: slice, k: int, out: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        b = self.bits
+        bit = ((b.byte[part] >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+        node = ((1 << k) | (b.byte[part] >> np.uint64(8 - k)).astype(np.int64)) & 255
+        x, levels = [], []
+        sign = (2 * bit - 1).astype(np.float32)
+        for i, (own, other) in enumerate(totals):
+            at = self.at[i][part]
+            a, o = np.maximum(own[k][at] - np.float32(out), 0), other[k][at]
+            x.append(sign * np.log((a + np.float32(PRIOR)) / (o + np.float32(PRIOR))))
+            if i in (GATE_ORDER, INPUTS - 1):
+                levels.append(np.minimum(LEVELS - 1, np.log2(a + o + 1)).astype(np.int64))
+        return bit, node, x, levels[1] * LEVELS + levels[0]
+
+    @staticmethod
+    def _sides(totals: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(own, other) side of each bit by key, from ``path_totals`` of each context."""
+        out = []
+        for t in totals:
+            whole = np.cumsum(t[::-1], axis=0)[::-1]  # whole[k]: entries that share the first k bits
+            out.append((whole[1:].astype(np.float32), t[:8].astype(np.float32)))
+        return out
+
+    def learn(self, mixer: Mixer, totals: list[np.ndarray], taken: np.ndarray) -> None:
+        """Online pass over the ``taken`` words, each left out of the counts it sees."""
+        totals = self._sides(totals)
+        mixer.words += int(taken.sum())
+        places = np.flatnonzero(taken[self.bits.word])
+        cuts = np.searchsorted(self.bits.word[places], np.arange(0, self.n_words + CHUNK, CHUNK))
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                for k in range(8):
+                    _step(mixer, *self._inputs(totals, places[a:b], k, 1))
+
+    def log10_probabilities(self, totals: list[np.ndarray], scorer: Scorer) -> np.ndarray:
+        totals = self._sides(totals)
+        total = np.zeros(len(self.bits.byte))
+        for at in range(0, len(total), 16 * CHUNK):
+            part = slice(at, at + 16 * CHUNK)
+            for k in range(8):
+                total[part] += scorer.log_of(*self._inputs(totals, part, k, 0))
+        return np.bincount(self.bits.word, total, self.n_words) / np.log(10)

@@ -8,8 +8,9 @@ online context mixing over the word's bits gives it (``bitmix``), over all count
 sum over classes, by their share of documents; its own language column is never read.
 
 Steps: (1) word counts by class over all documents, summed in each task before the shuffle;
-(2) bit counts of all training words, summed in blocks of a table of fixed size; (3) mixer
-weights from at most ``MIX_WORDS`` training words; (4) each distinct word is scored once;
+(2) exact bit counts of all training words, by context, in as many shards as the words need;
+(3) mixer weights from all training words, learned in batches and merged by sums; (4) each
+distinct word is scored once;
 (5) documents add up their words: frequent ones from a broadcast table of bounded size, all
 others by a shuffle join. Counts cover all documents; every table that is broadcast has
 a fixed bound.
@@ -35,15 +36,14 @@ from trackloom.session import ship_package
 
 #: The most frequent languages of the training documents have a class each.
 LANGUAGES = 7
-#: Training words, within a few per thousand, that fit the mixer's few hundred weights.
-MIX_WORDS = 131_072
 #: Words in the broadcast table.
 TOP_WORDS = 200_000
-#: Distinct words that a task of the bit count takes.
-WORDS_PER_TASK = 400_000
+#: Distinct words that meet in one task of the bit mixing.
+WORDS_PER_BATCH = 65_536
+#: Distinct words whose entries make one shard of bit counts.
+WORDS_PER_SHARD = 65_536
 #: Distinct words, stretch by stretch, that a worker sums up before it sends them on.
 WORDS_IN_HAND = 600_000
-BLOCK = 8192
 END_HASH = np.uint64(0x656E64206F662074)
 
 
@@ -110,68 +110,95 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets[:-1], np.diff(offsets)
 
 
-def bit_counts(words: DataFrame, tasks: int) -> np.ndarray:
-    """Counts of ones and zeros by context and slot over all ``word`` rows, once each.
+def _binary(column: list[bytes]) -> pa.Array:
+    return pa.array(column, pa.binary())
 
-    Tasks send their part of a table of fixed size in blocks, summed by block in Spark.
+
+def entry_totals(words: DataFrame, shards: int) -> DataFrame:
+    """``batch, context, shard, n, totals``: the bit counts that each batch of ``words`` needs.
+
+    ``words`` holds ``batch, h, word, taken``. A batch sends each of its distinct entries
+    once to the shard of the entry's context, with its count over the ``taken`` words;
+    shards add up the counts and send the batches their totals back.
     """
-    shape = (len(bitmix.ORDERS), bitmix.SLOTS, 2)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.float32)
-        for batch in batches:
-            bitmix.count_bits(total, *_bytes_of(batch.column(0)))
-        blocks = total.reshape(-1, BLOCK)
-        some = np.flatnonzero(blocks.any(axis=1))
-        for at in range(0, len(some), 64):
-            part = some[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([blocks[i].tobytes() for i in part], pa.binary())], ["block", "data"])
-
-    def add(key, table):
-        total = np.zeros(BLOCK, np.float32)
-        for data in table.column("data"):
-            total += np.frombuffer(data.as_py(), np.float32)
-        total = np.minimum(total, 65535).astype(np.uint16)  # what comes to the driver: 24 MB
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
-
-    wide = words.select("word").coalesce(tasks)
-    wide = wide.mapInArrow(count, "block long, data binary")
-    out = np.zeros(shape, np.uint16)
-    flat = out.reshape(-1, BLOCK)
-    for row in wide.groupBy("block").applyInArrow(add, "block long, data binary").collect():
-        flat[row["block"]] = np.frombuffer(row["data"], np.uint16)
-    return out
-
-
-def mixer_of(words: DataFrame, counts) -> bitmix.Mixer:
-    """The mixer learned online from ``word`` rows (bounded by the caller), in a few tasks."""
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(key, table):
+        _, entries, taken = _batch(table)
+        rows = [], [], [], []
+        for i, keys in enumerate(entries.keys):
+            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(keys))
+            counts = entries.counts(i, taken)
+            for a, b in zip(cuts, cuts[1:]):
+                for column, value in zip(rows, (i, int(shard[a]), keys[a:b].tobytes(), bitmix.packed(counts[a:b]))):
+                    column.append(value)
+        batch = pa.array([key[0].as_py()] * len(rows[0]), pa.int64())
+        return pa.table([batch, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), _binary(rows[2]), _binary(rows[3])], ["batch", "context", "shard", "keys", "counts"])
+
+    def answer(key, table):
+        parts = [np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]]
+        counts = [bitmix.unpacked(c.as_py(), len(k)) for c, k in zip(table["counts"], parts)]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        totals = bitmix.path_totals(keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64))
+        ends = np.cumsum([len(k) for k in parts])
+        out = [bitmix.packed(totals[:, at[b - len(k) : b]]) for b, k in zip(ends, parts)]
+        n = pa.array([len(k) for k in parts], pa.int64())
+        return pa.table([table["batch"], table["context"], table["shard"], n, _binary(out)], ["batch", "context", "shard", "n", "totals"])
+
+    sent = words.groupBy("batch").applyInArrow(send, "batch long, context long, shard long, keys binary, counts binary")
+    return sent.groupBy("shard").applyInArrow(answer, "batch long, context long, shard long, n long, totals binary")
+
+
+def _batch(table: pa.Table) -> tuple[pa.Table, bitmix.Entries, np.ndarray]:
+    """(rows in the order of ``h``, their entries, whether they are ``taken``)."""
+    table = table.take(pa.array(np.argsort(table["h"].to_numpy(), kind="stable"))).combine_chunks()
+    word = table["word"].combine_chunks()
+    word = pa.concat_arrays(word.chunks) if isinstance(word, pa.ChunkedArray) else word
+    return table, bitmix.Entries(*_bytes_of(word)), table["taken"].to_numpy().astype(bool)
+
+
+def _totals_of(table: pa.Table, entries: bitmix.Entries) -> list[np.ndarray]:
+    """Rows of ``entry_totals`` of one batch, as an array for each context."""
+    rows = sorted(zip(table["context"].to_pylist(), table["shard"].to_pylist(), table["n"].to_pylist(), table["totals"].to_pylist()), key=lambda r: r[:2])
+    parts: list[list[np.ndarray]] = [[] for _ in entries.keys]
+    for context, _, n, data in rows:
+        parts[context].append(bitmix.unpacked(data, 9 * n).reshape(9, n))
+    return [np.concatenate(p, axis=1) for p in parts]
+
+
+def mixer_of(words: DataFrame, totals: DataFrame) -> bitmix.Mixer:
+    """The mixer learned online from all ``taken`` words, batch by batch, and merged by sums."""
+
+    def learn(left, right):
+        _, entries, taken = _batch(left)
         mixer = bitmix.Mixer()
-        for batch in batches:
-            bitmix.learn(mixer, counts.value, *_bytes_of(batch.column(0)))
-        cols = [mixer.words], [mixer.weights.tobytes()], [mixer.seen.tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["words", "weights", "seen"])
+        entries.learn(mixer, _totals_of(right, entries), taken)
+        flat = np.concatenate([[mixer.words], (mixer.weights * mixer.words).ravel(), mixer.seen.ravel()])
+        some = np.flatnonzero(flat)
+        return pa.table({"cell": pa.array(some, pa.int64()), "value": pa.array(flat[some])})
 
-    rows = words.select("word").coalesce(4).mapInArrow(learn, "words long, weights binary, seen binary").collect()
+    cells = words.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(learn, "cell long, value double")
     blank = bitmix.Mixer()
-    back = lambda b, like: np.frombuffer(b, like.dtype).reshape(like.shape)
-    return bitmix.merged([bitmix.Mixer(weights=back(r["weights"], blank.weights), seen=back(r["seen"], blank.seen), words=r["words"]) for r in rows])
+    flat = np.zeros(1 + blank.weights.size + blank.seen.size)
+    for r in cells.groupBy("cell").agg(F.sum("value").alias("value")).collect():  # as many rows as a mixer has numbers
+        flat[r["cell"]] = r["value"]
+    if not flat[0]:
+        return blank
+    weights, seen = np.split(flat[1:], [blank.weights.size])
+    return bitmix.Mixer(weights=(weights / flat[0]).reshape(blank.weights.shape), seen=seen.reshape(blank.seen.shape), words=int(flat[0]))
 
 
-def spelled(vocabulary: DataFrame, model) -> DataFrame:
+def spelled(vocabulary: DataFrame, totals: DataFrame, mixer: bitmix.Mixer) -> DataFrame:
     """``vocabulary`` with ``bits10``: log10 of the probability that bit mixing gives the word."""
+    drop = ["batch", "word", "taken"]
+    scorer = bitmix.Scorer(mixer)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index("word")
-            p = model.value.log10_probabilities(*_bytes_of(batch.column(at)))
-            cols = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(p)], [*names, "bits10"])
+    def spell(left, right):
+        table, entries, _ = _batch(left)
+        return table.drop_columns(drop).append_column("bits10", pa.array(entries.log10_probabilities(_totals_of(right, entries), scorer)))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vocabulary.schema if f.name != "word")
-    return vocabulary.mapInArrow(spell, f"{fields}, bits10 double")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vocabulary.schema if f.name not in drop)
+    return vocabulary.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(spell, f"{fields}, bits10 double")
 
 
 def _added(docs: DataFrame, table, classes: int) -> DataFrame:
@@ -228,23 +255,20 @@ def scored(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns],
         *[F.count_if(F.col(c) > 0).alias("v" + c) for c in columns],
         F.count_if(count > 0).alias("v"),
+        F.count(F.lit(1)).alias("_all"),
         *[F.coalesce(F.sum(F.when(F.length("word") == 0, F.col(c))), F.lit(0)).alias("d" + c) for c in columns],
     ).first()
     total, distinct = sum(facts[c] for c in columns), facts["v"]
     k = [max(1, facts["v" + c]) for c in columns]
     docs_all = sum(facts["d" + c] for c in columns)
 
-    learned = vocabulary.filter(count > 0)
-    counts = bit_counts(learned, max(1, -(-distinct // WORDS_PER_TASK)))
-    seen = spark.sparkContext.broadcast(counts)
-    # h is a hash: a stretch of its range is a sample that reruns agree on
-    share = min(1.0, MIX_WORDS / max(1, distinct))
-    mixer = mixer_of(learned.filter(F.col("h") / float(1 << 63) < F.lit(2 * share - 1)), seen)
-    model = spark.sparkContext.broadcast(bitmix.model_of(counts, mixer))
-    del counts
-    seen.destroy()
+    batches, shards = -(-facts["_all"] // WORDS_PER_BATCH) or 1, facts["_all"] // WORDS_PER_SHARD + 1
+    vocabulary = vocabulary.withColumns({"batch": F.pmod("h", F.lit(batches)), "taken": count > 0})
+    wanted = vocabulary.select("batch", "h", "word", "taken")
+    totals = written(entry_totals(wanted, shards), "totals")
+    mixer = mixer_of(wanted, totals)
     base_of = lambda c: F.log10((c + 1) / F.lit(float(total + distinct + 1)))
-    words = spelled(vocabulary, model).select(
+    words = spelled(vocabulary, totals, mixer).select(
         "h",
         count.alias("c"),
         base_of(count).alias("base"),
@@ -254,7 +278,6 @@ def scored(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         ],
     )
     words = written(words, "words")
-    model.destroy()
 
     level = F.floor(F.log2(F.col("c") + 1) * 4).cast("int")
     left, least = TOP_WORDS, 1 << 30
