@@ -469,3 +469,12 @@ def test_bit_counts_keep_their_ratio(spark):
                 assert path[k] == sum(n for b, n in counts.items() if b >> (8 - k) == byte >> (8 - k) and b >> (7 - k) != byte >> (7 - k))
     assert sum(start.values()) > 65_535
     assert (bitmix.unpacked(bitmix.packed(np.array([0, 254, 255, 1 << 40])), 4) == [0, 254, 255, 1 << 40]).all()
+
+
+def test_mixer_learns_from_all_words(spark):
+    """Every word that is taken teaches the mixer, also beyond 131,072 of them."""
+    words = spark.range(150_000).selectExpr("id % 3 as batch", "id as h", "cast(concat('w', id) as binary) as word", "id % 15 != 0 as taken")
+    mixer = lmscore.mixer_of(words, lmscore.entry_totals(words, 2))
+    assert mixer.words == 140_000
+    bits = 8 * sum(len(f"w{i}") + 1 for i in range(150_000) if i % 15)
+    assert mixer.seen.sum() == bits and np.isfinite(mixer.weights).all()
