@@ -478,3 +478,11 @@ def test_mixer_learns_from_all_words(spark):
     assert mixer.words == 140_000
     bits = 8 * sum(len(f"w{i}") + 1 for i in range(150_000) if i % 15)
     assert mixer.seen.sum() == bits and np.isfinite(mixer.weights).all()
+
+
+def test_verdict_is_free_of_the_number_of_hosts(spark):
+    """A mostly blocked host blocks its unjudged page, among 3,000 as among three."""
+    df = spark.range(9_000).selectExpr("id as page_id", "concat('http://h', id div 3, '.net', if(id % 3 = 0, '', '/')) as url", "cast(null as string) as html")
+    for n in (9, 9_000):
+        got = urlgraph.filtered(df.filter(f"page_id < {n}")).filter("rule is null").groupBy("verdict").count().collect()
+        assert [tuple(r) for r in got] == [("block", n // 3)]

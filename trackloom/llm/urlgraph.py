@@ -4,7 +4,8 @@ Host edges are the absolute links (``href``/``src``) and mail addresses of the p
 summed per pair of hosts. Trust spreads along edges by personalised PageRank from hosts
 with allowed pages; distrust spreads against them from hosts most of whose pages are blocked. A page
 that no rule judges takes the verdict of its host: block where distrust exceeds trust by
-more than the threshold.
+more than the threshold's share of both. Scores are shares of a walk and shrink as hosts are
+added; their ratio does not, so the verdict is free of the number of hosts.
 
 Both walks run in one frame keyed by (walk, host); edges hold each host's share of its
 out- or in-weight. A round is one join and one summed shuffle; every few rounds the
@@ -117,7 +118,7 @@ def filtered(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html"
     if scores.count() <= BROADCAST_HOSTS:  # bounded by the check; else a shuffle join
         scores = F.broadcast(scores)
     out = df.drop("_html").join(scores, "_host", "left").fillna(0.0, ["trust", "distrust"])
-    own = F.when(F.col("distrust") - F.col("trust") > THRESHOLD, "block").otherwise("allow")
+    own = F.when(F.col("distrust") - F.col("trust") > THRESHOLD * (F.col("distrust") + F.col("trust")), "block").otherwise("allow")
     return out.select(
         F.col("_id").alias("page_id"),
         F.col("_host").alias("host"),
