@@ -203,3 +203,21 @@ def test_page_past_the_end_keeps_its_total(spark):
     df = spark.range(7)
     assert views.page(df, [F.col("id")], 3, 6).first()["total_count"] == 7
     assert views.page(df, [F.col("id")], 3, 3).first()["has_more"] is True
+
+
+def test_work_of_one_run_is_split(spark, tmp_path):
+    """A run's manifest goes to several tasks; state documents grow with the tracks."""
+    from trackloom.plans import roundtrips
+
+    rows = spark.range(3000).selectExpr("'run-1' as run_id", "id div 3 as track_id", "id % 3 as segment_idx", "concat('u', id) as artifact_uri")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.merge_manifest(rows, str(tmp_path / "m"))
+        sinks.merge_manifest(rows, str(tmp_path / "m"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "m" / "run_id=run-1").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 3000
+    docs = roundtrips.state_documents(rows.withColumn("silent_flag", F.lit(True))).collect()
+    assert len(docs) == 1000 and all(len(r["segments"]) == 3 for r in docs)

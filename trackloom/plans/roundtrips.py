@@ -438,7 +438,7 @@ queries.QUERIES["snk_file_inventory"] = queries.QUERIES["src_artifacts"]
 @query("set_bundle_files", "SELECT CAST(0 AS BIGINT) AS missing, CAST(1 AS BIGINT) AS unexpected")
 def _(s, d):
     path = shared(s, "bundle")
-    T(s, d).coalesce(1).write.parquet(f"{path}/tracks")
+    T(s, d).write.parquet(f"{path}/tracks")
     found = readers.file_names(s, path).select(F.element_at(F.split("path", "/"), -2).alias("name")).distinct()
     want = s.createDataFrame([("other",)], "name string").filter("false")
     sides = reconcile.key_set_equal(want, found, ["name"])
@@ -466,12 +466,16 @@ STATE_SQL = with_tables("features") + """, k AS (SELECT run_id, track_id, segmen
   SELECT run_id, count(*) AS segments, count(*) FILTER (WHERE silent_flag) AS silent_segments, round(avg(CASE WHEN silent_flag THEN 1.0 ELSE 0.0 END), 6) AS silent_ratio FROM k GROUP BY 1"""
 
 
+def state_documents(features: DataFrame) -> DataFrame:
+    """(run_id, segments): one document per track of a run."""
+    k = features.groupBy("run_id", "track_id", "segment_idx").agg(F.max("silent_flag").alias("silent_flag"))
+    return k.groupBy("run_id", "track_id").agg(F.collect_list(F.struct("track_id", "segment_idx", "silent_flag")).alias("segments")).select("run_id", "segments")
+
+
 def stored_state(s: SparkSession, d: str) -> DataFrame:
-    """State documents, one per run and hundredth of its tracks, written and read again."""
+    """State documents written and read again."""
     path = shared(s, "state")
-    k = FE(s, d).groupBy("run_id", "track_id", "segment_idx").agg(F.max("silent_flag").alias("silent_flag"))
-    docs = k.groupBy("run_id", F.expr("track_id % 100")).agg(F.collect_list(F.struct("track_id", "segment_idx", "silent_flag")).alias("segments"))
-    docs.select(F.to_json(F.struct("run_id", "segments")).alias("value")).write.text(path)
+    state_documents(FE(s, d)).select(F.to_json(F.struct("run_id", "segments")).alias("value")).write.text(path)
     rows = s.read.schema(readers.STATE).json(path)
     return rows.select("run_id", F.explode("segments").alias("s")).select("run_id", "s.*")
 

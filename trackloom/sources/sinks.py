@@ -100,10 +100,10 @@ def upsert_checkpoints(records: DataFrame, path: str) -> None:
 
 
 def merge_manifest(batch: DataFrame, path: str) -> None:
-    """Old and new manifest rows, the last of each key, in key order inside a run."""
+    """Old and new manifest rows, the last of each key, in key order inside a file; a run's files split its keys."""
     keys = ["run_id", "track_id", "segment_idx"]
     out = merged(_touched(batch, path, "run_id"), batch, keys, "artifact_uri")
-    overwrite(out.repartition("run_id").sortWithinPartitions(*keys), path)
+    overwrite(out.repartitionByRange(*keys).sortWithinPartitions(*keys), path)
 
 
 def purge_run(spark: SparkSession, path: str, run_id: str) -> bool:
