@@ -2,6 +2,10 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -40,3 +44,17 @@ def test_query_equals_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_training_data_part(tmp_path, pipeline):
+    """Both llm folders may be absent, with or without corpus_pipeline.py."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "trackloom", tmp_path / "trackloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if pipeline:
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), 'pipeline' in q, any(k.startswith('op') for k in q), set(s) <= set(q))"
+    run = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    n, *rest = run.stdout.split()
+    assert int(n) > 190 and rest == ["False", "False", "True"]
