@@ -389,7 +389,7 @@ def test_toxicity(spark):
         labels.append((i, int(toxic)))
     rows += [(5000, None), (5001, ""), (None, "idiot"), (5002, "you idiot")]
     labels += [(5000, None), (None, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("TEXT", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("TEXT"), F.lit(1).alias("score"))
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
     got = {r["doc_id"]: r for r in toxicity.digest(docs, lab).collect()}
     held = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 5 == 0]

@@ -102,7 +102,8 @@ def _fit(sample: DataFrame, bits: int, rounds: int) -> DataFrame:
         slots = pa.array(np.append(at, -1), pa.int64())
         yield pa.RecordBatch.from_arrays([slots, pa.array(np.append(w[at], model.intercept()), pa.float64())], ["slot", "weight"])
 
-    return sample.coalesce(1).mapInArrow(train, "slot long, weight double")
+    # an exchange, so that the scan and the join that make the sample keep their own tasks
+    return sample.repartition(1).mapInArrow(train, "slot long, weight double")
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> DataFrame:
