@@ -405,35 +405,187 @@ def test_toxicity(spark):
     assert toxicity.digest(docs.limit(0), lab).count() == 0
 
 
+def held7(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
 @pytest.mark.parametrize("top", [200_000, 50])
 def test_lm_base_score(docs, top, monkeypatch):
     monkeypatch.setattr(lmscore, "TOP_WORDS", top)  # 50: most words go by the join
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     toks = [[*words(az(t or "")), None] for _, t, *_ in ROWS]
-    c = Counter(w for (i, *_), ws in zip(ROWS, toks) if not held(i) for w in ws)
+    c = Counter(w for (i, *_), ws in zip(ROWS, toks) if not held7(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    want = sorted((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws), 5)) for (i, *_), ws in zip(ROWS, toks))
+    want = sorted((str(i), held7(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws), 5)) for (i, *_), ws in zip(ROWS, toks))
     rows = lmscore.digest(docs).collect()
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in rows) == want
     assert all(r["score"] < 0 and np.isfinite(r["score"]) for r in rows)
 
 
+def plain_windows(text):
+    data = b"\xff" * 6 + " ".join(words(az(text or ""))).encode() + b"\xff"
+    return [data[i - 6 : i + 1] for i in range(6, len(data))]
+
+
+class PlainCounts:
+    """Bit counts by context in dictionaries, one text and one byte after the other."""
+
+    def __init__(self, texts):
+        self.n = Counter()
+        for t in texts:
+            for w in plain_windows(t):
+                for order in range(1, 7):
+                    self.n[w[-1 - order : -1], None] += 1
+                    for k in range(1, 9):
+                        self.n[w[-1 - order : -1], k, w[-1] >> (8 - k)] += 1
+
+    def pair(self, ctx, byte, k):
+        """(on the side of the byte's bit k, on the other side) in a context."""
+        before = self.n[ctx, k, byte >> (8 - k)] if k else self.n[ctx, None]
+        own = self.n[ctx, k + 1, byte >> (7 - k)]
+        return own, before - own
+
+
+def plain_bit(counts, mixer, scorer, w, k, out=0):
+    """(bit, node, log odds by order, gate) from the dictionaries."""
+    byte, x, level = w[-1], [], {}
+    bit = byte >> (7 - k) & 1
+    for order in range(1, 7):
+        own, other = counts.pair(w[-1 - order : -1], byte, k)
+        own = max(own - out, 0)
+        x.append((2 * bit - 1) * np.log((own + 0.3) / (other + 0.3)))
+        level[order] = min(7, int(np.log2(own + other + 1)))
+    return bit, ((1 << k) | byte >> (8 - k)) & 255, x, level[6] * 8 + level[3]
+
+
+@pytest.mark.parametrize("top", [2_000_000, 300])
+def test_lm_score_by_plain_mixing(docs, top, monkeypatch):
+    """Every text's score, bit by bit, with the learned mixer and counts kept in dictionaries."""
+    monkeypatch.setattr(lmscore, "TOP_WINDOWS", top)  # 300: most windows go by the join
+    monkeypatch.setattr(lmscore, "BYTES_PER_SHARD", 40_000)  # several shards
+    kept, learn = [], lmscore.mixer_of
+    monkeypatch.setattr(lmscore, "mixer_of", lambda *a: kept.append(learn(*a)) or kept[-1])
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lmscore.digest(docs).collect())
+    counts = PlainCounts(r[1] for r in ROWS if not held7(r[0]))
+    mixer, scorer, known = kept[0], bitmix.Scorer(kept[0]), {}
+    assert mixer.bytes == sum(len(plain_windows(r[1])) for r in ROWS if not held7(r[0]))
+
+    def value(w):
+        if w not in known:
+            total = 0.0
+            for k in range(8):
+                bit, node, x, gate = plain_bit(counts, mixer, scorer, w, k)
+                z = sum(mixer.weights[i][gate] * x[i] for i in range(6))
+                z = (z + scorer.refine[node, min(max(int(np.rint(z * 2)) + 16, 0), 32)]) / 2
+                z = min(max(z if bit else -z, -16), 16)
+                total -= np.log1p(np.exp(-z))
+            known[w] = total / np.log(10)
+        return known[w]
+
+    want = sorted((str(i), len(words(t)) + 1, sum(map(value, plain_windows(t)))) for i, t, *_ in ROWS)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    # single precision: a log odds at the edge of a bucket of the last table may fall to either side
+    assert np.median([abs(g[2] - w[2]) / abs(w[2]) for g, w in zip(got, want)]) < 1e-4
+    assert all(g[2] == pytest.approx(w[2], rel=2e-3) for g, w in zip(got, want))
+    if top > 300:
+        again = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lmscore.digest(docs.repartition(7)).collect())
+        assert again == got  # to the last digit, whatever the partitions
+
+
+def test_lm_scores_see_word_order(spark):
+    r = random.Random(8)
+    poem = "of arms and the man he sang who forced by fate first came from the shores of troy".split()
+    rows = [(i, " ".join(poem)) for i in range(40)] + [(100 + i, prose(60, r)) for i in range(60)]
+    mixed_up = [(1000, " ".join(poem)), (1001, " ".join(sorted(poem)))]
+    got = {x["doc_id"]: x for x in lmscore.digest(spark.createDataFrame(rows + mixed_up, "doc_id long, text string")).collect()}
+    assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+    assert got[1000]["score"] > got[1001]["score"] + 5
+
+
+def _shard(texts, held=()):
+    tally = bitmix.Tally()
+    tally.add(bitmix.windows(pa.array(texts))[0], 1)
+    tally.add(bitmix.windows(pa.array(list(held), pa.string()))[0], 0)
+    keys, counts = tally.totals()
+    some, at = np.unique(keys & np.uint64(0xFFFFFF), return_inverse=True)
+    return keys, counts, bitmix.Low(some, np.bincount(at, counts, len(some)).astype(np.int64))
+
+
+def test_windows_and_keys():
+    texts = ["Ab  cd\n e", None, "", " \t", "x", "  é É z  ", "  lead"]
+    w, n = bitmix.windows(pa.array(texts))
+    want = [[int.from_bytes(x) for x in plain_windows(t)] for t in texts]
+    assert w.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+    keys, counts, _ = _shard(texts * 3)
+    assert (bitmix.unpacked_keys(bitmix.packed_keys(keys), len(keys)) == keys).all()
+    big = np.array([0, 254, 1 << 40, 70_000])
+    assert (bitmix.unpacked(bitmix.packed(big), 4) == big).all()
+    assert dict(zip(keys.tolist(), counts.tolist())) == Counter(sum(want, []) * 3)
+    table = lmscore.Lookup(keys, counts, np.arange(len(keys)))
+    found, known, value = table.find(np.append(keys, [np.uint64(0), np.uint64(5)]))
+    assert not found[-2:].any() and (value[:-2][found[:-2]] == np.flatnonzero(found[:-2])).all() and found.mean() > 0.8 and (known == found).all()
+
+
 def test_bit_probabilities_add_up():
-    """Over all one-byte continuations of a beginning, the probabilities are those of the beginning."""
+    """Over all bytes that may follow a context, the probabilities add up to one."""
     r = np.random.default_rng(1)
-    texts = ["".join(map(chr, r.integers(97, 101, r.integers(1, 6)))) for _ in range(500)]
-    raw = lambda ws: (np.frombuffer(b"".join(ws), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in ws])[:-1]]).astype(int), np.array([len(w) for w in ws]))
-    counts = np.zeros((len(bitmix.ORDERS), bitmix.SLOTS, 2), np.float32)
-    train = raw([t.encode() for t in texts])
-    bitmix.count_bits(counts, *train)
+    texts = [" ".join("".join(map(chr, r.integers(97, 101, r.integers(1, 6)))) for _ in range(30)) for _ in range(60)]
+    keys, counts, _ = _shard(texts)
+    context = keys[len(keys) // 2] & ~np.uint64(255)
+    every = np.sort(np.append(keys, np.setdiff1d(context | np.arange(256, dtype=np.uint64), keys)))
+    n = np.zeros(len(every), np.int64)
+    n[np.searchsorted(every, keys)] = counts
+    some, at = np.unique(every & np.uint64(0xFFFFFF), return_inverse=True)
+    low, mixer = bitmix.Low(some, np.bincount(at, n, len(some)).astype(np.int64)), bitmix.Mixer()
+    shards = list(bitmix.blocks(every, n, low))
+    for _, block in shards:
+        block.learn(mixer)
+    p = np.zeros(len(every))
+    for at, block in shards:
+        p[at] = 10 ** block.log10_probabilities(bitmix.Scorer(mixer))
+    mine = (every & ~np.uint64(255)) == context
+    assert mine.sum() == 256 and p[mine].sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_bit_counts_are_exact(monkeypatch):
+    """No caps, slots or collisions: the counts of every bit are those of the dictionaries."""
+    texts = [" ".join(rnd.choice(VOCAB) for _ in range(50)) for _ in range(40)] + ["the of " * 40_000]
+    monkeypatch.setattr(bitmix, "BLOCK", 300)
+    keys, counts, low = _shard(texts, ["never seen zebra"])
+    plain = PlainCounts(texts)
+    assert counts.max() > 30_000 and plain.n[b"e", None] > 40_000
+    seen = 0
+    for at, block in bitmix.blocks(keys, counts, low):
+        seen += len(at)
+        for j in range(0, len(at), 7):
+            w = int(keys[at[j]]).to_bytes(7)
+            for i, order in enumerate(bitmix.ORDERS):
+                own, other = block.sides[i]
+                for k in range(8):
+                    assert (own[k][block.at[i][j]], other[k][block.at[i][j]]) == plain.pair(w[-1 - order : -1], w[-1], k)
+    assert seen == len(keys)
+
+
+def test_mixer_learns_as_a_plain_loop():
+    """Weights after one online pass, each window left out of the counts that it sees."""
+    texts = [prose(12, random.Random(4)), prose(9, random.Random(6))]
+    keys, counts, low = _shard(texts)
     mixer = bitmix.Mixer()
-    bitmix.learn(mixer, counts, *train)
-    model = bitmix.model_of(counts, bitmix.merged([mixer]))
-    one_byte = [bytes([b]) for b in range(256) if b != 32]
-    p = 10 ** model.log10_probabilities(*raw(one_byte + [b""]))
-    longer = 10 ** model.log10_probabilities(*raw([bytes([97, b]) for b in range(256) if b != 32]))
-    assert p.sum() < 1 and longer.sum() + p[one_byte.index(b"a")] < 1.0001
-    assert 10 ** model.log10_probabilities(*raw([b"abc", b"zzz"])) @ [1, -1] > 0
+    for _, block in bitmix.blocks(keys, counts, low):
+        block.learn(mixer)
+    assert len(keys) < bitmix.CHUNK  # one step a bit
+    plain, weights, squares = PlainCounts(texts), np.full((6, 64), 0.3), np.full((6, 64), 1e-4)
+    for k in range(8):
+        pull, total = np.zeros((6, 64)), np.zeros(64)
+        for key, n in zip(keys, counts):
+            bit, _, x, gate = plain_bit(plain, None, None, int(key).to_bytes(7), k, 1)
+            z = sum(weights[i][gate] * x[i] for i in range(6))
+            total[gate] += n
+            pull[:, gate] += n * (bit - 1 / (1 + np.exp(-z))) * np.array(x)
+        g = pull / (total + 1e-9)
+        squares += g * g
+        weights += bitmix.RATE * g / np.sqrt(squares)
+    assert np.allclose(mixer.weights, weights, atol=1e-4) and mixer.bytes == counts.sum()
+    assert mixer.seen.sum() == 8 * counts.sum()
 
 
 def test_word_hashes():
@@ -445,41 +597,6 @@ def test_word_hashes():
     assert doc.tolist() == [0, 3, 4] and g[0] == g[1] != g[2]
 
 
-def test_bit_counts_keep_their_ratio(spark):
-    """Bit counts have no cap, slots or collisions: totals are those of a count by prefix."""
-    r = np.random.default_rng(4)
-    texts = sorted({bytes(r.integers(97, 107, r.integers(5, 8), dtype=np.uint8)) for _ in range(100_000)})
-    assert len(texts) > 90_000  # more words than 16 bits count
-    df = spark.createDataFrame([(i % 3, i, bytearray(t), i % 7 != 0) for i, t in enumerate(texts)], "batch long, h long, word binary, taken boolean")
-    totals = lmscore.entry_totals(df, 5).filter("batch = 1").toArrow()
-    mine = [t for i, t in enumerate(texts) if i % 3 == 1]
-    _, entries, _ = lmscore._batch(df.filter("batch = 1").toArrow())
-    got = lmscore._totals_of(totals, entries)
-    learned = [t for i, t in enumerate(texts) if i % 7 != 0]
-    whole = len(ORDERS) - 1 if (ORDERS := bitmix.ORDERS) else 0
-    start = Counter(t[0] for t in learned)
-    follows = Counter((t[:3], t[3]) for t in learned)
-    at = np.cumsum([0, *[len(t) + 1 for t in mine]])
-    for i in range(0, len(mine), 997):
-        for place, counts in ((0, start), (3, {b: follows[mine[i][:3], b] for b in range(256)})):
-            path = got[whole][:, entries.at[whole][at[i] + place]]
-            byte = mine[i][place]
-            assert path[8] == counts[byte]
-            for k in range(8):
-                assert path[k] == sum(n for b, n in counts.items() if b >> (8 - k) == byte >> (8 - k) and b >> (7 - k) != byte >> (7 - k))
-    assert sum(start.values()) > 65_535
-    assert (bitmix.unpacked(bitmix.packed(np.array([0, 254, 255, 1 << 40])), 4) == [0, 254, 255, 1 << 40]).all()
-
-
-def test_mixer_learns_from_all_words(spark):
-    """Every word that is taken teaches the mixer, also beyond 131,072 of them."""
-    words = spark.range(150_000).selectExpr("id % 3 as batch", "id as h", "cast(concat('w', id) as binary) as word", "id % 15 != 0 as taken")
-    mixer = lmscore.mixer_of(words, lmscore.entry_totals(words, 2))
-    assert mixer.words == 140_000
-    bits = 8 * sum(len(f"w{i}") + 1 for i in range(150_000) if i % 15)
-    assert mixer.seen.sum() == bits and np.isfinite(mixer.weights).all()
-
-
 def test_verdict_is_free_of_the_number_of_hosts(spark):
     """A mostly blocked host blocks its unjudged page, among 3,000 as among three."""
     df = spark.range(9_000).selectExpr("id as page_id", "concat('http://h', id div 3, '.net', if(id % 3 = 0, '', '/')) as url", "cast(null as string) as html")

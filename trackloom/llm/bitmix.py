@@ -1,94 +1,178 @@
-"""Online logistic context mixing over the bits of words.
-
-A word is its bytes and a space. Each bit has one predictor per context: the last one to
-six bytes of the word, or all of them, with the bits of the byte so far. ``Entries`` holds
-exact counts by context and next byte; ``count_bits`` and ``Model`` hash them into slots of
-one array, for a few words in memory. A gated mixer adds the predictors' log odds with weights
-from the set that the gate picks (how often the whole beginning of the word, and its last
-three bytes, were seen), trained online. A last table refines the mixed probability by
-what came true at such probabilities before.
-
-Bits depend on the word alone, so a distinct word is learned and scored once, whatever its
-count. While the mixer learns, one occurrence of the word is left out of the counts it
-sees: a word seen once must be predicted from its parts, as a new word will be.
+"""Online logistic context mixing over the bits of running text.
+
+A text is a row of bytes: its words with one space between them, A-Z lowered, then ``END``.
+Each bit has one predictor per order: the log odds that the last one to six bytes before its
+byte, together with the bits of the byte so far, give it by exact counts over the training
+texts. Contexts run on across words. A window, the six bytes and the byte that follows, is
+one 64-bit key, so contexts are hashed for dealing them out but never share a counter.
+
+A mixer adds the predictors' log odds with weights from the set that a gate picks (how often
+the last six bytes, and the last three, were seen), trained online. A last table refines
+the mixed probability by what came true at such probabilities before.
+
+A bit's probability depends on its window alone, so a distinct window is learned and scored
+once, with the weight of its occurrences. While the mixer learns, one occurrence is left
+out of the counts it sees: a window seen once must be predicted as a new one will be.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
-from trackloom.llm.hashing import MULT, mix
+from trackloom.llm import hashing
 
-ORDERS = (1, 2, 3, 4, 6, 0)  # bytes of context; 0: the whole word so far
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
+ORDERS = (1, 2, 3, 4, 5, 6)  # bytes of context
+MOST = ORDERS[-1]
+#: Orders up to this one have at most 256**3 entries in all and are known to every task.
+LOW = 2
+#: Windows that agree in so many last bytes of their contexts meet in one shard.
+JOINT = 3
+END = 0xFF  # no byte of UTF-8
 PRIOR = 0.3
 LEVELS = 8  # of a context's count, for the gate
 GATES = LEVELS * LEVELS
 INPUTS = len(ORDERS)
-GATE_ORDER = 2  # index of the order that gates together with the whole word so far
+GATE_ORDERS = (MOST, JOINT)
 BUCKETS = 33
-CHUNK = 2048
+CHUNK = 4096
+#: Windows of a block: what is in memory at once, but for a context that has more.
+BLOCK = 65_536
 RATE = 0.06
-END = 32
 
 
-def _positions(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of the words with a space after each, word number and place of each byte)."""
-    full = size + 1
-    ends = np.cumsum(full)
-    word = np.repeat(np.arange(len(size)), full)
-    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - full, full)
-    at = np.minimum(np.repeat(start, full) + place, max(len(data) - 1, 0))
-    out = data[at].astype(np.uint64) if len(data) else np.zeros(len(at), np.uint64)
-    out[ends - 1] = END
-    return out, word, place
+def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts with ``MOST`` ends before each and one after, length of each with its last end)."""
+    raw, offsets = hashing.text_bytes(texts)
+    data = hashing._LOWER[raw]
+    inside = ~hashing.SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = offsets[:-1][offsets[:-1] < len(data)]
+    first[edge] |= inside[edge]
+    upto = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    letters, words = np.diff(upto(inside)[offsets]), np.diff(upto(first)[offsets])
+    size = letters + np.maximum(words, 1)
+    begin = np.cumsum(size + MOST) - size  # of each text in the stream
+    out = np.full(int(begin[-1] + size[-1]) if len(size) else 0, 32, np.uint8)
+    where = np.flatnonzero(inside)
+    number = np.cumsum(first)[where] - 1  # of the word
+    doc = np.repeat(np.arange(len(size)), letters)
+    before = np.cumsum(words) - words  # words of earlier texts
+    done = np.cumsum(letters) - letters
+    out[begin[doc] + (np.arange(len(where)) - done[doc]) + (number - before[doc])] = data[where]
+    out[begin + size - 1] = END
+    for k in range(1, MOST + 1):
+        out[begin - k] = END
+    return out, size
+
+
+def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of all texts in order, number of windows of each text)."""
+    data, size = stream(texts)
+    if not len(data):
+        return np.zeros(0, np.uint64), size
+    w = np.zeros(len(data) - MOST, np.uint64)
+    for back in range(MOST, -1, -1):
+        w <<= np.uint64(8)
+        w |= data[MOST - back : len(data) - back]
+    keep = np.ones(len(w), bool)  # places where a text's own ends stand before it
+    cuts = np.cumsum(size + MOST)[:-1]
+    for k in range(MOST):
+        keep[cuts - MOST + k] = False
+    return w[keep], size
+
+
+def joint(keys: np.ndarray) -> np.ndarray:
+    """Hash of the last ``JOINT`` bytes of each window's context."""
+    return hashing.mix((keys >> np.uint64(8)) & np.uint64((1 << 8 * JOINT) - 1))
+
+
+def firsts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Places where a run of equal keys begins."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))[: len(sorted_keys)]
+
+
+class Tally:
+    """Distinct keys in order with their counts, added up stretch by stretch."""
+
+    def __init__(self, most: int = 2_000_000):
+        self.most, self._parts, self._n = most, [], 0
+
+    def add(self, keys: np.ndarray, weight: int) -> None:
+        """Count each of ``keys`` ``weight`` times (0: it is known, without a count)."""
+        keys = np.sort(keys)
+        first = firsts(keys)
+        self.merge(keys[first], weight * np.diff(np.append(first, len(keys))))
+
+    def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self._parts.append((keys, counts))
+        self._n += len(keys)
+
+    def full(self) -> bool:
+        if self._n > 2 * self.most:
+            self._parts = [self.totals()]
+            self._n = len(self._parts[0][0])
+        return self._n > self.most and len(self._parts) == 1
+
+    def totals(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self._parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(self._parts) == 1:
+            return self._parts[0]
+        keys = np.concatenate([k for k, _ in self._parts])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = firsts(keys)
+        counts = np.concatenate([c for _, c in self._parts])[order]
+        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-class Bits:
-    """Slots of all bits of some words: ``slots(k)`` for the k-th bit of every byte."""
+def packed(n: np.ndarray) -> bytes:
+    """64-bit numbers, their bytes in planes, squeezed."""
+    planes = np.ascontiguousarray(n).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
-        self.byte, self.word, self.place = _positions(data, start, size)
-        n = len(self.byte)
-        self.context = []
-        for order in ORDERS:
-            if order:
-                h = np.zeros(n, np.uint64)
-                for back in range(1, order + 1):
-                    prev = np.zeros(n, np.uint64)
-                    prev[back:] = self.byte[:-back] if n > back else prev[back:]
-                    prev[self.place < back] = END
-                    h = (h << np.uint64(8)) | prev
-            else:
-                # sums of mixed (byte, place) pairs before the position, inside the word
-                term = mix(self.byte * MULT + self.place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                total = np.cumsum(term, dtype=np.uint64) - term
-                first = np.flatnonzero(self.place == 0)
-                h = total - np.repeat(total[first], np.diff(np.append(first, n))) + self.place.astype(np.uint64)
-            self.context.append(mix(h * np.uint64(8) + np.uint64(order + 1)))
 
-    def bit(self, k: int) -> np.ndarray:
-        return ((self.byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+def unpacked(data: bytes, n: int, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
 
-    def node(self, k: int) -> np.ndarray:
-        return ((1 << k) | (self.byte >> np.uint64(8 - k)).astype(np.int64)) & 255
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys in ascending order, by their steps."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
 
-    def slots(self, k: int) -> list[np.ndarray]:
-        node = ((np.uint64(1) << np.uint64(k)) | (self.byte >> np.uint64(8 - k))) * np.uint64(0x9FB21C651E98DF25)
-        shift = np.uint64(64 - SLOT_BITS)
-        return [((c ^ node) * MULT >> shift).astype(np.int64) for c in self.context]
 
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n, np.uint64), dtype=np.uint64)
 
-def count_bits(counts: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-    """Add the words' bits, once each, to ``counts`` (contexts x slots x 2)."""
-    b = Bits(data, start, size)
-    for k in range(8):
-        bit = b.bit(k)
-        for i, slot in enumerate(b.slots(k)):
-            counts[i] += np.bincount(2 * slot + bit, minlength=2 * SLOTS).reshape(-1, 2).astype(counts.dtype)
+
+def path_totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(9 x keys) for sorted distinct ``keys`` with their ``counts``, all keys of a context included.
+
+    Row 8 counts the key, row k < 8 what left the key's path at bit k.
+    """
+    out = np.empty((9, len(keys)), np.int64)
+    if not len(keys):
+        return out
+    inner = out[8] = counts
+    for k in range(7, -1, -1):
+        prefix = keys >> np.uint64(8 - k)
+        first = firsts(prefix)
+        whole = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))))
+        out[k] = whole - inner
+        inner = whole
+    return out
+
+
+def _sides(totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(own, other) side of each of the eight bits by key, from ``path_totals``."""
+    whole = np.cumsum(totals[::-1], axis=0)[::-1]  # whole[k]: entries that share the first k bits
+    return whole[1:].astype(np.float32), totals[:8].astype(np.float32)
 
 
 @dataclass
@@ -98,19 +182,7 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: np.full((INPUTS, GATES), 0.3))
     squares: np.ndarray = field(default_factory=lambda: np.full((INPUTS, GATES), 1e-4))
     seen: np.ndarray = field(default_factory=lambda: np.zeros((256, BUCKETS, 2)))
-    words: int = 0
-
-
-
-def _odds(pairs: np.ndarray) -> np.ndarray:
-    """Log odds of a one from (zeros, ones)."""
-    prior = np.float32(PRIOR)
-    return np.log((pairs[..., 1] + prior) / (pairs[..., 0] + prior))
-
-
-def _level(pairs: np.ndarray) -> np.ndarray:
-    """How often a context was seen, on a logarithmic scale."""
-    return np.minimum(LEVELS - 1, np.log2(pairs[..., 0].astype(np.float32) + pairs[..., 1] + 1)).astype(np.uint8)
+    bytes: int = 0
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
@@ -121,42 +193,6 @@ def _bucket(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int64)
 
 
-def _step(mixer: Mixer, bit: np.ndarray, node: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> None:
-    """One online step over bits with the log odds ``x`` of each predictor."""
-    z = sum(mixer.weights[i][gate] * x[i] for i in range(INPUTS))
-    error = bit - _squash(z)
-    total = np.bincount(gate, minlength=GATES) + 1e-9
-    for i in range(INPUTS):
-        g = np.bincount(gate, error * x[i], GATES) / total
-        mixer.squares[i] += g * g
-        mixer.weights[i] += RATE * g / np.sqrt(mixer.squares[i])
-    mixer.seen += np.bincount((node * BUCKETS + _bucket(z)) * 2 + bit, minlength=mixer.seen.size).reshape(mixer.seen.shape)
-
-
-def learn(mixer: Mixer, counts: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-    """Online pass over words; ``counts`` holds the slots of all words, these included."""
-    for at in range(0, len(start), CHUNK):
-        part = slice(at, at + CHUNK)
-        b = Bits(data, start[part], size[part])
-        mixer.words += len(b.word) and int(b.word[-1]) + 1
-        every = np.arange(len(b.byte))
-        for k in range(8):
-            bit = b.bit(k)
-            pairs = [counts[i][s].astype(np.float32) for i, s in enumerate(b.slots(k))]
-            for p in pairs:  # the word itself is left out
-                p[every, bit] = np.maximum(p[every, bit] - 1, 0)
-            gate = _level(pairs[-1]).astype(np.int64) * LEVELS + _level(pairs[GATE_ORDER])
-            _step(mixer, bit, b.node(k), [_odds(p) for p in pairs], gate)
-
-
-def merged(mixers: list[Mixer]) -> Mixer:
-    """Weights averaged by words learned; refining counts added up."""
-    words = sum(m.words for m in mixers)
-    if not words:
-        return Mixer()
-    return Mixer(weights=sum(m.weights * (m.words / words) for m in mixers), seen=sum(m.seen for m in mixers), words=words)
-
-
 class Scorer:
     """A frozen mixer: gated weights and refining table."""
 
@@ -175,125 +211,86 @@ class Scorer:
         return -np.log1p(np.exp(-np.clip(np.where(bit == 1, z, -z), -16, 16)))
 
 
-class Model:
-    """Frozen tables for scoring words in memory: log odds and levels by slot, and the mixer."""
-
-    def __init__(self, odds: np.ndarray, levels: np.ndarray, mixer: Mixer):
-        """``odds``: contexts x slots; ``levels``: of the last context and of ``GATE_ORDER``."""
-        self.odds, self.levels, self.scorer = odds, levels, Scorer(mixer)
-
-    def log10_probabilities(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability; over all words the probabilities add up to one."""
-        out = np.zeros(len(start))
-        for at in range(0, len(start), 4 * CHUNK):
-            part = slice(at, at + 4 * CHUNK)
-            b = Bits(data, start[part], size[part])
-            total = np.zeros(len(b.byte), np.float64)
-            for k in range(8):
-                slots = b.slots(k)
-                gate = self.levels[0][slots[-1]].astype(np.int64) * LEVELS + self.levels[1][slots[GATE_ORDER]]
-                total += self.scorer.log_of(b.bit(k), b.node(k), [self.odds[i][s] for i, s in enumerate(slots)], gate)
-            out[part] = np.bincount(b.word, total, len(start[part])) / np.log(10)
-        return out
-
+class Low:
+    """Counts of the orders up to ``LOW``, over all training texts."""
 
-def model_of(counts: np.ndarray, mixer: Mixer) -> Model:
-    odds = np.empty(counts.shape[:2], np.float32)
-    for i, c in enumerate(counts):
-        odds[i] = _odds(c.astype(np.float32))
-    return Model(odds, np.stack([_level(counts[-1]), _level(counts[GATE_ORDER])]), mixer)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """``keys``: the last ``LOW`` + 1 bytes of every window, distinct and in order."""
+        self.tables = {}
+        for order in range(1, LOW + 1):
+            some, at = np.unique(keys & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            self.tables[order] = some, _sides(path_totals(some, np.bincount(at, counts, len(some)).astype(np.int64)))
 
 
-def packed(n: np.ndarray) -> bytes:
-    """Counts of any size, a byte each where they fit: small ones, then the others in order."""
-    n = n.ravel()
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype(np.int64).tobytes()
-
+class Block:
+    """Windows with all others that share the last ``JOINT`` bytes of their contexts."""
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    low = np.frombuffer(data, np.uint8, n)
-    out = low.astype(np.int64)
-    out[low == 255] = np.frombuffer(data[n:], np.int64)
-    return out
-
-
-def path_totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(9 x keys) for sorted distinct ``keys`` with their ``counts``, all keys of a context included.
-
-    Row 8 counts the key, row k < 8 what left the key's path at bit k.
-    """
-    out = np.empty((9, len(keys)), np.int64)
-    inner = out[8] = counts
-    for k in range(7, -1, -1):
-        prefix = keys >> np.uint64(8 - k)
-        first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
-        whole = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))))
-        out[k] = whole - inner
-        inner = whole
-    return out
-
-
-class Entries:
-    """Entries of a batch of words: a context and the byte that follows it, as one number.
-
-    The upper 56 bits are the hash of the context, the lower 8 the byte. Bit counts of all
-    nodes on a byte's path are sums over the entries of its context, so a table of entries
-    holds every count of every bit, without slots.
-    """
-
-    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
-        self.bits = Bits(data, start, size)
-        self.n_words = len(start)
-        self.keys, self.at = [], []
-        for c in self.bits.context:
-            keys, at = np.unique((c & ~np.uint64(255)) | self.bits.byte, return_inverse=True)
-            self.keys.append(keys)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: Low):
+        self.keys, self.counts = keys, counts
+        self.at, self.sides = [], []
+        for order in ORDERS:
+            suffix = keys & np.uint64((1 << 8 * (order + 1)) - 1)
+            if order <= LOW:
+                some, sides = low.tables[order]
+                at = np.searchsorted(some, suffix)
+            else:
+                some, at = np.unique(suffix, return_inverse=True)
+                sides = _sides(path_totals(some, np.bincount(at, counts, len(some)).astype(np.int64)))
             self.at.append(at)
-        self.bits.context = []
-
-    def counts(self, i: int, taken: np.ndarray) -> np.ndarray:
-        """Of the keys of context ``i``, over the words that are ``taken``."""
-        return np.bincount(self.at[i], taken[self.bits.word], len(self.keys[i])).astype(np.int64)
-
-    def _inputs(self, totals, part: slice, k: int, out: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-        b = self.bits
-        bit = ((b.byte[part] >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
-        node = ((1 << k) | (b.byte[part] >> np.uint64(8 - k)).astype(np.int64)) & 255
-        x, levels = [], []
+            self.sides.append(sides)
+
+    def _inputs(self, part: np.ndarray, k: int, out: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        """(bit, node, log odds of each order, gate) of bit ``k`` of the windows at ``part``."""
+        byte = self.keys[part] & np.uint64(255)
+        bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+        node = ((1 << k) | (byte >> np.uint64(8 - k)).astype(np.int64)) & 255
+        x, gate = [], 0
         sign = (2 * bit - 1).astype(np.float32)
-        for i, (own, other) in enumerate(totals):
-            at = self.at[i][part]
+        for order, at, (own, other) in zip(ORDERS, self.at, self.sides):
+            at = at[part]
             a, o = np.maximum(own[k][at] - np.float32(out), 0), other[k][at]
             x.append(sign * np.log((a + np.float32(PRIOR)) / (o + np.float32(PRIOR))))
-            if i in (GATE_ORDER, INPUTS - 1):
-                levels.append(np.minimum(LEVELS - 1, np.log2(a + o + 1)).astype(np.int64))
-        return bit, node, x, levels[1] * LEVELS + levels[0]
-
-    @staticmethod
-    def _sides(totals: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(own, other) side of each bit by key, from ``path_totals`` of each context."""
-        out = []
-        for t in totals:
-            whole = np.cumsum(t[::-1], axis=0)[::-1]  # whole[k]: entries that share the first k bits
-            out.append((whole[1:].astype(np.float32), t[:8].astype(np.float32)))
-        return out
-
-    def learn(self, mixer: Mixer, totals: list[np.ndarray], taken: np.ndarray) -> None:
-        """Online pass over the ``taken`` words, each left out of the counts it sees."""
-        totals = self._sides(totals)
-        mixer.words += int(taken.sum())
-        places = np.flatnonzero(taken[self.bits.word])
-        cuts = np.searchsorted(self.bits.word[places], np.arange(0, self.n_words + CHUNK, CHUNK))
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                for k in range(8):
-                    _step(mixer, *self._inputs(totals, places[a:b], k, 1))
-
-    def log10_probabilities(self, totals: list[np.ndarray], scorer: Scorer) -> np.ndarray:
-        totals = self._sides(totals)
-        total = np.zeros(len(self.bits.byte))
-        for at in range(0, len(total), 16 * CHUNK):
-            part = slice(at, at + 16 * CHUNK)
+            if order in GATE_ORDERS:
+                level = np.minimum(LEVELS - 1, np.log2(a + o + 1)).astype(np.int64)
+                gate = gate + level * (LEVELS if order == MOST else 1)
+        return bit, node, x, gate
+
+    def learn(self, mixer: Mixer) -> None:
+        """Online pass over the windows that have a count, in an order made from their keys."""
+        taken = np.flatnonzero(self.counts)
+        taken = taken[np.argsort(hashing.mix(self.keys[taken]), kind="stable")]
+        for start in range(0, len(taken), CHUNK):
+            part = taken[start : start + CHUNK]
+            weight = self.counts[part].astype(np.float64)
+            mixer.bytes += int(self.counts[part].sum())
+            for k in range(8):
+                bit, node, x, gate = self._inputs(part, k, 1)
+                z = sum(mixer.weights[i][gate] * x[i] for i in range(INPUTS))
+                error = (bit - _squash(z)) * weight
+                total = np.bincount(gate, weight, GATES) + 1e-9
+                for i in range(INPUTS):
+                    g = np.bincount(gate, error * x[i], GATES) / total
+                    mixer.squares[i] += g * g
+                    mixer.weights[i] += RATE * g / np.sqrt(mixer.squares[i])
+                cell = (node * BUCKETS + _bucket(z)) * 2 + bit
+                mixer.seen += np.bincount(cell, weight, mixer.seen.size).reshape(mixer.seen.shape)
+
+    def log10_probabilities(self, scorer: Scorer) -> np.ndarray:
+        """log10 of the probability of each window's last byte after the six before it."""
+        out = np.zeros(len(self.keys))
+        for start in range(0, len(out), 4 * CHUNK):
+            part = np.arange(start, min(start + 4 * CHUNK, len(out)))
             for k in range(8):
-                total[part] += scorer.log_of(*self._inputs(totals, part, k, 0))
-        return np.bincount(self.bits.word, total, self.n_words) / np.log(10)
+                out[part] += scorer.log_of(*self._inputs(part, k, 0))
+        return out / np.log(10)
+
+
+def blocks(keys: np.ndarray, counts: np.ndarray, low: Low) -> Iterator[tuple[np.ndarray, Block]]:
+    """(places, block) of a shard's windows, cut between contexts at about ``BLOCK`` windows."""
+    place = joint(keys)
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    edges = firsts(place)
+    starts = edges[np.flatnonzero(np.diff(edges // BLOCK, prepend=-1))]
+    for a, b in zip(starts, np.append(starts[1:], len(keys))):
+        yield order[a:b], Block(keys[order[a:b]], counts[order[a:b]], low)

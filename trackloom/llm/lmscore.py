@@ -1,32 +1,34 @@
-"""LM scoring: probability of whole texts under a model learned from the training texts.
-
-A text is its words (``[^\\x20\\x09-\\x0D]+``, A-Z lowered) and one end. Words are drawn by class:
-each of the most frequent languages of the training documents, and all others together.
-Within a class a word's probability is its count there plus ``k`` times the probability that
-online context mixing over the word's bits gives it (``bitmix``), over all counts plus
-``k``, where ``k`` is the number of distinct words of the class. A text's probability is the
-sum over classes, by their share of documents; its own language column is never read.
-
-Steps: (1) word counts by class over all documents, summed in each task before the shuffle;
-(2) exact bit counts of all training words, by context, in as many shards as the words need;
-(3) mixer weights from all training words, learned in batches and merged by sums; (4) each
-distinct word is scored once;
-(5) documents add up their words: frequent ones from a broadcast table of bounded size, all
-others by a shuffle join. Counts cover all documents; every table that is broadcast has
-a fixed bound.
+"""LM scoring: log probability of whole texts by online logistic context mixing of their bits.
+
+A text is its words (``[^\\x20\\x09-\\x0D]+``, A-Z lowered) with one space between them, then one
+end. ``score`` is the log10 of the probability that the bit mixing of ``bitmix`` gives this row of
+bytes, context by context across words; ``bits_per_byte`` is its share of the text's bytes.
+
+Steps: (1) windows of seven bytes are counted over all texts, those of texts held out with
+count zero, summed in each task and then in shards by the last three bytes of context; (2) counts
+of the two lowest orders, at most 256**3 rows, are summed over the shards and go to every task;
+(3) each shard learns mixer weights online over all its windows; shards are merged by exact
+sums; (4) each distinct window is scored once; (5) documents add up their windows: frequent ones
+from a broadcast table of fixed size, all others by a shuffle join. Word counts for the base
+score take the same road without (2) to (4). The number of shards follows the bytes of the
+input, nothing is cut or sampled, and shuffles hold distinct windows of a task, not places.
+
+Scores do not depend on partitioning: shards learn in the order of their keys, and everything
+summed across tasks is a whole number or a decimal.
 
 Defined results: a null or empty text is the end alone; a null ``doc_id`` is not held out;
-null languages are of the class of all others; repeated rows count and are scored each;
-without training documents counts are zero and the mixer is neutral; extra columns are
-ignored.
+repeated rows count and are scored each; without training documents counts are zero and
+the mixer is neutral; extra columns are ignored. Words go by 64-bit hashes: among a thousand
+million distinct words the odds that any two share one are below 3 %.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,283 +36,293 @@ from trackloom.llm import bitmix, hashing
 from trackloom.llm.common import take, written
 from trackloom.session import ship_package
 
-#: The most frequent languages of the training documents have a class each.
-LANGUAGES = 7
-#: Words in the broadcast table.
+#: Rows of the broadcast tables.
 TOP_WORDS = 200_000
-#: Distinct words that meet in one task of the bit mixing.
-WORDS_PER_BATCH = 65_536
-#: Distinct words whose entries make one shard of bit counts.
-WORDS_PER_SHARD = 65_536
-#: Distinct words, stretch by stretch, that a worker sums up before it sends them on.
-WORDS_IN_HAND = 600_000
+TOP_WINDOWS = 2_000_000
+#: Bytes of text for each shard of windows and words.
+BYTES_PER_SHARD = 16 << 20
+#: Distinct keys that a worker sums up before it sends them on.
+KEYS_IN_HAND = 2_000_000
+STRETCH = 4 << 20  # bytes of text at once
 END_HASH = np.uint64(0x656E64206F662074)
+#: Logarithms are summed as whole numbers of these parts.
+SCORE_UNIT = 10**7
+BASE_UNIT = 10**10
+SHARDS = "shard long, n long, keys binary, counts binary"
 
 
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
 
 
-def _int64(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+# ---------------------------------------------------------------- what is counted
 
 
-def word_counts(docs: DataFrame, classes: int) -> DataFrame:
-    """(``h``, ``word``, ``n0``...) of (``_class``, ``_text``): counts by class; class -1 counts for none."""
+def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words and ends in order, number of them in each text)."""
+    w = hashing.Words(texts)
+    n = np.diff(w.at)
+    at = np.concatenate([[0], np.cumsum(n + 1)])
+    out = np.full(at[-1], END_HASH)
+    out[np.arange(len(w.hash)) + np.repeat(np.arange(len(n)), n)] = w.hash
+    return out, n + 1
 
-    names = ["h", "word", *[f"n{z}" for z in range(classes)]]
 
-    def rows_of(hs, sums, texts, sizes) -> pa.RecordBatch:
-        h, size, n = np.concatenate(hs), np.concatenate(sizes), np.concatenate(sums)
-        data, start = np.concatenate(texts), np.concatenate([[0], np.cumsum(size)[:-1]])
-        h, first, number = np.unique(h, return_index=True, return_inverse=True)
-        total = [np.bincount(number, n[:, z], len(h)).astype(np.int64) for z in range(classes)]
-        offsets = np.concatenate([[0], np.cumsum(size[first])]).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets), pa.py_buffer(data[_ranges(start[first], size[first])].tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(_int64(h)), words, *[pa.array(t) for t in total]], names)
+def counted(docs: DataFrame, keys_of: Callable, place_of: Callable, shards: int) -> DataFrame:
+    """One row a shard: its distinct keys in order, with their counts over rows with ``_learn``.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: tuple[list, list, list, list] = [], [], [], []
-        for batch in batches:
-            for a, b in hashing.slices(batch.column(1)):
-                part = hashing.Words(batch.column(1).slice(a, b - a))
-                cls = batch.column(0).slice(a, b - a).to_numpy().astype(np.int64)
-                own = np.repeat(cls, np.diff(part.at))
-                h, first, number = np.unique(part.hash, return_index=True, return_inverse=True)
-                flat = np.bincount((number * (classes + 1) + own + 1), minlength=len(h) * (classes + 1)).astype(np.int32)
-                ends = np.bincount(cls + 1, minlength=classes + 1).astype(np.int32)
-                for kept, new in zip(
-                    waiting,
-                    (
-                        [h, np.array([END_HASH])],
-                        [flat.reshape(-1, classes + 1)[:, 1:], ends[None, 1:]],
-                        [part.data[_ranges(part.start[first], part.size[first])]],
-                        [part.size[first], np.array([0])],
-                    ),
-                ):
-                    kept.extend(new)
-                if sum(map(len, waiting[0])) > WORDS_IN_HAND:
-                    yield rows_of(*waiting)
-                    waiting = [], [], [], []
-        if waiting[0]:
-            yield rows_of(*waiting)
-
-    columns = [f"n{z}" for z in range(classes)]
-    rows = docs.select("_class", "_text").mapInArrow(count, "h long, word binary, " + ", ".join(f"{c} long" for c in columns))
-    return rows.groupBy("h", "word").agg(*[F.sum(c).alias(c) for c in columns])
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, offsets = hashing.text_bytes(column)
-    return data, offsets[:-1], np.diff(offsets)
-
-
-def _binary(column: list[bytes]) -> pa.Array:
-    return pa.array(column, pa.binary())
-
-
-def entry_totals(words: DataFrame, shards: int) -> DataFrame:
-    """``batch, context, shard, n, totals``: the bit counts that each batch of ``words`` needs.
-
-    ``words`` holds ``batch, h, word, taken``. A batch sends each of its distinct entries
-    once to the shard of the entry's context, with its count over the ``taken`` words;
-    shards add up the counts and send the batches their totals back.
+    ``docs`` holds ``_learn`` and ``_text``; keys of other rows are there with what is counted, or 0.
     """
 
-    def send(key, table):
-        _, entries, taken = _batch(table)
-        rows = [], [], [], []
-        for i, keys in enumerate(entries.keys):
-            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(keys))
-            counts = entries.counts(i, taken)
-            for a, b in zip(cuts, cuts[1:]):
-                for column, value in zip(rows, (i, int(shard[a]), keys[a:b].tobytes(), bitmix.packed(counts[a:b]))):
-                    column.append(value)
-        batch = pa.array([key[0].as_py()] * len(rows[0]), pa.int64())
-        return pa.table([batch, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), _binary(rows[2]), _binary(rows[3])], ["batch", "context", "shard", "keys", "counts"])
-
-    def answer(key, table):
-        parts = [np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]]
-        counts = [bitmix.unpacked(c.as_py(), len(k)) for c, k in zip(table["counts"], parts)]
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        totals = bitmix.path_totals(keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64))
-        ends = np.cumsum([len(k) for k in parts])
-        out = [bitmix.packed(totals[:, at[b - len(k) : b]]) for b, k in zip(ends, parts)]
-        n = pa.array([len(k) for k in parts], pa.int64())
-        return pa.table([table["batch"], table["context"], table["shard"], n, _binary(out)], ["batch", "context", "shard", "n", "totals"])
-
-    sent = words.groupBy("batch").applyInArrow(send, "batch long, context long, shard long, keys binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(answer, "batch long, context long, shard long, n long, totals binary")
-
-
-def _batch(table: pa.Table) -> tuple[pa.Table, bitmix.Entries, np.ndarray]:
-    """(rows in the order of ``h``, their entries, whether they are ``taken``)."""
-    table = table.take(pa.array(np.argsort(table["h"].to_numpy(), kind="stable"))).combine_chunks()
-    word = table["word"].combine_chunks()
-    word = pa.concat_arrays(word.chunks) if isinstance(word, pa.ChunkedArray) else word
-    return table, bitmix.Entries(*_bytes_of(word)), table["taken"].to_numpy().astype(bool)
-
-
-def _totals_of(table: pa.Table, entries: bitmix.Entries) -> list[np.ndarray]:
-    """Rows of ``entry_totals`` of one batch, as an array for each context."""
-    rows = sorted(zip(table["context"].to_pylist(), table["shard"].to_pylist(), table["n"].to_pylist(), table["totals"].to_pylist()), key=lambda r: r[:2])
-    parts: list[list[np.ndarray]] = [[] for _ in entries.keys]
-    for context, _, n, data in rows:
-        parts[context].append(bitmix.unpacked(data, 9 * n).reshape(9, n))
-    return [np.concatenate(p, axis=1) for p in parts]
-
-
-def mixer_of(words: DataFrame, totals: DataFrame) -> bitmix.Mixer:
-    """The mixer learned online from all ``taken`` words, batch by batch, and merged by sums."""
-
-    def learn(left, right):
-        _, entries, taken = _batch(left)
+    def rows_of(tally: bitmix.Tally) -> pa.RecordBatch:
+        keys, counts = tally.totals()
+        shard = ((place_of(keys) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")  # keys stay in order inside a shard
+        keys, counts, shard = keys[order], counts[order], shard[order]
+        cuts = np.append(bitmix.firsts(shard), len(keys))
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(shard[a]) for a, _ in spans], pa.int64()),
+                pa.array([int(b - a) for a, b in spans], pa.int64()),
+                pa.array([bitmix.packed_keys(keys[a:b]) for a, b in spans], pa.binary()),
+                pa.array([bitmix.packed(counts[a:b]) for a, b in spans], pa.binary()),
+            ],
+            ["shard", "n", "keys", "counts"],
+        )
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = bitmix.Tally(KEYS_IN_HAND)
+        for batch in batches:
+            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for some, weight in ((learn, 1), (~learn, 0)):
+                texts = batch.column(1).filter(pa.array(some))
+                for a, b in hashing.slices(texts, STRETCH):
+                    tally.add(keys_of(texts.slice(a, b - a))[0], weight)
+                    if tally.full():
+                        yield rows_of(tally)
+                        tally = bitmix.Tally(KEYS_IN_HAND)
+        yield rows_of(tally)
+
+    def gather(key, table):
+        tally = bitmix.Tally()
+        for n, keys, counts in zip(*(table[c].to_pylist() for c in ("n", "keys", "counts"))):
+            tally.merge(bitmix.unpacked_keys(keys, n), bitmix.unpacked(counts, n))
+            tally.full()
+        keys, counts = tally.totals()
+        return pa.table(
+            {"shard": [key[0].as_py()], "n": [len(keys)], "keys": pa.array([bitmix.packed_keys(keys)], pa.binary()), "counts": pa.array([bitmix.packed(counts)], pa.binary())}
+        )
+
+    return docs.select("_learn", "_text").mapInArrow(send, SHARDS).groupBy("shard").applyInArrow(gather, SHARDS)
+
+
+def _arrays(n: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return bitmix.unpacked_keys(keys, n), bitmix.unpacked(counts, n)
+
+
+def _each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("n", "keys", "counts"))):
+            yield _arrays(*row)
+
+
+# ---------------------------------------------------------------- the model
+
+
+def low_orders(shards: DataFrame) -> bitmix.Low:
+    """Counts of the last ``LOW`` + 1 bytes of all windows: as many rows as there can be such bytes."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _each_shard(batches):
+            low, at = np.unique(keys & np.uint64((1 << 8 * (bitmix.LOW + 1)) - 1), return_inverse=True)
+            total = np.bincount(at, counts, len(low)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(total)], ["key", "count"])
+
+    rows = shards.mapInArrow(fold, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    got = rows.toArrow().sort_by("key")
+    return bitmix.Low(got["key"].to_numpy().astype(np.uint64), got["count"].to_numpy())
+
+
+def mixer_of(shards: DataFrame, low: Broadcast) -> bitmix.Mixer:
+    """The mixer learned online from all windows, shard by shard, and merged by sums."""
+
+    def learn(key, table):
         mixer = bitmix.Mixer()
-        entries.learn(mixer, _totals_of(right, entries), taken)
-        flat = np.concatenate([[mixer.words], (mixer.weights * mixer.words).ravel(), mixer.seen.ravel()])
+        for keys, counts in _each_shard(table.to_batches()):
+            for _, block in bitmix.blocks(keys, counts, low.value):
+                block.learn(mixer)
+        flat = np.concatenate([[mixer.bytes], (mixer.weights * mixer.bytes).ravel(), mixer.seen.ravel()])
         some = np.flatnonzero(flat)
-        return pa.table({"cell": pa.array(some, pa.int64()), "value": pa.array(flat[some])})
+        return pa.table({"cell": pa.array(some, pa.int64()), "value": pa.array(flat[some], pa.float64())})
 
-    cells = words.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(learn, "cell long, value double")
+    cells = shards.groupBy("shard").applyInArrow(learn, "cell long, value double")
     blank = bitmix.Mixer()
     flat = np.zeros(1 + blank.weights.size + blank.seen.size)
-    for r in cells.groupBy("cell").agg(F.sum("value").alias("value")).collect():  # as many rows as a mixer has numbers
+    exact = F.sum(F.col("value").cast("decimal(28,6)")).cast("double")
+    for r in cells.groupBy("cell").agg(exact.alias("value")).collect():  # as many rows as a mixer has numbers
         flat[r["cell"]] = r["value"]
     if not flat[0]:
         return blank
     weights, seen = np.split(flat[1:], [blank.weights.size])
-    return bitmix.Mixer(weights=(weights / flat[0]).reshape(blank.weights.shape), seen=seen.reshape(blank.seen.shape), words=int(flat[0]))
+    return bitmix.Mixer(weights=(weights / flat[0]).reshape(blank.weights.shape), seen=seen.reshape(blank.seen.shape), bytes=int(flat[0]))
 
 
-def spelled(vocabulary: DataFrame, totals: DataFrame, mixer: bitmix.Mixer) -> DataFrame:
-    """``vocabulary`` with ``bits10``: log10 of the probability that bit mixing gives the word."""
-    drop = ["batch", "word", "taken"]
+def window_scores(shards: DataFrame, low: Broadcast, mixer: bitmix.Mixer) -> DataFrame:
+    """(``key``, ``count``, ``value``): each window's log10 probability, in parts of ``SCORE_UNIT``."""
     scorer = bitmix.Scorer(mixer)
 
-    def spell(left, right):
-        table, entries, _ = _batch(left)
-        return table.drop_columns(drop).append_column("bits10", pa.array(entries.log10_probabilities(_totals_of(right, entries), scorer)))
+    def score(key, table):
+        out = []
+        for keys, counts in _each_shard(table.to_batches()):
+            value = np.zeros(len(keys))
+            for at, block in bitmix.blocks(keys, counts, low.value):
+                value[at] = block.log10_probabilities(scorer)
+            out.append(_rows(keys, counts, np.rint(value * SCORE_UNIT).astype(np.int64)))
+        return pa.Table.from_batches(out)
+
+    return shards.groupBy("shard").applyInArrow(score, "key long, count long, value long")
+
+
+def _rows(keys: np.ndarray, counts: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(value)], ["key", "count", "value"])
+
+
+def word_values(shards: DataFrame) -> DataFrame:
+    """(``key``, ``count``, ``value``): log10 of each word's count plus one, in parts of ``BASE_UNIT``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _each_shard(batches):
+            yield _rows(keys, counts, np.rint(np.log10(counts + 1.0) * BASE_UNIT).astype(np.int64))
+
+    return shards.mapInArrow(rows, "key long, count long, value long")
+
+
+# ---------------------------------------------------------------- documents
+
+
+class Lookup:
+    """Values by 64-bit key, in three tries; a key that finds no free slot is not in the table."""
+
+    TRIES = 3
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, values: np.ndarray):
+        self.bits = max(8, int(2 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.values = np.zeros(1 << self.bits, np.int64)
+        self.state = np.zeros(1 << self.bits, np.int8)  # 0 free, 1 known without a count, 2 counted
+        left = np.arange(len(keys))
+        for slot in self._slots(keys):
+            slot = slot[left]
+            free = self.state[slot] == 0
+            at, first = np.unique(slot[free], return_index=True)
+            won = left[free][first]
+            self.keys[at], self.values[at], self.state[at] = keys[won], values[won], 1 + (counts[won] > 0)
+            left = np.setdiff1d(left, won, assume_unique=True)
+
+    def _slots(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+        h = hashing.mix(keys * hashing.MULT)
+        for k in range(self.TRIES):
+            yield ((h << np.uint64(k * 20)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(found, counted, value) of each key; 0 where it is not found."""
+        found = np.zeros(len(keys), bool)
+        known = np.zeros(len(keys), bool)
+        value = np.zeros(len(keys), np.int64)
+        left = np.arange(len(keys))
+        for slot in self._slots(keys):
+            slot = slot[left]
+            hit = (self.keys[slot] == keys[left]) & (self.state[slot] > 0)
+            at, slot = left[hit], slot[hit]
+            found[at], known[at], value[at] = True, self.state[slot] == 2, self.values[slot]
+            left = left[~hit]
+            if not len(left):
+                break
+        return found, known, value
+
+
+def frequent(rows: DataFrame, most: int) -> Lookup:
+    """The most counted of ``rows``, at most ``most``, taken by levels of their counts."""
+    level = F.floor(F.log2(F.col("count") + 1) * 8).cast("int")
+    left, least = most, 1 << 30
+    for r in rows.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    got = rows.filter(level >= least).toArrow()
+    return Lookup(got["key"].to_numpy().view(np.uint64), got["count"].to_numpy(), got["value"].to_numpy())
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vocabulary.schema if f.name not in drop)
-    return vocabulary.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(spell, f"{fields}, bits10 double")
 
+def added(docs: DataFrame, words: Broadcast, windows: Broadcast) -> DataFrame:
+    """Per row of ``docs``: sums over what the tables hold, and the keys of all else."""
+    names = ["n_tokens", "n_bytes", "known", "base", "score", "rest_words", "rest_windows"]
 
-def _added(docs: DataFrame, table, classes: int) -> DataFrame:
-    """Per document: counts and sums over its frequent words, and the hashes of the others."""
-    names = ["n_tokens", "n_known", "n_bytes", "base", *[f"s{z}" for z in range(classes)], "rest"]
+    def sums(keys: np.ndarray, size: np.ndarray, table: Lookup) -> list[np.ndarray]:
+        found, known, value = table.find(keys)
+        at = np.cumsum(size) - size
+        doc = np.repeat(np.arange(len(size)), size)[~found]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(size)))]).astype(np.int32)
+        rest = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[~found].view(np.int64)))
+        return [np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(value, at), rest]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, known, value = table.value  # value: base and one column per class
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
-            for a, b in hashing.slices(text):
-                w = hashing.Words(text.slice(a, b - a))
-                n = np.diff(w.at)
-                at = np.concatenate([[0], np.cumsum(n + 1)])
-                tokens = np.full(at[-1], END_HASH)
-                tokens[np.arange(len(w.hash)) + np.repeat(np.arange(len(n)), n)] = w.hash
-                order = np.argsort(tokens, kind="stable")
-                place = np.empty(len(tokens), np.int64)
-                place[order] = np.searchsorted(h, tokens[order])
-                hit = h[np.minimum(place, len(h) - 1)] == tokens if len(h) else np.zeros(len(tokens), bool)
-                row = np.where(hit, place, len(h))  # the last row of the table is zero
-                sums = np.add.reduceat(value[row], at[:-1], axis=0)
-                doc = np.repeat(np.arange(len(n)), n + 1)
-                rest = tokens[~hit]
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[~hit], minlength=len(n)))]).astype(np.int32)
-                arrays = [c.slice(a, b - a) for c in batch.columns[:-1]]
-                arrays += [pa.array(n + 1), pa.array(np.add.reduceat(known[row], at[:-1]).astype(np.int64)), pa.array(np.diff(hashing.text_bytes(text.slice(a, b - a))[1]))]
-                arrays += [pa.array(sums[:, i]) for i in range(classes + 1)]
-                arrays += [pa.ListArray.from_arrays(pa.array(cuts), pa.array(_int64(rest)))]
-                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], *names])
-
-    kinds = ["long", "long", "long", "double", *["double"] * classes, "array<long>"]
+            for a, b in hashing.slices(text, STRETCH):
+                part = text.slice(a, b - a)
+                keys, n = word_keys(part)
+                known, base, rest_words = sums(keys, n, words.value)
+                keys, size = bitmix.windows(part)
+                _, score, rest_windows = sums(keys, size, windows.value)
+                numbers = [n, np.diff(hashing.text_bytes(part)[1]), known, base, score]
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(a, b - a) for c in batch.columns[:-1]], *map(pa.array, numbers), rest_words, rest_windows], [*batch.schema.names[:-1], *names]
+                )
+
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    kinds = ["long"] * 5 + ["array<long>"] * 2
     return docs.mapInArrow(add, head + ", " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
-def scored(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def _rest(parts: DataFrame, column: str, rows: DataFrame, name: str) -> DataFrame:
+    """Per ``_row``: sums over the keys in ``column`` that the broadcast table did not hold."""
+    return parts.select("_row", F.explode(column).alias("key")).join(rows, "key").groupBy("_row").agg(
+        F.count_if(F.col("count") > 0).alias(f"_{name}_known"), F.sum("value").alias(f"_{name}")
+    )
+
+
+def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
     spark = docs.sparkSession
     ship_package(spark)
-    df = take(docs, _id=doc_id, _lang=lang, _text=text)
-    df = df.select("_id", F.col("_lang").cast("string").alias("_lang"), held_out("_id").alias("_held"), F.col("_text").cast("string").alias("_text"))
-    top = df.filter("not _held and _lang is not null").groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
-    classes = len(top) + 1
-    cls = F.lit(len(top))
-    for z, r in enumerate(top):
-        cls = F.when(F.col("_lang") == r["_lang"], z).otherwise(cls)
-    columns = [f"n{z}" for z in range(classes)]
-    counted = df.select(F.when(F.col("_held"), -1).otherwise(cls).alias("_class"), "_text")
-    vocabulary = written(word_counts(counted, classes), "vocabulary")
-
-    count = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-    facts = vocabulary.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns],
-        *[F.count_if(F.col(c) > 0).alias("v" + c) for c in columns],
-        F.count_if(count > 0).alias("v"),
-        F.count(F.lit(1)).alias("_all"),
-        *[F.coalesce(F.sum(F.when(F.length("word") == 0, F.col(c))), F.lit(0)).alias("d" + c) for c in columns],
-    ).first()
-    total, distinct = sum(facts[c] for c in columns), facts["v"]
-    k = [max(1, facts["v" + c]) for c in columns]
-    docs_all = sum(facts["d" + c] for c in columns)
-
-    batches, shards = -(-facts["_all"] // WORDS_PER_BATCH) or 1, facts["_all"] // WORDS_PER_SHARD + 1
-    vocabulary = vocabulary.withColumns({"batch": F.pmod("h", F.lit(batches)), "taken": count > 0})
-    wanted = vocabulary.select("batch", "h", "word", "taken")
-    totals = written(entry_totals(wanted, shards), "totals")
-    mixer = mixer_of(wanted, totals)
-    base_of = lambda c: F.log10((c + 1) / F.lit(float(total + distinct + 1)))
-    words = spelled(vocabulary, totals, mixer).select(
-        "h",
-        count.alias("c"),
-        base_of(count).alias("base"),
-        *[
-            F.log10((F.col(c) + k[z] * F.pow(F.lit(10.0), F.greatest("bits10", F.lit(-300.0)))) / F.lit(float(facts[c] + k[z]))).alias(f"s{z}")
-            for z, c in enumerate(columns)
-        ],
-    )
-    words = written(words, "words")
-
-    level = F.floor(F.log2(F.col("c") + 1) * 4).cast("int")
-    left, least = TOP_WORDS, 1 << 30
-    for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r["level"]
-    frequent = words.filter(level >= least).toPandas().sort_values("h", key=lambda s: s.astype("uint64"))
-    value = np.vstack([frequent[["base", *[f"s{z}" for z in range(classes)]]].to_numpy(), np.zeros((1, classes + 1))])
-    table = spark.sparkContext.broadcast((frequent["h"].to_numpy().astype(np.uint64), np.append(frequent["c"].to_numpy() > 0, False).astype(np.int64), value))
-    del frequent, value
-
-    parts = _added(df.select(F.monotonically_increasing_id().alias("_row"), "_id", "_held", "_text"), table, classes)
-    parts = written(parts, "parts")
-    sums = ["base", *[f"s{z}" for z in range(classes)]]
-    rest = parts.select("_row", F.explode("rest").alias("h")).join(words, "h").groupBy("_row").agg(
-        F.count_if(F.col("c") > 0).alias("_known"), *[F.sum(s).alias("_" + s) for s in sums]
-    )
-    out = parts.drop("rest").join(rest, "_row", "left")
-    full = {s: F.col(s) + F.coalesce("_" + s, F.lit(0.0)) for s in sums}
-    prior = [np.log10((facts["d" + c] + 1) / (docs_all + classes)) for c in columns]
-    out = out.withColumns({f"_t{z}": full[f"s{z}"] + F.lit(float(prior[z])) for z in range(classes)})
-    most = F.greatest(*[F.col(f"_t{z}") for z in range(classes)]) if classes > 1 else F.col("_t0")
-    out = out.withColumn("_most", most)
-    score = F.col("_most") + F.log10(sum((F.pow(F.lit(10.0), F.col(f"_t{z}") - F.col("_most")) for z in range(classes)), F.lit(0.0)))
+    df = take(docs, _id=doc_id, _text=text)
+    df = df.select("_id", held_out("_id").alias("_held"), F.col("_text").cast("string").alias("_text"))
+    size = df.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    shards = size // BYTES_PER_SHARD + 1
+    learned = df.select((~F.col("_held")).alias("_learn"), "_text")
+
+    words = written(word_values(counted(learned, word_keys, hashing.mix, shards)), "words")
+    facts = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
+
+    table = written(counted(learned, bitmix.windows, bitmix.joint, shards), "windows")
+    low = spark.sparkContext.broadcast(low_orders(table))
+    windows = written(window_scores(table, low, mixer_of(table, low)), "window-scores")
+
+    top = [spark.sparkContext.broadcast(frequent(rows, most)) for rows, most in ((words, TOP_WORDS), (windows, TOP_WINDOWS))]
+    parts = written(added(df.select(F.monotonically_increasing_id().alias("_row"), "_id", "_held", "_text"), *top), "parts")
+    rests = _rest(parts, "rest_words", words, "base").join(_rest(parts, "rest_windows", windows, "score"), "_row", "full")
+    out = parts.drop("rest_words", "rest_windows").join(rests, "_row", "left").fillna(0, ["_base", "_base_known", "_score"])
+    base = (F.col("base") + F.col("_base")) / F.lit(float(BASE_UNIT)) - F.col("n_tokens") * float(np.log10(facts["n"] + facts["v"] + 1))
+    score = (F.col("score") + F.col("_score")) / F.lit(float(SCORE_UNIT))
     return out.select(
         F.col("_id").alias("doc_id"),
         F.col("_held").alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        full["base"].alias("base_score"),
+        (F.col("known") + F.col("_base_known")).alias("n_known"),
+        F.lit(facts["n"]).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
         score.alias("score"),
         (-score * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
