@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from trackloom.llm import hashing
 
@@ -44,46 +45,43 @@ BLOCK = 65_536
 RATE = 0.06
 
 
+_SYMBOL = hashing._LOWER.copy()
+_SYMBOL[hashing.SPACE] = 32
+
+
 def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts with ``MOST`` ends before each and one after, length of each with its last end)."""
-    raw, offsets = hashing.text_bytes(texts)
-    data = hashing._LOWER[raw]
-    inside = ~hashing.SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    edge = offsets[:-1][offsets[:-1] < len(data)]
-    first[edge] |= inside[edge]
-    upto = lambda mask: np.concatenate([[0], np.cumsum(mask)])
-    letters, words = np.diff(upto(inside)[offsets]), np.diff(upto(first)[offsets])
-    size = letters + np.maximum(words, 1)
-    begin = np.cumsum(size + MOST) - size  # of each text in the stream
-    out = np.full(int(begin[-1] + size[-1]) if len(size) else 0, 32, np.uint8)
-    where = np.flatnonzero(inside)
-    number = np.cumsum(first)[where] - 1  # of the word
-    doc = np.repeat(np.arange(len(size)), letters)
-    before = np.cumsum(words) - words  # words of earlier texts
-    done = np.cumsum(letters) - letters
-    out[begin[doc] + (np.arange(len(where)) - done[doc]) + (number - before[doc])] = data[where]
-    out[begin + size - 1] = END
-    for k in range(1, MOST + 1):
-        out[begin - k] = END
-    return out, size
+    """(``MOST`` ends, the bytes of the first text, an end, ``MOST`` ends, ..., and where texts end)."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    raw, _ = hashing.text_bytes(texts)
+    if len(raw) and raw.max() == END:  # a string that is not UTF-8
+        texts = pa.array([t.replace(b"\xff", b"\xfe") for t in texts.to_pylist()], pa.large_binary())
+    marks = pa.scalar(b"\xff" * (MOST + 1), pa.large_binary())
+    raw, _ = hashing.text_bytes(pc.binary_join_element_wise(texts, marks, pa.scalar(b"", pa.large_binary())))
+    data = np.concatenate([np.full(MOST, END, np.uint8), _SYMBOL[raw]])
+    space = data == 32
+    keep = ~space
+    keep[1:] |= ~space[:-1] & (data[:-1] != END)  # the first space after a word
+    data = data[keep]
+    keep = data != 32
+    keep[:-1] |= data[1:] != END  # but not before the end
+    data = data[keep]
+    return data, np.flatnonzero(data == END)[MOST :: MOST + 1]
 
 
 def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(windows of all texts in order, number of windows of each text)."""
-    data, size = stream(texts)
-    if not len(data):
-        return np.zeros(0, np.uint64), size
-    w = np.zeros(len(data) - MOST, np.uint64)
-    for back in range(MOST, -1, -1):
-        w <<= np.uint64(8)
-        w |= data[MOST - back : len(data) - back]
-    keep = np.ones(len(w), bool)  # places where a text's own ends stand before it
-    cuts = np.cumsum(size + MOST)[:-1]
-    for k in range(MOST):
-        keep[cuts - MOST + k] = False
-    return w[keep], size
+    data, ends = stream(texts)
+    if not len(ends):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    one = data.astype(np.uint64)
+    two = (one[:-1] << np.uint64(8)) | one[1:]  # at i: the bytes i and i + 1
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    three = (two[:-1] << np.uint64(8)) | one[2:]
+    w = (three[:-4] << np.uint64(32)) | four[3:]  # at i: the bytes from i to i + MOST
+    keep = np.ones(len(w), bool)
+    for k in range(1, MOST + 1):
+        keep[(ends + k - MOST)[ends + k < len(data)]] = False
+    return w[keep], np.diff(ends, prepend=-1) - MOST
 
 
 def joint(keys: np.ndarray) -> np.ndarray:
@@ -99,7 +97,7 @@ def firsts(sorted_keys: np.ndarray) -> np.ndarray:
 class Tally:
     """Distinct keys in order with their counts, added up stretch by stretch."""
 
-    def __init__(self, most: int = 2_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.most, self._parts, self._n = most, [], 0
 
     def add(self, keys: np.ndarray, weight: int) -> None:

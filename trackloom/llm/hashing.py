@@ -29,14 +29,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MULT)
-_powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(255, MULT)]))
+_INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
+_powers = np.ones(1, np.uint64)
+_inverses = np.ones(1, np.uint64)
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of ``MULT`` and of its inverse."""
+    global _powers, _inverses
     while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * _powers[-1] * MULT])
-    return _powers
+        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * MULT)])
+        _inverses = np.concatenate([_inverses, _inverses * (_inverses[-1:] * _INVERSE)])
+    return _powers, _inverses
 
 
 def slices(array: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
@@ -71,26 +75,31 @@ class Words:
         first[1:] &= ~inside[:-1]
         edge = offsets[:-1][offsets[:-1] < len(data)]
         first[edge] |= inside[edge]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | first[1:]
         self.start = np.flatnonzero(first)
+        self.size = np.flatnonzero(last) + 1 - self.start
         self.at = np.searchsorted(self.start, offsets)
-        where = np.flatnonzero(inside)
-        self._head = np.searchsorted(where, self.start)
-        self.size = np.diff(np.append(self._head, len(where)))
-        self._place = np.arange(len(where)) - np.repeat(self._head, self.size)
-        self._value = _BYTE[data[where]] * _power_table(int(self.size.max(initial=0)))[self._place]
-        self.hash = self._sum(self._value, self.size)
-
-    def _sum(self, value: np.ndarray, size) -> np.ndarray:
-        if not len(self._head):
+        # a byte's value times a power by its place in all the data; the word's own first
+        # place is divided out of the sum, so equal words have equal sums wherever they stand
+        powers, inverses = _power_tables(len(data))
+        value = np.where(inside, _BYTE[data], np.uint64(0)) * powers[: len(data)]
+        self.hash = self._sum(value, self.size, inverses)
+
+    def _sum(self, value: np.ndarray, size, inverses: np.ndarray) -> np.ndarray:
+        if not len(self.start):
             return np.zeros(0, np.uint64)
-        return mix(np.add.reduceat(value, self._head) + np.asarray(size, np.uint64) * MULT)
+        return mix(np.add.reduceat(value, self.start) * inverses[self.start] + np.asarray(size, np.uint64) * MULT)
 
     def stems(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the first ``length`` bytes, text number) of the words that have as many."""
-        h = self._sum(np.where(self._place < length, self._value, np.uint64(0)), length)
         n = np.diff(self.at)
         keep = self.size >= length
-        return mix(h[keep] + np.uint64(length)), np.repeat(np.arange(len(n)), n)[keep]
+        start = self.start[keep]
+        h = np.zeros(len(start), np.uint64)
+        for k in range(length):
+            h += _BYTE[self.data[start + k]] * _power_tables(length)[0][k]
+        return mix(mix(h + np.full(1, length, np.uint64) * MULT) + np.uint64(length)), np.repeat(np.arange(len(n)), n)[keep]
 
 
 def ngrams(h: np.ndarray, at: np.ndarray, places: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:

@@ -42,8 +42,8 @@ TOP_WINDOWS = 2_000_000
 #: Bytes of text for each shard of windows and words.
 BYTES_PER_SHARD = 16 << 20
 #: Distinct keys that a worker sums up before it sends them on.
-KEYS_IN_HAND = 2_000_000
-STRETCH = 4 << 20  # bytes of text at once
+KEYS_IN_HAND = 1_000_000
+STRETCH = 1 << 20  # bytes of text at once
 END_HASH = np.uint64(0x656E64206F662074)
 #: Logarithms are summed as whole numbers of these parts.
 SCORE_UNIT = 10**7
@@ -205,41 +205,36 @@ class Lookup:
     """Values by 64-bit key, in three tries; a key that finds no free slot is not in the table."""
 
     TRIES = 3
+    MISS = np.int64(1) << 62  # of a slot that is free
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, values: np.ndarray):
         self.bits = max(8, int(2 * len(keys)).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = np.zeros(1 << self.bits, np.int64)
-        self.state = np.zeros(1 << self.bits, np.int8)  # 0 free, 1 known without a count, 2 counted
+        self.values = np.full(1 << self.bits, self.MISS)  # the lowest bit: whether the key has a count
         left = np.arange(len(keys))
-        for slot in self._slots(keys):
-            slot = slot[left]
-            free = self.state[slot] == 0
+        for k in range(self.TRIES):
+            slot = self._slots(keys[left], k)
+            free = self.values[slot] == self.MISS
             at, first = np.unique(slot[free], return_index=True)
             won = left[free][first]
-            self.keys[at], self.values[at], self.state[at] = keys[won], values[won], 1 + (counts[won] > 0)
+            self.keys[at], self.values[at] = keys[won], 2 * values[won] + (counts[won] > 0)
             left = np.setdiff1d(left, won, assume_unique=True)
 
-    def _slots(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        h = hashing.mix(keys * hashing.MULT)
-        for k in range(self.TRIES):
-            yield ((h << np.uint64(k * 20)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _slots(self, keys: np.ndarray, k: int) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(29))) * (hashing.MULT + np.uint64(2 * k)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, counted, value) of each key; 0 where it is not found."""
-        found = np.zeros(len(keys), bool)
-        known = np.zeros(len(keys), bool)
-        value = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
-        for slot in self._slots(keys):
-            slot = slot[left]
-            hit = (self.keys[slot] == keys[left]) & (self.state[slot] > 0)
-            at, slot = left[hit], slot[hit]
-            found[at], known[at], value[at] = True, self.state[slot] == 2, self.values[slot]
-            left = left[~hit]
-            if not len(left):
-                break
-        return found, known, value
+        slot = self._slots(keys, 0)
+        value = self.values[slot]
+        value[self.keys[slot] != keys] = self.MISS
+        for k in range(1, self.TRIES):
+            left = np.flatnonzero(value == self.MISS)
+            slot = self._slots(keys[left], k)
+            value[left] = np.where(self.keys[slot] == keys[left], self.values[slot], self.MISS)
+        found = value != self.MISS
+        value[~found] = 0
+        return found, (value & 1).astype(bool), value >> 1
 
 
 def frequent(rows: DataFrame, most: int) -> Lookup:
