@@ -14,6 +14,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def position(names: list[str], wanted: str) -> int | None:
+    """Place of a column: the first exact match, else the first by letter case, else None."""
+    same = [i for i, n in enumerate(names) if n == wanted] or [i for i, n in enumerate(names) if n.lower() == wanted.lower()]
+    return same[0] if same else None
+
+
+def numbered(names: list[str], wanted: str) -> Column:
+    """The column ``wanted`` of a frame whose columns are renamed to ``_k0, _k1, ...``; absent: null strings."""
+    at = position(names, wanted)
+    return F.lit(None).cast("string") if at is None else F.col(f"_k{at}")
+
+
 def take(df: DataFrame, **wanted: str) -> DataFrame:
     """Columns of ``df`` under new names: ``take(df, _id="doc_id")``.
 
@@ -25,9 +37,7 @@ def take(df: DataFrame, **wanted: str) -> DataFrame:
     flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
     out = []
     for new, old in wanted.items():
-        at = next((i for i, n in enumerate(names) if n == old), None)
-        if at is None:
-            at = next((i for i, n in enumerate(names) if n.lower() == old.lower()), None)
+        at = position(names, old)
         col = F.lit(None).cast("string") if at is None else F.col(f"_c{at}")
         out.append(col.alias(new))
     return flat.select(*out)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import SPACES, ascii_lower, take, written
+from trackloom.llm.common import SPACES, ascii_lower, numbered, take, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -92,7 +92,7 @@ def without_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: i
     """``docs`` with the common lines taken out of the text; all columns stay."""
     names = docs.columns
     flat = docs.toDF(*[f"_k{i}" for i in range(len(names))])
-    flat = flat.withColumns({"_id": F.col(f"_k{names.index(doc_id)}"), "_text": F.col(f"_k{names.index(text)}")})
+    flat = flat.withColumns({"_id": numbered(names, doc_id), "_text": numbered(names, text)})
     row = F.struct(*[f"_k{i}" for i, n in enumerate(names) if n != text])
     out = dropped_lines(flat, min_docs, min_chars, row=row)
     return out.select(*[(F.col("kept") if n == text else F.col(f"_row._k{i}")).alias(n) for i, n in enumerate(names)])

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import hashing
-from trackloom.llm.common import shared_dir, take, written
+from trackloom.llm.common import numbered, shared_dir, take, written
 from trackloom.llm.components import components
 from trackloom.session import ship_package
 
@@ -365,7 +365,7 @@ def one_of_each_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     names = docs.columns
     flat = docs.toDF(*[f"_k{i}" for i in range(len(names))])
-    flat = flat.withColumns({"_id": F.col(f"_k{names.index(doc_id)}"), "_text": F.col(f"_k{names.index(text)}")})
+    flat = flat.withColumns({"_id": numbered(names, doc_id), "_text": numbered(names, text)})
     flat = flat.withColumn("_text", F.col("_text").cast("string")).withColumns(dict(zip(("_h1", "_h2"), text_hash())))
     ids, texts = _classed(flat.select("_id", "_text"))
     best = texts.groupBy("_label").agg(F.min(F.struct(F.col("_first").isNull().alias("n"), "_first", "_rid")).alias("_best"))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import take, words_of
+from trackloom.llm.common import numbered, take, words_of
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -52,6 +52,10 @@ RULES = (
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+#: Stop words are asked of texts that are long enough for a share of 1 %, and in scripts whose
+#: characters take less than so many bytes: the list covers languages in Latin letters.
+STOP_WORDS_FROM = 100
+STOP_WORDS_BYTES = 1.5
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -144,7 +148,7 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         _ratio(F.col("word_chars"), n).alias("mean_word_length"),
         _ratio(F.col("n_symbols"), n).alias("symbol_ratio"),
         _ratio(F.col("n_shouts"), n).alias("shout_ratio"),
-        _ratio(F.col("n_stop_words"), n).alias("stop_word_ratio"),
+        F.when((n >= STOP_WORDS_FROM) & (F.octet_length("_text") <= STOP_WORDS_BYTES * F.length("_text")), F.col("n_stop_words") / n).alias("stop_word_ratio"),
         _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
         _ratio(F.col("n_bullets"), F.col("n_lines")).alias("bullet_line_ratio"),
         _ratio(F.col("n_ellipsis"), F.col("n_lines")).alias("ellipsis_line_ratio"),
@@ -179,7 +183,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     """The rows of ``docs`` that pass, with all their columns; a map-side filter."""
     names = docs.columns
     packed = docs.toDF(*[f"_k{i}" for i in range(len(names))])
-    packed = packed.select(F.struct("*").alias("_row"), *[packed[f"_k{names.index(text)}"].alias("text")])
+    packed = packed.select(F.struct("*").alias("_row"), numbered(names, text).alias("text"))
     # A column that is not deterministic keeps the optimizer from copying the whole chain of
     # expressions into the filter, once for each use of a metric.
     good = judged(packed, rules, "text", "_row").withColumn("_at", F.monotonically_increasing_id())
