@@ -234,21 +234,44 @@ def test_mixing(docs):
             full.add(s)
         left = 1.5 * sum(size.values()) - sum(target.values())
     target |= {s: left * weight[s] / w for s in order if s not in full}
-    source_of = {(r[0], len(words(r[1]))): r[3] for r in ROWS}
-    taken = Counter()
+    def key(row):
+        return int(hashlib.md5(str(row[0] if row[0] is not None else row[1] or "").encode()).hexdigest()[:15], 16), len(words(row[1])), row[1] or ""
+
+    queue = []
+    for s in order:  # every source in its shuffled order, twice; then all by virtual finish
+        done = 0
+        for round_ in range(2):
+            for row in sorted((r for r in ROWS if r[3] == s), key=key):
+                n = len(words(row[1]))
+                done += n
+                if n:
+                    queue.append((done / target[s], order.index(s), round_, key(row), row[0], n))
+    taken, left, entries_taken = Counter(), int(1.5 * sum(size.values())), []
+    for e in sorted(queue):
+        left -= e[5]
+        if left < 0:
+            break
+        taken[e[3]] += e[5]
+        entries_taken.append(e)
+    same = Counter(key(r) for r in ROWS)
+    want, got = Counter(), Counter()
+    for r in ROWS:
+        want[r[0], len(words(r[1])), size[r[3]]] += taken[key(r)] / same[key(r)]
     for r in rows:
-        s = source_of[r["doc_id"], r["size"]]
-        assert r["source_size"] == size[s] and r["target"] == pytest.approx(target[s])
-        assert 0 <= r["taken"] <= 2 * r["size"]
-        taken[s] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+        got[r["doc_id"], r["size"], r["source_size"]] += r["taken"]
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v} and len(rows) == len(ROWS)
+    assert all(r["taken"] <= 2 * r["size"] and r["target"] == pytest.approx(next(target[s] for s in order if size[s] == r["source_size"])) for r in rows)
+    for s in order:  # near the target: short by less than a document, over by what others in service leave
+        near_ = sum(e[5] for e in entries_taken if order[e[1]] == s)
+        assert -max(len(words(r[1])) for r in ROWS if r[3] == s) < near_ - target[s] < max(len(words(r[1])) for r in ROWS)
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.digest(docs.repartition(5)).collect()), key=str)
     entries = mixing.mixed(docs).collect()
-    assert sum(e["words"] for e in entries) == sum(taken.values())
-    assert [e["virtual_finish"] for e in entries] == sorted(e["virtual_finish"] for e in entries)
+    assert [(e["virtual_finish"], e["_id"], e["round"], e["size"]) for e in entries] == [(e[0], e[4], e[2], e[5]) for e in entries_taken]
+    half = mixing.mixed(docs, budget=2000).collect()
+    assert half == entries[: len(half)] and 2000 - entries[len(half)]["size"] < sum(e["size"] for e in half) <= 2000
     texts = mixing.mixed_documents(docs)
     assert texts.columns == docs.columns
-    assert sum(len(words(r[1])) for r in texts.collect()) == sum(taken.values())
+    assert Counter((r[0], r[1]) for r in texts.collect()) == Counter((e[4], t) for e in entries_taken for t in [next(r[1] for r in ROWS if key(r) == e[3])])
 
 
 def test_quality_counts(docs):

@@ -1,20 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are put in a fixed shuffled order. A document's virtual
-finish time is the source's cumulative words up to its end, divided by the source's
-target; sources are served side by side, so the mix is the global order of finish
-times, cut where the word budget is spent. Up to ``passes`` rounds over a source are
-queued one after the other. At virtual time ``v`` a source has been served ``v`` times
-its target, hence the cut lies at ``v = budget / sum of targets``; documents finished by
-then are whole and the one in service keeps its leading words.
-
-Running sums are made in two levels (buckets of the shuffle key, then rows inside one
-bucket), so no source meets in one task. Only DataFrame operations are used.
-
-Defined results: a null or blank text has size 0 and target share 0 words; a null
-source is a source of its own, ordered last; null or repeated ``doc_id`` rows are
-separate rows. An empty table gives an empty result. Extra columns are ignored here
-and kept by ``mixed_documents``.
+Each source's documents are put in a fixed shuffled order and queued up to ``passes`` times. An
+entry's virtual finish time is the source's cumulative words up to its end, divided by the
+source's target. The mix is the global order of finish times (ties by source, round and
+shuffle order), truncated at the total budget of words: the entries whose running sum stays
+within it are taken, whole. A source then has its target but for about one document.
+
+Running sums are made in two levels: inside a source over buckets of the shuffle key, and over
+the whole mix over ranges of finish times. Sources are served side by side, so equal ranges of
+time hold about equally many words, whatever the source. What one task sees alone is one row
+per source (ranks and targets), and one row per ``ROWS_PER_BUCKET`` documents. Only
+DataFrame operations are used.
+
+Defined results: a null or blank text has size 0 and is never taken; a null source is a source of
+its own, ordered last; null or repeated ``doc_id`` rows are separate rows; rows without id are
+shuffled by their texts, rows of one id by size and text. An empty table gives an empty result.
+Extra columns are ignored here and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -22,19 +23,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import take, written
+from trackloom.llm.common import position, take, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 16_384
 BROADCAST_SOURCES = 20_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shuffle_key(doc_id: Column) -> Column:
-    """60 bits of md5: the same shuffle at every run and in every engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, text: Column) -> Column:
+    """60 bits of md5 of the id, or of the text without one: the same at every run and in every engine."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = PASSES) -> DataFrame:
@@ -63,17 +64,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    df = take(docs, _id=doc_id, _src=source, _text=text)
+def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
+    """``_id, _src, size, _row`` and the columns that fix the order inside a source.
+
+    ``_row`` is the column ``row``, or a number that holds once the result is written.
+    """
+    df = take(docs, _id=doc_id, _src=source, _text=text, _row=row or "")
+    text_ = F.col("_text").cast("string")
     return df.select(
         "_id",
         F.col("_src").cast("string").alias("_src"),
-        F.coalesce(F.regexp_count(F.col("_text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        shuffle_key(F.col("_id")).alias("_key"),
+        F.coalesce(F.regexp_count(text_, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        shuffle_key(F.col("_id"), text_).alias("_key"),
+        F.xxhash64(text_).alias("_text_hash"),
+        (F.col("_row") if row else F.monotonically_increasing_id()).alias("_row"),
     )
 
 
-def queued(sizes: DataFrame, targets: DataFrame, order: list[str]) -> DataFrame:
+ORDER = ["_key", "size", "_text_hash", "_row"]
+
+
+def queued(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """``sizes`` with the target columns and ``_start``: words of the source before the row."""
     if targets.count() <= BROADCAST_SOURCES:  # bounded by the check; else a shuffle join
         targets = F.broadcast(targets)
@@ -85,76 +96,67 @@ def queued(sizes: DataFrame, targets: DataFrame, order: list[str]) -> DataFrame:
     parts = parts.select(
         F.col("_src").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("_src", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_src", "_bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_cum", F.sum("size").over(inside) - F.col("size"))
     rows = rows.join(parts, rows["_src"].eqNullSafe(parts["_s"]) & (rows["_bucket"] == parts["_b"]))
     return rows.withColumn("_start", F.col("_offset") + F.col("_cum")).drop("_s", "_b", "_offset", "_cum", "_bucket")
 
 
-def _served(round_: int, cut: float = 1.0) -> Column:
-    """Words of the row that its source has been served in a round, up to the cut."""
-    left = F.floor(F.col("target") * cut).cast("long") - round_ * F.col("source_size") - F.col("_start")
-    return F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
+def entries(rows: DataFrame, passes: int = PASSES) -> DataFrame:
+    """Every ``round`` of every row of ``queued`` that has words, with its ``virtual_finish``."""
+    finish = (F.col("round") * F.col("source_size") + F.col("_start") + F.col("size")) / F.col("target")
+    out = rows.filter("size > 0").withColumn("round", F.explode(F.array(*[F.lit(k) for k in range(passes)])))
+    return out.withColumn("virtual_finish", finish)
 
 
-def mixed(docs: DataFrame, budget: int | None = None, passes: int = PASSES, **names: str) -> DataFrame:
-    """Entries of the mix: ``_id, source, round, size, words, virtual_finish``, range-sorted."""
-    sizes = written(sized(docs, **names), "mix")
-    targets = source_targets(sizes, most=passes)
-    cut = 1.0
-    if budget is not None:
-        total = targets.agg(F.sum("target")).first()[0] or 0.0
-        cut = min(1.0, budget / total) if total else 0.0
-    rows = queued(sizes, targets, ["_key", "size"])
-    entries = rows.withColumn(
-        "_e",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("round"),
-                        _served(k, cut).alias("words"),
-                        ((k * F.col("source_size") + F.col("_start") + F.col("size")) / F.col("target")).alias("virtual_finish"),
-                    )
-                    for k in range(passes)
-                ]
-            )
-        ),
-    )
-    out = entries.select("_id", F.col("_src").alias("source"), "size", "_e.*").filter("words > 0")
-    return out.repartitionByRange("virtual_finish", "source", "_id").sortWithinPartitions("virtual_finish", "source", "_id")
+def taken_entries(queue: DataFrame, budget: int, rows: int) -> DataFrame:
+    """The entries that come first by virtual finish, as far as their words fit into ``budget``.
 
+    A range is a stretch of finish times. Up to time 1 all sources together are served
+    their targets, so ``rows / ROWS_PER_BUCKET`` ranges up to there hold about as many rows each.
+    """
+    ranges = max(1, -(-rows // ROWS_PER_BUCKET))
+    queue = queue.withColumn("_range", F.floor(F.col("virtual_finish") * ranges).cast("long"))
+    sums = queue.groupBy("_range").agg(F.sum("size").alias("_words"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).filter(F.col("_before") < budget).drop("_words")
+    inside = Window.partitionBy("_range").orderBy("virtual_finish", F.col("_src").asc_nulls_last(), "round", *ORDER)
+    inside = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ordered = queue.join(sums, "_range").withColumn("_end", F.col("_before") + F.sum("size").over(inside))
+    return ordered.filter(F.col("_end") <= budget)
 
-def mixed_documents(docs: DataFrame, passes: int = PASSES, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, once per round, in service truncated.
 
-    All columns stay; a text cut short keeps its leading words and the white space
-    between them.
-    """
+def mix(sizes: DataFrame, budget: int | None = None, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
+    """(queue, taken entries) of the written ``sizes``; ``budget`` in words, if below the targets' sum."""
+    facts = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("rows")).first()
+    full = int(min(SHARE, passes) * facts["words"])
+    queue = written(queued(sizes, source_targets(sizes, most=passes)), "queue")
+    return queue, taken_entries(entries(queue, passes), full if budget is None else min(budget, full), facts["rows"])
+
+
+def mixed(docs: DataFrame, budget: int | None = None, passes: int = PASSES, **names: str) -> DataFrame:
+    """Entries of the mix in its order: ``_id, source, round, size, virtual_finish``, range-sorted."""
+    _, taken = mix(written(sized(docs, **names), "mix"), budget, passes)
+    out = taken.select("_id", F.col("_src").alias("source"), "round", "size", "virtual_finish", "_end")
+    return out.repartitionByRange("_end").sortWithinPartitions("_end").drop("_end")
+
+
+def mixed_documents(docs: DataFrame, budget: int | None = None, passes: int = PASSES, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, whole, once per round; all columns stay."""
     names = docs.columns
-    flat = docs.toDF(*[f"_k{i}" for i in range(len(names))])
-    t = f"_k{names.index(text)}"
-    row = F.struct(*[F.col(f"_k{i}") for i in range(len(names))])
-    wide = flat.select(
-        F.col(f"_k{names.index(source)}").cast("string").alias("_src"),
-        F.coalesce(F.regexp_count(F.col(t), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        shuffle_key(F.col(f"_k{names.index(doc_id)}")).alias("_key"),
-        row.alias("_row"),
-    )
-    narrow = written(sized(docs, text, source, doc_id), "mix")
-    ordered = queued(wide, source_targets(narrow, most=passes), ["_key", "size"])
-    taken = ordered.withColumn("_words", F.explode(F.array(*[_served(k) for k in range(passes)]))).filter("_words > 0")
-    pieces = F.split(F.col(f"_row.{t}"), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
-    lead = F.when(F.get(pieces, F.lit(0)).rlike("[^\\x20\\x09-\\x0D]"), 0).otherwise(1)
-    cut = F.when(F.col("_words") >= F.col("size"), F.col(f"_row.{t}")).otherwise(
-        F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int") + lead), "")
-    )
-    return taken.select(*[(cut if n == text else F.col(f"_row._k{i}")).alias(n) for i, n in enumerate(names)])
+    flat = docs.toDF(*[f"_k{i}" for i in range(len(names))]).withColumn("_row", F.monotonically_increasing_id())
+    flat = written(flat, "rows")
+    at = [f"_k{position(names, n)}" for n in (text, source, doc_id)]
+    _, taken = mix(written(sized(flat, *at, row="_row"), "mix"), budget, passes)
+    rounds = taken.groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    out = flat.join(rounds, "_row").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return out.select(*[F.col(f"_k{i}").alias(n) for i, n in enumerate(names)])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns of query op7."""
-    sizes = written(sized(docs), "mix")
-    rows = queued(sizes, source_targets(sizes), ["_key", "size"])
-    taken = sum((_served(k) for k in range(1, PASSES)), _served(0))
-    return rows.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
+    queue, taken = mix(written(sized(docs), "mix"))
+    words = taken.groupBy("_row").agg(F.sum("size").alias("_taken"))
+    return queue.join(words, "_row", "left").select(
+        F.col("_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken")
+    )

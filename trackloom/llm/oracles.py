@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trackloom.llm import urlgraph
-from trackloom.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW
+from trackloom.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, STOP_WORDS_BYTES, STOP_WORDS_FROM, WINDOW
 
 SPACE_CHARS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,7 +51,7 @@ WITH d AS (
 ), cover AS (
   SELECT r, count(DISTINCT i + k) AS n FROM again, range(0, {WINDOW}) AS t(k) GROUP BY r
 ), c AS (
-  SELECT w.r, doc_id, CAST(len(words) AS BIGINT) AS n_words,
+  SELECT w.r, doc_id, CAST(len(words) AS BIGINT) AS n_words, strlen(text) AS n_bytes, length(text) AS n_chars,
     CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     len(regexp_extract_all(text, '!!')) AS n_shouts,
@@ -64,7 +64,8 @@ WITH d AS (
   FROM w LEFT JOIN cover USING (r)
 ), m AS (
   SELECT *, word_chars / nullif(n_words, 0) AS mean_word_length, n_symbols / nullif(n_words, 0) AS symbol_ratio,
-    n_shouts / nullif(n_words, 0) AS shout_ratio, n_stop / nullif(n_words, 0) AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
+    n_shouts / nullif(n_words, 0) AS shout_ratio, 
+    CASE WHEN n_words >= {STOP_WORDS_FROM} AND n_bytes <= {STOP_WORDS_BYTES}::DOUBLE * n_chars THEN n_stop / n_words END AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
     n_bullets / nullif(n_lines, 0) AS bullet_line_ratio, n_ellipsis / nullif(n_lines, 0) AS ellipsis_line_ratio,
     n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
   FROM c
@@ -78,7 +79,7 @@ FROM m
 MIXING = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank
@@ -92,14 +93,18 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM v
 ), q AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT r, doc_id, d.source, key, size, source_size, target,
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, size, r ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT r, source, round, key, size, CAST(round * source_size + start + size AS DOUBLE) / target AS finish
+  FROM q, (VALUES (0), (1)) AS v(round) WHERE size > 0
+), m AS (
+  SELECT r, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, round, key, size, r ROWS UNBOUNDED PRECEDING) AS upto FROM e
+), k AS (
+  SELECT r, sum(size) AS taken FROM m WHERE upto <= (SELECT floor(1.5::DOUBLE * CAST(sum(size) AS DOUBLE)) FROM d) GROUP BY r
 )
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, CAST(floor(target) AS BIGINT) - start))
-    + greatest(0, least(size, CAST(floor(target) AS BIGINT) - source_size - start)) AS BIGINT) AS taken
-FROM q
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (r)
 """
 
 
@@ -147,6 +152,6 @@ WITH u AS (
   FROM s{urlgraph.ROUNDS} GROUP BY host
 )
 SELECT page_id, f.host, path, fit.rule AS rule,
-  coalesce(fit.verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {urlgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(fit.verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {urlgraph.THRESHOLD} * (coalesce(distrust, 0) + coalesce(trust, 0)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM f LEFT JOIN z ON f.host = z.host
 """
