@@ -95,7 +95,10 @@ def firsts(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 class Tally:
-    """Distinct keys in order with their counts, added up stretch by stretch."""
+    """Distinct keys in order with their counts, added up stretch by stretch.
+
+    Counts of ``add`` take 32 bits: a task that counts has fewer than 2**31 places.
+    """
 
     def __init__(self, most: int = 1_000_000):
         self.most, self._parts, self._n = most, [], 0
@@ -104,7 +107,7 @@ class Tally:
         """Count each of ``keys`` ``weight`` times (0: it is known, without a count)."""
         keys = np.sort(keys)
         first = firsts(keys)
-        self.merge(keys[first], weight * np.diff(np.append(first, len(keys))))
+        self.merge(keys[first], (weight * np.diff(np.append(first, len(keys)))).astype(np.int32))
 
     def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self._parts.append((keys, counts))
@@ -122,15 +125,18 @@ class Tally:
         if len(self._parts) == 1:
             return self._parts[0]
         keys = np.concatenate([k for k, _ in self._parts])
+        counts = np.concatenate([c for _, c in self._parts])
+        self._parts = []
         order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        keys, counts = keys[order], counts[order]
+        del order
         first = firsts(keys)
-        counts = np.concatenate([c for _, c in self._parts])[order]
-        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        return keys[first], np.add.reduceat(counts, first, dtype=counts.dtype) if len(first) else counts
 
 
 def packed(n: np.ndarray) -> bytes:
     """64-bit numbers, their bytes in planes, squeezed."""
+    n = n if n.dtype.itemsize == 8 else n.astype(np.int64)
     planes = np.ascontiguousarray(n).view(np.uint8).reshape(-1, 8).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
 

@@ -42,8 +42,8 @@ TOP_WINDOWS = 2_000_000
 #: Bytes of text for each shard of windows and words.
 BYTES_PER_SHARD = 16 << 20
 #: Distinct keys that a worker sums up before it sends them on.
-KEYS_IN_HAND = 1_000_000
-STRETCH = 1 << 20  # bytes of text at once
+KEYS_IN_HAND = 800_000
+STRETCH = 1 << 19  # bytes of text at once
 END_HASH = np.uint64(0x656E64206F662074)
 #: Logarithms are summed as whole numbers of these parts.
 SCORE_UNIT = 10**7
@@ -95,13 +95,14 @@ def counted(docs: DataFrame, keys_of: Callable, place_of: Callable, shards: int)
         tally = bitmix.Tally(KEYS_IN_HAND)
         for batch in batches:
             learn = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for some, weight in ((learn, 1), (~learn, 0)):
-                texts = batch.column(1).filter(pa.array(some))
-                for a, b in hashing.slices(texts, STRETCH):
-                    tally.add(keys_of(texts.slice(a, b - a))[0], weight)
-                    if tally.full():
-                        yield rows_of(tally)
-                        tally = bitmix.Tally(KEYS_IN_HAND)
+            for a, b in hashing.slices(batch.column(1), STRETCH):
+                keys, size = keys_of(batch.column(1).slice(a, b - a))
+                taken = np.repeat(learn[a:b], size)
+                tally.add(keys[taken], 1)
+                tally.add(keys[~taken], 0)
+                if tally.full():
+                    yield rows_of(tally)
+                    tally = bitmix.Tally(KEYS_IN_HAND)
         yield rows_of(tally)
 
     def gather(key, table):
@@ -205,11 +206,11 @@ class Lookup:
     """Values by 64-bit key, in three tries; a key that finds no free slot is not in the table."""
 
     TRIES = 3
-    MISS = np.int64(1) << 62  # of a slot that is free
-
     def __init__(self, keys: np.ndarray, counts: np.ndarray, values: np.ndarray):
         self.bits = max(8, int(2 * len(keys)).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
+        kind = np.int32 if np.abs(values).max(initial=0) < 1 << 29 else np.int64
+        self.MISS = kind(1 << 30) if kind is np.int32 else kind(1 << 62)  # of a slot that is free
         self.values = np.full(1 << self.bits, self.MISS)  # the lowest bit: whether the key has a count
         left = np.arange(len(keys))
         for k in range(self.TRIES):
@@ -234,7 +235,7 @@ class Lookup:
             value[left] = np.where(self.keys[slot] == keys[left], self.values[slot], self.MISS)
         found = value != self.MISS
         value[~found] = 0
-        return found, (value & 1).astype(bool), value >> 1
+        return found, (value & 1).astype(bool), (value >> 1).astype(np.int64)
 
 
 def frequent(rows: DataFrame, most: int) -> Lookup:
