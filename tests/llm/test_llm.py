@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -336,6 +337,91 @@ def test_jpeg_with_detail_is_decoded():
     assert np.abs(got - want).max() <= 0.51
 
 
+def plain_jpeg(blocks, restart=0, tables=True, width=None):
+    """A one-component frame of 8x8 blocks (DC, AC at the second place), coded with the tables of annex K.3."""
+    dc = mjpeg._codes(mjpeg.K3_DC_LUMA, list(range(12)))
+    ac = mjpeg._codes(mjpeg.K3_AC_LUMA, mjpeg._all_symbols(mjpeg.K3_AC_LUMA_SHORT))
+    amount = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
+    code = lambda c: format(c[0], f"0{c[1]}b")
+    scan, bits, last = b"", "", 0
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    for i, (d, a) in enumerate(blocks):
+        if restart and i and i % restart == 0:
+            scan += flush(bits) + bytes([0xFF, 0xD0 + (i // restart - 1) % 8])
+            bits, last = "", 0
+        bits += code(dc[abs(d - last).bit_length()]) + amount(d - last)
+        last = d
+        if a:
+            bits += code(ac[abs(a).bit_length()]) + amount(a)
+        bits += code(ac[0])
+    scan += flush(bits)
+    w = width or 8 * len(blocks)
+    out = b"\xff\xd8" + mjpeg._segment(0xDB, bytes([0] + [8] * 64)) + mjpeg._segment(0xC0, struct.pack(">BHHB", 8, 8 * (8 * len(blocks) // w), w, 1) + bytes([1, 0x11, 0]))
+    if tables:
+        out += mjpeg._segment(0xC4, bytes([0, *mjpeg.K3_DC_LUMA, *range(12)])) + mjpeg._segment(0xC4, bytes([16, *mjpeg.K3_AC_LUMA, *mjpeg._all_symbols(mjpeg.K3_AC_LUMA_SHORT)]))
+    if restart:
+        out += mjpeg._segment(0xDD, struct.pack(">H", restart))
+    return out + mjpeg._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+def test_default_tables_and_restart_intervals():
+    assert len(set(mjpeg.K3_AC_LUMA_SHORT)) == 37 == sum(mjpeg.K3_AC_LUMA[:-1]) and len(set(mjpeg.K3_AC_CHROMA_SHORT)) == 43 == sum(mjpeg.K3_AC_CHROMA[:-1])
+    r = random.Random(2)
+    blocks = [(r.randint(-120, 120), r.randint(-20, 20)) for _ in range(28)]
+    flat = [(d, 0) for d, _ in blocks]
+
+    def luma(jpeg):
+        h = mjpeg.parse_header(jpeg)
+        return mjpeg.decode_luma(np.frombuffer(jpeg * 2, np.uint8), np.array([h.size, h.size + len(jpeg)]), np.array([len(jpeg) - h.size - 2] * 2), h)
+
+    for some in (blocks, flat):
+        whole = luma(plain_jpeg(some, width=56))
+        assert whole.shape[:3] == (2, 4, 7)
+        assert (whole[0, :, :, 0, 0].ravel() == luma(plain_jpeg(some))[1, 0, :, 0, 0]).all()
+        for restart, tables in ((0, False), (1, True), (3, False), (7, True), (27, True), (28, False), (100, True)):
+            assert (luma(plain_jpeg(some, restart, tables, width=56)) == whole).all()
+    assert (luma(plain_jpeg(flat, width=56))[0, :, :, 0, 0].ravel() == [min(255, max(0, d + 128)) for d, _ in flat]).all()
+
+
+def test_avi_without_index_and_in_several_riffs():
+    body = random.Random(1).randbytes(192 * 7)
+    (whole,) = mjpeg.write([body])
+    at = whole.index(b"idx1")
+    cut = bytearray(whole[:at])
+    cut[4:8] = struct.pack("<I", at - 8)
+    assert mjpeg.read([bytes(cut)])[0][1][..., 0, 0].tobytes() == body
+    movi = whole[whole.index(b"movi") + 4 : at]
+    more = b"RIFF" + struct.pack("<I", len(movi) + 16) + b"AVIX" + b"LIST" + struct.pack("<I", len(movi) + 4) + b"movi" + movi
+    assert mjpeg.read([whole + more])[0][1][..., 0, 0].tobytes() == body * 2
+
+
+def test_damaged_media_have_no_clips(spark):
+    r = random.Random(9)
+    good = mjpeg.write([bytes([30] * 192 * 3)])[0], mjpeg._riff(b"".join(mjpeg._chunk(b"00dc", plain_jpeg([(5, 3)] * 16, 4, width=32)) for _ in range(3)), b"", 3)
+    bad = []
+    for k in range(1500):
+        data = bytearray(good[k % 2])
+        for _ in range(r.randint(1, 4)):
+            data[r.randrange(len(data))] = r.randrange(256)
+        if k % 5 == 0:
+            del data[r.randrange(len(data)) :]
+        bad.append(bytes(data))
+    read = failed = 0
+    for data in bad:
+        try:
+            mjpeg.read([data])
+            read += 1
+        except mjpeg.BadMedia:
+            failed += 1
+    assert read > 100 and failed > 100
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate([*good, *bad[:200]])], "media_id long, content binary")
+    assert {r["media_id"] for r in media.clips(df).collect()} >= {0, 1}
+
+
 # ---------------------------------------------------------------- op6: near duplicates
 
 

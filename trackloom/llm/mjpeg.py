@@ -2,7 +2,8 @@
 
 Frames are decoded side by side: one step reads the next block of every frame at once, so
 the cost of a step is shared by all frames of a batch. A frame is baseline, 8 bit, one
-scan; of several components the first (luma) is kept.
+scan, with or without restart intervals and Huffman tables of its own; of several components
+the first (luma) is kept.
 
 ``write`` stores samples without loss: each sample is one 8x8 block of even brightness, so
 only its DC coefficient is coded, and quantiser 8 makes that coefficient the sample.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -86,6 +88,33 @@ HEAD = (
     + _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0]))
 )
 
+# The tables of ITU-T T.81, annex K.3, which frames in an AVI may leave out. Lengths
+# count the codes of 1 to 16 bits; the symbols of DC tables are 0 to 11 in order.
+K3_DC_LUMA = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
+K3_DC_CHROMA = [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]
+K3_AC_LUMA = [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]
+K3_AC_CHROMA = [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]
+# Symbols of fewer than 16 bits; those of 16 bits are all others, in order.
+K3_AC_LUMA_SHORT = bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")
+K3_AC_CHROMA_SHORT = bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1")
+
+
+def _all_symbols(short: bytes) -> list[int]:
+    """The short codes' symbols, then every other pair of run (0-15) and size (1-10) in order."""
+    every = [run << 4 | size for run in range(16) for size in range(1, 11)]
+    return [*short, *[x for x in every if x not in short]]
+
+
+@lru_cache(maxsize=1)
+def default_tables() -> dict[int, np.ndarray]:
+    return {
+        0: _lookup(K3_DC_LUMA, list(range(12))),
+        1: _lookup(K3_DC_CHROMA, list(range(12))),
+        16: _lookup(K3_AC_LUMA, _all_symbols(K3_AC_LUMA_SHORT)),
+        17: _lookup(K3_AC_CHROMA, _all_symbols(K3_AC_CHROMA_SHORT)),
+    }
+
+
 # ---------------------------------------------------------------- writing
 
 
@@ -175,12 +204,35 @@ class Avi:
     sizes: np.ndarray
 
 
+def _walk(data: bytes, at: int, end: int) -> list[tuple[int, int]]:
+    """(start, size) of the video chunks of a movi list, in order, without its index."""
+    found = []
+    while at + 8 <= end:
+        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if kind == b"LIST":
+            found += _walk(data, at + 12, min(end, at + 8 + size))
+        elif kind[2:] in (b"dc", b"db") and at + 8 + size <= end:
+            found.append((at + 8, size))
+        at += 8 + size + (size & 1)
+    return found
+
+
 def read_index(data: bytes) -> Avi:
-    """Parse the RIFF structure; offsets are into ``data``."""
+    """Parse the RIFF structure; offsets are into ``data``.
+
+    The first RIFF's frames come from its index, or from its movi list where it has none; further
+    RIFFs of a large file (``AVIX``) are walked. Empty frames, which repeat the one before, go.
+    """
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise BadMedia("not a RIFF AVI")
-    fps, movi, entries = float(FPS), None, None
-    todo = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
+    fps, movi, entries = float(FPS), [], None
+    first = min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
+    todo = [(12, first)]
+    at = first + (first & 1)
+    while at + 12 <= len(data) and data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] == b"AVIX":
+        end = min(len(data), at + 8 + struct.unpack_from("<I", data, at + 4)[0])
+        todo.insert(0, (at + 12, end))
+        at = end + (end & 1)
     while todo:
         at, end = todo.pop()
         while at + 8 <= end:
@@ -188,24 +240,31 @@ def read_index(data: bytes) -> Avi:
             if kind == b"LIST":
                 inner = data[at + 8 : at + 12]
                 if inner == b"movi":
-                    movi = at + 8
+                    movi.append((at + 8, min(end, at + 8 + size)))
                 elif inner in (b"hdrl", b"strl"):
                     todo.append((at + 12, min(end, at + 8 + size)))
             elif kind == b"strh" and data[at + 8 : at + 12] == b"vids" and size >= 32:
                 scale, rate = struct.unpack_from("<II", data, at + 28)
                 fps = rate / scale if scale and rate else fps
-            elif kind == b"idx1":
+            elif kind == b"idx1" and at < first:
                 entries = np.frombuffer(data, "<u4", min(size, len(data) - at - 8) // 16 * 4, at + 8).reshape(-1, 4)
             at += 8 + size + (size & 1)
-    if movi is None or entries is None:
-        raise BadMedia("no movi list or no index")
-    video = entries[(entries[:, 0] >> 16) == int.from_bytes(b"dc", "little")].astype(np.int64)
-    starts, sizes = video[:, 2], video[:, 3]
-    if len(starts) and data[starts[0] : starts[0] + 4][2:4] != b"dc":  # offsets from movi, not from the file
-        starts = starts + movi
-    if len(starts) and (starts + 8 + sizes).max() > len(data):
+    if not movi:
+        raise BadMedia("no movi list")
+    movi.sort()
+    if entries is None or not len(entries):
+        frames = np.array([f for a, b in movi for f in _walk(data, a + 4, b)], np.int64).reshape(-1, 2)
+        starts, sizes = frames[:, 0], frames[:, 1]
+    else:
+        video = entries[(entries[:, 0] >> 16) == int.from_bytes(b"dc", "little")].astype(np.int64)
+        starts, sizes = video[:, 2], video[:, 3]
+        if len(starts) and data[starts[0] : starts[0] + 4][2:4] != b"dc":  # offsets from movi, not from the file
+            starts = starts + movi[0][0]
+        more = np.array([f for a, b in movi if a >= first for f in _walk(data, a + 4, b)], np.int64).reshape(-1, 2)
+        starts, sizes = np.append(starts + 8, more[:, 0]), np.append(sizes, more[:, 1])
+    if len(starts) and ((starts + sizes).max() > len(data) or starts.min() < 0):
         raise BadMedia("index points past the end")
-    return Avi(fps, starts + 8, sizes)
+    return Avi(fps, starts[sizes > 0], sizes[sizes > 0])
 
 
 @dataclass
@@ -251,6 +310,7 @@ def parse_header(jpeg: bytes) -> Header:
         elif marker == 0xDA:
             h.scan = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
             h.size = at + 2 + size
+            h.tables = default_tables() | h.tables
             if not h.parts or any(t not in h.tables for _, d, a in h.scan for t in (d, 16 + a)):
                 raise BadMedia("a table is missing")
             return h
@@ -268,27 +328,29 @@ def _destuffed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
     return raw[~after], np.concatenate([[0], ends[:-1]]), ends
 
 
-def decode_luma(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: Header) -> np.ndarray:
-    """First component of frames that share ``h``: (frame, block row, block column, 8, 8)
-    pixels, or (frame, row, column, 1, 1) when all blocks of all frames are flat.
+def _intervals(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the ``n`` restart intervals of every scan, frames x intervals."""
+    out = np.empty((2, len(starts), n), np.int64)
+    for f, (a, size) in enumerate(zip(starts, sizes)):
+        scan = data[a : a + size]
+        marks = np.flatnonzero((scan[:-1] == 0xFF) & (scan[1:] >= 0xD0) & (scan[1:] <= 0xD7))
+        if len(marks) != n - 1:
+            raise BadMedia("restart markers are missing")
+        begin = np.concatenate([[0], marks + 2])
+        out[0, f], out[1, f] = a + begin, np.append(marks, size) - begin
+    return out[0], out[1]
+
+
+def _extend(value, size):
+    return np.where((size > 0) & (value < (1 << np.maximum(size - 1, 0))), value - (1 << size) + 1, value)
 
-    ``starts`` and ``sizes`` are those of the scans. All frames move on together, block by
-    block.
-    """
-    if h.restart:
-        raise BadMedia("restart intervals are not supported")
-    by_id = {p[0]: p for p in h.parts}
-    most_x, most_y = max(p[1] for p in h.parts), max(p[2] for p in h.parts)
-    across, down = -(-h.width // (8 * most_x)), -(-h.height // (8 * most_y))
-    lone = len(h.scan) == 1
-    plan = []  # blocks of one unit: component, x, y
-    for k, (ident, _, _) in enumerate(h.scan):
-        _, nx, ny, _ = by_id[ident]
-        plan += [(k, x, y) for y in range(1 if lone else ny) for x in range(1 if lone else nx)]
-    if lone:
-        across, down = -(-h.width // 8), -(-h.height // 8)
-    fx, fy = (1, 1) if lone else by_id[h.scan[0][0]][1:3]
 
+def _decode_units(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: Header, units: int, plan: list[int]) -> tuple[np.ndarray, dict]:
+    """Blocks of the first component in ``units`` units of each scan: (DC by unit and block, all
+    coefficients of the blocks that have some, by (unit, block)).
+
+    ``plan`` names the component of each block of a unit. All scans move on together.
+    """
     raw, first, ends = _destuffed(data, starts, sizes)
     n = len(starts)
     padded = np.concatenate([raw, np.full(8, 255, np.uint8)]).astype(np.uint64)
@@ -299,22 +361,18 @@ def decode_luma(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: Head
     bit, limit = first * 8, ends * 8
     last_word = len(words) - 1
     prediction = np.zeros((len(h.scan), n), np.int64)
-    quant = h.quant[by_id[h.scan[0][0]][3]]
-    flat = np.zeros((n, down * fy, across * fx), np.int64)
+    flat = np.zeros((n, units, plan.count(0)), np.int64)
     detail: dict[tuple[int, int], np.ndarray] = {}
-
-    def extend(value, size):
-        return np.where((size > 0) & (value < (1 << np.maximum(size - 1, 0))), value - (1 << size) + 1, value)
-
-    for unit in range(across * down):
-        for k, x, y in plan:
+    for unit in range(units):
+        number = 0
+        for k in plan:
             _, dc, ac = h.scan[k]
             window = words[np.minimum(bit >> 3, last_word)] << (bit & 7)  # 49 bits at least, from bit 55 on
             got = h.tables[dc][(window >> 40) & 0xFFFF]
             used, size = got >> 8, got & 255
             value = (window >> (56 - used - size)) & ((1 << size) - 1)
             used += size
-            prediction[k] += extend(value, size)
+            prediction[k] += _extend(value, size)
             got2 = h.tables[16 + ac][(window >> (40 - used)) & 0xFFFF]
             if not (got.all() and got2.all()):
                 raise BadMedia("a code that no table has")
@@ -330,7 +388,7 @@ def decode_luma(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: Head
                         raise BadMedia("a code that no table has")
                     used, symbol = got2 >> 8, got2 & 255
                     size, run = symbol & 15, symbol >> 4
-                    value = extend((window >> (56 - used - size)) & ((1 << size) - 1), size)
+                    value = _extend((window >> (56 - used - size)) & ((1 << size) - 1), size)
                     bit[live] += used + size
                     stop = (size == 0) & (run < 15)
                     at[live] += np.where(stop, 0, run + 1)
@@ -342,27 +400,76 @@ def decode_luma(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: Head
             else:
                 bit = bit + (got2 >> 8)
             if k == 0:
-                row, col = (unit // across) * fy + y, (unit % across) * fx + x
-                flat[:, row, col] = prediction[0]
+                flat[:, unit, number] = prediction[0]
                 if block is not None:
-                    detail[row, col] = block
+                    detail[unit, number] = block
+                number += 1
     if (bit > limit).any():
         raise BadMedia("a scan ends early")
+    return flat, detail
+
+
+def decode_luma(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, h: Header) -> np.ndarray:
+    """First component of frames that share ``h``: (frame, block row, block column, 8, 8)
+    pixels, or (frame, row, column, 1, 1) when all blocks of all frames are flat.
+
+    ``starts`` and ``sizes`` are those of the scans. All frames move on together, block by
+    block; restart intervals of a frame are scans of their own, side by side as well.
+    """
+    by_id = {p[0]: p for p in h.parts}
+    most_x, most_y = max(p[1] for p in h.parts), max(p[2] for p in h.parts)
+    lone = len(h.scan) == 1
+    across, down = (-(-h.width // 8), -(-h.height // 8)) if lone else (-(-h.width // (8 * most_x)), -(-h.height // (8 * most_y)))
+    plan = [k for k, (ident, _, _) in enumerate(h.scan) for _ in range(1 if lone else by_id[ident][1] * by_id[ident][2])]
+    fx, fy = (1, 1) if lone else by_id[h.scan[0][0]][1:3]
+    n, units = len(starts), across * down
+    if not units or 0 not in plan or 2 * units * len(plan) > 8 * int(sizes.min()):  # a block takes two bits at least
+        raise BadMedia("a scan is too short for its frame")
+    step = min(h.restart or units, units)
+    begin, length = _intervals(data, starts, sizes, -(-units // step)) if step < units else (starts[:, None], sizes[:, None])
+    dc, detail = np.zeros((n, units, fx * fy), np.int64), {}
+    for some, size in ((slice(0, units // step), step), (slice(units // step, None), units % step)):
+        lanes = begin[:, some]
+        if not size or not lanes.shape[1]:
+            continue
+        got, blocks = _decode_units(data, lanes.ravel(), length[:, some].ravel(), h, size, plan)
+        unit = some.start * step
+        dc[:, unit : unit + lanes.shape[1] * size] = got.reshape(n, -1, fx * fy)
+        for (u, number), block in blocks.items():
+            for j, one in enumerate(block.reshape(n, -1, 64).swapaxes(0, 1)):
+                detail[unit + j * size + u, number] = one
+
+    def grid(values: np.ndarray) -> np.ndarray:
+        """(frame, unit, block, ...) to (frame, row, column, ...)."""
+        tail = values.shape[3:]
+        values = values.reshape(n, down, across, fy, fx, *tail)
+        return values.swapaxes(2, 3).reshape(n, down * fy, across * fx, *tail)
+
+    quant = h.quant[by_id[h.scan[0][0]][3]]
     if not detail:
-        return np.clip(np.floor_divide(flat * quant[0] + 4, 8) + 128, 0, 255).astype(np.uint8)[..., None, None]
-    coef = np.zeros((*flat.shape, 64), np.int64)
-    for (row, col), block in detail.items():
-        coef[:, row, col] = block
-    coef[..., 0] = flat
+        return np.clip(np.floor_divide(grid(dc) * quant[0] + 4, 8) + 128, 0, 255).astype(np.uint8)[..., None, None]
+    coef = np.zeros((*dc.shape, 64), np.int64)
+    for (unit, number), block in detail.items():
+        coef[:, unit, number] = block
+    coef[..., 0] = dc
+    coef = grid(coef)
     square = np.zeros(coef.shape)
     square[..., ZIGZAG] = coef * quant
     k, x = np.arange(8)[:, None], np.arange(8)[None, :]
     basis = np.where(k == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * x + 1) * k * np.pi / 16)
-    pixels = basis.T @ square.reshape(*flat.shape, 8, 8) @ basis
+    pixels = basis.T @ square.reshape(*coef.shape[:3], 8, 8) @ basis
     return np.clip(np.rint(pixels) + 128, 0, 255).astype(np.uint8)
 
 
 def read(files: list[bytes]) -> list[tuple[Avi, np.ndarray | None]]:
+    """``_read``, where whatever damaged bytes lead to is ``BadMedia``."""
+    try:
+        return _read(files)
+    except (struct.error, IndexError, KeyError, ValueError, OverflowError) as error:
+        raise error if isinstance(error, BadMedia) else BadMedia(f"damaged: {error}") from error
+
+
+def _read(files: list[bytes]) -> list[tuple[Avi, np.ndarray | None]]:
     """(index, luma blocks) of each file; frames with equal headers are decoded together.
 
     Luma is (frame, row, column, 8 or 1, 8 or 1); None where a file has no frames.
