@@ -137,8 +137,12 @@ def checked(raw: DataFrame, topic: Column | str | None = None, value: str = "val
         "idempotency_key": F.col("idempotency_key") == idempotency_key(event, p),
     }
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
-    df = df.withColumn("reasons", F.when(~F.col("_ok"), F.array(F.lit("not_json_object"))).otherwise(failed))
-    return df.drop("_v", "_p", "_ok", "_keys", "_pkeys", *[f"_t_{f}" for f in fields], *[f"_p_{f}" for f in fields])
+    reasons = F.when(~F.col("_ok"), F.array(F.lit("not_json_object"))).otherwise(failed)
+    # One generated row: filters on its fields stay above it. Without it the optimizer copies the
+    # whole chain of checks into them, once for each use.
+    found = F.explode(F.array(F.struct(*FIELDS, reasons.alias("reasons")))).alias("_found")
+    kept = [c for c in raw.columns if c not in (*FIELDS, "reasons")]
+    return df.select(*kept, found).select(*kept, "_found.*")
 
 
 def valid(df: DataFrame) -> DataFrame:

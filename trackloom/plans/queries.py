@@ -684,7 +684,7 @@ def _(s, d):
     return FE(s, d).select("processing_ms", F.round(scalars.rms_db(F.col("processing_ms")), 6).alias("db"))
 
 
-@query("prj_audio_path", with_tables("tracks") + " SELECT track_id, '/music/' || substr(lpad(CAST(track_id AS VARCHAR), greatest(6, length(CAST(track_id AS VARCHAR))), '0'), 1, 3) || '/' || lpad(CAST(track_id AS VARCHAR), greatest(6, length(CAST(track_id AS VARCHAR))), '0') || '.mp3' AS path FROM tracks")
+@query("prj_audio_path", with_tables("tracks") + " SELECT track_id, '/music/' || substr(lpad(CAST(track_id AS VARCHAR), CAST(greatest(6, length(CAST(track_id AS VARCHAR))) AS INTEGER), '0'), 1, 3) || '/' || lpad(CAST(track_id AS VARCHAR), CAST(greatest(6, length(CAST(track_id AS VARCHAR))) AS INTEGER), '0') || '.mp3' AS path FROM tracks")
 def _(s, d):
     return T(s, d).select("track_id", scalars.audio_path(F.col("track_id"), "/music").alias("path"))
 
