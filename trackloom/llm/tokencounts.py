@@ -1,26 +1,33 @@
 """Delta-maintained token counts by source, language and tokenizer version.
 
 A batch of events becomes signed deltas (documents, tokens) summed per key and is
-committed under its batch id. Totals are the sum over committed batches; because deltas
-add up, order does not matter and a compacted snapshot may stand for any set of batches.
+committed under its batch id. Totals are maintained: every ``FOLD_EVERY`` batches the deltas
+since the last snapshot are added to it and the sums committed as the next one, so totals
+are read from one snapshot and fewer than ``FOLD_EVERY`` batches, however long the ledger is.
 
-Idempotence: a batch's rows are written to a folder of their own, and Spark's ``_SUCCESS``
-file in it is the commit. A batch id that is committed is left alone when it comes
-again; a folder without the file (a job that was cut off) is overwritten.
+Idempotence: a batch's rows are written to a folder of a name of its own; what commits it is
+a small file named after the batch id, created only if it is not there. Of two drivers that
+bring one batch, one creates the file and the other's folder counts for nothing, as does
+the folder of a job that was cut off. Snapshots are committed the same way and name the batches
+that they hold, so a snapshot that comes second changes nothing either.
 
-Events have ``doc_id, source, lang, version, op, n_tokens, old_tokens``: ``insert`` adds the
+Events have ``doc_id, source, lang, version, op, n_tokens, old_tokens, n_docs``: ``insert`` adds the
 document, ``delete`` takes it away with ``n_tokens`` as counted before, ``revise`` changes
-its count from ``old_tokens`` to ``n_tokens``. Defined results: null counts are 0, an
+its count from ``old_tokens`` to ``n_tokens``; ``n_docs`` (one where it is null or absent) says how many
+documents an event stands for, with their tokens summed. Defined results: null counts are 0, an
 unknown or null ``op`` changes nothing, null sources, languages and versions are keys of
 their own, repeated events count each time (one event, one row), an empty batch commits
-no rows. Extra columns are ignored.
+no rows. Extra columns are ignored. ``digest`` deletes copies by id: rows that repeat an id and its
+text are one document more each, and stay.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +37,22 @@ from trackloom.session import ship_package
 
 KEYS = ("source", "lang", "tokenizer_version")
 DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long"
+#: Batches since the last snapshot from which on a commit makes the next one.
+FOLD_EVERY = 16
 
 
 def deltas(events: DataFrame) -> DataFrame:
     """Signed deltas of a batch per key."""
     df = take(
-        events, source="source", lang="lang", tokenizer_version="version", _op="op", _new="n_tokens", _old="old_tokens"
+        events, source="source", lang="lang", tokenizer_version="version", _op="op", _new="n_tokens", _old="old_tokens", _docs="n_docs"
     )
+    docs = F.coalesce(F.col("_docs").cast("long"), F.lit(1))
     new, old = (F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("_new", "_old"))
     by_op = lambda i, d, r: F.when(F.col("_op") == "insert", i).when(F.col("_op") == "delete", d).when(F.col("_op") == "revise", r).otherwise(0)
     return (
         df.groupBy(*[F.col(k).cast("string").alias(k) for k in KEYS])
         .agg(
-            F.sum(by_op(F.lit(1), F.lit(-1), F.lit(0)).cast("long")).alias("d_docs"),
+            F.sum(by_op(docs, -docs, F.lit(0)).cast("long")).alias("d_docs"),
             F.sum(by_op(new, -new, new - old).cast("long")).alias("d_tokens"),
         )
         .filter("d_docs != 0 or d_tokens != 0")
@@ -50,30 +60,65 @@ def deltas(events: DataFrame) -> DataFrame:
 
 
 class TokenLedger:
-    """Committed batches of deltas under one folder (any file system that Spark writes)."""
+    """Committed batches of deltas and snapshots under one folder (any file system that Spark writes).
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    ``data`` holds folders of rows, ``commits`` a file per batch, ``snapshots`` a file per snapshot; a
+    file's first line names its folder, further lines of a snapshot the batches it holds.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fold_every: int = FOLD_EVERY):
+        self.spark, self.root, self.fold_every = spark, root.rstrip("/"), fold_every
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
+    def _lines(self, path: str) -> list[str]:
+        """Lines of a commit file; none where it is absent or its writer was cut off."""
+        fs, p = self._fs(path)
+        if not fs.exists(p):
+            return []
+        stream = fs.open(p)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return text.split("\n")[:-1] if text.endswith("\n.\n") else []
+
+    def _claim(self, path: str, lines: list[str]) -> bool:
+        """Create a commit file; False if another one was first. Half-written files are replaced."""
         fs, p = self._fs(path)
-        return fs.exists(p)
+        if fs.exists(p) and not self._lines(path):
+            fs.delete(p, False)
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as error:
+            if not fs.exists(p):
+                raise error
+            return False
+        stream.write(("\n".join([*lines, "."]) + "\n").encode())
+        stream.close()
+        return True
+
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _written(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.option("compression", "zstd").parquet(f"{self.root}/data/{name}")
+        return name
+
+    def _drop(self, name: str) -> None:
+        fs, p = self._fs(f"data/{name}")
+        fs.delete(p, True)
 
     def committed(self, batch_id: str) -> bool:
-        return self._exists(f"{self.root}/batches/{batch_id}/_SUCCESS")
+        return bool(self._lines(f"commits/{batch_id}"))
 
     def batches(self) -> list[str]:
         """Ids of committed batches; an id is a plain name such as ``2024-05-01T00``."""
-        fs, p = self._fs(f"{self.root}/batches")
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(n for n in names if self.committed(n))
+        return [n for n in self._names("commits") if self.committed(n)]
 
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Apply a batch once; False if it was committed before."""
@@ -81,21 +126,45 @@ class TokenLedger:
             raise ValueError(f"not a plain batch id: {batch_id!r}")
         if self.committed(batch_id):
             return False
-        out = deltas(events).coalesce(1)  # one row per key and batch
-        out.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/batches/{batch_id}")
+        name = self._written(deltas(events))
+        if not self._claim(f"commits/{batch_id}", [name]):
+            self._drop(name)
+            return False
+        if len(self._since()[2]) >= self.fold_every:
+            self.fold()
+        return True
+
+    def _since(self) -> tuple[int, list[str], list[str]]:
+        """(number of the last snapshot, its lines, batches that it does not hold)."""
+        for name in reversed(self._names("snapshots")):
+            if lines := self._lines(f"snapshots/{name}"):
+                return int(name), lines, sorted(set(self.batches()) - set(lines[1:]))
+        return 0, [], self.batches()
+
+    def _sums(self, held: list[str], later: list[str]) -> DataFrame:
+        """Deltas of a snapshot and later batches, added up per key."""
+        names = [*held[:1], *[self._lines(f"commits/{b}")[0] for b in later]]
+        if not names:
+            return self.spark.createDataFrame([], DELTA)
+        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.root}/data/{n}" for n in names])
+        return rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+
+    def fold(self) -> bool:
+        """Add the deltas since the last snapshot to it; False if there are none or another driver did."""
+        number, held, later = self._since()
+        if not later:
+            return False
+        name = self._written(self._sums(held, later).filter("d_docs != 0 or d_tokens != 0"))
+        if not self._claim(f"snapshots/{number + 1:012d}", [name, *held[1:-1], *later]):
+            self._drop(name)
+            return False
         return True
 
     def totals(self) -> DataFrame:
         """Current documents and tokens per key; keys whose documents are all gone drop out."""
-        paths = [f"{self.root}/batches/{b}" for b in self.batches()]
-        if not paths:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
-        rows = self.spark.read.schema(DELTA).parquet(*paths)
-        return (
-            rows.groupBy(*KEYS)
-            .agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-            .filter("n_docs != 0 or n_tokens != 0")
-        )
+        _, held, later = self._since()
+        sums = self._sums(held, later)
+        return sums.select(*KEYS, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens")).filter("n_docs != 0 or n_tokens != 0")
 
 
 def with_counts(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
@@ -125,6 +194,23 @@ def estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(F.coalesce(text.cast("string"), F.lit(""))) / 4).cast("long")
 
 
+def copies(counted: DataFrame) -> DataFrame:
+    """Delete events of all documents but those of the least id among equal texts (``_h1, _h2``).
+
+    Texts are counted per id, then per source and language, before they meet by text, so a text that
+    very many documents share is a few rows where it meets.
+    """
+    text, key = ["_h1", "_h2"], ["source", "lang", "version"]
+    per_id = counted.groupBy(*text, *key, "doc_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_tokens").alias("_t"))
+    least = F.min(F.struct(F.col("doc_id").cast("string").isNull().alias("null_id"), "doc_id", F.col("_n").alias("n"), F.col("_t").alias("t")))
+    per_key = per_id.groupBy(*text, *key).agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t"), least.alias("_least"))
+    first = per_key.groupBy(*text).agg(F.min(F.struct("_least.null_id", "_least.doc_id")).alias("_first"))
+    stays = F.col("_least.doc_id").eqNullSafe(F.col("_first.doc_id"))
+    gone = lambda n, least: F.col(n) - F.when(stays, F.col(f"_least.{least}")).otherwise(0)
+    out = per_key.join(first, text).select(*key, F.lit("delete").alias("op"), gone("_n", "n").alias("n_docs"), gone("_t", "t").alias("n_tokens"))
+    return out.filter("n_docs > 0")
+
+
 def digest(docs: DataFrame, version: str = "word_bpe_49k") -> DataFrame:
     """Query op1: a life of the corpus in three batches, one of them delivered twice.
 
@@ -145,10 +231,6 @@ def digest(docs: DataFrame, version: str = "word_bpe_49k") -> DataFrame:
     counted = spark.read.parquet(path)
     revise = counted.withColumn("op", F.lit("revise"))
     ledger.commit("exact", revise)
-    first = counted.groupBy("_h1", "_h2").agg(
-        F.min(F.struct(F.col("doc_id").cast("string").isNull().alias("n"), F.col("doc_id"))).alias("_first"), F.count(F.lit(1)).alias("_n")
-    ).filter("_n > 1")
-    copies = counted.join(first, ["_h1", "_h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("_first.doc_id")))
-    ledger.commit("copies", copies.withColumn("op", F.lit("delete")))
+    ledger.commit("copies", copies(counted))
     ledger.commit("exact", revise)  # delivered again: no effect
     return ledger.totals()
