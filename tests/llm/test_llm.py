@@ -229,12 +229,13 @@ def test_link_graph_over_ports_users_clashes_and_long_pages(spark):
         (1, "http://bad.net:8080/", None), (2, "http://farm.com/", "x" * 300_000 + '<a href="http://bad.net:8080/p"><img src=http://u:pw@friend.com/i>'),
         (3, "http://u:pw@friend.com/", ""), (3, "http://u:pw@friend.com/", ""), (None, "http://farm.com/q", ""),
     ]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("z").alias(c) for c in ("URL", "host", "_host", "score", "verdict", "_id")])
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = plain.select("*", *[F.lit("z").alias(c) for c in ("URL", "host", "_host", "score", "verdict", "_id")])
     rules = (("block", "bad.net:8080", "/"),)
     got = Counter((r["page_id"], r["host"], r["verdict"]) for r in urlgraph.filtered(df, rules).collect())
     assert got == {(1, "bad.net:8080", "block"): 1, (2, "farm.com", "block"): 1, (3, "u:pw@friend.com", "allow"): 2, (None, "farm.com", "block"): 1}
-    edges = urlgraph.host_edges(df.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("_host"), F.col("html").alias("_html")))
-    assert {tuple(r) for r in edges.collect()} == {("farm.com", "bad.net:8080", 1.0), ("farm.com", "u:pw@friend.com", 1.0)}
+    edges = urlgraph.host_edges(plain.select(F.split_part("url", F.lit("/"), F.lit(3)).alias("_host"), F.col("html").alias("_html")))
+    assert {tuple(r) for r in edges.collect()} == {("farm.com", "bad.net:8080", 1.0), ("farm.com", "u:pw@friend.com", 1.0), ("farm.com", "friend.com", 1.0)}  # reads as an address too
 
 
 # ---------------------------------------------------------------- op3, op7, op8
