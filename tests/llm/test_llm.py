@@ -254,10 +254,14 @@ def test_line_dedup(docs):
     assert sum(v for k, v in want.items() if k[2]) == 12
 
 
-def test_mixing(docs):
-    rows = mixing.digest(docs).collect()
+def mix_key(row):
+    return int(hashlib.md5(str(row[0] if row[0] is not None else row[1] or "").encode()).hexdigest()[:15], 16), len(words(row[1])), row[1] or ""
+
+
+def plain_mix(rows):
+    """(targets, sources in order, entries taken: finish, source, round, key, id, words) in plain loops."""
     size = Counter()
-    for i, text, lang, source, _ in ROWS:
+    for _, text, _, source, _ in rows:
         size[source] += len(words(text))
     order = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
@@ -272,25 +276,34 @@ def test_mixing(docs):
             full.add(s)
         left = 1.5 * sum(size.values()) - sum(target.values())
     target |= {s: left * weight[s] / w for s in order if s not in full}
-    def key(row):
-        return int(hashlib.md5(str(row[0] if row[0] is not None else row[1] or "").encode()).hexdigest()[:15], 16), len(words(row[1])), row[1] or ""
-
     queue = []
     for s in order:  # every source in its shuffled order, twice; then all by virtual finish
         done = 0
         for round_ in range(2):
-            for row in sorted((r for r in ROWS if r[3] == s), key=key):
+            for row in sorted((r for r in rows if r[3] == s), key=mix_key):
                 n = len(words(row[1]))
                 done += n
                 if n:
-                    queue.append((done / target[s], order.index(s), round_, key(row), row[0], n))
-    taken, left, entries_taken = Counter(), int(1.5 * sum(size.values())), []
-    for e in sorted(queue):
+                    queue.append((done / target[s], order.index(s), round_, mix_key(row), row[0], n))
+    left, taken = int(1.5 * sum(size.values())), []
+    for e in sorted(queue, key=lambda e: e[:4]):
         left -= e[5]
         if left < 0:
             break
+        taken.append(e)
+    return target, order, taken
+
+
+def test_mixing(docs):
+    rows = mixing.digest(docs).collect()
+    size = Counter()
+    for _, text, _, source, _ in ROWS:
+        size[source] += len(words(text))
+    key = mix_key
+    target, order, entries_taken = plain_mix(ROWS)
+    taken = Counter()
+    for e in entries_taken:
         taken[e[3]] += e[5]
-        entries_taken.append(e)
     same = Counter(key(r) for r in ROWS)
     want, got = Counter(), Counter()
     for r in ROWS:
@@ -487,9 +500,12 @@ def brute_classes(rows):
     return links, members
 
 
-@pytest.mark.parametrize("block", [512, 7])
+@pytest.mark.parametrize("block", [512, 7, "bytes"])
 def test_ngram_join(docs, block, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "BLOCK", block)  # small blocks: groups span several tiles
+    if block == "bytes":  # blocks of a few texts by their bytes
+        monkeypatch.setattr(ngramjoin, "BLOCK_BYTES", 3000)
+    else:  # small blocks: groups span several tiles
+        monkeypatch.setattr(ngramjoin, "BLOCK", block)
     got = Counter(map(tuple, ngramjoin.classes(docs).collect()))
     links, members = brute_classes(ROWS)
     want = Counter()
@@ -749,3 +765,94 @@ def test_verdict_is_free_of_the_number_of_hosts(spark):
     for n in (9, 9_000):
         got = urlgraph.filtered(df.filter(f"page_id < {n}")).filter("rule is null").groupBy("verdict").count().collect()
         assert [tuple(r) for r in got] == [("block", n // 3)]
+
+
+# ---------------------------------------------------------------- the pipeline
+
+
+def plain_kept(text):
+    """Quality rules of a text, counted by hand."""
+    w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+    grams = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    hit = {k + j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(5)}
+    if len(w) < 10 or 100 * len(hit) > 20 * len(w):
+        return False
+    n, m = len(w), len(lines)
+    share = lambda pattern: sum(bool(re.search(pattern, x)) for x in lines) / m
+    stop = sum(az(x) in quality.STOP_WORDS for x in w) / n if n >= 100 and len(text.encode()) <= 1.5 * len(text) else 1
+    return (
+        1.5 <= sum(map(len, w)) / n <= 20 and len(re.findall(r"[#*$%&|<>]", text)) / n <= 0.25 and text.count("!!") / n <= 0.25 and stop >= 0.01
+        and (m - len(set(lines))) / m <= 0.5 and share(r"^[ \t]*[-*•][ \t]") <= 0.9 and share(r"(\.\.\.|…)[ \t\r]*$") <= 0.5
+    )
+
+
+def plain_dedup(rows):
+    strip = lambda x: az(x.strip(" \t\n\x0b\x0c\r"))
+    seen = {}
+    for i, text, *_ in rows:
+        for k in {strip(x) for x in (text or "").split("\n")} - {""}:
+            seen.setdefault(k, set()).add(i)
+    out = []
+    for i, text, *rest in rows:
+        out.append((i, "\n".join(x for x in (text or "").split("\n") if len(seen.get(strip(x), ())) < 10), *rest))
+    return out
+
+
+def plain_distinct(rows):
+    """Of each class the row of least id; rows without words are classes of their own (repeats once)."""
+    _, members = brute_classes(rows)
+    best = [min((rows[i] for i in m), key=lambda r: (r[0] is None, r[0] or 0)) for m in members.values()]
+    worded = [r for r in best if words(r[1])]
+    return worded + [r for r in rows if not words(r[1])]
+
+
+def test_pipeline_by_plain_loops(spark, tmp_path):
+    import corpus_pipeline
+
+    more = [(500 + i, prose(14) + "\nCookies help us deliver our pages. \n" + prose(14), "en", f"s{i % 3}", 0) for i in range(11)]
+    more += [(520 + i, " !! ".join(prose(30).split()), "de", "s1", 0) for i in range(2)] + [(530, None, "en", None, None), (None, prose(40), None, None, None)]
+    rows = ROWS + more
+    extra = [F.lit(9).alias(c) for c in ("size", "label", "_row", "_text", "kept", "h", "round")]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *extra)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = df.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "line_dedup", "near_duplicates", "source_mix", "packing"]
+    pick = lambda d: Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in d.collect())
+    mine = lambda rs: Counter((i, t, lang, s) for i, t, lang, s, _ in rs)
+
+    def step(name, want):
+        out = stages[name](spark, spark.read.parquet(str(tmp_path / "now")) if (tmp_path / "now").exists() else docs, str(tmp_path))
+        assert out.columns == columns
+        assert pick(out) == mine(want)
+        out.write.mode("overwrite").parquet(str(tmp_path / "next"))
+        spark.read.parquet(str(tmp_path / "next")).write.mode("overwrite").parquet(str(tmp_path / "now"))
+        return want
+
+    kept = step("quality_rules", [r for r in rows if plain_kept(r[1])])
+    assert 0 < len(kept) < len(rows) - 5
+    lines = step("line_dedup", plain_dedup(kept))
+    assert sum("Cookies" in (r[1] or "") for r in lines) == 0
+    one = step("near_duplicates", plain_distinct(lines))
+    assert len(one) < len(lines)
+    taken = plain_mix(one)[2]
+    by_key = {mix_key(r): r for r in one}
+    final = step("source_mix", [by_key[e[3]] for e in taken])
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    placed, lengths = Counter(), Counter()
+    for r in pieces:
+        placed[r["doc_id"]] += r["length"]
+        lengths[r["sequence_id"]] += r["length"]
+    want = Counter()
+    for r in final:
+        want[r[0]] += len(plain_ids(r[1])) + 1
+    assert placed == want and max(lengths.values()) <= 4096
+    assert all(zlib.crc32(np.array([*plain_ids(r[1]), 2], "<u4").tobytes()) in {p["ids_crc32"] for p in pieces if p["doc_id"] == r[0]} for r in final if len(plain_ids(r[1])) < 200)
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

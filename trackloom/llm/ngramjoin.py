@@ -13,7 +13,7 @@
 
 Large buckets and groups are dealt into blocks by a hash, and each pair of blocks is a tile
 in a task of its own: no pair rows are written, no group meets in one task, and every pair
-is compared. N-gram sets are made again from the texts of grouped documents instead of
+is compared. Blocks are bounded by rows and by bytes, so a tile of long texts fits a worker. N-gram sets are made again from the texts of grouped documents instead of
 being stored for all.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a text of fewer words than
@@ -46,9 +46,9 @@ VALUES = ROWS * BANDS
 #: A pair is dropped when it reaches the threshold with less probability than this.
 TOLERANCE = 1e-6
 STEP = 8
-#: Texts in a block of a tile.
+#: Texts in a block of a tile, and bytes of them where texts are there themselves; a tile has two blocks.
 BLOCK = 512
-#: Documents whose n-grams are held at a time while hashing.
+BLOCK_BYTES = 8 << 20
 _A = (hashing.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * hashing.MULT)) | np.uint64(1)
 
 
@@ -248,7 +248,9 @@ def verified(groups: DataFrame, texts: DataFrame) -> DataFrame:
     documents are linked to ``a``. ``groups``: (``_rid``, ``label``); ``texts``: (``_rid``, ``_text``, ``_copies``).
     """
     needs = least_matches()
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    long = groups.join(texts.select("_rid", F.octet_length("_text").alias("_bytes")), "_rid").groupBy("label")
+    by_bytes = F.ceil(F.sum("_bytes") * (BLOCK / BLOCK_BYTES)).cast("long")
+    sizes = long.agg(F.greatest(F.count(F.lit(1)), by_bytes).alias("_n"))
     tiles = tiled(groups.join(sizes, "label"), "label", "_n").join(texts, "_rid")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +307,7 @@ def linked_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nulls = docs.filter("_id is null")
     texts = keyed_texts(near.union(nulls)).join(groups.select("_rid"), "_rid", "left_semi")
     texts = texts.groupBy("_rid").agg(F.first("_text").alias("_text")).join(sigs.select("_rid", "_copies"), "_rid")
+    texts = written(texts, "grouped-texts")
     path = shared_dir(spark, "links")
     verified(groups, texts).write.parquet(path)
     found = spark.read.schema("a binary, b binary, links long").parquet(path)

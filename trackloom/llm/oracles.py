@@ -155,3 +155,22 @@ SELECT page_id, f.host, path, fit.rule AS rule,
   coalesce(fit.verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {urlgraph.THRESHOLD} * (coalesce(distrust, 0) + coalesce(trust, 0)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM f LEFT JOIN z ON f.host = z.host
 """
+
+
+#: Every pair of documents that share a five-word window, by exact Jaccard; classes by the closure of the links.
+NGRAM_JACCARD = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({AZ.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 4), ' ') AS gram FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM g GROUP BY r), b AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.r < y.r GROUP BY ALL
+), e AS (
+  SELECT a, b FROM b JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE shared >= 0.8::DOUBLE * (p.n + q.n - shared) - 1e-9
+), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (
+  SELECT a, b FROM u UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a
+), c AS (
+  SELECT reach.a AS r, min(d.doc_id) AS least FROM reach JOIN d ON d.r = reach.b GROUP BY 1
+), k AS (SELECT a AS r, count(*) AS links FROM u GROUP BY 1)
+SELECT doc_id, coalesce(least(least, doc_id), least, doc_id) AS class_id, coalesce(links, 0) AS n_links FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)
+"""

@@ -72,6 +72,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filters": oracles.url_graph(),
         "op3_line_dedup": oracles.LINE_DEDUP,
+        "op6_ngram_jaccard": oracles.NGRAM_JACCARD,
         "op7_source_mixing": oracles.MIXING,
         "op8_quality_rules": oracles.quality_rules(),
     }
