@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import bitmix, hashing
-from trackloom.llm.common import take, written
+from trackloom.llm.common import release_memory, take, written
 from trackloom.session import ship_package
 
 #: Rows of the broadcast tables.
@@ -49,6 +49,7 @@ END_HASH = np.uint64(0x656E64206F662074)
 SCORE_UNIT = 10**7
 BASE_UNIT = 10**10
 SHARDS = "shard long, n long, keys binary, counts binary"
+VALUES = "key long, count long, value long"
 
 
 def held_out(doc_id: str) -> Column:
@@ -68,8 +69,9 @@ def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, n + 1
 
 
-def counted(docs: DataFrame, keys_of: Callable, place_of: Callable, shards: int) -> DataFrame:
-    """One row a shard: its distinct keys in order, with their counts over rows with ``_learn``.
+def counted(docs: DataFrame, keys_of: Callable, place_of: Callable, shards: int, result: Callable, schema: str) -> DataFrame:
+    """``result(shard, keys, counts)`` of each shard: its distinct keys in order, with their counts over
+    rows with ``_learn``.
 
     ``docs`` holds ``_learn`` and ``_text``; keys of other rows are there with what is counted, or 0.
     """
@@ -104,18 +106,35 @@ def counted(docs: DataFrame, keys_of: Callable, place_of: Callable, shards: int)
                     yield rows_of(tally)
                     tally = bitmix.Tally(KEYS_IN_HAND)
         yield rows_of(tally)
+        del tally
+        release_memory()
 
     def gather(key, table):
         tally = bitmix.Tally()
         for n, keys, counts in zip(*(table[c].to_pylist() for c in ("n", "keys", "counts"))):
             tally.merge(bitmix.unpacked_keys(keys, n), bitmix.unpacked(counts, n))
             tally.full()
-        keys, counts = tally.totals()
-        return pa.table(
-            {"shard": [key[0].as_py()], "n": [len(keys)], "keys": pa.array([bitmix.packed_keys(keys)], pa.binary()), "counts": pa.array([bitmix.packed(counts)], pa.binary())}
-        )
+        out = pa.Table.from_batches([result(key[0].as_py(), *tally.totals())])
+        del tally, table
+        release_memory()
+        return out
+
+    return docs.select("_learn", "_text").mapInArrow(send, SHARDS).groupBy("shard").applyInArrow(gather, schema)
+
+
+def packed_shard(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A shard as one row."""
+    data = [[shard], [len(keys)], [bitmix.packed_keys(keys)], [bitmix.packed(counts)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "n", "keys", "counts"])
 
-    return docs.select("_learn", "_text").mapInArrow(send, SHARDS).groupBy("shard").applyInArrow(gather, SHARDS)
+
+def word_rows(_: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows (``key``, ``count``, ``value``): log10 of each word's count plus one, in parts of ``BASE_UNIT``."""
+    return _rows(keys, counts, np.rint(np.log10(counts + 1.0) * BASE_UNIT).astype(np.int64))
+
+
+def _rows(keys: np.ndarray, counts: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64()), pa.array(value)], ["key", "count", "value"])
 
 
 def _arrays(n: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +172,8 @@ def mixer_of(shards: DataFrame, low: Broadcast) -> bitmix.Mixer:
         for keys, counts in _each_shard(table.to_batches()):
             for _, block in bitmix.blocks(keys, counts, low.value):
                 block.learn(mixer)
+                del block
+            release_memory()
         flat = np.concatenate([[mixer.bytes], (mixer.weights * mixer.bytes).ravel(), mixer.seen.ravel()])
         some = np.flatnonzero(flat)
         return pa.table({"cell": pa.array(some, pa.int64()), "value": pa.array(flat[some], pa.float64())})
@@ -180,23 +201,10 @@ def window_scores(shards: DataFrame, low: Broadcast, mixer: bitmix.Mixer) -> Dat
             for at, block in bitmix.blocks(keys, counts, low.value):
                 value[at] = block.log10_probabilities(scorer)
             out.append(_rows(keys, counts, np.rint(value * SCORE_UNIT).astype(np.int64)))
+            release_memory()
         return pa.Table.from_batches(out)
 
-    return shards.groupBy("shard").applyInArrow(score, "key long, count long, value long")
-
-
-def _rows(keys: np.ndarray, counts: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(value)], ["key", "count", "value"])
-
-
-def word_values(shards: DataFrame) -> DataFrame:
-    """(``key``, ``count``, ``value``): log10 of each word's count plus one, in parts of ``BASE_UNIT``."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, counts in _each_shard(batches):
-            yield _rows(keys, counts, np.rint(np.log10(counts + 1.0) * BASE_UNIT).astype(np.int64))
-
-    return shards.mapInArrow(rows, "key long, count long, value long")
+    return shards.groupBy("shard").applyInArrow(score, VALUES)
 
 
 # ---------------------------------------------------------------- documents
@@ -276,6 +284,7 @@ def added(docs: DataFrame, words: Broadcast, windows: Broadcast) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*[c.slice(a, b - a) for c in batch.columns[:-1]], *map(pa.array, numbers), rest_words, rest_windows], [*batch.schema.names[:-1], *names]
                 )
+        release_memory()
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     kinds = ["long"] * 5 + ["array<long>"] * 2
@@ -299,10 +308,10 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     shards = size // BYTES_PER_SHARD + 1
     learned = df.select((~F.col("_held")).alias("_learn"), "_text")
 
-    words = written(word_values(counted(learned, word_keys, hashing.mix, shards)), "words")
+    words = written(counted(learned, word_keys, hashing.mix, shards, word_rows, VALUES), "words")
     facts = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
 
-    table = written(counted(learned, bitmix.windows, bitmix.joint, shards), "windows")
+    table = written(counted(learned, bitmix.windows, bitmix.joint, shards, packed_shard, SHARDS), "windows")
     low = spark.sparkContext.broadcast(low_orders(table))
     windows = written(window_scores(table, low, mixer_of(table, low)), "window-scores")
 
