@@ -175,7 +175,7 @@ def routed(df: DataFrame, event_type: str) -> DataFrame:
 
 
 def envelopes(payloads: DataFrame, event_type: str, service: str, produced_at: Column, event_id: Column) -> DataFrame:
-    """Wrap typed payload rows as (key, value) records; null payload fields are left out."""
+    """Wrap typed payload rows as (key, value) records with sorted keys; null payload fields are left out."""
     spec = PAYLOADS[event_type]
     cols = {f: F.col(f) if f in payloads.columns else F.lit(None).cast(SQL_TYPES[k[0]]) for f, k in spec.items()}
     keyed = cols.get("track_id", cols.get("service_name"))
@@ -191,6 +191,8 @@ def envelopes(payloads: DataFrame, event_type: str, service: str, produced_at: C
         fields["payload"] = F.when(cols["labels_json"].isNull(), body).otherwise(
             F.concat(F.lit('{"labels_json":'), cols["labels_json"], F.lit(","), F.substring(body, 2, 1 << 30))
         )
-    head = F.to_json(F.struct(*[c.alias(f) for f, c in fields.items() if f != "payload"]))
-    value = F.concat(F.expr("'{\"payload\":'"), fields["payload"], F.lit(","), F.substring(head, 2, 1 << 30))
+    text = lambda names: F.to_json(F.struct(*[fields[f].alias(f) for f in names]))
+    before, after = [f for f in sorted(fields) if f < "payload"], [f for f in sorted(fields) if f > "payload"]
+    head = text(before)
+    value = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.expr("',\"payload\":'"), fields["payload"], F.lit(","), F.substring(text(after), 2, 1 << 30))
     return payloads.select(keyed.cast("string").alias("key"), value.alias("value"))

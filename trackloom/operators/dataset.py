@@ -6,6 +6,7 @@ tracks (with their segment counts), features and the manifest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -269,19 +270,24 @@ def bundle_summary(judged: DataFrame, accepted_rows: DataFrame, rejected: DataFr
 
 
 class Bundle:
-    """All tables of a dataset build, declared once and evaluated where they are used."""
+    """All tables of a dataset build, declared once and evaluated where they are used.
 
-    def __init__(self, tracks: DataFrame, features: DataFrame, manifest: DataFrame, summary: DataFrame):
-        self.reasons = segment_reasons(tracks, features, manifest)
+    ``stored`` (table, name to the table written and read again) cuts the plan at the tables that
+    many others rest on; give it where more than one of them is wanted.
+    """
+
+    def __init__(self, tracks: DataFrame, features: DataFrame, manifest: DataFrame, summary: DataFrame, stored: Callable[[DataFrame, str], DataFrame] = lambda df, name: df):
+        self.reasons = stored(segment_reasons(tracks, features, manifest), "reasons")
         self.unmatched = unmatched_manifest(features, manifest)
         self.rejected = rejected_segments(self.reasons, self.unmatched)
-        self.judged = track_reasons(tracks, self.reasons)
+        self.judged = stored(track_reasons(tracks, self.reasons), "judged")
         self.accepted = accepted_tracks(self.judged)
         self.labels = label_map(self.accepted)
         self.segments = accepted_segments(self.reasons, self.accepted, self.labels)
         self.splits = group_split(self.accepted)
-        self.rows = split_rows(self.segments, self.splits)
+        self.rows = stored(split_rows(self.segments, self.splits), "rows")
         kinds = ["run_id", "anomaly_type", "severity"]
-        self.anomalies = anomaly_rows(self.rejected).select(*kinds).unionAll(run_anomalies(summary).select(*kinds)).unionAll(no_accepted(self.judged).select(*kinds))
+        self.every_anomaly = anomaly_rows(self.rejected).unionByName(run_anomalies(summary), allowMissingColumns=True).unionByName(no_accepted(self.judged), allowMissingColumns=True)
+        self.anomalies = self.every_anomaly.select(*kinds)
         self.verdicts = quality_verdict(self.anomalies, tracks)
         self.summary = bundle_summary(self.judged, self.segments, self.rejected, self.labels, self.verdicts)

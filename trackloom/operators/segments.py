@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 import wave
 from collections.abc import Iterator
 from functools import lru_cache
@@ -91,13 +92,14 @@ def log_mel(samples: np.ndarray) -> np.ndarray:
     return np.pad(mel[:, :FRAMES], ((0, 0), (0, max(0, FRAMES - mel.shape[1]))), constant_values=0.0)
 
 
-FEATURES = "rms double, silent_flag boolean, mel_bins int, mel_frames int, mel_means array<double>, sample_rate int, duration_s double, error string"
+FEATURES = "rms double, silent_flag boolean, mel_bins int, mel_frames int, mel_means array<double>, sample_rate int, duration_s double, processing_ms double, error string"
 
 
 def features(segments: DataFrame, content: str = "content") -> DataFrame:
     """Segment rows with features of their WAV bytes; a row that cannot be read has ``error``.
 
-    ``rms`` is in dB with -60 in place of minus infinity. One map over Arrow batches; the mel
+    A row is one segment of at most ``SIZE_S``: the mel frames end there. ``rms`` is in dB with -60 in
+    place of minus infinity. One map over Arrow batches; the mel
     table is made once per worker.
     """
     ship_package(segments.sparkSession)
@@ -108,16 +110,17 @@ def features(segments: DataFrame, content: str = "content") -> DataFrame:
         for batch in batches:
             rows = []
             for data in batch.column(batch.num_columns - 1).to_pylist():
+                began = time.perf_counter()
                 try:
                     x, rate = decode_pcm(data or b"")
                     mel = log_mel(x)
                     db = rms_db(x)
                     silent = bool(np.std(mel, ddof=1) < SILENT_STD)
-                    rows.append((db if np.isfinite(db) else -60.0, silent, *mel.shape, mel.mean(axis=1).tolist(), rate, len(x) / rate, None))
+                    rows.append((db if np.isfinite(db) else -60.0, silent, *mel.shape, mel.mean(axis=1).tolist(), rate, len(x) / rate, 1000 * (time.perf_counter() - began), None))
                 except (ValueError, EOFError, wave.Error) as e:
-                    rows.append((None,) * 7 + (str(e) or type(e).__name__,))
-            cols = list(zip(*rows)) or [()] * 8
-            kinds = [pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.float64(), pa.string()]
+                    rows.append((None,) * 8 + (str(e) or type(e).__name__,))
+            cols = list(zip(*rows)) or [()] * 9
+            kinds = [pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.float64(), pa.float64(), pa.string()]
             names = [f.split()[0] for f in FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, k) for c, k in zip(cols, kinds)]], [*rest, *names])
 

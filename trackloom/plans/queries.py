@@ -477,9 +477,9 @@ GATE_SQL = with_tables("tracks", "features", "metrics", "manifest") + SUMMARY_SQ
   FROM (SELECT DISTINCT run_id FROM tracks) r LEFT JOIN aa USING (run_id) GROUP BY 1)"""
 
 
-def bundle(s: SparkSession, d: str) -> dataset.Bundle:
+def bundle(s: SparkSession, d: str, **options) -> dataset.Bundle:
     t = views.track_summary(T(s, d), FE(s, d)).drop("silent_segments", "silent_ratio", "avg_rms", "avg_processing_ms", "track_state")
-    return dataset.Bundle(t, FE(s, d), MF(s, d), summary_of(s, d))
+    return dataset.Bundle(t, FE(s, d), MF(s, d), summary_of(s, d), **options)
 
 
 GATES = {
@@ -532,7 +532,6 @@ GATES = {
 }
 for _name, (_sql, _pick) in GATES.items():
     query(_name, f"{GATE_SQL} SELECT {_sql}")(lambda s, d, pick=_pick: pick(bundle(s, d)))
-QUERIES["ds_bundle"], SQL["ds_bundle"] = QUERIES["jn_split_rows"], SQL["jn_split_rows"]
 
 
 @query("gate_run_anomalies", ALL3 + SUMMARY_SQL + """ SELECT run_id, 'track_validation_failures' AS anomaly_type, 'warning' AS severity FROM summary WHERE validation_failures > 0 UNION ALL SELECT run_id, 'processing_errors_present', 'warning' FROM summary WHERE processing_error_count > 0
@@ -578,9 +577,6 @@ def _(s, d):
     return sinks.merged_metrics(None, M(s, d).withColumn("seq", F.col("event_id"))).select("event_id", "run_id", "metric_name", "metric_value")
 
 
-QUERIES["snk_metrics"], SQL["snk_metrics"] = QUERIES["win_metric_dedupe"], METRIC_DEDUPE
-
-
 @query("snk_checkpoint", with_tables("metrics") + """ SELECT 'g' AS consumer_group, json_extract_string(labels_json, '$.topic') AS topic_name, 0 AS partition_id, run_id, max(event_id) AS last_committed_offset, max(ts) AS updated_at
   FROM metrics WHERE json_extract_string(labels_json, '$.topic') IS NOT NULL GROUP BY ALL""")
 def _(s, d):

@@ -112,9 +112,6 @@ def _(s, d):
     return rows.select("idempotency_key", "trace_id", "artist_id")
 
 
-queries.QUERIES["snk_envelopes"], queries.SQL["snk_envelopes"] = queries.QUERIES["prj_envelope"], queries.SQL["prj_envelope"]
-
-
 @query("prj_segment_ready", with_tables("manifest") + " SELECT run_id, track_id, segment_idx, artifact_uri, 32000 AS sample_rate, false AS is_last_segment FROM manifest WHERE segment_idx < 100")
 def _(s, d):
     rows = contract.routed(contract.checked(segment_events(s, d)), "audio.segment.ready")
@@ -307,8 +304,7 @@ def _(s, d):
     head.coalesce(1).sortWithinPartitions("n").select("value").write.text(f"{path}/0")
     rows = T(s, d).select(line.alias("value"))
     rows.write.text(f"{path}/1")
-    names = readers.header_names(s, f"{path}/0")
-    raw = s.read.schema(", ".join(f"`{n}` string" for n in names)).option("nullValue", "").csv(f"{path}/1")
+    raw = readers.metadata_csv(s, f"{path}/*", header=f"{path}/0")
     return raw.select("track_id", F.col("`artist.id`").alias("artist"), F.col("`track.genre_top`").alias("genre"))
 
 
@@ -424,28 +420,43 @@ def _(s, d):
     return rows.agg(F.count(F.lit(1)).alias("artifacts"), F.count_if(scalars.sha256_ref(F.col("content")) != F.col("checksum")).alias("mismatches"))
 
 
-@query("src_artifacts")
-def _(s, d):
-    """Digests of the files of a stored table; file names differ at every run."""
+def named_files(s: SparkSession, d: str) -> str:
+    """Customers as text, a file for each nation; a line is a key and a name, by key."""
     path = shared(s, "files")
-    domain.table(s, d, "orders").write.parquet(path)
-    return readers.artifacts(s, path).select("size", "checksum")
+    c = domain.table(s, d, "customer").select("c_nationkey", "c_custkey", F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name").alias("value"))
+    c.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    return path
 
 
-queries.QUERIES["snk_file_inventory"] = queries.QUERIES["src_artifacts"]
+FILE_SQL = """SELECT CAST(c_nationkey AS VARCHAR) AS name, CAST(sum(strlen(line)) AS BIGINT) AS size, 'sha256:' || sha256(string_agg(line, '' ORDER BY c_custkey)) AS checksum, count(*) AS row_count
+  FROM (SELECT *, c_custkey || ',' || c_name || chr(10) AS line FROM customer) GROUP BY c_nationkey"""
 
 
-@query("set_bundle_files", "SELECT CAST(0 AS BIGINT) AS missing, CAST(1 AS BIGINT) AS unexpected")
+@query("src_artifacts", f"SELECT name, size, checksum FROM ({FILE_SQL})")
 def _(s, d):
-    path = shared(s, "bundle")
-    T(s, d).write.parquet(f"{path}/tracks")
-    found = readers.file_names(s, path).select(F.element_at(F.split("path", "/"), -2).alias("name")).distinct()
-    want = s.createDataFrame([("other",)], "name string").filter("false")
-    sides = reconcile.key_set_equal(want, found, ["name"])
-    return sides.select(F.col("only_left").alias("missing"), F.col("only_right").alias("unexpected"))
+    return readers.artifacts(s, named_files(s, d)).select(F.regexp_extract("path", "c_nationkey=(\\d+)", 1).alias("name"), "size", "checksum")
 
 
-queries.QUERIES["ds_bundle_check"], queries.SQL["ds_bundle_check"] = queries.QUERIES["set_bundle_files"], queries.SQL["set_bundle_files"]
+@query("snk_file_inventory", f"SELECT * FROM ({FILE_SQL}) ORDER BY name")
+def _(s, d):
+    path = named_files(s, d)
+    name = F.regexp_extract("path", "c_nationkey=(\\d+)", 1)
+    rows = s.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
+    out = sinks.inventory(s, path).select(name.alias("name"), "size", "checksum")
+    return out.join(rows.select(name.alias("name"), "row_count"), "name", "left").orderBy("name")
+
+
+@query("set_bundle_files", with_tables("tracks", "features") + """, w AS (SELECT run_id FROM features UNION SELECT 'run-none'), f AS (SELECT DISTINCT run_id FROM tracks WHERE run_id <> 'run-2' UNION SELECT 'other')
+  SELECT (SELECT count(*) FROM (FROM w EXCEPT FROM f)) AS missing, (SELECT count(*) FROM (FROM f EXCEPT FROM w)) AS unexpected""")
+def _(s, d):
+    """Folders that a bundle has against those that the runs want; one is purged and one is foreign."""
+    path = shared(s, "bundle")
+    sinks.overwrite(T(s, d), path)
+    sinks.purge_run(s, path, "run-2")
+    sinks.overwrite(T(s, d).limit(1).withColumn("run_id", F.lit("other")), path)
+    found = readers.file_names(s, path).select(F.regexp_extract("path", "run_id=([^/]+)/", 1).alias("run_id")).distinct()
+    want = FE(s, d).select("run_id").union(s.createDataFrame([("run-none",)], "run_id string")).distinct()
+    return reconcile.key_set_equal(want, found, ["run_id"]).select(F.col("only_left").alias("missing"), F.col("only_right").alias("unexpected"))
 
 
 @query("src_envelopes", "SELECT count(*) AS events FROM events")
@@ -476,8 +487,7 @@ def stored_state(s: SparkSession, d: str) -> DataFrame:
     """State documents written and read again."""
     path = shared(s, "state")
     state_documents(FE(s, d)).select(F.to_json(F.struct("run_id", "segments")).alias("value")).write.text(path)
-    rows = s.read.schema(readers.STATE).json(path)
-    return rows.select("run_id", F.explode("segments").alias("s")).select("run_id", "s.*")
+    return readers.processing_state(s, path)
 
 
 @query("src_processing_state", STATE_SQL)
@@ -518,56 +528,88 @@ def _(s, d):
 # ---------------------------------------------------------------- audio out of the documents
 
 
-def as_wav(text: Column) -> Column:
-    """A text's bytes as 8-bit mono PCM at 32 kHz, with a WAV header, by built-in functions."""
-    data = F.encode(text, "UTF-8")
+def as_wav(data: Column, channels: int = 1) -> Column:
+    """Bytes as 8-bit PCM at 32 kHz, with a WAV header, by built-in functions."""
     n = F.octet_length(data)
     little = lambda c: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
-    head = F.unhex(F.lit("57415645666D74201000000001000100007D0000007D00000100080064617461"))
+    two = f"{channels:02X}00"
+    rate = (32000 * channels).to_bytes(4, "little").hex()
+    head = F.unhex(F.lit(f"57415645666D742010000000" + "0100" + two + "007D0000" + rate + two + "0800" + "64617461"))
     return F.concat(F.unhex(F.lit("52494646")), little(n + 36), head, little(n), data)
 
 
+STRETCH = 3 * 32000
+
+
+def stretches(s: SparkSession, d: str) -> DataFrame:
+    """Documents' bytes cut into segments of three seconds, one after the other: ``doc_id, segment_idx, data``."""
+    docs = domain.table(s, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
+    cut = segments.windows(docs.withColumn("n", F.octet_length("bytes")), "n", STRETCH, STRETCH, 0)
+    return cut.select("doc_id", "segment_idx", F.substring(F.col("bytes"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("data"))
+
+
 def audio(s: SparkSession, d: str) -> DataFrame:
-    docs = domain.table(s, d, "documents").filter("doc_id is not null").select("doc_id", as_wav(F.coalesce("text", F.lit(""))).alias("content"))
-    return segments.features(docs)
+    return segments.features(stretches(s, d).select("doc_id", "segment_idx", as_wav(F.col("data")).alias("content")))
 
 
-@query("ft_pipeline")
+#: Bytes of the documents by segment, out of code points, and their level.
+BYTES_SQL = """WITH c AS (SELECT doc_id, unnest(list_transform(string_split({text}, ''), lambda c: unicode(c))) AS p FROM {table}), l AS (
+  SELECT doc_id, unnest(CASE WHEN p < 128 THEN [p] WHEN p < 2048 THEN [192 + (p >> 6), 128 + (p & 63)] WHEN p < 65536 THEN [224 + (p >> 12), 128 + ((p >> 6) & 63), 128 + (p & 63)]
+    ELSE [240 + (p >> 18), 128 + ((p >> 12) & 63), 128 + ((p >> 6) & 63), 128 + (p & 63)] END) AS b FROM c WHERE p >= 0 AND p IS NOT NULL
+), o AS (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id) - 1 AS i FROM l), r AS (
+  SELECT doc_id, CAST(i // 96000 AS INTEGER) AS segment_idx, sqrt(avg(((b - 128) / 128.0::DOUBLE) * ((b - 128) / 128.0::DOUBLE))) AS level, count(*) AS n FROM o GROUP BY ALL)"""
+LEVEL_SQL = BYTES_SQL.format(text="coalesce(text, '')", table="documents")
+
+
+@query("ft_pipeline", LEVEL_SQL + " SELECT doc_id, segment_idx, round(20 * log10(level), 3) AS rms, false AS silent_flag, 128 AS mel_bins, 300 AS mel_frames, 32000 AS sample_rate, NULL::VARCHAR AS error FROM r")
 def _(s, d):
-    return audio(s, d).select("doc_id", F.round("rms", 3).alias("rms"), "silent_flag", "mel_bins", "mel_frames", "sample_rate", "error")
+    return audio(s, d).select("doc_id", "segment_idx", F.round("rms", 3).alias("rms"), "silent_flag", "mel_bins", "mel_frames", "sample_rate", "error")
 
 
-@query("ft_shape", "SELECT count(*) FILTER (WHERE coalesce(text, '') <> '') AS shaped FROM documents")
+@query("ft_shape", "SELECT CAST(sum((strlen(text) + 95999) // 96000) AS BIGINT) AS shaped FROM documents WHERE text <> ''")
 def _(s, d):
     return audio(s, d).filter("mel_bins = 128 and mel_frames = 300 and duration_s > 0").agg(F.count(F.lit(1)).alias("shaped"))
 
 
-@query("seg_decode", "SELECT doc_id, strlen(coalesce(text, '')) / 32000.0::DOUBLE AS duration_s FROM documents")
+@query("seg_decode", "SELECT doc_id, strlen(text) / 32000.0::DOUBLE AS duration_s FROM documents WHERE text <> ''")
+def _(s, d):
+    return audio(s, d).groupBy("doc_id").agg((F.sum(F.round(F.col("duration_s") * 32000)) / 32000).alias("duration_s"))
+
+
+@query("ft_rms", LEVEL_SQL + " SELECT doc_id, segment_idx, round(20 * log10(level), 3) AS rms FROM r")
 def _(s, d):
-    return audio(s, d).select("doc_id", "duration_s")
+    return audio(s, d).select("doc_id", "segment_idx", F.round("rms", 3).alias("rms"))
 
 
-@query("ft_rms")
+@query("seg_mono", LEVEL_SQL + " SELECT doc_id, segment_idx, round(20 * log10(level / 2), 3) AS rms FROM r")
 def _(s, d):
-    return audio(s, d).select("doc_id", F.round("rms", 3).alias("rms"))
+    """Two channels, the second one silent: their mean has half the level."""
+    both = F.unhex(F.regexp_replace(F.hex("data"), "(..)", "$180"))
+    rows = stretches(s, d).select("doc_id", "segment_idx", as_wav(both, channels=2).alias("content"))
+    return segments.features(rows).select("doc_id", "segment_idx", F.round("rms", 3).alias("rms"))
 
 
 @query("ft_log_mel")
 def _(s, d):
-    """Mean of the mel bins' means, and the strongest bin."""
-    a = audio(s, d).filter("error is null")
-    return a.select("doc_id", F.round(F.aggregate("mel_means", F.lit(0.0), lambda x, y: x + y) / F.size("mel_means"), 3).alias("mel_mean"), F.array_position("mel_means", F.array_max("mel_means")).alias("peak"))
+    """Mean of the mel bins' means, and the strongest bin; a plain transform holds them in the tests."""
+    a = audio(s, d)
+    return a.select("doc_id", "segment_idx", F.round(F.aggregate("mel_means", F.lit(0.0), lambda x, y: x + y) / F.size("mel_means"), 3).alias("mel_mean"), F.array_position("mel_means", F.array_max("mel_means")).alias("peak"))
 
 
-@query("ft_silence")
+@query("ft_silence", "SELECT doc_id % 10 = 0 AS silent_flag, CAST(sum(CASE WHEN doc_id % 10 = 0 THEN 1 ELSE (strlen(text) + 95999) // 96000 END) AS BIGINT) AS segments FROM documents WHERE text <> '' GROUP BY 1")
 def _(s, d):
-    return audio(s, d).groupBy("silent_flag").agg(F.count(F.lit(1)).alias("documents"))
+    """Every tenth document is three seconds of silence instead."""
+    first = F.col("segment_idx") == 0
+    quiet = F.unhex(F.repeat(F.lit("80"), STRETCH))
+    rows = stretches(s, d).filter((F.col("doc_id") % 10 != 0) | first)
+    rows = rows.select("doc_id", "segment_idx", as_wav(F.when(F.col("doc_id") % 10 == 0, quiet).otherwise(F.col("data"))).alias("content"))
+    return segments.features(rows).groupBy("silent_flag").agg(F.count(F.lit(1)).alias("segments"))
 
 
 @query("seg_encode", """WITH n AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents), f AS (SELECT *, CASE WHEN n >= 96000 THEN (n - 96000) // 48000 + 1 ELSE 0 END AS f FROM n)
   SELECT doc_id, f + CASE WHEN n - f * 48000 > 32000 THEN 1 ELSE 0 END AS segments FROM f WHERE f + CASE WHEN n - f * 48000 > 32000 THEN 1 ELSE 0 END > 0""")
 def _(s, d):
-    docs = domain.table(s, d, "documents").select("doc_id", as_wav(F.coalesce("text", F.lit(""))).alias("content"))
+    docs = domain.table(s, d, "documents").select("doc_id", as_wav(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
     return segments.cut_segments(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("segments"))
 
 

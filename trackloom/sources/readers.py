@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ MANIFEST_COLUMNS = ("run_id", "track_id", "segment_idx", "artifact_uri", "checks
 
 def header_names(spark: SparkSession, path: str) -> list[str]:
     """Flattened names of a CSV with three header rows; only two lines come to the driver."""
-    first = [r[0].split(",") for r in spark.read.text(path).limit(2).collect()]
+    first = [next(csv.reader([r[0]])) for r in spark.read.text(path).limit(2).collect()]
     if len(first) < 2 or len(first[0]) != len(first[1]):
         raise ValueError("header rows differ in width")
     names, category = ["track_id"], ""
@@ -26,9 +27,12 @@ def header_names(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, empty text as null; header rows are told by their first column."""
-    names = header_names(spark, path)
+def metadata_csv(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """All columns as text, empty text as null; header rows are told by their first column.
+
+    ``header`` names the file that begins with the header rows, if ``path`` is several files.
+    """
+    names = header_names(spark, header or path)
     schema = ", ".join(f"`{n}` string" for n in names)
     rows = spark.read.schema(schema).option("nullValue", "").csv(path)
     return rows.filter(F.col("`track_id`").rlike("^\\s*\\d+\\s*$"))
@@ -119,8 +123,8 @@ STATE = "run_id string, segments array<struct<track_id: bigint, segment_idx: int
 
 
 def processing_state(spark: SparkSession, path: str) -> DataFrame:
-    """State documents exploded to ``run_id, track_id, segment_idx, silent_flag``; rows of bad type are an error."""
-    docs = spark.read.schema(STATE).option("multiLine", "true").json(path)
+    """State documents, one a line, exploded to ``run_id, track_id, segment_idx, silent_flag``; rows of bad type are an error."""
+    docs = spark.read.schema(STATE).json(path)
     rows = docs.select("run_id", F.explode("segments").alias("s")).select("run_id", "s.*")
     good = F.col("track_id").isNotNull() & F.col("segment_idx").isNotNull() & F.col("silent_flag").isNotNull()
     return rows.filter(F.assert_true(good, "state row of a wrong type").isNull())

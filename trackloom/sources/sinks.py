@@ -157,6 +157,11 @@ def publish(spark: SparkSession, root: str, name: str, build: Callable[[str], No
     return f"{root}/{name}"
 
 
+def publish_records(events: DataFrame, path: str) -> None:
+    """Records (``key``, ``value``) appended to a folder; a topic sink takes the same two columns."""
+    events.select("key", "value").write.mode("overwrite").parquet(path)
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """Files of a bundle with size and digest, by path."""
     return artifacts(spark, root).orderBy("path")
