@@ -154,13 +154,23 @@ def quarantined(df: DataFrame, value: str = "value") -> DataFrame:
     context = lambda f, t: F.try_variant_get(F.try_parse_json(F.col(value)), f"$.payload.{f}", t)
     return df.filter(F.size("reasons") > 0).select(
         value, "event_type", "run_id", "trace_id", context("track_id", "bigint").alias("track_id"), context("segment_idx", "int").alias("segment_idx"),
-        F.array_join("reasons", ";").alias("reasons"), failure_class(F.col("reasons")[0]).alias("failure_class"), F.lit(False).alias("retryable"),
+        F.array_join("reasons", ";").alias("reasons"), failure_class(F.col("reasons")[0]).alias("failure_class"), is_retryable(failure_class(F.col("reasons")[0])).alias("retryable"),
     )
 
 
+#: Failures of the surroundings, which another attempt may not meet; those of an event itself stay.
+RETRYABLE = ("artifact_missing", "checksum_mismatch", "artifact_not_ready", "publish_failed", "write_failed")
+
+
+def is_retryable(failure: Column) -> Column:
+    return F.coalesce(failure.isin(*RETRYABLE), F.lit(False))
+
+
 def failure_class(reason: Column) -> Column:
+    """Class of a rule that an event broke; classes of processing (``RETRYABLE``) pass as they are."""
     return (
-        F.when(reason == "not_json_object", "deserialization_error")
+        F.when(is_retryable(reason), reason)
+        .when(reason == "not_json_object", "deserialization_error")
         .when(reason.isin("payload", "run_mismatch"), "payload_validation_error")
         .otherwise("envelope_validation_error")
     )

@@ -2,18 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of a key's values that are ranked apart from each other.
+RANGES = 128
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` beside the rows of ``right`` of equal keys, nulls included; keys once."""
+    other = right.select([F.col(c).alias(f"_o_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return left.join(other, cond).drop(*[f"_o_{k}" for k in keys])
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """``keys`` and a column for each of ``points`` (name: share), interpolated between neighbours.
+
+    Exact, and no key's values meet in one task: distinct values are counted, dealt into ranges by
+    approximate cuts, and only the ranges that hold a wanted rank are ordered.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"), F.sum("_c").alias("_n"))
+    placed = _with(rows, cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+    ranks = []
+    for name, share in points.items():
+        at = F.lit(share) * (F.col("_n") - 1)
+        low = F.floor(at)
+        ranks += [F.struct(F.lit(name).alias("name"), (low + k).alias("rank"), (w(at - low)).alias("weight")) for k, w in ((0, lambda f: 1 - f), (1, lambda f: f))]
+    wanted = cuts.select(*keys, F.explode(F.array(*ranks)).alias("_w")).filter("_w.weight > 0")
+    held = _with(sums.withColumn("_before", before), wanted, keys).filter("_w.rank >= _before and _w.rank < _before + _m")
+    few = _with(placed, held.select(*keys, "_b", "_before").distinct(), [*keys, "_b"])
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumn("_end", F.col("_before") + F.sum("_c").over(inside)).drop("_before")
+    found = _with(few, held.select(*keys, "_b", "_w"), [*keys, "_b"]).filter("_w.rank >= _end - _c and _w.rank < _end")
+    part = lambda name: F.sum(F.when(F.col("_w.name") == name, F.col("_w.weight") * F.col("_v"))).alias(name)
+    return found.groupBy(*keys).agg(*[part(n) for n in points])
+
+
 def distribution(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
-    """count, min, p50, p95, max and mean; percentiles interpolate between neighbours."""
+    """count, min, p50, p95, max and mean; percentiles interpolate between neighbours (null without values)."""
     r = lambda c: F.bround(c, digits)
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    out = df.groupBy(*keys).agg(
-        F.count(value).alias("count"), r(F.min(value)).alias("min"), p.alias("_p"), r(F.max(value)).alias("max"), r(F.avg(value)).alias("mean")
-    )
-    return out.withColumns({"p50": r(F.col("_p")[0]), "p95": r(F.col("_p")[1])}).drop("_p")
+    out = df.groupBy(*keys).agg(F.count(value).alias("count"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"), r(F.avg(value)).alias("mean"))
+    points = percentiles(df, keys, value, {"p50": 0.5, "p95": 0.95}).select(*[F.col(k).alias(f"_p_{k}") for k in keys], "p50", "p95")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    return out.join(points, same, "left").select(*keys, "count", "min", "max", "mean", r(F.col("p50")).alias("p50"), r(F.col("p95")).alias("p95"))
 
 
 def totals(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:

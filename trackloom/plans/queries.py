@@ -691,9 +691,11 @@ def _(s, d):
     return T(s, d).select("track_id", scalars.validation_status(F.col("track_id") % 7 != 0, F.lit(True), F.col("duration_s"), F.lit(True), db).alias("status"))
 
 
-@query("flt_subset", with_tables("tracks") + " SELECT track_id, genre FROM tracks ORDER BY track_id")
+@query("flt_subset", with_tables("tracks") + " SELECT track_id, genre FROM tracks WHERE track_id % 3 <> 0 AND track_id % 4 <> 0 ORDER BY track_id")
 def _(s, d):
-    return readers.subset_rows(T(s, d), "small").select("track_id", "genre")
+    """Every third track is of another subset, every fourth has no genre."""
+    rows = T(s, d).withColumns({"subset": F.when(F.col("track_id") % 3 == 0, "large").otherwise(F.col("subset")), "genre": F.when(F.col("track_id") % 4 == 0, "").otherwise(F.col("genre"))})
+    return readers.subset_rows(rows, "small").select("track_id", "genre")
 
 
 @query("lim_max_tracks", with_tables("tracks") + " SELECT track_id, genre FROM tracks ORDER BY track_id LIMIT 25")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars
-from trackloom.operators import contract, dataset, reconcile, segments, views
+from trackloom.operators import contract, dataset, reconcile, segments, stats, views
 from trackloom.plans import domain, queries
 from trackloom.plans.domain import with_tables
 from trackloom.plans.queries import ALL3, FE, GATE_SQL, MF, SUMMARY_SQL, M, T, bundle, query, r6, summary_of
@@ -22,9 +22,11 @@ from trackloom.streaming import pipelines
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is set."""
+    """A new path in the cluster's shared folder; a local one only where none is set and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -196,10 +198,12 @@ def _(s, d):
     return domain.table(s, d, "events").select("event_id", scalars.finite_or_floor(db).alias("rms"))
 
 
-@query("chk_segment_audio", with_tables("manifest") + " SELECT run_id, track_id, segment_idx, true AS ok FROM manifest")
+@query("chk_segment_audio", with_tables("manifest") + " SELECT run_id, track_id, segment_idx, track_id % 5 <> 0 AND track_id % 7 <> 0 AS ok FROM manifest")
 def _(s, d):
+    """Every fifth track has another rate, every seventh a segment that is a sample too short and more."""
+    m = MF(s, d).withColumns({"sample_rate": F.when(F.col("track_id") % 5 == 0, 44100).otherwise(F.col("sample_rate")), "duration_s": F.when(F.col("track_id") % 7 == 0, 3.0 - 1.5 / 32000).otherwise(3.0 - 0.5 / 32000)})
     ok = (F.col("sample_rate") == segments.RATE) & ~(F.abs(F.col("duration_s") - segments.SIZE_S) > 1.0 / segments.RATE)
-    return MF(s, d).select("run_id", "track_id", "segment_idx", ok.alias("ok"))
+    return m.select("run_id", "track_id", "segment_idx", ok.alias("ok"))
 
 
 @query("flt_segment_uri", with_tables("features") + " SELECT count(*) AS good, CAST(0 AS BIGINT) AS bad FROM features")
@@ -262,8 +266,9 @@ def _(s, d):
 @query("prj_scaling", ALL3 + """, a AS (SELECT run_id, count(*) AS n, round(quantile_cont(processing_ms, 0.95), 9) AS p95 FROM features GROUP BY 1), b AS (SELECT run_id, round(avg(metric_value), 9) AS cpu FROM metrics GROUP BY 1)
   SELECT run_id, n AS segments, p95, cpu FROM a LEFT JOIN b USING (run_id)""")
 def _(s, d):
-    a = FE(s, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("segments"), F.round(F.percentile("processing_ms", F.lit(0.95)), 9).alias("p95"))
-    return a.join(M(s, d).groupBy("run_id").agg(F.round(F.avg("metric_value"), 9).alias("cpu")), "run_id", "left")
+    f = FE(s, d)
+    a = f.groupBy("run_id").agg(F.count(F.lit(1)).alias("segments")).join(stats.percentiles(f, ["run_id"], "processing_ms", {"p95": 0.95}), "run_id")
+    return a.withColumn("p95", F.round("p95", 9)).join(M(s, d).groupBy("run_id").agg(F.round(F.avg("metric_value"), 9).alias("cpu")), "run_id", "left")
 
 
 @query("srt_checkpoints", queries.SQL["snk_checkpoint"] + " ORDER BY topic_name, partition_id, run_id")
@@ -328,10 +333,13 @@ def _(s, d):
     return readers.manifest(s, stored_manifest(s, d)).select("run_id", "track_id", "segment_idx", "checksum")
 
 
-@query("snk_manifest_merge", MANIFEST_SQL)
+@query("snk_manifest_merge", with_tables("manifest") + """ SELECT run_id, track_id, segment_idx, CASE WHEN run_id = 'run-1' AND track_id % 2 = 0 THEN 'new' ELSE checksum END AS checksum FROM manifest
+  UNION ALL SELECT run_id, track_id, segment_idx + 1000, 'new' FROM manifest WHERE run_id = 'run-1' AND track_id % 2 = 0""")
 def _(s, d):
+    """A second batch that changes rows of one run and adds some."""
     path = stored_manifest(s, d)
-    sinks.merge_manifest(MF(s, d).select(*readers.MANIFEST_COLUMNS).filter("run_id = 'run-1'"), path)
+    some = MF(s, d).select(*readers.MANIFEST_COLUMNS).filter("run_id = 'run-1' and track_id % 2 = 0").withColumn("checksum", F.lit("new"))
+    sinks.merge_manifest(some.unionByName(some.withColumn("segment_idx", F.col("segment_idx") + 1000)), path)
     return s.read.parquet(path).select("run_id", "track_id", "segment_idx", "checksum")
 
 
@@ -622,10 +630,13 @@ def written_events(s: SparkSession, rows: DataFrame) -> str:
     return path
 
 
+def run_events(s: SparkSession, d: str) -> str:
+    return written_events(s, track_events(s, d).unionAll(feature_events(s, d)).unionAll(metric_events(s, d)))
+
+
 def persisted(s: SparkSession, d: str, times: int = 1) -> str:
     """Events of tracks, features and metrics through the writer query, ``times`` times over."""
-    src = written_events(s, track_events(s, d).unionAll(feature_events(s, d)).unionAll(metric_events(s, d)))
-    out = shared(s, "written")
+    src, out = run_events(s, d), shared(s, "written")
     for k in range(times):
         pipelines.writer(readers.records(s, src, streaming=True), out, f"{out}/_cp{k}").awaitTermination()
     return out
@@ -651,15 +662,31 @@ def _(s, d):
     return table_counts(s, persisted(s, d, times=2))
 
 
-@query("gate_replay", """SELECT t AS table_name, true AS ok FROM (VALUES ('tracks'), ('features'), ('metrics')) v(t)""")
+@query("gate_replay", WRITTEN_SQL.replace("SELECT 'tracks' AS table_name, count(*) AS rows FROM tracks", ", w AS (SELECT 'tracks' AS table_name, count(*) AS rows FROM tracks") + """
+  ) SELECT table_name, rows AS before, rows + CASE table_name WHEN 'tracks' THEN 1 ELSE 0 END AS after, table_name <> 'tracks' AS ok FROM w""")
 def _(s, d):
-    once, twice = table_counts(s, persisted(s, d)), table_counts(s, persisted(s, d, times=2))
-    return reconcile.replay_changes(once, twice, ["table_name"], "rows", []).select("table_name", "ok")
+    """Counts before and after a replay; the replay of tracks is given one row too many."""
+    src, out, kept = run_events(s, d), shared(s, "written"), shared(s, "counts")
+    for k in range(2):
+        pipelines.writer(readers.records(s, src, streaming=True), out, f"{out}/_cp{k}").awaitTermination()
+        if not k:
+            table_counts(s, out).write.parquet(kept)
+    once, twice = s.read.parquet(kept), table_counts(s, out)
+    more = twice.withColumn("rows", F.when(F.col("table_name") == "tracks", F.col("rows") + 1).otherwise(F.col("rows")))
+    return reconcile.replay_changes(once, more, ["table_name"], "rows", []).select("table_name", "before", "after", "ok")
 
 
-@query("st_replay_snapshot", WRITTEN_SQL)
+@query("st_replay_snapshot", WRITTEN_SQL + """ UNION ALL SELECT 'state/' || run_id, count(*) FROM (SELECT DISTINCT run_id, track_id, segment_idx FROM features) GROUP BY run_id
+  UNION ALL SELECT 'offset/' || json_extract_string(labels_json, '$.topic') || '/' || run_id, max(event_id) FROM metrics WHERE json_extract_string(labels_json, '$.topic') IS NOT NULL GROUP BY json_extract_string(labels_json, '$.topic'), run_id""")
 def _(s, d):
-    return table_counts(s, persisted(s, d))
+    """Stored rows, segments in the state documents, and last offsets by topic and run."""
+    rows = table_counts(s, persisted(s, d))
+    state = readers.state_summary(stored_state(s, d)).select(F.concat(F.lit("state/"), "run_id").alias("table_name"), F.col("segments").alias("rows"))
+    path = shared(s, "offsets")
+    offsets = M(s, d).select(F.lit("g").alias("consumer_group"), views.label("topic").alias("topic_name"), F.lit(0).alias("partition_id"), "run_id", F.col("event_id").alias("offset"), F.col("ts").alias("updated_at")).filter("topic_name is not null")
+    sinks.upsert_checkpoints(offsets, path)
+    last = s.read.parquet(path).select(F.concat(F.lit("offset/"), "topic_name", F.lit("/"), "run_id").alias("table_name"), F.col("last_committed_offset").alias("rows"))
+    return rows.unionByName(state).unionByName(last)
 
 
 @query("st_processed_segments", with_tables("features") + " SELECT run_id, CAST(count(*) AS BIGINT) AS segments FROM (SELECT DISTINCT run_id, track_id, segment_idx FROM features) GROUP BY 1")
@@ -681,11 +708,16 @@ def _(s, d):
     return pipelines.retries(e, "2026-01-01 00:00:00")[0].select("event_id", "attempt")
 
 
-@query("st_checkpoint_progress", queries.SQL["snk_checkpoint"].replace("SELECT 'g' AS consumer_group", "SELECT true AS advanced, 'g' AS consumer_group"))
+PROGRESS_SQL = with_tables("metrics") + """, t AS (SELECT *, json_extract_string(labels_json, '$.topic') AS topic_name FROM metrics), x AS (SELECT run_id, topic_name, max(event_id) AS o, max(event_id) FILTER (WHERE user_id_part < 3) AS b FROM (SELECT *, event_id % 100 AS user_id_part FROM t) WHERE topic_name IS NOT NULL GROUP BY ALL)
+  SELECT topic_name, run_id, b AS before, o AS after, coalesce(o > coalesce(b, -1), false) AS advanced FROM x"""
+
+
+@query("st_checkpoint_progress", PROGRESS_SQL)
 def _(s, d):
-    after = queries.QUERIES["snk_checkpoint"](s, d)
-    out = pipelines.progress(after.withColumn("last_committed_offset", F.lit(-1).cast("long")), after)
-    return out.join(after, ["consumer_group", "topic_name", "partition_id", "run_id"]).select("advanced", *after.columns)
+    """Offsets now against those of an earlier snapshot, which saw three events in a hundred."""
+    rows = M(s, d).select(F.lit("g").alias("consumer_group"), views.label("topic").alias("topic_name"), F.lit(0).alias("partition_id"), "run_id", F.col("event_id").alias("offset"), F.col("ts").alias("updated_at")).filter("topic_name is not null")
+    out = pipelines.progress(sinks.checkpoints(rows.filter("offset % 100 < 3")), sinks.checkpoints(rows))
+    return out.select("topic_name", "run_id", "before", "after", "advanced")
 
 
 @query("gate_metric_stream", """SELECT count(*) AS rows, n AS check_name, CAST(0 AS BIGINT) AS failures, true AS ok FROM events, (VALUES ('named'), ('unit')) v(n) GROUP BY n""")

@@ -120,9 +120,11 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 def write_splits(rows: DataFrame, path: str, schema: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> None:
     """A Parquet folder per split with a fixed schema; empty splits have the schema too."""
     fields = rows.sparkSession.createDataFrame([], schema).schema
+    rows = rows.persist()  # read once per split
     fixed = rows.select("split", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields if f.name != "split"])
     for s in splits:
         fixed.filter(F.col("split") == s).select(*[f.name for f in fields]).write.mode("overwrite").parquet(f"{path}/{s}")
+    rows.unpersist()
 
 
 def json_document(df: DataFrame) -> DataFrame:
