@@ -567,6 +567,50 @@ def test_toxicity(spark):
     assert toxicity.digest(docs.limit(0), lab).count() == 0
 
 
+def test_toxicity_by_plain_ftrl(spark):
+    """Scores of a plain FTRL loop, coordinate by coordinate, over named features."""
+    r = random.Random(11)
+    rows = [(i, prose(r.randint(0, 25), r) + (" you dreadful fool" if i % 4 == 0 else "")) for i in range(120)] + [(500, None), (501, "Fool, dreadful!")]
+    labels = [(i, int(i % 4 == 0)) for i in range(120)] + [(3, 1), (3, 0), (7, None)]  # 3: toxic, as one row says so
+    schema = "doc_id long, text string", "doc_id long, toxic int"
+    got = {x["doc_id"]: x["score"] for x in toxicity.digest(spark.createDataFrame(rows, schema[0]), spark.createDataFrame(labels, schema[1])).collect()}
+
+    def named(text):
+        w = re.findall(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+", az(text or ""))
+        out = {(p, w[i], w[i + p] if p else "") for p in range(4) for i in range(len(w) - p)}
+        return out | {("stem", n, x.encode()[:n]) for x in w for n in toxicity.STEMS if len(x.encode()) >= n}
+
+    def slots(text):
+        return np.unique(toxicity.features(pa.array([text], pa.string()))[0]).tolist()
+
+    truth = {}
+    for i, y in labels:
+        if y is not None:
+            truth[i] = max(y, truth.get(i, 0))
+    texts = dict(rows)
+    assert all(abs(len(named(t)) - len(slots(t))) <= 1 for t in texts.values())  # one feature a slot, but for a rare collision
+    learn = sorted((i for i in truth if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if k == "b":
+            return -z[k] / (1 + n[k] ** 0.5)
+        return 0.0 if abs(z[k]) <= 10 else -(z[k] - np.sign(z[k]) * 10) / (1 + n[k] ** 0.5 + 0.1)
+
+    def chance(text):
+        return 1 / (1 + np.exp(-sum(map(weight, ["b", *slots(text)]))))
+
+    for _ in range(4):
+        for i in learn:
+            g = (toxicity.POSITIVE_WEIGHT if truth[i] else 1.0) * (chance(texts[i]) - truth[i])
+            step = {k: weight(k) for k in ["b", *slots(texts[i])]}
+            for k, w in step.items():
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) * w
+                n[k] += g * g
+    assert all(got[i] == pytest.approx(chance(t), abs=1e-5) for i, t in rows)
+    assert got[500] == pytest.approx(1 / (1 + np.exp(-weight("b")))) and got[501] > 0.5
+
+
 def held7(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 

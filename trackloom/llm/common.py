@@ -72,13 +72,15 @@ def release_memory() -> None:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is
-    chosen and set as checkpoint directory.
+    Only where the setting is absent and all runs on one machine, as in tests, a temporary
+    folder is chosen and set as checkpoint directory; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     ensure_checkpoint(spark, root)
