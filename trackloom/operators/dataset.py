@@ -37,10 +37,6 @@ def join_reasons(*reasons: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*reasons)))), ";")
 
 
-def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 def first_manifest_rows(manifest: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(the first row of each key, further rows as anomalies with their count)."""
     best = manifest.groupBy(*KEY).agg(
@@ -74,9 +70,10 @@ def artifact_flags(features: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def segment_reasons(tracks: DataFrame, features: DataFrame, manifest: DataFrame) -> DataFrame:
     """Every feature row with ``reason`` (empty: accepted) and the pieces behind it."""
-    dup = duplicate_counts(features, KEY)
+    # counted in the shuffle and order by key that the join with the manifest takes as well
+    counted = features.withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
     status = tracks.select("run_id", "track_id", F.col("validation_status").alias("t_status"), F.col("genre").alias("t_genre"))
-    flags = artifact_flags(features, manifest).join(dup, KEY).join(status, ["run_id", "track_id"], "left")
+    flags = artifact_flags(counted, manifest).join(status, ["run_id", "track_id"], "left")
     when = lambda c, r: F.when(c, F.lit(r))
     status_bad = F.when(F.col("t_status") != "validated", F.concat(F.lit("track_validation_status="), F.col("t_status")))
     return flags.withColumn(
