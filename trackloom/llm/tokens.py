@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import os
 from array import array
+from bisect import bisect_left
 
 WORD_BPE = "word_bpe_49k.json"
 CACHE_WORDS = 1_200_000
+MARKS = frozenset(".,!?;:")
 
 
 def default_path(name: str = WORD_BPE) -> str:
@@ -31,6 +33,7 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer = Tokenizer.from_file(path)
         self._cache: dict[str, bytes] = {}
+        self._letters = self._plain_letters()
 
     @classmethod
     def load(cls, path: str | None = None) -> "WordTokenizer":
@@ -39,29 +42,40 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _learn(self, words: list[str]) -> None:
-        """Cache the ids of ``words``; a word and its form with a final mark share merges."""
-        forms = {w: self._parts(w) for w in words}
-        todo = sorted({p for parts in forms.values() for p in parts if p not in self._cache})
-        for at in range(0, len(todo), 5000):
-            part = todo[at : at + 5000]
-            for w, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self._cache[w] = array("I", e.ids).tobytes()
-        for w, parts in forms.items():
-            self._cache[w] = b"".join(map(self._cache.__getitem__, parts))
+    def _plain_letters(self) -> frozenset[str]:
+        """Letters below U+0250 that stand inside one word, as the tokenizer itself sees it."""
+        letters = [c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1]
+        seen = self._tokenizer.encode_batch([f"a{c}a" for c in letters], add_special_tokens=False)
+        return frozenset(c for c, e in zip(letters, seen) if e.ids and set(e.word_ids) == {0})
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """Pieces with the same ids: letters in lower case, and a final mark by itself.
+    def _parts(self, word: str) -> tuple[str, str]:
+        """Two pieces with the same ids, the second one perhaps empty: letters in lower case, and a final mark.
 
         Splitting and lower case are the tokenizer's own first steps; they are done here
-        only for plain letters below U+0250 (without U+0130, whose lower case is two
-        characters), and other words stay as they are.
+        only for plain letters, and other words stay as they are.
         """
-        core, mark = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ".,!?;:" else (word, "")
-        if core.isalpha() and "\u0130" not in core and max(core) < "\u0250":
-            return (core.lower(), mark) if mark else (core.lower(),)
-        return (word,)
+        core, mark = (word[:-1], word[-1]) if word[-1:] in MARKS and len(word) > 1 else (word, "")
+        return (core.lower(), mark) if core and self._letters.issuperset(core) else (word, "")
+
+    def _learn(self, words: list[str]) -> None:
+        """Cache the ids of ``words``; a word and its form with a final mark share merges."""
+        known = self._cache
+        forms = [(w, *self._parts(w)) for w in words]
+        todo = {p for _, core, mark in forms for p in (core, mark) if p not in known}
+        plain = sorted(w for w in todo if w and self._letters.issuperset(w))
+        for at in range(0, len(plain), 500):  # one call for many words: each is one word of the joined text
+            part = plain[at : at + 500]
+            e = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = array("I", e.ids).tobytes()
+            cuts = [bisect_left(e_words, k) * 4 for e_words in (e.word_ids,) for k in range(len(part) + 1)]
+            known.update(zip(part, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
+        other = sorted(todo.difference(plain))
+        for at in range(0, len(other), 5000):
+            part = other[at : at + 5000]
+            for w, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = array("I", e.ids).tobytes()
+        for w, core, mark in forms:
+            known[w] = known[core] + known[mark] if mark else known[core]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null texts have none."""
