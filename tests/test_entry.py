@@ -15,6 +15,12 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 NAMES = ["agg_run_summary", "prj_metric_events", "agg_distribution", "agg_quality_verdict", "win_hash_split", "val_contract", "seg_windows", "jn_expected_observed", "agg_vector_welford", "srt_runs_page"]
+NAMES += [
+    "src_header_csv", "src_manifest", "src_artifacts", "src_processing_state", "src_resource_samples", "snk_manifest_merge", "snk_metrics", "snk_csv", "snk_json_docs", "snk_file_inventory", "snk_envelopes",
+    "snk_purge_run", "val_topic_route", "val_failure_class", "val_strict_types", "prj_audio_path", "flt_subset", "chk_segment_audio", "prj_scaling", "agg_latency_entry", "agg_mel_bin_means", "agg_numeric_stats",
+    "jn_run_summary", "jn_feature_artifact", "jn_replay_diff", "set_bundle_files", "set_segment_equality", "win_dup_features", "win_metric_dedupe", "win_latest_feature", "top_latest_artifact", "ts_rms",
+    "fn_parse_uri", "fn_labels_digest", "seg_mono", "ft_rms", "ft_pipeline", "ft_silence", "st_ingest_events", "st_ingest", "st_checkpoint_progress", "st_failure_metrics", "ds_bundle", "gate_baseline", "gate_segment_reasons", "gate_artifact_verify",
+]
 
 
 @pytest.fixture(scope="module")
