@@ -709,7 +709,7 @@ def _(s, d):
 
 
 PROGRESS_SQL = with_tables("metrics") + """, t AS (SELECT *, json_extract_string(labels_json, '$.topic') AS topic_name FROM metrics), x AS (SELECT run_id, topic_name, max(event_id) AS o, max(event_id) FILTER (WHERE user_id_part < 3) AS b FROM (SELECT *, event_id % 100 AS user_id_part FROM t) WHERE topic_name IS NOT NULL GROUP BY ALL)
-  SELECT topic_name, run_id, b AS before, o AS after, coalesce(o > coalesce(b, -1), false) AS advanced FROM x"""
+  SELECT topic_name, run_id, coalesce(b, -1) AS before, o AS after, coalesce(o > coalesce(b, -1), false) AS advanced FROM x"""
 
 
 @query("st_checkpoint_progress", PROGRESS_SQL)
@@ -717,7 +717,7 @@ def _(s, d):
     """Offsets now against those of an earlier snapshot, which saw three events in a hundred."""
     rows = M(s, d).select(F.lit("g").alias("consumer_group"), views.label("topic").alias("topic_name"), F.lit(0).alias("partition_id"), "run_id", F.col("event_id").alias("offset"), F.col("ts").alias("updated_at")).filter("topic_name is not null")
     out = pipelines.progress(sinks.checkpoints(rows.filter("offset % 100 < 3")), sinks.checkpoints(rows))
-    return out.select("topic_name", "run_id", "before", "after", "advanced")
+    return out.select("topic_name", "run_id", F.coalesce("before", F.lit(-1)).alias("before"), "after", "advanced")
 
 
 @query("gate_metric_stream", """SELECT count(*) AS rows, n AS check_name, CAST(0 AS BIGINT) AS failures, true AS ok FROM events, (VALUES ('named'), ('unit')) v(n) GROUP BY n""")
