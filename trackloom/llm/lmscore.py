@@ -211,7 +211,10 @@ def window_scores(shards: DataFrame, low: Broadcast, mixer: bitmix.Mixer) -> Dat
 
 
 class Lookup:
-    """Values by 64-bit key, in three tries; a key that finds no free slot is not in the table."""
+    """Values by 64-bit key, in three tries; a key that finds no free slot is not in the table.
+
+    Of ``counts`` only what is above zero is told.
+    """
 
     TRIES = 3
     def __init__(self, keys: np.ndarray, counts: np.ndarray, values: np.ndarray):
@@ -255,8 +258,13 @@ def frequent(rows: DataFrame, most: int) -> Lookup:
         if left < 0:
             break
         least = r["level"]
-    got = rows.filter(level >= least).toArrow()
-    return Lookup(got["key"].to_numpy().view(np.uint64), got["count"].to_numpy(), got["value"].to_numpy())
+    got = rows.filter(level >= least).select("key", (F.col("count") > 0).cast("byte").alias("count"), "value").toArrow()
+    arrays = [got[c].to_numpy() for c in ("key", "count", "value")]
+    del got
+    out = Lookup(arrays[0].view(np.uint64), *arrays[1:])
+    del arrays
+    release_memory()
+    return out
 
 
 def added(docs: DataFrame, words: Broadcast, windows: Broadcast) -> DataFrame:
