@@ -58,7 +58,7 @@ def test_entry_without_the_training_data_part(tmp_path, pipeline):
     root = Path(entry.__file__).parent
     shutil.copytree(root / "trackloom", tmp_path / "trackloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    if pipeline:
+    if pipeline and (root / "corpus_pipeline.py").exists():
         shutil.copy(root / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), 'pipeline' in q, any(k.startswith('op') for k in q), set(s) <= set(q))"
     run = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
