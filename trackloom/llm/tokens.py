@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from array import array
 from bisect import bisect_left
+from itertools import chain, filterfalse
 
 WORD_BPE = "word_bpe_49k.json"
 CACHE_WORDS = 1_200_000
@@ -48,28 +49,29 @@ class WordTokenizer:
         seen = self._tokenizer.encode_batch([f"a{c}a" for c in letters], add_special_tokens=False)
         return frozenset(c for c, e in zip(letters, seen) if e.ids and set(e.word_ids) == {0})
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        """Two pieces with the same ids, the second one perhaps empty: letters in lower case, and a final mark.
-
-        Splitting and lower case are the tokenizer's own first steps; they are done here
-        only for plain letters, and other words stay as they are.
-        """
-        core, mark = (word[:-1], word[-1]) if word[-1:] in MARKS and len(word) > 1 else (word, "")
-        return (core.lower(), mark) if core and self._letters.issuperset(core) else (word, "")
-
-    def _learn(self, words: list[str]) -> None:
-        """Cache the ids of ``words``; a word and its form with a final mark share merges."""
-        known = self._cache
-        forms = [(w, *self._parts(w)) for w in words]
-        todo = {p for _, core, mark in forms for p in (core, mark) if p not in known}
-        plain = sorted(w for w in todo if w and self._letters.issuperset(w))
+    def _learn(self, words: set[str]) -> None:
+        """Cache the ids of ``words``; plain words and their forms with a final mark or capitals share merges."""
+        known, plain_letters = self._cache, self._letters.issuperset
+        forms, plain, other = [], set(), set(MARKS.difference(known))
+        for w in words:
+            core, mark = (w[:-1], w[-1]) if w[-1:] in MARKS and len(w) > 1 else (w, "")
+            if core and plain_letters(core):
+                # the same ids by the tokenizer's own first steps: lower case, a final mark by itself
+                core = core.lower()
+                if core not in known:
+                    plain.add(core)
+                if mark or core != w:
+                    forms.append((w, core, mark))
+            else:
+                other.add(w)
+        plain = list(plain)
         for at in range(0, len(plain), 500):  # one call for many words: each is one word of the joined text
             part = plain[at : at + 500]
             e = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = array("I", e.ids).tobytes()
             cuts = [bisect_left(e_words, k) * 4 for e_words in (e.word_ids,) for k in range(len(part) + 1)]
             known.update(zip(part, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
-        other = sorted(todo.difference(plain))
+        other = list(other)
         for at in range(0, len(other), 5000):
             part = other[at : at + 5000]
             for w, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
@@ -83,9 +85,9 @@ class WordTokenizer:
         if len(self._cache) > CACHE_WORDS:
             self._cache.clear()
         known = self._cache
-        missing = set().union(*split).difference(known)
+        missing = set(filterfalse(known.__contains__, chain.from_iterable(split)))
         if missing:
-            self._learn(sorted(missing))
+            self._learn(missing)
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
