@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import linededup, lmscore, media, mixing, ngramjoin, oracles, packing, quality, tokencounts, toxicity, urlgraph
+from trackloom.llm import crosstokens, linededup, lmscore, media, mixing, ngramjoin, oracles, packing, quality, tokencounts, toxicity, urlgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstokens.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_lm_scoring": op10_lm_scoring,
+        "op13_cross_tokens": op13_cross_tokens,
     }
 
 
