@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import crosstokens, linededup, lmscore, media, mixing, ngramjoin, oracles, packing, quality, tokencounts, toxicity, turns, urlgraph
+from trackloom.llm import crosstokens, linededup, lmscore, media, mixing, ngramjoin, oracles, packing, quality, secretcrf, tokencounts, toxicity, turns, urlgraph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretcrf.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.digest(table(spark, sf_dir, "conversations"))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_secret_scans": op11_secret_scans,
         "op12_turn_repair": op12_turn_repair,
         "op13_cross_tokens": op13_cross_tokens,
     }
