@@ -9,7 +9,8 @@ A-Z lowered), beginnings of words, pairs of neighbours, and pairs with one or tw
 between.
 
 Defined results: null and empty texts score as the intercept alone; null labels teach
-nothing; rows that repeat a label for one document teach it once, as toxic if any says so;
+nothing; rows that repeat a label for one document teach it once, as toxic if any says so, and of
+several documents with one id the one whose text has the least MD5 teaches it;
 a null ``doc_id`` has no label and is not held out; without labelled rows all weights are
 zero and every score is the intercept's 0.5; extra columns are ignored.
 """
@@ -109,13 +110,16 @@ def _fit(sample: DataFrame, bits: int, rounds: int) -> DataFrame:
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` labelled documents in a fixed shuffled order: ``_text, _y, _key``.
 
-    ``learn`` is a condition on the labels' ``_id``; only the ids chosen meet the documents.
+    ``learn`` is a condition on the labels' ``_id``; only the ids chosen meet the documents. Of
+    several documents with one id the text of least MD5 is taken, so an id makes one row.
     """
     rated = take(labels, _id="doc_id", _y="toxic").filter(learn & F.col("_id").isNotNull() & F.col("_y").isNotNull())
     rated = rated.groupBy("_id").agg(F.max(F.col("_y").cast("double")).alias("_y"))
     rated = rated.withColumn("_key", F.md5(F.col("_id").cast("string"))).orderBy("_key", "_id").limit(rows)
     texts = take(docs, _id="doc_id", _text="text")
-    return texts.join(F.broadcast(rated), "_id").select(F.col("_text").cast("string").alias("_text"), "_y", "_key")
+    text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
+    found = texts.join(F.broadcast(rated), "_id").select("_id", text.alias("_text"), "_y", "_key")
+    return found.groupBy("_id").agg(F.min_by("_text", F.md5("_text")).alias("_text"), F.first("_y").alias("_y"), F.first("_key").alias("_key")).drop("_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, bits: int = BITS, rounds: int = 4, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
