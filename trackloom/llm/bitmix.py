@@ -28,16 +28,16 @@ from trackloom.llm import hashing
 
 ORDERS = (1, 2, 3, 4, 5, 6)  # bytes of context
 MOST = ORDERS[-1]
-#: Orders up to this one have at most 256**3 entries in all and are known to every task.
-LOW = 2
-#: Windows that agree in so many last bytes of their contexts meet in one shard.
-JOINT = 3
+#: Orders up to this one have at most 256**2 entries and are known to every task.
+LOW = 1
+#: A context with more than this share of all distinct windows is heavy: there are fewer than its inverse of each length.
+HEAVY_SHARE = 1 / 2000
 END = 0xFF  # no byte of UTF-8
 PRIOR = 0.3
 LEVELS = 8  # of a context's count, for the gate
 GATES = LEVELS * LEVELS
 INPUTS = len(ORDERS)
-GATE_ORDERS = (MOST, JOINT)
+GATE_ORDERS = (MOST, 3)
 BUCKETS = 33
 CHUNK = 4096
 #: Windows of a block: what is in memory at once, but for a context that has more.
@@ -84,9 +84,43 @@ def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w[keep], np.diff(ends, prepend=-1) - MOST
 
 
-def joint(keys: np.ndarray) -> np.ndarray:
-    """Hash of the last ``JOINT`` bytes of each window's context."""
-    return hashing.mix((keys >> np.uint64(8)) & np.uint64((1 << 8 * JOINT) - 1))
+def context(keys: np.ndarray, order: int) -> np.ndarray:
+    """The last ``order`` bytes of each window's context."""
+    return (keys >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
+
+
+def suffix(keys: np.ndarray, order: int) -> np.ndarray:
+    """That context and the byte that follows."""
+    return keys & np.uint64((1 << 8 * (order + 1)) - 1)
+
+
+def among(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return sorted_values[at] == values
+
+
+class Deal:
+    """Which windows meet: those that agree in the last bytes of their contexts, two bytes or, where
+    such a context is heavy, one more, and so on; all orders from there on are counted where they meet."""
+
+    def __init__(self, heavy: dict[int, np.ndarray] | None = None):
+        """``heavy``: contexts by length, in order."""
+        self.heavy = heavy or {}
+
+    def depth(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), LOW + 1)
+        for order in range(LOW + 1, MOST):
+            if len(self.heavy.get(order, ())):
+                out[(out == order) & among(self.heavy[order], context(keys, order))] += 1
+        return out
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Hash of what windows that meet have in common."""
+        depth = self.depth(keys).astype(np.uint64)
+        mask = (np.uint64(1) << (np.uint64(8) * depth)) - np.uint64(1)
+        return hashing.mix(((keys >> np.uint64(8)) & mask) | (depth << np.uint64(56)))
 
 
 def firsts(sorted_keys: np.ndarray) -> np.ndarray:
@@ -215,33 +249,36 @@ class Scorer:
         return -np.log1p(np.exp(-np.clip(np.where(bit == 1, z, -z), -16, 16)))
 
 
-class Low:
-    """Counts of the orders up to ``LOW``, over all training texts."""
+class Shared:
+    """What every task knows of all training texts: counts of the orders up to ``LOW`` and of the heavy contexts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        """``keys``: the last ``LOW`` + 1 bytes of every window, distinct and in order."""
-        self.tables = {}
-        for order in range(1, LOW + 1):
-            some, at = np.unique(keys & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
-            self.tables[order] = some, _sides(path_totals(some, np.bincount(at, counts, len(some)).astype(np.int64)))
+    def __init__(self, deal: Deal, rows: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """``rows``: (suffixes in order, their counts) by order, all bytes that follow a context included."""
+        self.deal = deal
+        self.tables = {order: (some, _sides(path_totals(some, counts))) for order, (some, counts) in rows.items()}
 
 
 class Block:
-    """Windows with all others that share the last ``JOINT`` bytes of their contexts."""
+    """Windows with all others that meet them by ``Deal``."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: Low):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, shared: Shared):
         self.keys, self.counts = keys, counts
         self.at, self.sides = [], []
+        depth = shared.deal.depth(keys)
         for order in ORDERS:
-            suffix = keys & np.uint64((1 << 8 * (order + 1)) - 1)
-            if order <= LOW:
-                some, sides = low.tables[order]
-                at = np.searchsorted(some, suffix)
-            else:
-                some, at = np.unique(suffix, return_inverse=True)
-                sides = _sides(path_totals(some, np.bincount(at, counts, len(some)).astype(np.int64)))
+            last, far = suffix(keys, order), depth > order
+            near = ~far
+            some, at_near = np.unique(last[near], return_inverse=True)
+            own, other = _sides(path_totals(some, np.bincount(at_near, counts[near], len(some)).astype(np.int64)))
+            at = np.empty(len(keys), np.int64)
+            at[near] = at_near
+            if far.any():
+                known, sides = shared.tables[order]
+                used, at_far = np.unique(np.searchsorted(known, last[far]), return_inverse=True)
+                at[far] = len(some) + at_far
+                own, other = (np.concatenate([x, y[:, used]], axis=1) for x, y in zip((own, other), sides))
             self.at.append(at)
-            self.sides.append(sides)
+            self.sides.append((own, other))
 
     def _inputs(self, part: np.ndarray, k: int, out: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
         """(bit, node, log odds of each order, gate) of bit ``k`` of the windows at ``part``."""
@@ -289,12 +326,12 @@ class Block:
         return out / np.log(10)
 
 
-def blocks(keys: np.ndarray, counts: np.ndarray, low: Low) -> Iterator[tuple[np.ndarray, Block]]:
-    """(places, block) of a shard's windows, cut between contexts at about ``BLOCK`` windows."""
-    place = joint(keys)
+def blocks(keys: np.ndarray, counts: np.ndarray, shared: Shared) -> Iterator[tuple[np.ndarray, Block]]:
+    """(places, block) of a shard's windows, cut between those that do not meet at about ``BLOCK`` windows."""
+    place = shared.deal.place(keys)
     order = np.argsort(place, kind="stable")
     place = place[order]
     edges = firsts(place)
     starts = edges[np.flatnonzero(np.diff(edges // BLOCK, prepend=-1))]
     for a, b in zip(starts, np.append(starts[1:], len(keys))):
-        yield order[a:b], Block(keys[order[a:b]], counts[order[a:b]], low)
+        yield order[a:b], Block(keys[order[a:b]], counts[order[a:b]], shared)

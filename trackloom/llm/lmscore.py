@@ -5,9 +5,11 @@ end. ``score`` is the log10 of the probability that the bit mixing of ``bitmix``
 bytes, context by context across words; ``bits_per_byte`` is its share of the text's bytes.
 
 Steps: (1) windows of seven bytes are counted over all texts, those of texts held out with
-count zero, summed in each task and then in shards by the last three bytes of context; (2) counts
-of the two lowest orders, at most 256**3 rows, are summed over the shards and go to every task;
-(3) each shard learns mixer weights online over all its windows; shards are merged by exact
+count zero, summed in each task and then in shards by their hash; (2) contexts of two to five bytes
+that hold more than a set share of all distinct windows are found, length by length, and windows are
+dealt anew by the last two bytes of context, or as many more as it takes to leave a heavy one, so
+that no context makes a large shard; counts after the lowest order and after heavy contexts, at most
+256**2 rows and 256 for each heavy context, go to every task; (3) each shard learns mixer weights online over all its windows; shards are merged by exact
 sums; (4) each distinct window is scored once; (5) documents add up their windows: frequent ones
 from a broadcast table of fixed size, all others by a shuffle join. Word counts for the base
 score take the same road without (2) to (4). The number of shards follows the bytes of the
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import bitmix, hashing
 from trackloom.llm.common import release_memory, take, written
+from trackloom.llm.lookup import Lookup, frequent
 from trackloom.session import ship_package
 
 #: Rows of the broadcast tables.
@@ -69,32 +72,53 @@ def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, n + 1
 
 
-def counted(docs: DataFrame, keys_of: Callable, place_of: Callable, shards: int, result: Callable, schema: str) -> DataFrame:
-    """``result(shard, keys, counts)`` of each shard: its distinct keys in order, with their counts over
-    rows with ``_learn``.
+def split(keys: np.ndarray, counts: np.ndarray, place: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Keys in order with their counts, a row for each shard that ``place`` deals them to."""
+    shard = ((place >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")  # keys stay in order inside a shard
+    keys, counts, shard = keys[order], counts[order], shard[order]
+    cuts = np.append(bitmix.firsts(shard), len(keys))
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([int(shard[a]) for a, _ in spans], pa.int64()),
+            pa.array([int(b - a) for a, b in spans], pa.int64()),
+            pa.array([bitmix.packed_keys(keys[a:b]) for a, b in spans], pa.binary()),
+            pa.array([bitmix.packed(counts[a:b]) for a, b in spans], pa.binary()),
+        ],
+        ["shard", "n", "keys", "counts"],
+    )
+
+
+def gathered(parts: DataFrame, result: Callable, schema: str) -> DataFrame:
+    """``result(shard, keys, counts)`` of each shard of ``split`` rows: its distinct keys in order, with their sums."""
+
+    def gather(key, table):
+        tally = bitmix.Tally()
+        for n, keys, counts in zip(*(table[c].to_pylist() for c in ("n", "keys", "counts"))):
+            tally.merge(bitmix.unpacked_keys(keys, n), bitmix.unpacked(counts, n))
+            tally.full()
+        out = pa.Table.from_batches([result(key[0].as_py(), *tally.totals())])
+        del tally, table
+        release_memory()
+        return out
+
+    return parts.groupBy("shard").applyInArrow(gather, schema)
+
+
+def counted(docs: DataFrame, keys_of: Callable, shards: int, result: Callable, schema: str) -> DataFrame:
+    """``gathered`` keys of all rows, dealt by their hash, with their counts over rows with ``_learn``.
 
     ``docs`` holds ``_learn`` and ``_text``; keys of other rows are there with what is counted, or 0.
     """
 
-    def rows_of(tally: bitmix.Tally) -> pa.RecordBatch:
-        keys, counts = tally.totals()
-        shard = ((place_of(keys) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")  # keys stay in order inside a shard
-        keys, counts, shard = keys[order], counts[order], shard[order]
-        cuts = np.append(bitmix.firsts(shard), len(keys))
-        spans = list(zip(cuts[:-1], cuts[1:]))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([int(shard[a]) for a, _ in spans], pa.int64()),
-                pa.array([int(b - a) for a, b in spans], pa.int64()),
-                pa.array([bitmix.packed_keys(keys[a:b]) for a, b in spans], pa.binary()),
-                pa.array([bitmix.packed(counts[a:b]) for a, b in spans], pa.binary()),
-            ],
-            ["shard", "n", "keys", "counts"],
-        )
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = bitmix.Tally(KEYS_IN_HAND)
+
+        def rows() -> pa.RecordBatch:
+            keys, counts = tally.totals()
+            return split(keys, counts, hashing.mix(keys), shards)
+
         for batch in batches:
             learn = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in hashing.slices(batch.column(1), STRETCH):
@@ -103,23 +127,13 @@ def counted(docs: DataFrame, keys_of: Callable, place_of: Callable, shards: int,
                 tally.add(keys[taken], 1)
                 tally.add(keys[~taken], 0)
                 if tally.full():
-                    yield rows_of(tally)
+                    yield rows()
                     tally = bitmix.Tally(KEYS_IN_HAND)
-        yield rows_of(tally)
+        yield rows()
         del tally
         release_memory()
 
-    def gather(key, table):
-        tally = bitmix.Tally()
-        for n, keys, counts in zip(*(table[c].to_pylist() for c in ("n", "keys", "counts"))):
-            tally.merge(bitmix.unpacked_keys(keys, n), bitmix.unpacked(counts, n))
-            tally.full()
-        out = pa.Table.from_batches([result(key[0].as_py(), *tally.totals())])
-        del tally, table
-        release_memory()
-        return out
-
-    return docs.select("_learn", "_text").mapInArrow(send, SHARDS).groupBy("shard").applyInArrow(gather, schema)
+    return gathered(docs.select("_learn", "_text").mapInArrow(send, SHARDS), result, schema)
 
 
 def packed_shard(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -150,27 +164,71 @@ def _each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 # ---------------------------------------------------------------- the model
 
 
-def low_orders(shards: DataFrame) -> bitmix.Low:
-    """Counts of the last ``LOW`` + 1 bytes of all windows: as many rows as there can be such bytes."""
+def _sums(shards: DataFrame, fold: Callable) -> DataFrame:
+    """Sums by (``order``, ``key``) of what ``fold(keys, counts)`` gives for each shard: (order, keys, numbers)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _each_shard(batches):
+            for order, values, n in fold(keys, counts):
+                some, at = np.unique(values, return_inverse=True)
+                total = np.bincount(at, n, len(some)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), order, np.int32)), pa.array(some.view(np.int64)), pa.array(total)], ["order", "key", "count"])
+        release_memory()
+
+    return shards.mapInArrow(each, "order int, key long, count long").groupBy("order", "key").agg(F.sum("count").alias("count"))
+
+
+def deal_of(shards: DataFrame, share: float = bitmix.HEAVY_SHARE) -> bitmix.Deal:
+    """The heavy contexts, from two bytes on; longer ones only inside heavy shorter ones. At most 1 / ``share`` of each length."""
+    n = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy: dict[int, np.ndarray] = {}
+    for order in range(bitmix.LOW + 1, bitmix.MOST):
+        so_far = bitmix.Deal(dict(heavy))
+
+        def fold(keys, counts, order=order, so_far=so_far):
+            return [(order, bitmix.context(keys[so_far.depth(keys) == order], order), None)]
+
+        got = _sums(shards, fold).filter(F.col("count") > n * share).select("key").toArrow()
+        heavy[order] = np.sort(got["key"].to_numpy().astype(np.uint64))
+        if not len(heavy[order]):
+            break
+    return bitmix.Deal(heavy)
+
+
+def dealt(parts: DataFrame, deal: bitmix.Deal, shards: int) -> DataFrame:
+    """Windows in shards of ``deal``."""
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _each_shard(batches):
-            low, at = np.unique(keys & np.uint64((1 << 8 * (bitmix.LOW + 1)) - 1), return_inverse=True)
-            total = np.bincount(at, counts, len(low)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(total)], ["key", "count"])
+            yield split(keys, counts, deal.place(keys), shards)
+        release_memory()
+
+    return gathered(parts.mapInArrow(send, SHARDS), packed_shard, SHARDS)
+
+
+def shared_counts(shards: DataFrame, deal: bitmix.Deal) -> bitmix.Shared:
+    """Counts after contexts of the lowest order and after heavy ones, over all windows."""
+
+    def fold(keys, counts):
+        depth = deal.depth(keys)
+        for order in range(1, bitmix.MOST):
+            far = depth > order
+            if far.any():
+                yield order, bitmix.suffix(keys[far], order), counts[far]
 
-    rows = shards.mapInArrow(fold, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
-    got = rows.toArrow().sort_by("key")
-    return bitmix.Low(got["key"].to_numpy().astype(np.uint64), got["count"].to_numpy())
+    got = _sums(shards, fold).toArrow().sort_by([("order", "ascending"), ("key", "ascending")])
+    order, key, count = (got[c].to_numpy() for c in ("order", "key", "count"))
+    rows = {k: (key[order == k].astype(np.uint64), count[order == k]) for k in range(1, bitmix.MOST)}
+    return bitmix.Shared(deal, rows)
 
 
-def mixer_of(shards: DataFrame, low: Broadcast) -> bitmix.Mixer:
+def mixer_of(shards: DataFrame, known: Broadcast) -> bitmix.Mixer:
     """The mixer learned online from all windows, shard by shard, and merged by sums."""
 
     def learn(key, table):
         mixer = bitmix.Mixer()
         for keys, counts in _each_shard(table.to_batches()):
-            for _, block in bitmix.blocks(keys, counts, low.value):
+            for _, block in bitmix.blocks(keys, counts, known.value):
                 block.learn(mixer)
                 del block
             release_memory()
@@ -190,7 +248,7 @@ def mixer_of(shards: DataFrame, low: Broadcast) -> bitmix.Mixer:
     return bitmix.Mixer(weights=(weights / flat[0]).reshape(blank.weights.shape), seen=seen.reshape(blank.seen.shape), bytes=int(flat[0]))
 
 
-def window_scores(shards: DataFrame, low: Broadcast, mixer: bitmix.Mixer) -> DataFrame:
+def window_scores(shards: DataFrame, known: Broadcast, mixer: bitmix.Mixer) -> DataFrame:
     """(``key``, ``count``, ``value``): each window's log10 probability, in parts of ``SCORE_UNIT``."""
     scorer = bitmix.Scorer(mixer)
 
@@ -198,7 +256,7 @@ def window_scores(shards: DataFrame, low: Broadcast, mixer: bitmix.Mixer) -> Dat
         out = []
         for keys, counts in _each_shard(table.to_batches()):
             value = np.zeros(len(keys))
-            for at, block in bitmix.blocks(keys, counts, low.value):
+            for at, block in bitmix.blocks(keys, counts, known.value):
                 value[at] = block.log10_probabilities(scorer)
             out.append(_rows(keys, counts, np.rint(value * SCORE_UNIT).astype(np.int64)))
             release_memory()
@@ -210,63 +268,6 @@ def window_scores(shards: DataFrame, low: Broadcast, mixer: bitmix.Mixer) -> Dat
 # ---------------------------------------------------------------- documents
 
 
-class Lookup:
-    """Values by 64-bit key, in three tries; a key that finds no free slot is not in the table.
-
-    Of ``counts`` only what is above zero is told.
-    """
-
-    TRIES = 3
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(2 * len(keys)).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        kind = np.int32 if np.abs(values).max(initial=0) < 1 << 29 else np.int64
-        self.MISS = kind(1 << 30) if kind is np.int32 else kind(1 << 62)  # of a slot that is free
-        self.values = np.full(1 << self.bits, self.MISS)  # the lowest bit: whether the key has a count
-        left = np.arange(len(keys))
-        for k in range(self.TRIES):
-            slot = self._slots(keys[left], k)
-            free = self.values[slot] == self.MISS
-            at, first = np.unique(slot[free], return_index=True)
-            won = left[free][first]
-            self.keys[at], self.values[at] = keys[won], 2 * values[won] + (counts[won] > 0)
-            left = np.setdiff1d(left, won, assume_unique=True)
-
-    def _slots(self, keys: np.ndarray, k: int) -> np.ndarray:
-        return ((keys ^ (keys >> np.uint64(29))) * (hashing.MULT + np.uint64(2 * k)) >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(found, counted, value) of each key; 0 where it is not found."""
-        slot = self._slots(keys, 0)
-        value = self.values[slot]
-        value[self.keys[slot] != keys] = self.MISS
-        for k in range(1, self.TRIES):
-            left = np.flatnonzero(value == self.MISS)
-            slot = self._slots(keys[left], k)
-            value[left] = np.where(self.keys[slot] == keys[left], self.values[slot], self.MISS)
-        found = value != self.MISS
-        value[~found] = 0
-        return found, (value & 1).astype(bool), (value >> 1).astype(np.int64)
-
-
-def frequent(rows: DataFrame, most: int) -> Lookup:
-    """The most counted of ``rows``, at most ``most``, taken by levels of their counts."""
-    level = F.floor(F.log2(F.col("count") + 1) * 8).cast("int")
-    left, least = most, 1 << 30
-    for r in rows.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r["level"]
-    got = rows.filter(level >= least).select("key", (F.col("count") > 0).cast("byte").alias("count"), "value").toArrow()
-    arrays = [got[c].to_numpy() for c in ("key", "count", "value")]
-    del got
-    out = Lookup(arrays[0].view(np.uint64), *arrays[1:])
-    del arrays
-    release_memory()
-    return out
-
-
 def added(docs: DataFrame, words: Broadcast, windows: Broadcast) -> DataFrame:
     """Per row of ``docs``: sums over what the tables hold, and the keys of all else."""
     names = ["n_tokens", "n_bytes", "known", "base", "score", "rest_words", "rest_windows"]
@@ -316,12 +317,14 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     shards = size // BYTES_PER_SHARD + 1
     learned = df.select((~F.col("_held")).alias("_learn"), "_text")
 
-    words = written(counted(learned, word_keys, hashing.mix, shards, word_rows, VALUES), "words")
+    words = written(counted(learned, word_keys, shards, word_rows, VALUES), "words")
     facts = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
 
-    table = written(counted(learned, bitmix.windows, bitmix.joint, shards, packed_shard, SHARDS), "windows")
-    low = spark.sparkContext.broadcast(low_orders(table))
-    windows = written(window_scores(table, low, mixer_of(table, low)), "window-scores")
+    table = written(counted(learned, bitmix.windows, shards, packed_shard, SHARDS), "windows")
+    deal = deal_of(table)
+    known = spark.sparkContext.broadcast(shared_counts(table, deal))
+    table = written(dealt(table, deal, shards), "dealt-windows")
+    windows = written(window_scores(table, known, mixer_of(table, known)), "window-scores")
 
     top = [spark.sparkContext.broadcast(frequent(rows, most)) for rows, most in ((words, TOP_WORDS), (windows, TOP_WINDOWS))]
     parts = written(added(df.select(F.monotonically_increasing_id().alias("_row"), "_id", "_held", "_text"), *top), "parts")
