@@ -149,11 +149,11 @@ def valid(df: DataFrame) -> DataFrame:
     return df.filter(F.size("reasons") == 0)
 
 
-def quarantined(df: DataFrame, value: str = "value") -> DataFrame:
-    """Bad rows with the context that can be had, and the class of the failure."""
+def quarantined(df: DataFrame, value: str = "value", more: tuple[str, ...] = ()) -> DataFrame:
+    """Bad rows with the context that can be had, the class of the failure, and ``more`` columns of the records."""
     context = lambda f, t: F.try_variant_get(F.try_parse_json(F.col(value)), f"$.payload.{f}", t)
     return df.filter(F.size("reasons") > 0).select(
-        value, "event_type", "run_id", "trace_id", context("track_id", "bigint").alias("track_id"), context("segment_idx", "int").alias("segment_idx"),
+        *more, value, "event_type", "run_id", "trace_id", context("track_id", "bigint").alias("track_id"), context("segment_idx", "int").alias("segment_idx"),
         F.array_join("reasons", ";").alias("reasons"), failure_class(F.col("reasons")[0]).alias("failure_class"), is_retryable(failure_class(F.col("reasons")[0])).alias("retryable"),
     )
 

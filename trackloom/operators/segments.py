@@ -129,29 +129,38 @@ def features(segments: DataFrame, content: str = "content") -> DataFrame:
 
 
 def cut_segments(tracks: DataFrame, content: str = "content") -> DataFrame:
-    """Whole WAV tracks to segment rows: ``segment_idx, content`` (WAV), ``is_last_segment``, digest.
+    """Whole WAV tracks to segment rows: ``segment_idx, content`` (WAV), ``is_last_segment``, digest, ``error``.
 
-    Every window is cut where its track's bytes are; no shuffle.
+    Every window is cut where its track's bytes are; no shuffle. A track that is null, damaged or of
+    another rate makes one row without content that tells its ``error``.
     """
     ship_package(tracks.sparkSession)
     rest = [c for c in tracks.columns if c != content]
     src = tracks.select(*rest, content)
+    size, hop, tail = (int(s * RATE) for s in (SIZE_S, HOP_S, TAIL_S))
+
+    def parts_of(data: bytes | None) -> list[bytes]:
+        x, rate = decode_pcm(data or b"")
+        if rate != RATE:
+            raise ValueError(f"sample rate {rate}, not {RATE}")
+        full = (len(x) - size) // hop + 1 if len(x) >= size else 0
+        n = full + (len(x) - full * hop > tail)
+        parts = [x[i * hop : i * hop + size] for i in range(n)]
+        return [encode_pcm(np.pad(p, (0, size - len(p)))) for p in parts]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, hop, tail = (int(s * RATE) for s in (SIZE_S, HOP_S, TAIL_S))
         for batch in batches:
             for row in range(batch.num_rows):
-                x, rate = decode_pcm(batch.column(batch.num_columns - 1)[row].as_py())
-                if rate != RATE:
-                    raise ValueError(f"sample rate {rate}, not {RATE}")
-                full = (len(x) - size) // hop + 1 if len(x) >= size else 0
-                n = full + (len(x) - full * hop > tail)
-                parts = [x[i * hop : i * hop + size] for i in range(n)]
-                wavs = [encode_pcm(np.pad(p, (0, size - len(p)))) for p in parts]
+                try:
+                    wavs, error = parts_of(batch.column(batch.num_columns - 1)[row].as_py()), None
+                except (ValueError, EOFError, wave.Error) as e:
+                    wavs, error = [None], str(e) or type(e).__name__
+                n = len(wavs)
                 cols = [pa.array([c[row].as_py()] * n, c.type) for c in batch.columns[:-1]]
-                cols += [pa.array(range(n), pa.int32()), pa.array(wavs, pa.binary()), pa.array([i == n - 1 for i in range(n)], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, [*rest, "segment_idx", "content", "is_last_segment"])
+                numbers = pa.array([None] if error else range(n), pa.int32())
+                cols += [numbers, pa.array(wavs, pa.binary()), pa.array([i == n - 1 and not error for i in range(n)], pa.bool_()), pa.array([error] * n, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, [*rest, "segment_idx", "content", "is_last_segment", "error"])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
-    out = src.mapInArrow(cut, f"{head}segment_idx int, content binary, is_last_segment boolean")
+    out = src.mapInArrow(cut, f"{head}segment_idx int, content binary, is_last_segment boolean, error string")
     return out.withColumn("checksum", F.concat(F.lit("sha256:"), F.sha2("content", 256)))

@@ -11,9 +11,9 @@ from trackloom.operators import contract, reconcile
 from trackloom.plans import domain, queries
 from trackloom.plans.domain import with_tables
 from trackloom.plans.queries import ALL3, FE, GATE_SQL, MF, METRIC_DEDUPE, SUMMARY_SQL, M, T, query, r6, summary_of
-from trackloom.plans.roundtrips import BYTES_SQL, as_wav, persisted, shared, stored_state, track_events, written_events
+from trackloom.plans.roundtrips import BYTES_SQL, ROCKS, STATE_PROVIDER, as_wav, persisted, shared, stored_state, track_events
 from trackloom.sources import readers, sinks
-from trackloom.streaming import stages
+from trackloom.streaming import stages, state
 
 AT = "2026-04-02T00:00:11Z"
 
@@ -23,12 +23,38 @@ AT = "2026-04-02T00:00:11Z"
 
 @query("snk_metrics", METRIC_DEDUPE)
 def _(s, d):
-    """Two batches into a stored table, the second one delivered twice."""
-    path = shared(s, "metrics")
-    m = M(s, d).withColumn("seq", F.col("event_id"))
-    for part in (m.filter("event_id % 2 = 0"), m.filter("event_id % 2 = 1"), m.filter("event_id % 2 = 1")):
-        sinks.upsert_metrics(part, path)
-    return s.read.parquet(path).select("event_id", "run_id", "metric_name", "metric_value")
+    """Three batches into a stored table, one delivered twice, one again by another writer; then compaction."""
+    tables = sinks.store(s, shared(s, "metrics"))
+    m = sinks.filled(sinks.keyed_metrics(M(s, d).withColumn("seq", F.lpad(F.col("event_id").cast("string"), 20, "0"))), "metrics")
+    for k, writer, n in ((0, "a", 0), (1, "a", 1), (1, "a", 1), (2, "a", 2), (0, "b", 0)):
+        tables.commit({"metrics": m.filter(F.col("event_id").cast("bigint") % 3 == k)}, writer, n)
+        if n == 1:
+            tables.compact("metrics")
+    return tables.read("metrics").select(F.col("event_id").cast("bigint").alias("event_id"), "run_id", "metric_name", "metric_value")
+
+
+@query("snk_upsert_features", with_tables("features") + """ SELECT run_id, track_id, segment_idx, min(ts) AS ts, arg_max(rms, (ts, processing_ms, rms)) AS rms FROM features GROUP BY ALL""")
+def _(s, d):
+    """Three batches in order of time, the second one delivered twice; compacted after the second and read merged after the third."""
+    tables = sinks.store(s, shared(s, "features"))
+    ms = lambda c: F.format_string("%020.6f", c)
+    f = FE(s, d).withColumn("seq", F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), ms("processing_ms"), ms(F.col("rms") + 1_000_000)))
+    year = F.year("ts")
+    for low, high, n in ((0, 1996, 0), (1996, 1999, 1), (1996, 1999, 1), (1999, 9999, 2)):
+        if tables.commit({"features": sinks.filled(f.filter((year >= low) & (year < high)), "features")}, "a", n) and n == 1:
+            tables.compact("features")
+    return tables.read("features").select("run_id", "track_id", F.col("segment_idx").cast("int").alias("segment_idx"), F.col("ts").cast("timestamp_ntz").alias("ts"), "rms")
+
+
+@query("snk_upsert_tracks", with_tables("tracks") + " SELECT run_id, track_id, CASE WHEN track_id % 3 = 1 THEN upper(genre) || '!' ELSE genre END AS genre, created_at FROM tracks")
+def _(s, d):
+    """Tracks in three batches; a third of them come again with another genre and a later time, and keep their first time."""
+    tables = sinks.store(s, shared(s, "tracks"))
+    t = T(s, d).withColumn("seq", F.lit("1"))
+    again = t.filter("track_id % 3 = 1").withColumns({"seq": F.lit("2"), "genre": F.concat(F.upper("genre"), F.lit("!")), "created_at": F.col("created_at") + F.expr("interval 1 day")})
+    for n, part in enumerate((t.filter("track_id % 2 = 0"), t.filter("track_id % 2 = 1"), again)):
+        tables.commit({"tracks": sinks.filled(part, "tracks")}, "a", n)
+    return tables.read("tracks").select("run_id", "track_id", "genre", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
 @query("snk_envelopes", with_tables("tracks") + """ SELECT CAST(track_id AS VARCHAR) AS key, 'audio.metadata:v1:' || run_id || ':' || track_id AS idempotency_key, artist_id,
@@ -66,8 +92,11 @@ def _(s, d):
 
 
 def turns(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(segment events, artifacts): every conversation turn is a segment; some artifacts are absent or changed."""
-    c = domain.table(s, d, "conversations").select("conv_id", "turn", as_wav(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
+    """(segment events, artifacts): every conversation turn is a segment, some of them silence; some
+    artifacts are absent, changed, or no audio."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    sound = as_wav(F.when(F.col("turn") % 4 == 2, F.unhex(F.repeat(F.lit("80"), 96_000))).otherwise(text))
+    c = domain.table(s, d, "conversations").select("conv_id", "turn", F.when((F.col("conv_id") % 10 == 5) & (F.col("turn") == 0), text).otherwise(sound).alias("content"))
     run, track, idx = F.concat(F.lit("run-"), (F.col("conv_id") % 5).cast("string")), F.col("conv_id"), F.col("turn").cast("int")
     c = c.select(
         run.alias("run_id"), track.alias("track_id"), idx.alias("segment_idx"), scalars.segment_uri(run, track, idx).alias("artifact_uri"), "content",
@@ -83,43 +112,46 @@ def track_text():
 
 
 INGEST_SQL = BYTES_SQL.format(text="text", table="(SELECT {'c': conv_id, 't': turn} AS doc_id, text FROM conversations)") + """, t AS (
-  SELECT conv_id, turn, 'run-' || (conv_id % 5) AS run_id, CASE WHEN conv_id % 10 = 3 AND turn = 0 THEN 'artifact_missing' WHEN conv_id % 10 = 4 AND turn = 1 THEN 'checksum_mismatch' END AS failure_class, level
-  FROM conversations LEFT JOIN r ON r.doc_id = {'c': conv_id, 't': turn} WHERE text <> ''
+  SELECT conv_id, turn, 'run-' || (conv_id % 5) AS run_id, turn % 4 = 2 AS quiet, CASE WHEN conv_id % 10 = 3 AND turn = 0 THEN 'artifact_missing' WHEN conv_id % 10 = 4 AND turn = 1 THEN 'checksum_mismatch'
+    WHEN conv_id % 10 = 5 AND turn = 0 OR coalesce(text, '') = '' AND turn % 4 <> 2 THEN 'decode_error' END AS failure_class, level
+  FROM conversations LEFT JOIN r ON r.doc_id = {'c': conv_id, 't': turn}
 )"""
 
 
-@query("st_ingest", INGEST_SQL + """ SELECT 'feature' AS kind, run_id, conv_id AS track_id, CAST(turn AS INTEGER) AS segment_idx, CASE WHEN failure_class IS NULL THEN round(20 * log10(level), 3) END AS value, failure_class FROM t
-  UNION ALL SELECT 'silent_ratio', run_id, -1, -1, 0.0, NULL FROM t WHERE failure_class IS NULL GROUP BY run_id""")
+@query("st_ingest", INGEST_SQL + """ SELECT 'feature' AS kind, run_id, conv_id AS track_id, CAST(turn AS INTEGER) AS segment_idx, CASE WHEN failure_class IS NULL THEN CASE WHEN quiet THEN -60.0 ELSE round(20 * log10(level), 3) END END AS value, failure_class FROM t
+  UNION ALL SELECT 'silent_ratio', run_id, -1, -1, round(avg(CASE WHEN quiet THEN 1.0 ELSE 0.0 END), 6), NULL FROM t WHERE failure_class IS NULL GROUP BY run_id""")
 def _(s, d):
-    """A stream of segment events, delivered twice, to feature events and metrics; failures by class."""
+    """A stream of segment events in two triggers, the second one with all of the first again: feature events, each
+    once, failures by class, and each run's last silent ratio."""
+    s.conf.set(STATE_PROVIDER, ROCKS)
     events, artifacts = turns(s, d)
-    src, out, stored = written_events(s, events), shared(s, "processed"), shared(s, "artifacts")
+    src, out, stored = shared(s, "ready"), shared(s, "processed"), shared(s, "artifacts")
     artifacts.write.parquet(stored)
-    for k in range(2):
-        stages.ingest(readers.records(s, src, streaming=True), s.read.parquet(stored), f"{out}/{k}", f"{out}-cp{k}", F.lit(AT)).awaitTermination()
-    made = contract.checked(s.read.parquet(f"{out}/*/events/batch_id=*").select("value")).drop("value")
-    made = contract.valid(made).dropDuplicates(["idempotency_key"])  # what the writer does with a second delivery
+    for part in (events.filter(F.xxhash64("value") % 2 == 0), events):
+        part.select("value").write.mode("append").text(src)
+        stages.ingest(readers.records(s, src, streaming=True), s.read.parquet(stored), out, f"{out}-cp", F.lit(AT)).awaitTermination()
+    made = s.read.parquet(f"{out}/events").select("value", "batch_id")
+    made = contract.valid(contract.checked(made)).drop("value")
     field = lambda f: F.get_json_object("payload", f"$.{f}")
+    nothing = F.lit(None).cast("string").alias("failure_class")
     rows = made.filter("event_type = 'audio.features'").select(
-        F.lit("feature").alias("kind"), "run_id", field("track_id").cast("long").alias("track_id"), field("segment_idx").cast("int").alias("segment_idx"), F.round(field("rms").cast("double"), 3).alias("value"), F.lit(None).cast("string").alias("failure_class")
+        F.lit("feature").alias("kind"), "run_id", field("track_id").cast("long").alias("track_id"), field("segment_idx").cast("int").alias("segment_idx"), F.round(field("rms").cast("double"), 3).alias("value"), nothing
     )
-    failed = s.read.parquet(f"{out}/*/failures/batch_id=*").distinct().select(F.lit("feature").alias("kind"), "run_id", "track_id", "segment_idx", F.lit(None).cast("double").alias("value"), "failure_class")
-    ratio = made.filter(field("metric_name") == "silent_ratio").select(F.lit("silent_ratio").alias("kind"), "run_id", F.lit(-1).cast("long").alias("track_id"), F.lit(-1).alias("segment_idx"), field("metric_value").cast("double").alias("value"), F.lit(None).cast("string").alias("failure_class"))
-    text = F.concat_ws("/", track_text(), "segment_idx")
-    blank = domain.table(s, d, "conversations").filter("text is null or text = ''").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("_t"))
-    keep = rows.unionByName(failed)
-    return keep.join(blank, text == F.col("_t"), "left_anti").unionByName(ratio.distinct())
+    failed = s.read.parquet(f"{out}/failures").drop("batch_id").distinct().select(F.lit("feature").alias("kind"), "run_id", "track_id", "segment_idx", F.lit(None).cast("double").alias("value"), "failure_class")
+    last = made.filter(field("metric_name") == "silent_ratio").groupBy("run_id").agg(F.max_by(field("metric_value").cast("double"), "batch_id").alias("value"))
+    ratio = last.select(F.lit("silent_ratio").alias("kind"), "run_id", F.lit(-1).cast("long").alias("track_id"), F.lit(-1).alias("segment_idx"), F.round("value", 6).alias("value"), nothing)
+    return rows.unionByName(failed).unionByName(ratio)
 
 
 @query("st_vector_state", queries.SQL["agg_vector_welford"].replace("SELECT label, CAST(bin AS INTEGER) AS bin, count(*) AS count", "SELECT CAST(label AS VARCHAR) AS run_id, CAST(bin AS INTEGER) AS bin, count(*) AS count").replace(" round(var_samp(x), 6) AS variance, round(stddev_samp(x), 6) AS std,", "").replace("GROUP BY ALL", "WHERE label IS NOT NULL GROUP BY label, bin"))
 def _(s, d):
     """Embeddings through keyed state, every vector delivered twice."""
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s.conf.set(STATE_PROVIDER, ROCKS)
     src, out = shared(s, "vectors"), shared(s, "moments")
     v = domain.table(s, d, "embeddings").filter("label is not null").select(F.col("label").cast("string").alias("run_id"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     v.write.parquet(src)
     v.write.mode("append").parquet(src)
-    stream = stages.vector_state(s.readStream.schema(v.schema).parquet(src), shards=4)
+    stream = state.vector_state(s.readStream.schema(v.schema).parquet(src), shards=4)
     stream.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("append").parquet(out)).option("checkpointLocation", f"{src}-cp").trigger(availableNow=True).start().awaitTermination()
     return r6(stages.merged_moments(s.read.parquet(out)), "mean", "m2").select("run_id", "bin", "count", "mean", "m2")
 
@@ -181,9 +213,9 @@ def _(s, d):
   SELECT *, expected = observed AS ok FROM (FROM e UNION ALL SELECT check_name, n, n FROM z)""")
 def _(s, d):
     """What the writer's stream stored against what its events imply; a run's features are purged on the way."""
-    out = persisted(s, d)
-    sinks.purge_run(s, f"{out}/features", "run-2")
-    stored = [s.read.parquet(f"{out}/{n}") for n in ("tracks", "features", "metrics")]
+    tables = sinks.store(s, persisted(s, d))
+    kept = tables.read("features").filter("run_id <> 'run-2'")  # rows that the gate must miss
+    stored = [tables.read("tracks"), kept, tables.read("metrics").filter("metric_name <> 'rows_upserted'")]
     m = sinks.merged_metrics(None, M(s, d).withColumn("seq", F.col("event_id")))
     expected = reconcile.sink_counts(T(s, d), FE(s, d).select("run_id", "track_id", "segment_idx").distinct(), m)
     return reconcile.counts_agree(expected, reconcile.sink_counts(*stored))
@@ -197,6 +229,7 @@ def _(s, d):
     path = shared(s, "ratios")
     off = F.when(F.col("run_id") == "run-3", 0.01).otherwise(0.0)
     told = state.select("run_id", F.lit("processing").alias("service_name"), F.lit("silent_ratio").alias("metric_name"), (F.col("silent_ratio") + off).alias("metric_value"))
-    told = told.withColumns({"labels_json": F.lit(stages.RUN_TOTAL), "ts": F.lit(AT), "seq": F.lit(0), "event_id": F.col("run_id")})
-    sinks.upsert_metrics(told, path)
-    return r6(reconcile.ratios_agree(FE(s, d), state, s.read.parquet(path)), "sink_ratio", "state_ratio", "metric_ratio")
+    told = told.withColumns({"labels_json": F.lit(stages.RUN_TOTAL), "ts": F.lit(AT), "seq": F.lit("0"), "event_id": F.col("run_id")})
+    tables = sinks.store(s, path)
+    tables.commit({"metrics": sinks.filled(sinks.keyed_metrics(told), "metrics")}, "a", 0)
+    return r6(reconcile.ratios_agree(FE(s, d), state, tables.read("metrics")), "sink_ratio", "state_ratio", "metric_ratio")

@@ -554,19 +554,6 @@ def _(s, d):
 # ---------------------------------------------------------------- reconciliation, sinks, windows
 
 
-@query("snk_upsert_features", with_tables("features") + """ SELECT run_id, track_id, segment_idx, min(ts) AS ts, arg_max(rms, (ts, processing_ms, rms)) AS rms FROM features GROUP BY ALL""")
-def _(s, d):
-    f = FE(s, d).select("run_id", "track_id", "segment_idx", "rms", "ts", F.struct("ts", "processing_ms", "rms").alias("seq"))
-    return sinks.merged(None, f, ["run_id", "track_id", "segment_idx"], "seq", ("ts",)).select("run_id", "track_id", "segment_idx", "ts", "rms")
-
-
-@query("snk_upsert_tracks", with_tables("tracks") + " SELECT run_id, track_id, genre, created_at FROM tracks")
-def _(s, d):
-    t = T(s, d).select("run_id", "track_id", "genre", "created_at", F.lit(0).alias("seq"))
-    again = t.withColumn("seq", F.lit(1)).withColumn("created_at", F.col("created_at") + F.expr("interval 1 day"))
-    return sinks.merged(t, again, ["run_id", "track_id"], "seq", ("created_at",)).drop("seq")
-
-
 METRIC_DEDUPE = with_tables("metrics") + """, sc AS (SELECT *, coalesce(json_extract_string(labels_json, '$.scope'), '') IN ('run_total', 'processing_record', 'writer_record') AS scoped FROM metrics)
   SELECT event_id, run_id, metric_name, metric_value FROM sc WHERE NOT scoped UNION ALL SELECT event_id, run_id, metric_name, metric_value FROM sc WHERE scoped
   QUALIFY row_number() OVER (PARTITION BY run_id, service_name, metric_name, labels_json ORDER BY ts DESC, event_id DESC) = 1"""

@@ -7,7 +7,9 @@ driver's tables.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from trackloom.plans import domain, queries
 from trackloom.plans.domain import with_tables
 from trackloom.plans.queries import ALL3, FE, GATE_SQL, MF, SUMMARY_SQL, M, T, bundle, query, r6, summary_of
 from trackloom.sources import readers, sinks
-from trackloom.streaming import pipelines
+from trackloom.streaming import pipelines, state
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -357,12 +359,26 @@ def _(s, d):
     return both.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("snk_purge_run", with_tables("tracks") + " SELECT run_id, count(*) AS rows FROM tracks WHERE run_id <> 'run-2' GROUP BY 1")
-def _(s, d):
-    path = shared(s, "tracks")
-    sinks.overwrite(T(s, d), path)
-    sinks.purge_run(s, path, "run-2")
-    return s.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
+@query("snk_purge_run", ALL3 + """, k AS (SELECT DISTINCT run_id, track_id, segment_idx FROM features), c AS (SELECT 'tracks' AS table_name, run_id FROM tracks UNION ALL SELECT 'features', run_id FROM k UNION ALL SELECT 'metrics', run_id FROM metrics
+  UNION ALL SELECT DISTINCT 'checkpoints', run_id FROM tracks UNION ALL SELECT 'quarantine', run_id FROM metrics WHERE event_id % 10 = 0)
+  SELECT table_name, run_id, count(*) AS rows FROM c WHERE run_id <> 'run-2' GROUP BY ALL UNION ALL SELECT 'tracks', 'run-2', count(*) FROM tracks WHERE run_id = 'run-2' AND track_id % 2 = 0""")
+def _(s, d):
+    """A run goes from five tables at one moment; some of its tracks come again afterwards. Half of the tables are compacted."""
+    tables = sinks.store(s, shared(s, "purged"))
+    t, m = T(s, d).withColumn("seq", F.lit("1")), M(s, d)
+    checkpoints = t.select(F.lit("g").alias("consumer_group"), F.lit("audio.metadata").alias("topic"), F.lit(0).alias("partition"), "run_id", F.col("track_id").alias("offset"), F.col("created_at").alias("updated_at"))
+    ledger = sinks.checkpoints(checkpoints.withColumnsRenamed({"topic": "topic_name", "partition": "partition_id"}))
+    bad = m.filter("event_id % 10 = 0").select("run_id", F.lit("system.metrics").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.lit("{}").alias("value"))
+    unscoped = m.withColumns({"labels_json": F.lit("{}"), "seq": F.lit("1")})
+    parts = {"tracks": t, "features": FE(s, d).withColumn("seq", F.lit("1")), "metrics": sinks.keyed_metrics(unscoped), "checkpoints": ledger, "quarantine": bad}
+    tables.commit({n: sinks.filled(p, n) for n, p in parts.items()}, "load", 0)
+    tables.purge("run-2")
+    tables.compact("features")
+    tables.commit({"tracks": sinks.filled(t.filter("run_id = 'run-2' and track_id % 2 = 0"), "tracks")}, "load", 1)
+    tables.compact("tracks")
+    state = tables.state()
+    found = [tables.read(n, state=state).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "run_id", "rows") for n in parts]
+    return reduce(DataFrame.unionAll, found)
 
 
 @query("snk_csv", with_tables("tracks") + " SELECT track_id, genre, duration_s FROM tracks")
@@ -615,10 +631,13 @@ def _(s, d):
 
 
 @query("seg_encode", """WITH n AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents), f AS (SELECT *, CASE WHEN n >= 96000 THEN (n - 96000) // 48000 + 1 ELSE 0 END AS f FROM n)
-  SELECT doc_id, f + CASE WHEN n - f * 48000 > 32000 THEN 1 ELSE 0 END AS segments FROM f WHERE f + CASE WHEN n - f * 48000 > 32000 THEN 1 ELSE 0 END > 0""")
+  SELECT doc_id, CASE WHEN doc_id % 9 IN (4, 5) THEN 0 ELSE f + CASE WHEN n - f * 48000 > 32000 THEN 1 ELSE 0 END END AS segments, CASE WHEN doc_id % 9 IN (4, 5) THEN 1 ELSE 0 END AS errors
+  FROM f WHERE doc_id % 9 IN (4, 5) OR f + CASE WHEN n - f * 48000 > 32000 THEN 1 ELSE 0 END > 0""")
 def _(s, d):
     docs = domain.table(s, d, "documents").select("doc_id", as_wav(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
-    return segments.cut_segments(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("segments"))
+    damaged = F.when(F.col("doc_id") % 9 == 4, F.substring("content", 1, 20)).when(F.col("doc_id") % 9 == 5, F.lit(None)).otherwise(F.col("content"))
+    cut = segments.cut_segments(docs.withColumn("content", damaged))
+    return cut.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("segments"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
 # ---------------------------------------------------------------- streams
@@ -630,45 +649,66 @@ def written_events(s: SparkSession, rows: DataFrame) -> str:
     return path
 
 
-def run_events(s: SparkSession, d: str) -> str:
-    return written_events(s, track_events(s, d).unionAll(feature_events(s, d)).unionAll(metric_events(s, d)))
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def placed(events: DataFrame, topic: str, n: Column) -> DataFrame:
+    """Records of a topic with two partitions; offsets ascend and may have gaps, as those of a topic do."""
+    return events.select(F.lit(topic).alias("topic"), (n % 2).cast("int").alias("partition"), n.cast("bigint").alias("offset"), F.col("key").cast("string").alias("key"), "value")
+
+
+def run_events(s: SparkSession, d: str, waves: int = 1) -> str:
+    """Records of tracks, features and metrics in a folder; in several ``waves``, a folder each, by track or event."""
+    number = lambda k: F.element_at(F.split(F.get_json_object("value", "$.idempotency_key"), ":"), k).cast("bigint")
+    n = number(-2) * 100 + number(-1)
+    event = F.get_json_object("value", "$.event_id").cast("bigint")
+    made = [placed(track_events(s, d), "audio.metadata", number(-1)), placed(feature_events(s, d), "audio.features", n), placed(metric_events(s, d), "system.metrics", event)]
+    rows = made[0].unionAll(made[1]).unionAll(made[2])
+    path = shared(s, "topic")
+    for k in range(waves):
+        sinks.publish_topic(rows.filter(F.floor(F.col("offset") / 1000) % waves == k) if waves > 1 else rows, f"{path}/{k}" if waves > 1 else path)
+    return path
 
 
 def persisted(s: SparkSession, d: str, times: int = 1) -> str:
     """Events of tracks, features and metrics through the writer query, ``times`` times over."""
     src, out = run_events(s, d), shared(s, "written")
     for k in range(times):
-        pipelines.writer(readers.records(s, src, streaming=True), out, f"{out}/_cp{k}").awaitTermination()
+        pipelines.writer(readers.topic_records(s, src, streaming=True), out, f"{out}/_cp{k}").awaitTermination()
     return out
 
 
-WRITTEN_SQL = ALL3 + """, mm AS (SELECT *, coalesce(json_extract_string(labels_json, '$.scope'), '') AS sc FROM metrics)
+#: Records of each topic with their place, as ``run_events`` publishes them.
+PLACES_SQL = """, places AS (SELECT 'audio.metadata' AS topic, track_id AS n, run_id FROM tracks UNION ALL SELECT DISTINCT 'audio.features', track_id * 100 + segment_idx, run_id FROM features UNION ALL SELECT 'system.metrics', event_id, run_id FROM metrics)"""
+WRITTEN_SQL = ALL3 + PLACES_SQL + """, mm AS (SELECT *, coalesce(json_extract_string(labels_json, '$.scope'), '') AS sc FROM metrics), counts AS (
   SELECT 'tracks' AS table_name, count(*) AS rows FROM tracks UNION ALL SELECT 'features', count(*) FROM (SELECT DISTINCT run_id, track_id, segment_idx FROM features)
-  UNION ALL SELECT 'metrics', (SELECT count(*) FROM mm WHERE sc = '') + (SELECT count(*) FROM (SELECT DISTINCT run_id, service_name, metric_name, labels_json FROM mm WHERE sc <> ''))"""
+  UNION ALL SELECT 'metrics', (SELECT count(*) FROM mm WHERE sc = '') + (SELECT count(*) FROM (SELECT DISTINCT run_id, service_name, metric_name, labels_json FROM mm WHERE sc <> '')) + (SELECT count(*) FROM places)
+  UNION ALL SELECT 'checkpoints', count(*) FROM (SELECT DISTINCT topic, n % 2, run_id FROM places) UNION ALL SELECT 'quarantine', 0)"""
+COUNTS_SQL = WRITTEN_SQL + " FROM counts"
 
 
 def table_counts(s: SparkSession, out: str) -> DataFrame:
-    parts = [s.read.parquet(f"{out}/{n}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n in ("tracks", "features", "metrics")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    tables = sinks.store(s, out)
+    state = tables.state()
+    parts = [tables.read(n, state=state).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n in sinks.TABLES]
+    return reduce(DataFrame.unionAll, parts)
 
 
-@query("st_writer", WRITTEN_SQL)
+@query("st_writer", WRITTEN_SQL + """, c AS (SELECT topic || '/' || n % 2 || '/' || run_id AS table_name, max(n) AS rows FROM places GROUP BY topic, n % 2, run_id) FROM counts UNION ALL FROM c""")
 def _(s, d):
-    return table_counts(s, persisted(s, d))
+    """Rows of each table after the stream, and the offset ledger that the same commits hold."""
+    out = persisted(s, d)
+    ledger = sinks.store(s, out).read("checkpoints")
+    return table_counts(s, out).unionByName(ledger.select(F.concat_ws("/", "topic_name", "partition_id", "run_id").alias("table_name"), F.col("last_committed_offset").alias("rows")))
 
 
-@query("st_idempotent_replay", WRITTEN_SQL)
-def _(s, d):
-    return table_counts(s, persisted(s, d, times=2))
-
-
-@query("gate_replay", WRITTEN_SQL.replace("SELECT 'tracks' AS table_name, count(*) AS rows FROM tracks", ", w AS (SELECT 'tracks' AS table_name, count(*) AS rows FROM tracks") + """
-  ) SELECT table_name, rows AS before, rows + CASE table_name WHEN 'tracks' THEN 1 ELSE 0 END AS after, table_name <> 'tracks' AS ok FROM w""")
+@query("gate_replay", WRITTEN_SQL + " SELECT table_name, rows AS before, rows + CASE table_name WHEN 'tracks' THEN 1 ELSE 0 END AS after, table_name <> 'tracks' AS ok FROM counts")
 def _(s, d):
     """Counts before and after a replay; the replay of tracks is given one row too many."""
     src, out, kept = run_events(s, d), shared(s, "written"), shared(s, "counts")
     for k in range(2):
-        pipelines.writer(readers.records(s, src, streaming=True), out, f"{out}/_cp{k}").awaitTermination()
+        pipelines.writer(readers.topic_records(s, src, streaming=True), out, f"{out}/_cp{k}").awaitTermination()
         if not k:
             table_counts(s, out).write.parquet(kept)
     once, twice = s.read.parquet(kept), table_counts(s, out)
@@ -676,48 +716,111 @@ def _(s, d):
     return reconcile.replay_changes(once, more, ["table_name"], "rows", []).select("table_name", "before", "after", "ok")
 
 
-@query("st_replay_snapshot", WRITTEN_SQL + """ UNION ALL SELECT 'state/' || run_id, count(*) FROM (SELECT DISTINCT run_id, track_id, segment_idx FROM features) GROUP BY run_id
-  UNION ALL SELECT 'offset/' || json_extract_string(labels_json, '$.topic') || '/' || run_id, max(event_id) FROM metrics WHERE json_extract_string(labels_json, '$.topic') IS NOT NULL GROUP BY json_extract_string(labels_json, '$.topic'), run_id""")
+@query("st_replay_snapshot", WRITTEN_SQL + """ FROM counts UNION ALL SELECT 'state/' || run_id, count(*) FROM (SELECT DISTINCT run_id, track_id, segment_idx FROM features) GROUP BY run_id
+  UNION ALL SELECT 'offset/' || topic || '/' || n % 2 || '/' || run_id, max(n) FROM places GROUP BY topic, n % 2, run_id""")
 def _(s, d):
-    """Stored rows, segments in the state documents, and last offsets by topic and run."""
-    rows = table_counts(s, persisted(s, d))
+    """Stored rows, segments in the state documents, and the stream's last offsets by topic, partition and run, after two deliveries."""
+    out = persisted(s, d, times=2)
     state = readers.state_summary(stored_state(s, d)).select(F.concat(F.lit("state/"), "run_id").alias("table_name"), F.col("segments").alias("rows"))
-    path = shared(s, "offsets")
-    offsets = M(s, d).select(F.lit("g").alias("consumer_group"), views.label("topic").alias("topic_name"), F.lit(0).alias("partition_id"), "run_id", F.col("event_id").alias("offset"), F.col("ts").alias("updated_at")).filter("topic_name is not null")
-    sinks.upsert_checkpoints(offsets, path)
-    last = s.read.parquet(path).select(F.concat(F.lit("offset/"), "topic_name", F.lit("/"), "run_id").alias("table_name"), F.col("last_committed_offset").alias("rows"))
-    return rows.unionByName(state).unionByName(last)
+    last = sinks.store(s, out).read("checkpoints").select(F.concat_ws("/", F.lit("offset"), "topic_name", "partition_id", "run_id").alias("table_name"), F.col("last_committed_offset").alias("rows"))
+    return table_counts(s, out).unionByName(state).unionByName(last)
 
 
-@query("st_processed_segments", with_tables("features") + " SELECT run_id, CAST(count(*) AS BIGINT) AS segments FROM (SELECT DISTINCT run_id, track_id, segment_idx FROM features) GROUP BY 1")
+@query("st_idempotent_replay", WRITTEN_SQL + """ FROM counts UNION ALL SELECT 'class ' || event_id % 4, count(*) * CASE event_id % 4 WHEN 2 THEN 2 ELSE 1 END FROM events GROUP BY event_id % 4
+  UNION ALL SELECT 'keys held', count(*) FILTER (WHERE event_id % 4 IN (2, 3)) FROM events""")
 def _(s, d):
-    """Keyed state over a file stream; the last update of each shard is summed up."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    src, out = shared(s, "in"), shared(s, "updates")
-    f = FE(s, d).select("run_id", "track_id", "segment_idx", "silent_flag")
-    f.write.parquet(src)
-    stream = pipelines.segment_state(s.readStream.schema(f.schema).parquet(src), shards=4)
-    stream.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("append").parquet(out)).option("checkpointLocation", f"{src}-cp").trigger(availableNow=True).start().awaitTermination()
-    return pipelines.ratios(s.read.parquet(out)).select("run_id", "segments")
+    """Rows of each table after two deliveries of all records by two queries; and second deliveries before a watermark:
+    of class 1 they come within it and go, of class 2 beyond it, when the keys have left the state, and pass. Class 3 moves the watermark."""
+    s.conf.set(STATE_PROVIDER, ROCKS)
+    counts = table_counts(s, persisted(s, d, times=2))
+    src, out = shared(s, "deliveries"), shared(s, "once")
+    e = domain.table(s, d, "events").select(F.col("event_id").cast("string").alias("idempotency_key"), (F.col("event_id") % 4).alias("class"), "event_id")
+    waves = (("class != 3", 0, 300), ("class = 1", 300, 200), ("class = 3", 86_400, 200), ("class = 2", 86_700, 100))
+    for which, start, span in waves:
+        at = F.timestamp_seconds(F.lit(1_767_225_600 + start) + F.col("event_id") % span)
+        wave = e.filter(which).select("idempotency_key", "class", at.alias("received_at"))
+        wave.write.mode("append").parquet(src)
+        once = pipelines.deduplicated(s.readStream.schema(wave.schema).parquet(src), "received_at")
+        once.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{src}-cp").trigger(availableNow=True).start().awaitTermination()
+    passed = s.read.parquet(out).groupBy(F.concat(F.lit("class "), F.col("class").cast("string")).alias("table_name")).agg(F.count(F.lit(1)).alias("rows"))
+    held = s.read.format("statestore").load(f"{src}-cp").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("keys held").alias("table_name"), "rows")
+    return counts.unionByName(passed).unionByName(held)
 
 
-@query("st_retry", "SELECT event_id, 2 AS attempt FROM events WHERE event_type IN ('view', 'click')")
-def _(s, d):
-    e = domain.table(s, d, "events").withColumns({"attempt": F.when(F.col("event_type") == "click", 1).otherwise(1), "failure_class": F.when(F.col("event_type").isin("view", "click"), "checksum_mismatch").otherwise("payload")})
-    return pipelines.retries(e, "2026-01-01 00:00:00")[0].select("event_id", "attempt")
-
+def drained(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:
+    """All that a stream has now, appended to a folder by batch."""
+    def write(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch_id={i}")
 
-PROGRESS_SQL = with_tables("metrics") + """, t AS (SELECT *, json_extract_string(labels_json, '$.topic') AS topic_name FROM metrics), x AS (SELECT run_id, topic_name, max(event_id) AS o, max(event_id) FILTER (WHERE user_id_part < 3) AS b FROM (SELECT *, event_id % 100 AS user_id_part FROM t) WHERE topic_name IS NOT NULL GROUP BY ALL)
-  SELECT topic_name, run_id, coalesce(b, -1) AS before, o AS after, coalesce(o > coalesce(b, -1), false) AS advanced FROM x"""
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-@query("st_checkpoint_progress", PROGRESS_SQL)
+@query("st_processed_segments", with_tables("features") + """, k AS (SELECT run_id, track_id, segment_idx, bool_or(silent_flag) AS silent FROM features GROUP BY ALL)
+  SELECT run_id, CAST(count(*) AS BIGINT) AS segments, round(avg(CASE WHEN silent THEN 1.0 ELSE 0.0 END), 6) AS silent_ratio, count(*) FILTER (WHERE track_id % 50 = 7) AS conflicts FROM k GROUP BY 1""")
 def _(s, d):
-    """Offsets now against those of an earlier snapshot, which saw three events in a hundred."""
-    rows = M(s, d).select(F.lit("g").alias("consumer_group"), views.label("topic").alias("topic_name"), F.lit(0).alias("partition_id"), "run_id", F.col("event_id").alias("offset"), F.col("ts").alias("updated_at")).filter("topic_name is not null")
-    out = pipelines.progress(sinks.checkpoints(rows.filter("offset % 100 < 3")), sinks.checkpoints(rows))
-    return out.select("topic_name", "run_id", F.coalesce("before", F.lit(-1)).alias("before"), "after", "advanced")
+    """Keyed state that begins with half of the tracks from state documents; the stream brings all segments, then some with another flag."""
+    s.conf.set(STATE_PROVIDER, ROCKS)
+    src, out = shared(s, "in"), shared(s, "updates")
+    f = FE(s, d).groupBy("run_id", "track_id", "segment_idx").agg(F.max("silent_flag").alias("silent_flag"))
+    documents = shared(s, "documents")
+    sinks.json_document(state_documents(f.filter("track_id % 2 = 0"))).write.text(documents)
+    for rows in (f, f.filter("track_id % 50 = 7").withColumn("silent_flag", ~F.col("silent_flag"))):
+        rows.write.mode("append").parquet(src)
+        drained(pipelines.segment_state(s.readStream.schema(f.schema).parquet(src), 4, readers.processing_state(s, documents), ttl_ms=86_400_000), out, f"{src}-cp")
+    return r6(pipelines.ratios(s.read.parquet(out)), "silent_ratio").select("run_id", "segments", "silent_ratio", "conflicts")
+
+
+@query("st_retry", """WITH t AS (SELECT conv_id AS track_id, CAST(turn AS INTEGER) AS segment_idx, conv_id % 4 AS kind FROM conversations WHERE turn = 0), a AS (SELECT *, unnest(range(1, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 1 END)) AS attempt FROM t)
+  SELECT track_id, segment_idx, 'waits' AS kind, CAST(attempt AS INTEGER) AS attempt, CAST(least(20 * 2 ** (attempt - 1), 100) AS BIGINT) AS wait_ms FROM a
+  UNION ALL SELECT track_id, segment_idx, CASE WHEN kind < 2 THEN 'done' ELSE 'given_up' END, CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 1 END AS INTEGER), NULL FROM t""")
+def _(s, d):
+    """First turns whose artifact is not there: of some it appears before the second attempt, of some before the fourth, of
+    some never; every fourth has damaged content, which no attempt mends. Attempts go round by a folder of failures."""
+    s.conf.set(STATE_PROVIDER, ROCKS)
+    feed, out, there = shared(s, "failures"), shared(s, "retries"), shared(s, "artifacts")
+    t = domain.table(s, d, "conversations").filter("turn = 0").select(
+        F.lit("run-0").alias("run_id"), F.col("conv_id").alias("track_id"), F.col("turn").cast("int").alias("segment_idx"), F.lit(1).alias("attempt"),
+        F.when(F.col("conv_id") % 4 == 3, "decode_error").otherwise("artifact_missing").alias("failure_class"),
+    )
+    t.write.parquet(feed)
+    keys = ["run_id", "track_id", "segment_idx"]
+
+    def attempt(df: DataFrame, i: int) -> None:
+        """What is due is looked up among the artifacts there are now; what fails again goes back to the feed."""
+        rows = df.persist()
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={i}")
+        due = rows.filter("kind = 'again'").select(*keys, "attempt").join(s.read.schema("track_id bigint").parquet(there).withColumn("_there", F.lit(True)), "track_id", "left")
+        due.filter("_there").select(*keys, F.lit("done").alias("kind"), "attempt").write.mode("overwrite").parquet(f"{out}-done/batch_id={i}")
+        due.filter("_there is null").select(*keys, "attempt", F.lit("artifact_missing").alias("failure_class")).write.mode("append").parquet(feed)
+        rows.unpersist()
+
+    come = {0: t.filter("track_id % 4 = 0"), 2: t.filter("track_id % 4 = 1")}
+    t.limit(0).select("track_id").write.parquet(there)
+    for k in range(5):
+        if k in come:
+            come[k].select("track_id").write.mode("append").parquet(there)
+        failed = s.readStream.schema(t.schema).parquet(feed)
+        for _ in range(2):  # rows that wait, then, when their time has come, their timers
+            due = state.retries(failed, contract.RETRYABLE, base_ms=20, cap_ms=100, most=5)
+            due.writeStream.outputMode("update").foreachBatch(attempt).option("checkpointLocation", f"{feed}-cp").trigger(availableNow=True).start().awaitTermination()
+            time.sleep(0.15)
+    rows = s.read.parquet(out).filter("kind != 'again'").select("track_id", "segment_idx", "kind", "attempt", "wait_ms")
+    return rows.unionByName(s.read.parquet(f"{out}-done").select("track_id", "segment_idx", "kind", "attempt", F.lit(None).cast("bigint").alias("wait_ms")))
+
+
+@query("st_checkpoint_progress", ALL3 + PLACES_SQL + """ SELECT topic AS topic_name, CAST(n % 2 AS INTEGER) AS partition_id, run_id, coalesce(max(n) FILTER (WHERE n // 1000 % 2 = 0), -1) AS before, max(n) AS after,
+  max(n) > coalesce(max(n) FILTER (WHERE n // 1000 % 2 = 0), -1) AS advanced FROM places GROUP BY topic, n % 2, run_id""")
+def _(s, d):
+    """The offset ledger after two triggers of the stream, against that after the first."""
+    src, out = run_events(s, d, waves=2), shared(s, "written")
+    tables, seen = sinks.store(s, out), []
+    for k in range(2):
+        live = shared(s, "live") if not k else live
+        readers.topic_records(s, f"{src}/{k}").write.mode("append").parquet(live)
+        pipelines.writer(readers.topic_records(s, live, streaming=True), out, f"{out}/_cp").awaitTermination()
+        seen.append(tables.read("checkpoints"))
+    moved = pipelines.progress(*seen)
+    return moved.select("topic_name", "partition_id", "run_id", F.coalesce("before", F.lit(-1).cast("bigint")).alias("before"), "after", "advanced")
 
 
 @query("gate_metric_stream", """SELECT count(*) AS rows, n AS check_name, CAST(0 AS BIGINT) AS failures, true AS ok FROM events, (VALUES ('named'), ('unit')) v(n) GROUP BY n""")

@@ -103,6 +103,15 @@ def records(spark: SparkSession, path: str, streaming: bool = False) -> DataFram
     return (spark.readStream if streaming else spark.read).text(path)
 
 
+RECORD = "topic string, partition int, offset bigint, key string, value string"
+
+
+def topic_records(spark: SparkSession, path: str, streaming: bool = False, files: int | None = None) -> DataFrame:
+    """Event records with their place in a topic, as ``kafka_records`` gives them; ``files`` in one trigger."""
+    reader = (spark.readStream if streaming else spark.read).schema(RECORD)
+    return (reader.option("maxFilesPerTrigger", files) if streaming and files else reader).parquet(path)
+
+
 def kafka_records(spark: SparkSession, servers: str, topics: list[str], streaming: bool = True) -> DataFrame:
     """Event records of topics; needs the Kafka connector on the class path."""
     reader = (spark.readStream if streaming else spark.read).format("kafka")

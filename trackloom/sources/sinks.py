@@ -1,8 +1,8 @@
-"""Sinks: keyed upserts, scoped metrics, checkpoints, manifests, bundle files.
+"""Sinks: keyed tables, scoped metrics, checkpoints, manifests, bundle files.
 
-Upserts read only the ``run_id`` partitions that a batch touches and overwrite these alone
-(dynamic partition overwrite). One writer at a time per table is assumed, as ``foreachBatch``
-gives it; a batch that is applied twice leaves the table as it was after the first time.
+The writer's tables are merged on read (``store``). Manifests and evaluation rows, which come run by run,
+are partitioned by run: an upsert overwrites the partitions of a batch alone (dynamic partition
+overwrite); one writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.sources.readers import artifacts
+from trackloom.sources.store import Store, Table
 
 SCOPES = ("run_total", "processing_record", "writer_record")
 
@@ -51,21 +52,6 @@ def upsert(batch: DataFrame, path: str, keys: list[str], order: str, keep_first:
     overwrite(merged(_touched(batch, path, partition), batch, keys, order, keep_first), path, partition)
 
 
-def upsert_tracks(batch: DataFrame, path: str) -> None:
-    """Last writer wins on (run, track); ``created_at`` stays."""
-    upsert(batch, path, ["run_id", "track_id"], "seq", ("created_at",))
-
-
-def upsert_features(batch: DataFrame, path: str) -> None:
-    """Last writer wins on (run, track, segment); ``ts`` and ``created_at`` stay. Two old rows of a key are an error."""
-    keys = ["run_id", "track_id", "segment_idx"]
-    old = _touched(batch, path, "run_id")
-    if old is not None:
-        n = old.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        old = old.join(n, keys).filter(F.assert_true(F.col("_n") <= 1, "more than one row of a key").isNull()).drop("_n")
-    overwrite(merged(old, batch, keys, "seq", ("ts", "created_at")), path)
-
-
 def metric_scope(labels: str = "labels_json"):
     return F.coalesce(F.get_json_object(labels, "$.scope"), F.lit(""))
 
@@ -80,23 +66,47 @@ def merged_metrics(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     return rows.filter(~scoped).unionByName(newest.select(*rows.columns))
 
 
-def upsert_metrics(batch: DataFrame, path: str) -> None:
-    """Replace scoped metrics, append the others; ``event_id`` makes a batch that comes again a no-op."""
-    old = _touched(batch, path, "run_id")
-    if old is not None:
-        batch = batch.join(old.select("event_id"), "event_id", "left_anti").select(*batch.columns)
-        if batch.isEmpty():
-            return
-    overwrite(merged_metrics(old, batch), path)
-
-
 def checkpoints(records: DataFrame) -> DataFrame:
     """Last offset per group, topic, partition and run of a batch."""
     return records.groupBy("consumer_group", "topic_name", "partition_id", "run_id").agg(F.max("offset").alias("last_committed_offset"), F.max("updated_at").alias("updated_at"))
 
 
-def upsert_checkpoints(records: DataFrame, path: str) -> None:
-    upsert(checkpoints(records), path, ["consumer_group", "topic_name", "partition_id", "run_id"], "updated_at")
+#: The tables that the writer's stream keeps, merged on read.
+TABLES = {
+    "tracks": Table(
+        "run_id string, track_id bigint, artist_id bigint, genre string, subset string, source_audio_uri string, validation_status string, duration_s double, manifest_uri string, checksum string, created_at timestamp, seq string",
+        ("run_id", "track_id"), ("seq",), ("created_at",),
+    ),
+    "features": Table(
+        "ts timestamp, run_id string, track_id bigint, segment_idx bigint, artifact_uri string, checksum string, manifest_uri string, rms double, silent_flag boolean, mel_bins bigint, mel_frames bigint, processing_ms double, created_at timestamp, seq string",
+        ("run_id", "track_id", "segment_idx"), ("seq",), ("ts", "created_at"),
+    ),
+    "metrics": Table(
+        "event_id string, ts timestamp, run_id string, service_name string, metric_name string, metric_value double, labels_json string, unit string, seq string, metric_key string",
+        ("run_id", "metric_key"), ("ts", "seq"), arrival=False,
+    ),
+    "checkpoints": Table("consumer_group string, topic_name string, partition_id int, run_id string, last_committed_offset bigint, updated_at timestamp", ("run_id", "consumer_group", "topic_name", "partition_id"), ("last_committed_offset", "updated_at"), arrival=False),
+    "quarantine": Table(
+        "topic string, partition int, offset bigint, value string, event_type string, run_id string, trace_id string, track_id bigint, segment_idx int, reasons string, failure_class string, retryable boolean",
+        ("run_id", "topic", "partition", "offset", "value"),
+    ),
+}
+
+
+def store(spark: SparkSession, root: str, **settings: int) -> Store:
+    return Store(spark, root, TABLES, **settings)
+
+
+def keyed_metrics(rows: DataFrame) -> DataFrame:
+    """``metric_key``: what a scoped metric replaces, and an event's id where rows add up."""
+    scoped = F.concat_ws("\x1f", "service_name", "metric_name", F.to_json(F.parse_json("labels_json")))
+    return rows.withColumn("metric_key", F.when(metric_scope().isin(*SCOPES), scoped).otherwise(F.col("event_id").cast("string")))
+
+
+def filled(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with all columns of a table, null where they have none."""
+    fields = rows.sparkSession.createDataFrame([], TABLES[name].schema).schema
+    return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def merge_manifest(batch: DataFrame, path: str) -> None:
@@ -107,7 +117,7 @@ def merge_manifest(batch: DataFrame, path: str) -> None:
 
 
 def purge_run(spark: SparkSession, path: str, run_id: str) -> bool:
-    """Delete a run's partition; True if it was there."""
+    """Delete a run's partition of one table; True if it was there. Tables of a ``store`` go by ``Store.purge``."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/run_id={run_id}")
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -159,6 +169,11 @@ def publish(spark: SparkSession, root: str, name: str, build: Callable[[str], No
     return f"{root}/{name}"
 
 
+def publish_topic(events: DataFrame, path: str) -> None:
+    """Records with their place (``topic, partition, offset, key, value``) appended to a folder, as a topic's reader gives them."""
+    events.select("topic", "partition", "offset", "key", "value").write.mode("append").parquet(path)
+
+
 def publish_records(events: DataFrame, path: str) -> None:
     """Records (``key``, ``value``) appended to a folder; a topic sink takes the same two columns."""
     events.select("key", "value").write.mode("overwrite").parquet(path)
