@@ -111,27 +111,27 @@ def test_contract(spark, text, reason):
     assert got == reason
 
 
-def test_upserts_replay_to_the_same_table(spark, tmp_path):
-    path = str(tmp_path / "features")
+def test_features_sink_keeps_first_times(spark, tmp_path):
+    tables = sinks.store(spark, str(tmp_path / "s"))
     schema = "run_id string, track_id long, segment_idx int, rms double, ts timestamp, created_at timestamp, seq string"
     t = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
     first = spark.createDataFrame([("r", 1, 0, -1.0, t[0], t[0], "1"), ("q", 1, 0, -5.0, t[0], t[0], "1")], schema)
     second = spark.createDataFrame([("r", 1, 0, -2.0, t[1], t[1], "2"), ("r", 1, 1, -3.0, t[1], t[1], "2")], schema)
-    for batch in (first, second, second):
-        sinks.upsert_features(batch, path)
-    rows = {(r["run_id"], r["segment_idx"]): r for r in spark.read.parquet(path).collect()}
+    for n, batch in ((0, first), (1, second), (1, second), (2, second)):
+        tables.commit({"features": sinks.filled(batch, "features")}, "w", n)
+    rows = {(r["run_id"], r["segment_idx"]): r for r in tables.read("features").collect()}
     assert len(rows) == 3 and rows["r", 0]["rms"] == -2.0 and rows["r", 0]["ts"] == t[0] and rows["q", 0]["rms"] == -5.0
 
 
 def test_metrics_sink_scopes(spark, tmp_path):
-    path = str(tmp_path / "metrics")
+    tables = sinks.store(spark, str(tmp_path / "s"))
     schema = "event_id string, run_id string, service_name string, metric_name string, metric_value double, labels_json string, ts timestamp, seq string"
     t = [dt.datetime(2026, 1, d) for d in (1, 2)]
     a = spark.createDataFrame([("1", "r", "processing", "silent_ratio", 0.1, '{"scope":"run_total"}', t[0], "1"), ("2", "r", "processing", "processing_ms", 5.0, "{}", t[0], "1")], schema)
-    b = spark.createDataFrame([("3", "r", "processing", "silent_ratio", 0.2, '{"scope":"run_total"}', t[1], "2"), ("4", "r", "processing", "processing_ms", 6.0, "{}", t[1], "2")], schema)
-    for batch in (a, b, b):
-        sinks.upsert_metrics(batch, path)
-    got = sorted((r["metric_name"], r["metric_value"]) for r in spark.read.parquet(path).collect())
+    b = spark.createDataFrame([("3", "r", "processing", "silent_ratio", 0.2, '{ "scope": "run_total"}', t[1], "2"), ("4", "r", "processing", "processing_ms", 6.0, "{}", t[1], "2")], schema)
+    for n, batch in enumerate((b, a, b)):  # the older one comes after the newer one
+        tables.commit({"metrics": sinks.filled(sinks.keyed_metrics(batch), "metrics")}, "w", n)
+    got = sorted((r["metric_name"], r["metric_value"]) for r in tables.read("metrics").collect())
     assert got == [("processing_ms", 5.0), ("processing_ms", 6.0), ("silent_ratio", 0.2)]
 
 

@@ -747,12 +747,9 @@ def _(s, d):
     return counts.unionByName(passed).unionByName(held)
 
 
-def drained(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:
-    """All that a stream has now, appended to a folder by batch."""
-    def write(df: DataFrame, i: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch_id={i}")
-
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def one_batch(stream: DataFrame, write, checkpoint: str) -> None:
+    """One batch of a stream with timers or expiring state: such a stream always has another batch, so it has no end to wait for."""
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(once=True).start().awaitTermination()
 
 
 @query("st_processed_segments", with_tables("features") + """, k AS (SELECT run_id, track_id, segment_idx, bool_or(silent_flag) AS silent FROM features GROUP BY ALL)
@@ -766,13 +763,14 @@ def _(s, d):
     sinks.json_document(state_documents(f.filter("track_id % 2 = 0"))).write.text(documents)
     for rows in (f, f.filter("track_id % 50 = 7").withColumn("silent_flag", ~F.col("silent_flag"))):
         rows.write.mode("append").parquet(src)
-        drained(pipelines.segment_state(s.readStream.schema(f.schema).parquet(src), 4, readers.processing_state(s, documents), ttl_ms=86_400_000), out, f"{src}-cp")
+        stream = pipelines.segment_state(s.readStream.schema(f.schema).parquet(src), 4, readers.processing_state(s, documents), ttl_ms=86_400_000)
+        one_batch(stream, lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}"), f"{src}-cp")
     return r6(pipelines.ratios(s.read.parquet(out)), "silent_ratio").select("run_id", "segments", "silent_ratio", "conflicts")
 
 
 @query("st_retry", """WITH t AS (SELECT conv_id AS track_id, CAST(turn AS INTEGER) AS segment_idx, conv_id % 4 AS kind FROM conversations WHERE turn = 0), a AS (SELECT *, unnest(range(1, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 1 END)) AS attempt FROM t)
   SELECT track_id, segment_idx, 'waits' AS kind, CAST(attempt AS INTEGER) AS attempt, CAST(least(20 * 2 ** (attempt - 1), 100) AS BIGINT) AS wait_ms FROM a
-  UNION ALL SELECT track_id, segment_idx, CASE WHEN kind < 2 THEN 'done' ELSE 'given_up' END, CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 1 END AS INTEGER), NULL FROM t""")
+  UNION ALL SELECT track_id, segment_idx, CASE WHEN kind < 2 THEN 'done' ELSE 'given_up' END, CAST(CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 1 END AS INTEGER), -1 FROM t""")
 def _(s, d):
     """First turns whose artifact is not there: of some it appears before the second attempt, of some before the fourth, of
     some never; every fourth has damaged content, which no attempt mends. Attempts go round by a folder of failures."""
@@ -802,10 +800,10 @@ def _(s, d):
         failed = s.readStream.schema(t.schema).parquet(feed)
         for _ in range(2):  # rows that wait, then, when their time has come, their timers
             due = state.retries(failed, contract.RETRYABLE, base_ms=20, cap_ms=100, most=5)
-            due.writeStream.outputMode("update").foreachBatch(attempt).option("checkpointLocation", f"{feed}-cp").trigger(availableNow=True).start().awaitTermination()
+            one_batch(due, attempt, f"{feed}-cp")
             time.sleep(0.15)
-    rows = s.read.parquet(out).filter("kind != 'again'").select("track_id", "segment_idx", "kind", "attempt", "wait_ms")
-    return rows.unionByName(s.read.parquet(f"{out}-done").select("track_id", "segment_idx", "kind", "attempt", F.lit(None).cast("bigint").alias("wait_ms")))
+    rows = s.read.parquet(out).filter("kind != 'again'").select("track_id", "segment_idx", "kind", "attempt", F.coalesce("wait_ms", F.lit(-1).cast("bigint")).alias("wait_ms"))
+    return rows.unionByName(s.read.parquet(f"{out}-done").select("track_id", "segment_idx", "kind", "attempt", F.lit(-1).cast("bigint").alias("wait_ms")))
 
 
 @query("st_checkpoint_progress", ALL3 + PLACES_SQL + """ SELECT topic AS topic_name, CAST(n % 2 AS INTEGER) AS partition_id, run_id, coalesce(max(n) FILTER (WHERE n // 1000 % 2 = 0), -1) AS before, max(n) AS after,
