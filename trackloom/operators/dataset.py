@@ -7,7 +7,7 @@ tracks (with their segment counts), features and the manifest.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -274,17 +274,56 @@ class Bundle:
     """
 
     def __init__(self, tracks: DataFrame, features: DataFrame, manifest: DataFrame, summary: DataFrame, stored: Callable[[DataFrame, str], DataFrame] = lambda df, name: df):
-        self.reasons = stored(segment_reasons(tracks, features, manifest), "reasons")
-        self.unmatched = unmatched_manifest(features, manifest)
-        self.rejected = rejected_segments(self.reasons, self.unmatched)
-        self.judged = stored(track_reasons(tracks, self.reasons), "judged")
-        self.accepted = accepted_tracks(self.judged)
-        self.labels = label_map(self.accepted)
-        self.segments = accepted_segments(self.reasons, self.accepted, self.labels)
-        self.splits = group_split(self.accepted)
-        self.rows = stored(split_rows(self.segments, self.splits), "rows")
-        kinds = ["run_id", "anomaly_type", "severity"]
-        self.every_anomaly = anomaly_rows(self.rejected).unionByName(run_anomalies(summary), allowMissingColumns=True).unionByName(no_accepted(self.judged), allowMissingColumns=True)
-        self.anomalies = self.every_anomaly.select(*kinds)
-        self.verdicts = quality_verdict(self.anomalies, tracks)
-        self.summary = bundle_summary(self.judged, self.segments, self.rejected, self.labels, self.verdicts)
+        self.tracks, self.features, self.manifest, self.run_summary, self._stored = tracks, features, manifest, summary, stored
+
+    @cached_property
+    def reasons(self) -> DataFrame:
+        return self._stored(segment_reasons(self.tracks, self.features, self.manifest), "reasons")
+
+    @cached_property
+    def unmatched(self) -> DataFrame:
+        return unmatched_manifest(self.features, self.manifest)
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        return rejected_segments(self.reasons, self.unmatched)
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        return self._stored(track_reasons(self.tracks, self.reasons), "judged")
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return accepted_tracks(self.judged)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return label_map(self.accepted)
+
+    @cached_property
+    def segments(self) -> DataFrame:
+        return accepted_segments(self.reasons, self.accepted, self.labels)
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        return group_split(self.accepted)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self._stored(split_rows(self.segments, self.splits), "rows")
+
+    @cached_property
+    def every_anomaly(self) -> DataFrame:
+        return anomaly_rows(self.rejected).unionByName(run_anomalies(self.run_summary), allowMissingColumns=True).unionByName(no_accepted(self.judged), allowMissingColumns=True)
+
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        return self.every_anomaly.select("run_id", "anomaly_type", "severity")
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return quality_verdict(self.anomalies, self.tracks)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return bundle_summary(self.judged, self.segments, self.rejected, self.labels, self.verdicts)

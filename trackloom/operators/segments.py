@@ -129,10 +129,10 @@ def features(segments: DataFrame, content: str = "content") -> DataFrame:
 
 
 def cut_segments(tracks: DataFrame, content: str = "content") -> DataFrame:
-    """Whole WAV tracks to segment rows: ``segment_idx, content`` (WAV), ``is_last_segment``, digest, ``error``.
+    """Whole WAV tracks to segment rows: ``segment_idx, content`` (WAV), ``is_last_segment``, digest, ``cut_error``.
 
     Every window is cut where its track's bytes are; no shuffle. A track that is null, damaged or of
-    another rate makes one row without content that tells its ``error``.
+    another rate makes one row without content that tells its ``cut_error``.
     """
     ship_package(tracks.sparkSession)
     rest = [c for c in tracks.columns if c != content]
@@ -159,8 +159,8 @@ def cut_segments(tracks: DataFrame, content: str = "content") -> DataFrame:
                 cols = [pa.array([c[row].as_py()] * n, c.type) for c in batch.columns[:-1]]
                 numbers = pa.array([None] if error else range(n), pa.int32())
                 cols += [numbers, pa.array(wavs, pa.binary()), pa.array([i == n - 1 and not error for i in range(n)], pa.bool_()), pa.array([error] * n, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, [*rest, "segment_idx", "content", "is_last_segment", "error"])
+                yield pa.RecordBatch.from_arrays(cols, [*rest, "segment_idx", "content", "is_last_segment", "cut_error"])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
-    out = src.mapInArrow(cut, f"{head}segment_idx int, content binary, is_last_segment boolean, error string")
+    out = src.mapInArrow(cut, f"{head}segment_idx int, content binary, is_last_segment boolean, cut_error string")
     return out.withColumn("checksum", F.concat(F.lit("sha256:"), F.sha2("content", 256)))

@@ -168,11 +168,7 @@ BUNDLE_SQL = f"""{GATE_SQL}, it AS (
 
 
 def written_bundle(s: SparkSession, d: str) -> str:
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = shared(s, f"bundle-{name}")
-        df.write.parquet(path)
-        return s.read.schema(df.schema).parquet(path)
-
+    stored = queries.stored(s)
     seen = FE(s, d).groupBy("run_id").agg(F.date_format(F.max("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"))
     return bundles.write(queries.bundle(s, d, stored=stored), stored(summary_of(s, d), "summary"), seen, shared(s, "datasets"), "build")
 

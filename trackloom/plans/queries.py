@@ -254,12 +254,12 @@ def dist_sql(keys: str, source: str, value: str) -> str:
 
 @query("agg_distribution", with_tables("features") + " " + dist_sql("run_id", "features", "processing_ms"))
 def _(s, d):
-    return stats.distribution(FE(s, d), ["run_id"], "processing_ms", 9)
+    return stats.distribution(FE(s, d), ["run_id"], "processing_ms", 9, stored(s))
 
 
 @query("agg_latency_entry", with_tables("metrics") + " " + dist_sql("service_name, metric_name", "metrics", "metric_value"))
 def _(s, d):
-    return stats.distribution(M(s, d), ["service_name", "metric_name"], "metric_value", 9)
+    return stats.distribution(M(s, d), ["service_name", "metric_name"], "metric_value", 9, stored(s))
 
 
 @query("agg_total", with_tables("features") + " SELECT run_id, count(rms) AS count, round_even(sum(rms), 6) AS sum, round_even(avg(rms), 6) AS mean FROM features GROUP BY ALL")
@@ -477,6 +477,18 @@ GATE_SQL = with_tables("tracks", "features", "metrics", "manifest") + SUMMARY_SQ
   FROM (SELECT DISTINCT run_id FROM tracks) r LEFT JOIN aa USING (run_id) GROUP BY 1)"""
 
 
+def stored(s: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes a table to the shared folder and reads it again."""
+    def write(df: DataFrame, name: str) -> DataFrame:
+        from trackloom.plans.roundtrips import shared
+
+        path = shared(s, name)
+        df.write.parquet(path)
+        return s.read.schema(df.schema).parquet(path)
+
+    return write
+
+
 def bundle(s: SparkSession, d: str, **options) -> dataset.Bundle:
     t = views.track_summary(T(s, d), FE(s, d)).drop("silent_segments", "silent_ratio", "avg_rms", "avg_processing_ms", "track_state")
     return dataset.Bundle(t, FE(s, d), MF(s, d), summary_of(s, d), **options)
@@ -530,8 +542,10 @@ GATES = {
         lambda b: b.summary,
     ),
 }
+#: Gates that rest on ``reasons`` or ``rows`` more than once: these tables are written once.
+TWICE = {"agg_quality_verdict", "agg_bundle_summary", "jn_split_rows", "win_group_split", "agg_split_counts", "agg_label_distribution", "agg_normalization", "jn_label_lookup", "jn_accepted_semi", "gate_no_accepted"}
 for _name, (_sql, _pick) in GATES.items():
-    query(_name, f"{GATE_SQL} SELECT {_sql}")(lambda s, d, pick=_pick: pick(bundle(s, d)))
+    query(_name, f"{GATE_SQL} SELECT {_sql}")(lambda s, d, pick=_pick, twice=_name in TWICE: pick(bundle(s, d, **({"stored": stored(s)} if twice else {}))))
 
 
 @query("gate_run_anomalies", ALL3 + SUMMARY_SQL + """ SELECT run_id, 'track_validation_failures' AS anomaly_type, 'warning' AS severity FROM summary WHERE validation_failures > 0 UNION ALL SELECT run_id, 'processing_errors_present', 'warning' FROM summary WHERE processing_error_count > 0

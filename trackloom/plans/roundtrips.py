@@ -208,15 +208,21 @@ def _(s, d):
     return m.select("run_id", "track_id", "segment_idx", ok.alias("ok"))
 
 
-@query("flt_segment_uri", with_tables("features") + " SELECT count(*) AS good, CAST(0 AS BIGINT) AS bad FROM features")
+@query("flt_segment_uri", with_tables("features") + " SELECT run_id, count(*) FILTER (WHERE track_id % 9 <> 4) AS good, count(*) FILTER (WHERE track_id % 9 = 4) AS bad FROM features GROUP BY 1")
 def _(s, d):
-    ok = scalars.segment_uri_ok(F.col("artifact_uri"), F.col("run_id"), F.col("track_id"), F.col("segment_idx"))
-    return FE(s, d).agg(F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
+    """URIs of every ninth track belong to the next segment, to a parent folder, or are null."""
+    n = F.col("segment_idx") % 3
+    other = F.when(n == 0, scalars.segment_uri(F.col("run_id"), F.col("track_id"), F.col("segment_idx") + 1)).when(n == 1, F.concat(F.lit("/artifacts/../"), F.col("run_id")))
+    uri = F.when(F.col("track_id") % 9 == 4, other).otherwise(F.col("artifact_uri"))
+    ok = scalars.segment_uri_ok(uri, F.col("run_id"), F.col("track_id"), F.col("segment_idx"))
+    return FE(s, d).groupBy("run_id").agg(F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
 
 
-@query("flt_manifest_uri", with_tables("tracks") + " SELECT run_id, count(*) AS good FROM tracks GROUP BY 1")
+@query("flt_manifest_uri", with_tables("tracks") + " SELECT run_id, count(*) AS good FROM tracks WHERE track_id % 4 <> 1 GROUP BY 1")
 def _(s, d):
-    return T(s, d).filter(F.col("manifest_uri") == scalars.manifest_uri(F.col("run_id"))).groupBy("run_id").agg(F.count(F.lit(1)).alias("good"))
+    """Every fourth track names the manifest of another run."""
+    uri = F.when(F.col("track_id") % 4 == 1, scalars.manifest_uri(F.concat("run_id", F.lit("x")))).otherwise(F.col("manifest_uri"))
+    return T(s, d).filter(uri == scalars.manifest_uri(F.col("run_id"))).groupBy("run_id").agg(F.count(F.lit(1)).alias("good"))
 
 
 @query("flt_uri_prefix", with_tables("features") + " SELECT run_id, count(*) AS rows FROM features WHERE segment_idx <> 3 GROUP BY 1")
@@ -230,9 +236,19 @@ def _(s, d):
     return readers.subset_rows(T(s, d), "small", allow=[1, 2, 3, 5, 8, 13]).select("track_id")
 
 
-@query("chk_positive_duration", with_tables("tracks") + " SELECT track_id FROM tracks")
+@query("chk_positive_duration", with_tables("tracks") + """ SELECT track_id, '' AS error FROM tracks UNION ALL SELECT -1, 'tracks without a positive duration: [' || min(track_id) || ']' FROM tracks
+  UNION ALL SELECT -1, 'tracks without a positive duration: [' || max(track_id) || ']' FROM tracks""")
 def _(s, d):
-    return readers.require_positive_duration(T(s, d), "duration_s").select("track_id")
+    """All tracks pass; with a duration of 0, or none, for one of them the check raises and names it."""
+    t = T(s, d)
+    ends = t.agg(F.min("track_id").alias("low"), F.max("track_id").alias("high")).first()
+    out = readers.require_positive_duration(t, "duration_s").select("track_id", F.lit("").alias("error"))
+    for one, value in ((ends["low"], F.lit(0.0)), (ends["high"], F.lit(None).cast("double"))):
+        try:
+            readers.require_positive_duration(t.withColumn("duration_s", F.when(F.col("track_id") == one, value).otherwise(F.col("duration_s"))), "duration_s")
+        except ValueError as error:
+            out = out.unionAll(s.range(1).select(F.lit(-1).cast("bigint"), F.lit(str(error))))
+    return out
 
 
 @query("prj_metric_labels", with_tables("metrics") + " SELECT event_id, '{\"status\":\"' || coalesce(json_extract_string(labels_json, '$.status'), 'ok') || '\"' || coalesce(',\"topic\":\"' || json_extract_string(labels_json, '$.topic') || '\"', '') || '}' AS labels FROM metrics")
@@ -345,10 +361,28 @@ def _(s, d):
     return s.read.parquet(path).select("run_id", "track_id", "segment_idx", "checksum")
 
 
-@query("src_manifest_rows", with_tables("manifest") + " SELECT CASE WHEN run_id <> 'run-1' THEN 'manifest_run_id_mismatch' WHEN segment_idx >= 100 THEN 'manifest_uri_invalid' ELSE 'good' END AS kind, count(*) AS rows FROM manifest GROUP BY 1")
-def _(s, d):
-    good, bad = readers.manifest_rows(MF(s, d), "run-1")
-    kinds = good.select(F.lit("good").alias("kind")).unionAll(bad.select("anomaly_type"))
+@query("src_manifest_rows", with_tables("manifest") + """ SELECT CASE WHEN track_id % 19 = 3 THEN 'manifest_run_id_mismatch' WHEN segment_idx >= 100 THEN 'manifest_uri_invalid' ELSE 'good' END AS kind, count(*) AS rows FROM manifest WHERE run_id IN ('run-1', 'run-2') GROUP BY 1
+  UNION ALL SELECT * FROM (VALUES ('segment_manifest_unreadable', 1), ('segment_manifest_schema_invalid', 1), ('segment_manifest_missing', 1))""")
+def _(s, d):
+    """A manifest for each run: two good ones with bad rows in them, one cut short, one without digests, one that is not there."""
+    root = shared(s, "manifests")
+    path = lambda run: f"{root}/run_id={run}"
+    m = MF(s, d).withColumn("run", F.col("run_id")).withColumn("run_id", F.when(F.col("track_id") % 19 == 3, "elsewhere").otherwise(F.col("run_id")))
+    for n in (1, 2, 3, 4):
+        rows = m.filter(F.col("run") == f"run-{n}").drop("run", *(["checksum"] if n == 4 else []))
+        rows.write.parquet(f"{path(f'run-{n}')}/manifest")
+    fs, p = sinks.filesystem(s, f"{path('run-3')}/manifest")
+    for status in fs.listStatus(p):
+        if status.getPath().getName().endswith(".parquet"):
+            out = fs.create(status.getPath(), True)
+            out.write(b"PAR1")
+            out.close()
+    rows, broken = readers.manifest_scan(s, [f"{path(f'run-{n}')}/manifest" for n in range(1, 6)])
+    run = F.regexp_extract("manifest_file", "run_id(?:=|%3D)(run-\\d)", 1)
+    kinds = broken.select(F.col("anomaly_type").alias("kind"))
+    for n in (1, 2):
+        good, bad = readers.manifest_rows(rows.filter(run == f"run-{n}"), f"run-{n}")
+        kinds = kinds.unionAll(good.select(F.lit("good").alias("kind"))).unionAll(bad.select("anomaly_type"))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -437,11 +471,16 @@ def _(s, d):
     return stored_segments(s, d)[1]
 
 
-@query("gate_artifact_verify", "SELECT count(*) AS artifacts, CAST(0 AS BIGINT) AS mismatches FROM conversations")
+@query("gate_artifact_verify", """SELECT CAST(conv_id % 5 AS BIGINT) AS part, count(*) AS artifacts, count(*) FILTER (WHERE turn % 6 = 1) AS mismatches, count(*) FILTER (WHERE turn % 6 = 4) AS missing FROM conversations GROUP BY 1""")
 def _(s, d):
-    path, _ = stored_segments(s, d)
-    rows = s.read.parquet(path)
-    return rows.agg(F.count(F.lit(1)).alias("artifacts"), F.count_if(scalars.sha256_ref(F.col("content")) != F.col("checksum")).alias("mismatches"))
+    """Digests of what is stored against the descriptors: some contents changed after they were described, some are gone."""
+    path, described = stored_segments(s, d)
+    there = shared(s, "changed")
+    turn = F.col("turn") % 6
+    s.read.parquet(path).filter(turn != 4).select("conv_id", "turn", F.when(turn == 1, F.concat("content", F.unhex(F.lit("2A")))).otherwise(F.col("content")).alias("content")).write.parquet(there)
+    seen = s.read.parquet(there).select("conv_id", "turn", scalars.sha256_ref(F.col("content")).alias("seen"))
+    both = described.join(seen, ["conv_id", "turn"], "left")
+    return both.groupBy((F.col("conv_id") % 5).alias("part")).agg(F.count(F.lit(1)).alias("artifacts"), F.count_if(F.col("seen") != F.col("checksum")).alias("mismatches"), F.count_if(F.col("seen").isNull()).alias("missing"))
 
 
 def named_files(s: SparkSession, d: str) -> str:
@@ -483,11 +522,17 @@ def _(s, d):
     return reconcile.key_set_equal(want, found, ["run_id"]).select(F.col("only_left").alias("missing"), F.col("only_right").alias("unexpected"))
 
 
-@query("src_envelopes", "SELECT count(*) AS events FROM events")
+@query("src_envelopes", with_tables("metrics") + """ SELECT CASE WHEN event_id % 11 = 2 THEN '' ELSE run_id END AS run_id, CASE event_id % 11 WHEN 2 THEN 'not_json_object' WHEN 3 THEN 'version' WHEN 5 THEN 'run_id;trace_id;run_mismatch' ELSE '' END AS reasons, count(*) AS events
+  FROM (SELECT event_id, CASE WHEN event_id % 11 = 5 THEN '..' ELSE run_id END AS run_id FROM metrics) GROUP BY ALL""")
 def _(s, d):
+    """Records as read: most valid, some cut short, of another version, or with a run that is no safe name."""
     path = shared(s, "events")
-    metric_events(s, d).select("value").write.text(path)
-    return contract.valid(contract.checked(readers.records(s, path))).agg(F.count(F.lit(1)).alias("events"))
+    n = F.get_json_object("value", "$.event_id").cast("bigint") % 11
+    value = F.when(n == 2, F.substring("value", 1, 40)).when(n == 3, F.regexp_replace("value", '"event_version":"v1"', '"event_version":"v2"'))
+    value = value.when(n == 5, F.regexp_replace("value", '"run_id":"[^"]*","source', '"run_id":"..","source')).otherwise(F.col("value"))
+    metric_events(s, d).select(value.alias("value")).write.text(path)
+    rows = contract.checked(readers.records(s, path))
+    return rows.groupBy(F.coalesce("run_id", F.lit("")).alias("run_id"), F.array_join("reasons", ";").alias("reasons")).agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("src_run_snapshot", with_tables("tracks", "features") + " SELECT (SELECT count(*) FROM tracks WHERE run_id = 'run-3') AS tracks, (SELECT count(*) FROM features WHERE run_id = 'run-3') AS features")
@@ -637,7 +682,7 @@ def _(s, d):
     docs = domain.table(s, d, "documents").select("doc_id", as_wav(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
     damaged = F.when(F.col("doc_id") % 9 == 4, F.substring("content", 1, 20)).when(F.col("doc_id") % 9 == 5, F.lit(None)).otherwise(F.col("content"))
     cut = segments.cut_segments(docs.withColumn("content", damaged))
-    return cut.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("segments"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    return cut.groupBy("doc_id").agg(F.count_if(F.col("cut_error").isNull()).alias("segments"), F.count_if(F.col("cut_error").isNotNull()).alias("errors"))
 
 
 # ---------------------------------------------------------------- streams
@@ -826,6 +871,14 @@ def _(s, d):
     return reconcile.checks(M(s, d), {"named": "metric_name != ''", "unit": "unit in ('ms', 'count')"})
 
 
-@query("gate_dashboard", ALL3 + SUMMARY_SQL + " SELECT count(*) AS rows, 'ratio' AS check_name, count(*) FILTER (WHERE NOT (error_rate >= 0)) AS failures, count(*) FILTER (WHERE NOT (error_rate >= 0)) = 0 AS ok FROM summary")
+@query("gate_dashboard", ALL3 + SUMMARY_SQL + """, e AS (SELECT *, row_number() OVER (ORDER BY silent_ratio, run_id) AS low, row_number() OVER (ORDER BY silent_ratio DESC, run_id) AS high FROM summary WHERE segments_persisted > 0),
+  c AS (SELECT a.run_id AS quiet_run, b.run_id AS loud_run, a.avg_rms < b.avg_rms AS level FROM e a, e b WHERE a.high = 1 AND b.low = 1)
+  SELECT count(*) AS rows, 'rate' AS check_name, count(*) FILTER (WHERE NOT (error_rate BETWEEN 0 AND 1)) AS failures, count(*) FILTER (WHERE NOT (error_rate BETWEEN 0 AND 1)) = 0 AS ok FROM summary
+  UNION ALL SELECT count(*), 'segments', count(*) FILTER (WHERE segments_persisted < 3), count(*) FILTER (WHERE segments_persisted < 3) = 0 FROM summary
+  UNION ALL SELECT count(*), 'errors', count(*) FILTER (WHERE processing_error_count + writer_error_count > 0), count(*) FILTER (WHERE processing_error_count + writer_error_count > 0) = 0 FROM summary
+  UNION ALL SELECT 2, 'quieter/' || quiet_run || '/' || loud_run, CASE WHEN level THEN 0 ELSE 1 END, level FROM c""")
 def _(s, d):
-    return reconcile.checks(summary_of(s, d), {"ratio": "error_rate >= 0"})
+    """Rules of each run, and one across runs: the run with the largest silent share has a lower mean level than that with the least."""
+    summary = queries.stored(s)(summary_of(s, d), "summary")
+    rules = {"rate": "error_rate between 0 and 1", "segments": "segments_persisted >= 3", "errors": "processing_error_count + writer_error_count = 0"}
+    return reconcile.checks(summary, rules).unionByName(reconcile.silent_is_quieter(summary))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,54 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def _fields(spark: SparkSession, path: str) -> set[str] | None | str:
+    """Columns of the Parquet files at a path, None where there is none, or the error of a footer that cannot be read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return None
+    files = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().endswith(".parquet")] if fs.getFileStatus(p).isDirectory() else [p]
+    names = None
+    for file in files:
+        try:
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+        except Py4JJavaError as error:
+            return str(error.java_exception.getMessage())
+        own = {f.getName() for f in reader.getFooter().getFileMetaData().getSchema().getFields()}
+        reader.close()
+        names = own if names is None else names & own
+    return names
+
+
+def manifest_scan(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of the manifests that can be read, an anomaly row for each that cannot): missing, unreadable, or without a needed column.
+
+    A manifest is one path a run; footers are looked at in parallel, rows are read by Spark from the good ones alone.
+    """
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(lambda path: _fields(spark, path), paths))
+    bad, good = [], []
+    for path, fields in zip(paths, found):
+        if fields is None:
+            bad.append((path, "segment_manifest_missing", None))
+        elif isinstance(fields, str):
+            bad.append((path, "segment_manifest_unreadable", fields))
+        elif lacking := sorted(set(MANIFEST_NEEDED) - fields):
+            bad.append((path, "segment_manifest_schema_invalid", ",".join(lacking)))
+        else:
+            good.append(path)
+    schema = "run_id string, track_id bigint, segment_idx bigint, artifact_uri string, checksum string"
+    named = F.col("_metadata.file_path").alias("manifest_file")
+    rows = spark.read.option("mergeSchema", "true").parquet(*good).select(*MANIFEST_NEEDED, named) if good else spark.createDataFrame([], schema + ", manifest_file string")
+    kinds = {"track_id": "bigint", "segment_idx": "bigint"}
+    rows = rows.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
+    return rows, spark.createDataFrame(bad, "manifest_uri string, anomaly_type string, detail string")
+
+
+MANIFEST_NEEDED = ("run_id", "track_id", "segment_idx", "artifact_uri", "checksum")
+
+
 def manifest_rows(rows: DataFrame, run_id: str, bucket: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(good rows, anomalies): rows of another run, or with a URI that is not their own."""
     key = (F.col("run_id"), F.col("track_id"), F.col("segment_idx"))

@@ -23,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop objects."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _touched(batch: DataFrame, path: str, partition: str) -> DataFrame | None:
     """Old rows of the partitions that ``batch`` has; partition values are few, one per run."""
     spark = batch.sparkSession
