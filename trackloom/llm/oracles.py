@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trackloom.llm import urlgraph
-from trackloom.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, STOP_WORDS_BYTES, STOP_WORDS_FROM, WINDOW
+from trackloom.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW
 
 SPACE_CHARS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -32,8 +32,9 @@ def quality_rules() -> str:
     stop = "(" + "|".join(STOP_WORDS) + ")"
     bounds = []
     for r in RULES:
-        bounds += [f"{r.metric} < {r.least}"] * (r.least is not None)
-        bounds += [f"{r.metric} > {r.most}"] * (r.most is not None)
+        asked = f" AND n_words >= {r.words_from}" + (f" AND n_bytes <= {r.bytes_a_char}::DOUBLE * n_chars" if r.bytes_a_char is not None else "")
+        bounds += [f"{r.metric} < {r.least}{asked}"] * (r.least is not None)
+        bounds += [f"{r.metric} > {r.most}{asked}"] * (r.most is not None)
     broken = " OR ".join(f"coalesce({b}, false)" for b in bounds)
     return f"""
 WITH d AS (
@@ -65,7 +66,7 @@ WITH d AS (
 ), m AS (
   SELECT *, word_chars / nullif(n_words, 0) AS mean_word_length, n_symbols / nullif(n_words, 0) AS symbol_ratio,
     n_shouts / nullif(n_words, 0) AS shout_ratio, 
-    CASE WHEN n_words >= {STOP_WORDS_FROM} AND n_bytes <= {STOP_WORDS_BYTES}::DOUBLE * n_chars THEN n_stop / n_words END AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
+    n_stop / nullif(n_words, 0) AS stop_word_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
     n_bullets / nullif(n_lines, 0) AS bullet_line_ratio, n_ellipsis / nullif(n_lines, 0) AS ellipsis_line_ratio,
     n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
   FROM c

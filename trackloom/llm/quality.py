@@ -30,20 +30,27 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject a document whose ``metric`` is below ``least`` or above ``most``."""
+    """Reject a document whose ``metric`` is below ``least`` or above ``most``.
+
+    The rule asks this only of documents of ``words_from`` words and more and of at most
+    ``bytes_a_char`` bytes a character.
+    """
 
     name: str
     metric: str
     least: float | None = None
     most: float | None = None
+    words_from: int = 0
+    bytes_a_char: float | None = None
 
 
-#: The production table.
+#: The production table. Stop words are asked of texts that are long enough for a share of 1 %, and in
+#: scripts whose characters take few bytes: the list covers languages in Latin letters.
 RULES = (
     Rule("word_length", "mean_word_length", 1.5, 20.0),
     Rule("symbols", "symbol_ratio", None, 0.25),
     Rule("shouting", "shout_ratio", None, 0.25),
-    Rule("stop_words", "stop_word_ratio", 0.01, None),
+    Rule("stop_words", "stop_word_ratio", 0.01, None, words_from=100, bytes_a_char=1.5),
     Rule("duplicate_lines", "dup_line_ratio", None, 0.5),
     Rule("bullet_lines", "bullet_line_ratio", None, 0.9),
     Rule("ellipsis_lines", "ellipsis_line_ratio", None, 0.5),
@@ -52,10 +59,6 @@ RULES = (
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Stop words are asked of texts that are long enough for a share of 1 %, and in scripts whose
-#: characters take less than so many bytes: the list covers languages in Latin letters.
-STOP_WORDS_FROM = 100
-STOP_WORDS_BYTES = 1.5
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -148,7 +151,9 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         _ratio(F.col("word_chars"), n).alias("mean_word_length"),
         _ratio(F.col("n_symbols"), n).alias("symbol_ratio"),
         _ratio(F.col("n_shouts"), n).alias("shout_ratio"),
-        F.when((n >= STOP_WORDS_FROM) & (F.octet_length("_text") <= STOP_WORDS_BYTES * F.length("_text")), F.col("n_stop_words") / n).alias("stop_word_ratio"),
+        _ratio(F.col("n_stop_words"), n).alias("stop_word_ratio"),
+        F.octet_length("_text").alias("n_bytes"),
+        F.length("_text").alias("n_chars"),
         _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
         _ratio(F.col("n_bullets"), F.col("n_lines")).alias("bullet_line_ratio"),
         _ratio(F.col("n_ellipsis"), F.col("n_lines")).alias("ellipsis_line_ratio"),
@@ -161,7 +166,12 @@ def broken_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     def breaks(r: Rule) -> Column:
         low = F.col(r.metric) < r.least if r.least is not None else F.lit(False)
         high = F.col(r.metric) > r.most if r.most is not None else F.lit(False)
-        return F.when(low | high, F.lit(r.name))
+        bad = low | high
+        if r.words_from:
+            bad = bad & (F.col("n_words") >= r.words_from)
+        if r.bytes_a_char is not None:
+            bad = bad & (F.col("n_bytes") <= r.bytes_a_char * F.col("n_chars"))
+        return F.when(bad, F.lit(r.name))
 
     return F.array_compact(F.array(*[breaks(r) for r in rules]))
 
