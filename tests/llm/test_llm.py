@@ -339,7 +339,7 @@ def test_quality_counts(docs):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got) > 20
 
 
-def plain_kept(text, rules):
+def plain_broken(text, rules):
     """Names of the rules that a text breaks, by plain counts."""
     text = text or ""
     w, lines = words(text), [x for x in text.split("\n") if words(x)]
@@ -362,9 +362,9 @@ def test_quality_verdicts_by_plain_rules(spark):
     plain = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(500)]
     some = lambda n, more=(): " ".join(r.choice(more) if more and r.random() < 0.3 else r.choice(plain) for _ in range(n))
     texts = [some(n, m) for n in (12, 60, 99, 100, 101, 300) for m in ((), ("the", "OF"), ("#", "||", "$$$"), ("wow!!", "hey!!!!"), ("x" * 60,), ("слово", "дом", "и"))]
-    texts += ["\n".join(f"{mark} {some(6)}{end}" for _ in range(12)) for mark in ("-", " * ", "•", "") for end in ("", "...", "… ")] + ["\n".join([some(12)] * 3 + [some(12)]), None, ""]
+    texts += ["\n".join(f"{mark} {some(6)}{end}" for _ in range(12)) for mark in ("-", " * ", "•", "") for end in ("", "...", "… ")] + ["\n".join([some(12)] * 5 + [some(12)]), None, ""]
     got = quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("_id", "reasons", "base_failed", "kept").collect()
-    want = {i: plain_kept(t, quality.RULES) for i, t in enumerate(texts)}
+    want = {i: plain_broken(t, quality.RULES) for i, t in enumerate(texts)}
     assert {x["_id"]: x["reasons"] for x in got} == want
     assert all(x["kept"] == (not x["base_failed"] and not want[x["_id"]]) for x in got)
     assert {name for names in want.values() for name in names} == {rule.name for rule in quality.RULES}

@@ -14,6 +14,9 @@ from trackloom.session import ship_package
 MOST_ROUNDS = 60
 #: Edges that a task turns into a forest; a task takes more edges in stretches of so many.
 EDGES_PER_TASK = 500_000
+#: Share of all vertices from which on a label is salted, and over how many salts.
+HOT_SHARE = 1 / 1000
+SALTS = 32
 
 
 def forests(edges: DataFrame, tasks: int) -> DataFrame:
@@ -62,12 +65,24 @@ def forests(edges: DataFrame, tasks: int) -> DataFrame:
     return edges.select("a", "b").coalesce(tasks).mapInArrow(shrink, f"a {kind}, b {kind}")
 
 
+def _jumped(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """``near`` (``v, _old, label``) with the label of its label where that is less."""
+    many = labels.count() * HOT_SHARE
+    hot = labels.groupBy("label").count().filter(F.col("count") > many).select("label", F.lit(True).alias("_hot"))  # at most 1 / HOT_SHARE rows
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    jump = labels.select(F.col("v").alias("label"), F.col("label").alias("_next")).join(F.broadcast(hot), "label", "left")
+    jump = jump.select("label", "_next", F.explode(salts).alias("_salt"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return near.join(F.broadcast(hot), "label", "left").withColumn("_salt", salt).join(jump, ["label", "_salt"]).select("v", "_old", F.least("label", "_next").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(``v``, ``label``): the least vertex of its component, for each vertex of (``a``, ``b``).
 
     Edges are first replaced by forests of bounded stretches of them. Then a round takes the
     least label around each vertex and the label's own label: joins and summed shuffles,
-    written to the shared folder round by round. Rounds grow with the logarithm of what
+    written to the shared folder round by round. Labels of more than a set share of all vertices, of which
+    there are few, are salted where vertices meet their label's label, so a giant component is no hot key. Rounds grow with the logarithm of what
     diameter is left.
     """
     edges = written(edges.select("a", "b"), "cc-all")
@@ -79,8 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         around = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("_near"))
         near = labels.join(around, "v").select("v", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("_next"))
-        new = written(near.join(jump, "label").select("v", "_old", F.least("label", "_next").alias("label")), "cc")
+        new = written(_jumped(near, labels), "cc")
         changed = new.filter("label != _old").limit(1).count()
         labels = new.select("v", "label")
         if not changed:
