@@ -157,8 +157,7 @@ def test_ledger_keeps_totals_in_snapshots(spark, tmp_path, monkeypatch):
     ledger = tokencounts.TokenLedger(spark, root, fold_every=3)
     for k in range(7):
         assert ledger.commit(f"b{k}", one(k))
-    number, held, later = ledger._since()
-    assert number == 2 and set(held[1:-1]) == {f"b{k}" for k in range(6)} and later == ["b6"]
+    assert ledger._snapshot()[0] == 6 and [b for _, b, _ in ledger._entries(6)] == ["b6"]
     want = {("a", 7, 21), ("b", 14, 42)}
     assert {(r["source"], r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()} == want
     assert ledger.fold() and not ledger.fold() and not ledger.commit("b3", one(50))
@@ -171,6 +170,33 @@ def test_ledger_keeps_totals_in_snapshots(spark, tmp_path, monkeypatch):
     assert "b7" not in ledger.batches() and ledger.commit("b7", spark.createDataFrame([], schema))
     assert {(r["source"], r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()} == want
     assert len(list((tmp_path / "ledger/data").iterdir())) == 8 + 3
+    # a driver that was lost between its log entry and its decision: the entry counts, once
+    name = ledger._written(tokencounts.deltas(one(1)))
+    number = max(n for n, _, _ in ledger._entries(7)) + 1
+    assert ledger._claim(f"log/{number:012d}", ["b8", name]) and not ledger.commit("b8", one(1))
+    assert ledger._claim(f"log/{number + 1:012d}", ["b8", ledger._written(tokencounts.deltas(one(1)))])
+    want = {("a", 8, 22), ("b", 16, 44)}
+    for _ in range(2):
+        assert {(r["source"], r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()} == want
+        ledger.fold()
+
+
+def test_ledger_reads_what_is_new_and_vacuums(spark, tmp_path, monkeypatch):
+    """A commit opens its own batch's file and the entries since the last snapshot, however many batches there were."""
+    schema = "source string, lang string, version string, op string, n_tokens long"
+    one = spark.createDataFrame([("a", "en", "v", "insert", 3)], schema)
+    ledger = tokencounts.TokenLedger(spark, str(tmp_path / "ledger"), fold_every=3)
+    opened, lines = [], ledger._lines
+    monkeypatch.setattr(ledger, "_lines", lambda path: opened.append(path) or lines(path))
+    counts = []
+    for k in range(13):
+        opened.clear()
+        assert ledger.commit(f"b{k}", one)
+        counts.append(len(opened))
+    assert max(counts[-3:]) <= max(counts[3:6]) + 2
+    assert ledger.vacuum() > 10 and ledger.vacuum() == 0
+    assert len(list((tmp_path / "ledger/data").iterdir())) <= 7 and not ledger.commit("b2", one)
+    assert [r[:] for r in ledger.totals().collect()] == [("a", "en", "v", 13, 39)]
 
 
 def test_token_counts_of_the_query(docs):

@@ -5,11 +5,13 @@ committed under its batch id. Totals are maintained: every ``FOLD_EVERY`` batche
 since the last snapshot are added to it and the sums committed as the next one, so totals
 are read from one snapshot and fewer than ``FOLD_EVERY`` batches, however long the ledger is.
 
-Idempotence: a batch's rows are written to a folder of a name of its own; what commits it is
-a small file named after the batch id, created only if it is not there. Of two drivers that
-bring one batch, one creates the file and the other's folder counts for nothing, as does
-the folder of a job that was cut off. Snapshots are committed the same way and name the batches
-that they hold, so a snapshot that comes second changes nothing either.
+Idempotence: a batch's rows are written to a folder of a name of its own and entered in a numbered
+log; what decides is a small file named after the batch id, created only if it is not there. Of
+two drivers that bring one batch, one creates the file and the other's entry counts for
+nothing, as does the folder of a job that was cut off. A snapshot bears the number of the last log
+entry that it holds. So a commit looks at its own batch's file and at the entries since the last
+snapshot, not at the batches before; ``vacuum`` deletes the rows and entries that snapshots have taken
+over, and only the small files named after batches stay.
 
 Events have ``doc_id, source, lang, version, op, n_tokens, old_tokens, n_docs``: ``insert`` adds the
 document, ``delete`` takes it away with ``n_tokens`` as counted before, ``revise`` changes
@@ -62,8 +64,8 @@ def deltas(events: DataFrame) -> DataFrame:
 class TokenLedger:
     """Committed batches of deltas and snapshots under one folder (any file system that Spark writes).
 
-    ``data`` holds folders of rows, ``commits`` a file per batch, ``snapshots`` a file per snapshot; a
-    file's first line names its folder, further lines of a snapshot the batches it holds.
+    ``data`` holds folders of rows, ``log`` a numbered file per entry (batch id and folder), ``commits`` a file
+    per batch (the folder that counts), ``snapshots`` a file per snapshot under the number of its last entry.
     """
 
     def __init__(self, spark: SparkSession, root: str, fold_every: int = FOLD_EVERY):
@@ -113,12 +115,37 @@ class TokenLedger:
         fs, p = self._fs(f"data/{name}")
         fs.delete(p, True)
 
-    def committed(self, batch_id: str) -> bool:
-        return bool(self._lines(f"commits/{batch_id}"))
-
     def batches(self) -> list[str]:
-        """Ids of committed batches; an id is a plain name such as ``2024-05-01T00``."""
-        return [n for n in self._names("commits") if self.committed(n)]
+        """Ids of all committed batches, for reports; an id is a plain name such as ``2024-05-01T00``."""
+        return [n for n in self._names("commits") if self._lines(f"commits/{n}")]
+
+    def _snapshot(self) -> tuple[int, str | None]:
+        """(number of the last log entry that the last snapshot holds, the snapshot's folder)."""
+        for name in reversed(self._names("snapshots")):
+            if lines := self._lines(f"snapshots/{name}"):
+                return int(name), lines[0]
+        return 0, None
+
+    def _entries(self, after: int) -> list[tuple[int, str, str]]:
+        """(number, batch id, folder) of the log from ``after`` on."""
+        out = []
+        while lines := self._lines(f"log/{after + 1:012d}"):
+            after += 1
+            out.append((after, *lines[:2]))
+        return out
+
+    def _counting(self, entries: list[tuple[int, str, str]]) -> list[str]:
+        """Folders of the entries that count: what the batch's file names, or else the batch's first entry."""
+        out, seen = [], set()
+        for _, batch, name in entries:
+            decided = self._lines(f"commits/{batch}")
+            if decided[:1] == [name] or (not decided and batch not in seen):
+                out.append(name)
+            seen.add(batch)
+        return out
+
+    def committed(self, batch_id: str) -> bool:
+        return bool(self._lines(f"commits/{batch_id}")) or any(b == batch_id for _, b, _ in self._entries(self._snapshot()[0]))
 
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Apply a batch once; False if it was committed before."""
@@ -127,23 +154,20 @@ class TokenLedger:
         if self.committed(batch_id):
             return False
         name = self._written(deltas(events))
-        if not self._claim(f"commits/{batch_id}", [name]):
+        number = self._snapshot()[0]
+        while True:
+            number = max([number, *(n for n, _, _ in self._entries(number))]) + 1
+            if self._claim(f"log/{number:012d}", [batch_id, name]):
+                break
+        if not self._claim(f"commits/{batch_id}", [name]) and self._lines(f"commits/{batch_id}")[:1] != [name]:
             self._drop(name)
             return False
-        if len(self._since()[2]) >= self.fold_every:
+        if number - self._snapshot()[0] >= self.fold_every:
             self.fold()
         return True
 
-    def _since(self) -> tuple[int, list[str], list[str]]:
-        """(number of the last snapshot, its lines, batches that it does not hold)."""
-        for name in reversed(self._names("snapshots")):
-            if lines := self._lines(f"snapshots/{name}"):
-                return int(name), lines, sorted(set(self.batches()) - set(lines[1:]))
-        return 0, [], self.batches()
-
-    def _sums(self, held: list[str], later: list[str]) -> DataFrame:
+    def _sums(self, names: list[str]) -> DataFrame:
         """Deltas of a snapshot and later batches, added up per key."""
-        names = [*held[:1], *[self._lines(f"commits/{b}")[0] for b in later]]
         if not names:
             return self.spark.createDataFrame([], DELTA)
         rows = self.spark.read.schema(DELTA).parquet(*[f"{self.root}/data/{n}" for n in names])
@@ -151,19 +175,41 @@ class TokenLedger:
 
     def fold(self) -> bool:
         """Add the deltas since the last snapshot to it; False if there are none or another driver did."""
-        number, held, later = self._since()
-        if not later:
+        number, held = self._snapshot()
+        entries = self._entries(number)
+        if not entries:
             return False
-        name = self._written(self._sums(held, later).filter("d_docs != 0 or d_tokens != 0"))
-        if not self._claim(f"snapshots/{number + 1:012d}", [name, *held[1:-1], *later]):
+        for _, batch, name in entries:  # a writer that was cut off before it decided: its first entry counts for good
+            self._claim(f"commits/{batch}", [name])
+        later = self._counting(entries)
+        name = self._written(self._sums([*([held] if held else []), *later]).filter("d_docs != 0 or d_tokens != 0"))
+        if not self._claim(f"snapshots/{entries[-1][0]:012d}", [name]):
             self._drop(name)
             return False
         return True
 
+    def vacuum(self) -> int:
+        """Delete rows, log entries and snapshots that the last snapshot but one has taken over; number of folders that went."""
+        kept = [n for n in self._names("snapshots") if self._lines(f"snapshots/{n}")][-2:]
+        if len(kept) < 2:
+            return 0
+        gone = 0
+        for folder, last in (("log", kept[0]), ("snapshots", kept[0])):
+            for n in self._names(folder):
+                if n > last or n in kept and folder == "snapshots":
+                    continue
+                lines = self._lines(f"{folder}/{n}")
+                if lines:
+                    self._drop(lines[-2])  # the last line is a mark
+                    gone += 1
+                fs, p = self._fs(f"{folder}/{n}")
+                fs.delete(p, False)
+        return gone
+
     def totals(self) -> DataFrame:
         """Current documents and tokens per key; keys whose documents are all gone drop out."""
-        _, held, later = self._since()
-        sums = self._sums(held, later)
+        number, held = self._snapshot()
+        sums = self._sums([*([held] if held else []), *self._counting(self._entries(number))])
         return sums.select(*KEYS, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens")).filter("n_docs != 0 or n_tokens != 0")
 
 
