@@ -20,6 +20,7 @@ NAMES += [
     "snk_purge_run", "val_topic_route", "val_failure_class", "val_strict_types", "prj_audio_path", "flt_subset", "chk_segment_audio", "prj_scaling", "agg_latency_entry", "agg_mel_bin_means", "agg_numeric_stats",
     "jn_run_summary", "jn_feature_artifact", "jn_replay_diff", "set_bundle_files", "set_segment_equality", "win_dup_features", "win_metric_dedupe", "win_latest_feature", "top_latest_artifact", "ts_rms",
     "fn_parse_uri", "fn_labels_digest", "seg_mono", "ft_rms", "ft_pipeline", "ft_silence", "st_ingest_events", "st_ingest", "st_checkpoint_progress", "st_failure_metrics", "ds_bundle", "gate_baseline", "gate_segment_reasons", "gate_artifact_verify",
+    "snk_upsert_features", "snk_upsert_tracks", "st_writer", "st_retry", "st_processed_segments", "st_idempotent_replay", "src_manifest_rows", "src_envelopes", "gate_metric_stream", "gate_dashboard", "flt_segment_uri", "seg_encode",
 ]
 
 

@@ -13,7 +13,7 @@ from trackloom.plans.domain import with_tables
 from trackloom.plans.queries import ALL3, FE, GATE_SQL, MF, METRIC_DEDUPE, SUMMARY_SQL, M, T, query, r6, summary_of
 from trackloom.plans.roundtrips import BYTES_SQL, ROCKS, STATE_PROVIDER, as_wav, persisted, shared, stored_state, track_events
 from trackloom.sources import readers, sinks
-from trackloom.streaming import stages, state
+from trackloom.streaming import pipelines, stages, state
 
 AT = "2026-04-02T00:00:11Z"
 
@@ -229,3 +229,51 @@ def _(s, d):
     tables = sinks.store(s, path)
     tables.commit({"metrics": sinks.filled(sinks.keyed_metrics(told), "metrics")}, "a", 0)
     return r6(reconcile.ratios_agree(FE(s, d), state, tables.read("metrics")), "sink_ratio", "state_ratio", "metric_ratio")
+
+
+@query("gate_metric_stream", with_tables("features") + """, k AS (SELECT run_id, track_id, segment_idx, bool_or(silent_flag) AS s FROM features GROUP BY ALL), a AS (SELECT run_id, count(*) AS n, avg(CASE WHEN s THEN 1.0 ELSE 0.0 END) AS ratio,
+    count(*) FILTER (WHERE track_id % 20 = 3) AS missing, count(*) FILTER (WHERE track_id % 20 = 7) AS unit, count(*) FILTER (WHERE track_id % 20 = 9) AS labels, count(*) FILTER (WHERE track_id % 20 = 11) AS differs, count(*) FILTER (WHERE track_id % 20 = 13) AS alone FROM k GROUP BY 1)
+  SELECT run_id, n - alone + alone AS events, n - missing - alone AS matched, missing AS without_metric, alone AS without_feature, unit AS bad_unit, labels AS bad_labels, differs AS other_value, round(ratio, 6) AS silent_ratio,
+    round(ratio + CASE run_id WHEN 'run-3' THEN 0.01 ELSE 0 END, 6) AS told_ratio, missing + alone + unit + labels + differs = 0 AND run_id <> 'run-3' AS ok FROM a""")
+def _(s, d):
+    """Feature events and processing metrics as two streams, joined where they agree in segment and time. Some metrics are
+    missing, of another unit, label or value, some have no feature, and one run's last ratio is off."""
+    rows = FE(s, d).groupBy("run_id", "track_id", "segment_idx").agg(F.max("silent_flag").alias("silent_flag"), F.max("processing_ms").alias("processing_ms"), F.min("artifact_uri").alias("artifact_uri"), F.min("checksum").alias("checksum"))
+    rows = rows.withColumns({"manifest_uri": F.lit(None).cast("string"), "rms": F.lit(-3.0), "mel_bins": F.lit(128), "mel_frames": F.lit(300)})
+    case = F.col("track_id") % 20
+    true = rows.groupBy("run_id").agg(F.avg(F.when(F.col("silent_flag"), 1.0).otherwise(0.0)).alias("silent_ratio"))
+    told = true.withColumn("silent_ratio", F.col("silent_ratio") + F.when(F.col("run_id") == "run-3", 0.01).otherwise(0.0))
+    made = contract.checked(stages.processing_events(rows.withColumn("processing_ms", F.when(case == 11, F.col("processing_ms") + 1).otherwise(F.col("processing_ms"))), told, F.lit(AT)).select("value"))
+    label = lambda f: F.get_json_object("labels_json", f"$.{f}").cast("bigint")
+    m = contract.routed(made, "system.metrics").withColumns({"track_id": label("track_id"), "segment_idx": label("segment_idx").cast("int")})
+    case = F.col("track_id") % 20
+    timings = m.filter("metric_name = 'processing_ms'").filter(case != 3).withColumns(
+        {"unit": F.when(case == 7, "s").otherwise(F.col("unit")), "labels_json": F.when(case == 9, F.regexp_replace("labels_json", '"status":"ok"', '"status":"error"')).otherwise(F.col("labels_json")), "ts": F.to_timestamp("ts")}
+    )
+    names = ["ts", "run_id", "track_id", "segment_idx"]
+    sides = (
+        ("features", rows.filter(F.col("track_id") % 20 != 13).select(F.to_timestamp(F.lit(AT)).alias("ts"), *names[1:], "processing_ms")),
+        ("timings", timings.select(*names, "metric_value", "labels_json", "unit", "service_name")),
+    )
+    root, out = shared(s, "metric-stream"), shared(s, "joined")
+    for name, side in sides:
+        side.write.parquet(f"{root}/{name}")
+    later = F.to_timestamp(F.lit(AT)) + F.expr("interval 1 hour")  # a last event of each stream moves the watermarks
+    for turn in range(2):
+        streams = [s.readStream.schema(side.schema).parquet(f"{root}/{name}") for name, side in sides]
+        joined = pipelines.timed_features(*streams)
+        joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}-cp").trigger(availableNow=True).start().awaitTermination()
+        if not turn:
+            for name, side in sides:
+                side.limit(1).withColumns({"ts": later, "run_id": F.lit("end"), "track_id": F.lit(-1).cast("bigint")}).write.mode("append").parquet(f"{root}/{name}")
+    got = s.read.parquet(out).withColumn("run_id", F.coalesce("run_id", "m_run_id")).filter("run_id <> 'end'")
+    both = F.col("f_ts").isNotNull() & F.col("m_ts").isNotNull()
+    status = F.get_json_object("labels_json", "$.status") != "ok"
+    sums = got.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(both).alias("matched"), F.count_if(F.col("m_ts").isNull()).alias("without_metric"), F.count_if(F.col("f_ts").isNull()).alias("without_feature"),
+        F.count_if(F.col("unit") != "ms").alias("bad_unit"), F.count_if(status).alias("bad_labels"), F.count_if(both & (F.abs(F.col("feature_ms") - F.col("metric_value")) > 1e-6)).alias("other_value"),
+    )
+    last = m.filter("metric_name = 'silent_ratio'").select("run_id", F.col("metric_value").alias("told_ratio"))
+    out = r6(sums.join(true, "run_id").join(last, "run_id"), "silent_ratio", "told_ratio")
+    bad = sum((F.col(c) for c in ("without_metric", "without_feature", "bad_unit", "bad_labels", "other_value")), F.lit(0))
+    return out.withColumn("ok", (bad == 0) & (F.abs(F.col("silent_ratio") - F.col("told_ratio")) < 1e-6))

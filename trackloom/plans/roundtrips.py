@@ -866,11 +866,6 @@ def _(s, d):
     return moved.select("topic_name", "partition_id", "run_id", F.coalesce("before", F.lit(-1).cast("bigint")).alias("before"), "after", "advanced")
 
 
-@query("gate_metric_stream", """SELECT count(*) AS rows, n AS check_name, CAST(0 AS BIGINT) AS failures, true AS ok FROM events, (VALUES ('named'), ('unit')) v(n) GROUP BY n""")
-def _(s, d):
-    return reconcile.checks(M(s, d), {"named": "metric_name != ''", "unit": "unit in ('ms', 'count')"})
-
-
 @query("gate_dashboard", ALL3 + SUMMARY_SQL + """, e AS (SELECT *, row_number() OVER (ORDER BY silent_ratio, run_id) AS low, row_number() OVER (ORDER BY silent_ratio DESC, run_id) AS high FROM summary WHERE segments_persisted > 0),
   c AS (SELECT a.run_id AS quiet_run, b.run_id AS loud_run, a.avg_rms < b.avg_rms AS level FROM e a, e b WHERE a.high = 1 AND b.low = 1)
   SELECT count(*) AS rows, 'rate' AS check_name, count(*) FILTER (WHERE NOT (error_rate BETWEEN 0 AND 1)) AS failures, count(*) FILTER (WHERE NOT (error_rate BETWEEN 0 AND 1)) = 0 AS ok FROM summary
