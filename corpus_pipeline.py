@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last one of a source is cut short."""
+    """Documents as often as the mix takes them, each whole."""
     return _counted(mixing.mixed_documents(docs))
 
 
