@@ -7,10 +7,11 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.llm import turns
+from trackloom.llm import oracles, turns
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 SPACE = " \t\n\x0b\x0c\r"
@@ -90,6 +91,13 @@ def test_rows_equal_a_plain_search(spark, least_block):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, plain_rows(rows)))
 
 
+def test_the_sql_says_the_same():
+    con, rows = duckdb.connect(), made(5, 60)
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(map(str, con.execute(oracles.TURN_REPAIR).fetchall())) == sorted(map(str, plain_rows(rows)))
+
+
 @pytest.mark.parametrize("block", [1, 2, 5, 50])
 def test_blocks_give_the_least_of_the_cheapest_edits(block):
     r = random.Random(block)

@@ -175,3 +175,50 @@ WITH RECURSIVE d AS (
 ), k AS (SELECT a AS r, count(*) AS links FROM u GROUP BY 1)
 SELECT doc_id, coalesce(least(least, doc_id), least, doc_id) AS class_id, coalesce(links, 0) AS n_links FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)
 """
+
+
+TURN_REPAIR = r"""
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), c AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(k) + 1), lambda i: [CAST(ascii(substr(k, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295) % 20 AS damage FROM r
+), d AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE damage WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE damage <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, md5(role || chr(0) || text), copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM d
+), f AS (
+  SELECT *, left(role, 1) AS init, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'none' ELSE 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o
+), e AS (
+  SELECT conv_id, i, n, init, role, text, fault IN ('none', 'truncated') AS stays, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS more FROM f
+), b AS (
+  SELECT DISTINCT conv_id, n AS i, [0, 4, 2, 0] AS c FROM f
+  UNION ALL
+  SELECT conv_id, i, [least(q[1], 2 + least(q[3], 2 + q[4])), least(q[2], 2 + least(q[3], 2 + q[4])), least(q[3], 2 + q[4]), least(q[4], 2 + q[3])] FROM (
+    SELECT b.conv_id, b.i - 1 AS i, [
+      least(3 + c[1], CASE WHEN stays THEN more + least(2 + c[3], CASE init WHEN 's' THEN c[2] WHEN 'u' THEN c[3] ELSE 999999 END) ELSE 999999 END),
+      least(3 + c[2], CASE WHEN stays THEN more + least(2 + c[3], CASE init WHEN 'u' THEN c[3] ELSE 999999 END) ELSE 999999 END),
+      least(3 + c[3], CASE WHEN stays THEN more + least(2 + c[4], CASE init WHEN 'a' THEN c[4] ELSE 999999 END) ELSE 999999 END),
+      least(3 + c[4], CASE WHEN stays THEN more + least(2 + c[3], CASE init WHEN 'u' THEN c[3] ELSE 999999 END) ELSE 999999 END)] AS q
+    FROM b JOIN e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i)
+), p AS (
+  SELECT now.conv_id, now.i, now.c AS c, nxt.c AS after, init, role, text, stays, more FROM b now LEFT JOIN b nxt ON nxt.conv_id IS NOT DISTINCT FROM now.conv_id AND nxt.i = now.i + 1
+  LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM now.conv_id AND e.i = now.i + 1
+), w AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST(NULL AS VARCHAR) AS repaired, false AS done FROM f
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit IN ('I', '.') THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN '.' THEN q WHEN 'K' THEN kept ELSE due END, CASE edit WHEN '.' THEN audit ELSE audit || edit END,
+    CASE WHEN edit IN ('D', '.') THEN repaired ELSE coalesce(repaired || chr(10), '') || CASE edit WHEN 'K' THEN role ELSE CASE q WHEN 3 THEN 'assistant' ELSE 'user' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END END, edit = '.'
+  FROM (SELECT *, CASE WHEN after IS NULL AND c[q] = 0 THEN '.' WHEN after IS NOT NULL AND c[q] = 3 + after[q] THEN 'D' WHEN c[q] = 2 + c[due] THEN 'I' WHEN stays AND kept IS NOT NULL AND c[q] = more + after[kept] THEN 'K' ELSE 'R' END AS edit
+    FROM (SELECT w.*, p.* EXCLUDE (conv_id, i), [3, 3, 4, 3][q] AS due, CASE WHEN q = 1 AND init = 's' THEN 2 WHEN q <> 3 AND init = 'u' THEN 3 WHEN q = 3 AND init = 'a' THEN 4 END AS kept
+      FROM w JOIN p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i WHERE NOT w.done))
+), s AS (
+  SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || init NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c[1], 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = 0 LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id AND w.done
+"""

@@ -90,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard": oracles.NGRAM_JACCARD,
         "op7_source_mixing": oracles.MIXING,
         "op8_quality_rules": oracles.quality_rules(),
+        "op12_turn_repair": oracles.TURN_REPAIR,
     }
