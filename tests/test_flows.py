@@ -136,3 +136,12 @@ def test_quoted_headers_and_gates(spark, tmp_path):
     e = spark.createDataFrame([("a", 1), ("b", 2)], "check_name string, n long")
     o = spark.createDataFrame([("a", 1), ("c", 2)], "check_name string, n long")
     assert {tuple(r) for r in reconcile.counts_agree(e, o).collect()} == {("a", 1, 1, True), ("b", 2, 0, False), ("c", 0, 2, False)}
+
+
+def test_envelope_of_labels_alone(spark):
+    """A payload with nothing but labels, and none at all, are JSON all the same."""
+    rows = spark.createDataFrame([('{"scope":"x"}',), (None,)], "labels_json string")
+    made = contract.envelopes(rows, "system.metrics", "writer", F.lit("2026-04-02T00:00:11Z"), F.lit("1")).filter("value is not null")
+    assert all(set(json.loads(r["value"])["payload"]) <= {"labels_json"} for r in made.collect())
+    body = F.to_json(F.struct(F.lit(None).cast("string").alias("x")))
+    assert spark.range(1).select(body).first()[0] == "{}"

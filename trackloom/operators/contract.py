@@ -199,7 +199,7 @@ def envelopes(payloads: DataFrame, event_type: str, service: str, produced_at: C
     if "labels_json" in spec:
         body = fields["payload"]
         fields["payload"] = F.when(cols["labels_json"].isNull(), body).otherwise(
-            F.concat(F.lit('{"labels_json":'), cols["labels_json"], F.lit(","), F.substring(body, 2, 1 << 30))
+            F.concat(F.lit('{"labels_json":'), cols["labels_json"], F.when(body == "{}", "").otherwise(","), F.substring(body, 2, 1 << 30))
         )
     text = lambda names: F.to_json(F.struct(*[fields[f].alias(f) for f in names]))
     before, after = [f for f in sorted(fields) if f < "payload"], [f for f in sorted(fields) if f > "payload"]

@@ -11,7 +11,7 @@ from trackloom.operators import contract, reconcile
 from trackloom.plans import domain, queries
 from trackloom.plans.domain import with_tables
 from trackloom.plans.queries import ALL3, FE, GATE_SQL, MF, METRIC_DEDUPE, SUMMARY_SQL, M, T, query, r6, summary_of
-from trackloom.plans.roundtrips import BYTES_SQL, ROCKS, STATE_PROVIDER, as_wav, persisted, shared, stored_state, track_events
+from trackloom.plans.roundtrips import BYTES_SQL, PLACES_SQL, ROCKS, STATE_PROVIDER, as_wav, persisted, shared, stored_state, track_events
 from trackloom.sources import readers, sinks
 from trackloom.streaming import pipelines, stages, state
 
@@ -200,11 +200,12 @@ def _(s, d):
 # ---------------------------------------------------------------- snapshot gates
 
 
-@query("gate_writer_snapshot", ALL3 + """, f AS (SELECT DISTINCT run_id, track_id, segment_idx FROM features), e AS (
+@query("gate_writer_snapshot", ALL3 + PLACES_SQL + """, f AS (SELECT DISTINCT run_id, track_id, segment_idx FROM features), e AS (
   SELECT 'tracks' AS check_name, count(*) AS expected, count(*) AS observed FROM tracks UNION ALL SELECT 'features', count(*), count(*) FILTER (WHERE run_id <> 'run-2') FROM f
   UNION ALL SELECT 'tracks upserted twice', 0, 0 UNION ALL SELECT 'features upserted twice', 0, 0), mm AS (SELECT *, coalesce(json_extract_string(labels_json, '$.scope'), '') AS sc FROM metrics), p AS (
   SELECT run_id, service_name, metric_name, labels_json FROM mm WHERE sc = '' UNION ALL SELECT DISTINCT run_id, service_name, metric_name, labels_json FROM mm WHERE sc <> ''), z AS (
   SELECT 'shape/' || service_name || '/' || metric_name AS check_name, count(*) AS n FROM p GROUP BY 1
+  UNION ALL SELECT 'rows_upserted', count(*) FROM places UNION ALL SELECT 'rows_upserted other than 1', 0
   UNION ALL SELECT 'topic/' || service_name || '/' || json_extract_string(labels_json, '$.topic'), count(*) FROM p WHERE json_extract_string(labels_json, '$.topic') IS NOT NULL GROUP BY 1)
   SELECT *, expected = observed AS ok FROM (FROM e UNION ALL SELECT check_name, n, n FROM z)""")
 def _(s, d):
@@ -213,8 +214,15 @@ def _(s, d):
     kept = tables.read("features").filter("run_id <> 'run-2'")  # rows that the gate must miss
     stored = [tables.read("tracks"), kept, tables.read("metrics").filter("metric_name <> 'rows_upserted'")]
     m = sinks.merged_metrics(None, M(s, d).withColumn("seq", F.col("event_id")))
-    expected = reconcile.sink_counts(T(s, d), FE(s, d).select("run_id", "track_id", "segment_idx").distinct(), m)
-    return reconcile.counts_agree(expected, reconcile.sink_counts(*stored))
+    keys = FE(s, d).select("run_id", "track_id", "segment_idx").distinct()
+    expected, observed = reconcile.sink_counts(T(s, d), keys, m), reconcile.sink_counts(*stored)
+    # every record that was stored says that it made one row
+    one = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "n")
+    upserted = tables.read("metrics").filter("metric_name = 'rows_upserted'")
+    records = T(s, d).select("run_id").unionAll(keys.select("run_id")).unionAll(M(s, d).select("run_id"))
+    expected = expected.unionByName(one("rows_upserted", records)).unionByName(one("rows_upserted other than 1", records.limit(0)))
+    observed = observed.unionByName(one("rows_upserted", upserted)).unionByName(one("rows_upserted other than 1", upserted.filter("metric_value <> 1")))
+    return reconcile.counts_agree(expected, observed)
 
 
 @query("gate_baseline", with_tables("features") + """, k AS (SELECT run_id, track_id, segment_idx, bool_or(silent_flag) AS s FROM features GROUP BY ALL), r AS (SELECT run_id, count(*) AS segments, avg(CASE WHEN s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ratio FROM k GROUP BY 1)
