@@ -47,7 +47,7 @@ BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 TOP_PAIRS = 2_000_000
 #: Bytes of text that are aligned at once.
 STRETCH = 1 << 20
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 1_000_000
 #: Distinct pairs that a task holds before it sends its partial counts.
 PAIRS_IN_HAND = 2_000_000
 SHIFT = 1 << 16  # a pair is A's id times this, plus B's id
