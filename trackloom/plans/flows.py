@@ -10,7 +10,7 @@ from trackloom.operators import bundle as bundles
 from trackloom.operators import contract, reconcile
 from trackloom.plans import domain, queries
 from trackloom.plans.domain import with_tables
-from trackloom.plans.queries import ALL3, FE, GATE_SQL, MF, METRIC_DEDUPE, SUMMARY_SQL, M, T, query, r6, summary_of
+from trackloom.plans.queries import ALL3, FE, GATE_SQL, MF, METRIC_DEDUPE, M, T, query, r6, summary_of
 from trackloom.plans.roundtrips import BYTES_SQL, PLACES_SQL, ROCKS, STATE_PROVIDER, as_wav, persisted, shared, stored_state, track_events
 from trackloom.sources import readers, sinks
 from trackloom.streaming import pipelines, stages, state
