@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import bundle, contract, dataset, reconcile, segments, stats
 from trackloom.plans import roundtrips
 from trackloom.sources import readers
-from trackloom.streaming import stages
+from trackloom.streaming import stages, state
 
 TRACKS = "run_id string, track_id long, artist_id long, genre string, subset string, source_audio_uri string, validation_status string, duration_s double, manifest_uri string, checksum string"
 READY = "run_id string, track_id long, segment_idx int, artifact_uri string, checksum string, sample_rate int, duration_s double, is_last_segment boolean"
@@ -86,7 +86,7 @@ def test_vector_state_counts_an_id_once(spark, tmp_path):
     src = str(tmp_path / "in")
     df.write.parquet(src)
     seen = []
-    stream = stages.vector_state(spark.readStream.schema(df.schema).parquet(src), shards=3)
+    stream = state.vector_state(spark.readStream.schema(df.schema).parquet(src), shards=3)
     q = stream.writeStream.outputMode("update").foreachBatch(lambda d, i: seen.extend(d.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(x["run_id"], x["bin"]): x for x in stages.merged_moments(spark.createDataFrame(seen, "run_id string, shard int, count long, mean array<double>, m2 array<double>")).collect()}
